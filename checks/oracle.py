@@ -546,7 +546,7 @@ def oracle(name: str, sql: str, *needs: str) -> None:
 
     for need in needs:
         add(need)
-    ctes = ",\n".join(f"{k} AS ({v})" for k, v in ordered.items())
+    ctes = ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in ordered.items())
     ORACLES[name] = f"WITH {ctes}\n{sql}" if ctes else sql
 
 
