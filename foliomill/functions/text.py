@@ -46,29 +46,36 @@ def substitute(
     )
 
 
+# From the start of the last path component; what may follow it: slashes and "." components.
+_COMPONENT, _TAIL = r"(?<![^/])", r"(?:/\.?)*+\z"
+
+
 def basename(path: Column) -> Column:
     """Last path component; trailing slashes and ``.`` components are ignored."""
-    trimmed = F.regexp_replace(path, r"(?:/\.?)+\z", "")
-    name = F.regexp_extract(trimmed, r"([^/]*)\z", 1)
-    return F.when(name == ".", "").otherwise(name)
+    return F.regexp_extract(path, rf"{_COMPONENT}((?!\.(?:/|\z))[^/]*+){_TAIL}", 1)
 
 
 def suffix(path: Column) -> Column:
     """Extension with its dot, as written; empty for dot-files and trailing dots."""
-    return F.regexp_extract(basename(path), r"(?s)^.+(\.[^.]+)\z", 1)
+    return F.regexp_extract(path, rf"{_COMPONENT}[^/]+(\.[^./]+){_TAIL}", 1)
 
 
 def stem(path: Column) -> Column:
     """Last path component without its extension."""
-    return F.regexp_replace(basename(path), r"(?s)^(.+)\.[^.]+\z", "$1")
+    return F.regexp_extract(
+        path, rf"{_COMPONENT}((?!\.(?:/|\z))[^/]*?)(?:(?<=[^/])\.[^./]+)?{_TAIL}", 1
+    )
+
+
+def if_empty(text: Column, default: str) -> Column:
+    """``default`` for the empty string; evaluates ``text`` only once."""
+    return F.regexp_replace(text, r"^\z", default)
 
 
 def safe_name(name: Column, max_length: int = 200) -> Column:
     """File-system-safe form of a name: no directories, conservative alphabet."""
-    kept = F.btrim(
-        F.regexp_replace(basename(name), r"[^A-Za-z0-9._-]+", "_"), F.lit("._-")
-    )
-    return F.substring(F.when(kept == "", "file").otherwise(kept), 1, max_length)
+    kept = F.btrim(F.regexp_replace(basename(name), r"[^A-Za-z0-9._-]+", "_"), F.lit("._-"))
+    return F.substring(if_empty(kept, "file"), 1, max_length)
 
 
 def human_size(n: Column) -> Column:

@@ -197,7 +197,7 @@ def path_verdict(path: Column) -> Column:
     escaped = F.aggregate(F.split(path, "/", -1), start, step, lambda acc: acc["escaped"])
     return (
         F.when(F.startswith(path, F.lit("/")), "absolute")
-        .when(escaped, "escapes").otherwise("contained")
+        .when(F.contains(path, F.lit("..")) & escaped, "escapes").otherwise("contained")
     )
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.text import human_size, safe_name, stem, suffix
+from foliomill.functions.text import human_size, if_empty, safe_name, stem, suffix
 from foliomill.operators.ingest import path_verdict
-from foliomill.operators.skew import bucketed_lag, bucketed_row_number
-from foliomill.sources import lookups
+from foliomill.operators.skew import bucketed_lag, bucketed_row_number, bucketed_running_sum
+from foliomill.sources import lookups, workspace
 
 MAX_WARNINGS = 50
 FILES_PER_CHUNK = 50
@@ -208,8 +208,7 @@ def cleanup_paths(files: DataFrame, deleted: DataFrame) -> DataFrame:
 
 
 def output_suffix(path: Column) -> Column:
-    found = suffix(path)
-    return F.when(found == "", ".md").otherwise(found)
+    return if_empty(suffix(path), ".md")
 
 
 def with_media_type(df: DataFrame, path: str = "output_path") -> DataFrame:
@@ -240,36 +239,36 @@ def preview_availability(files: DataFrame) -> DataFrame:
 _NUMBERED = r"^(.*)-([2-9]|[1-9][0-9]{1,8})$"
 
 
-def _shifted_names(groups: DataFrame, ready: DataFrame) -> DataFrame:
-    """How literal names like ``a-2`` push the numbering of ``a``: (keys, shift, breaks).
-
-    Only name groups that meet such a sibling in the same job appear. ``shift`` is 1 where the
-    group's plain name was already taken; ``breaks`` holds the arrivals from which one more number
-    is skipped. What has to be decided in sequence is one entry for each distinct numbered
-    sibling, pre-aggregated; files themselves are only counted.
-    """
+def _sibling_pairs(groups: DataFrame) -> DataFrame:
+    """Numbered names next to the plain name in the same job: ``a-2`` beside ``a``."""
     keys = ["job_id", "ext", "name_stem"]
     numbered = groups.filter(F.col("name_stem").rlike(_NUMBERED)).select(
-        "job_id", "ext", F.col("name_stem").alias("sibling"), F.col("first_id").alias("file_id"),
-        F.regexp_extract("name_stem", _NUMBERED, 1).alias("name_stem"),
+        "job_id", "ext", F.regexp_extract("name_stem", _NUMBERED, 1).alias("name_stem"),
+        F.col("name_stem").alias("sibling"), F.col("first_id").alias("file_id"),
         F.regexp_extract("name_stem", _NUMBERED, 2).cast("long").alias("number"),
     )
-    pairs = numbered.join(groups.select(*keys, F.col("files").alias("parent_files")), keys)
-    # Parent files that came before the sibling's first one: its place among parents and siblings
-    # together, less its place among the siblings.
+    return numbered.join(groups.select(*keys, F.col("files").alias("parent_files")), keys)
+
+
+def _shifted_names(pairs: DataFrame, ready: DataFrame) -> DataFrame:
+    """How literal names like ``a-2`` push the numbering of ``a``: (keys, shift, breaks).
+
+    ``shift`` is 1 where the group's plain name was already taken; ``breaks`` holds the arrivals
+    from which one more number is skipped. What has to be decided in sequence is one entry for
+    each distinct numbered sibling, pre-aggregated; files themselves are only counted.
+    """
+    keys = ["job_id", "ext", "name_stem"]
+    # Parent files that came before the sibling's first one, by a running count over both.
     parents = ready.join(pairs.select(*keys).distinct(), keys, "left_semi").select(
-        *keys, "file_id", F.lit(None).cast("string").alias("sibling")
+        *keys, "file_id", F.lit(1).alias("is_file")
     )
-    marks = pairs.select(*keys, "file_id", "sibling")
-    order = [F.col("file_id"), F.col("sibling")]
-    overall = bucketed_row_number(parents.unionByName(marks), keys, id_bucket(), order, "_overall")
-    among = bucketed_row_number(marks, keys, id_bucket(), order, "_among").drop("file_id")
-    placed = pairs.join(
-        overall.filter(F.col("sibling").isNotNull()).drop("file_id"), [*keys, "sibling"]
-    ).join(among, [*keys, "sibling"]).withColumn("before", F.col("_overall") - F.col("_among"))
+    both = parents.unionByName(pairs.withColumn("is_file", F.lit(0)), allowMissingColumns=True)
+    placed = bucketed_running_sum(
+        both, keys, id_bucket(), [F.col("file_id"), F.col("sibling")], F.col("is_file"), "before"
+    ).filter(F.col("is_file") == 0)
     family = F.regexp_replace("name_stem", r"(-([2-9]|[1-9][0-9]{1,8}))+$", "").alias("family")
-    schema = "job_id {}, ext string, name_stem string, shift int, breaks array<long>".format(
-        groups.schema["job_id"].dataType.simpleString()
+    schema = "job_id {}, ext string, name_stem string, shift int, skip_at long".format(
+        pairs.schema["job_id"].dataType.simpleString()
     )
 
     def settle(rows):
@@ -290,45 +289,53 @@ def _shifted_names(groups: DataFrame, ready: DataFrame) -> DataFrame:
                 skipped.append(arrival)
             else:
                 shift[row.sibling] = 1
-        names = sorted(set(shift) | {name for name, at in breaks.items() if at})
-        return pd.DataFrame({
-            "job_id": rows["job_id"].iloc[0], "ext": rows["ext"].iloc[0], "name_stem": names,
-            "shift": [shift.get(name, 0) for name in names],
-            "breaks": [breaks.get(name, []) for name in names],
-        })
+        job, ext = rows["job_id"].iloc[0], rows["ext"].iloc[0]
+        found = [(job, ext, name, 1, None) for name in shift]
+        found += [(job, ext, name, 0, int(at)) for name, skipped in breaks.items() for at in skipped]
+        columns = ["job_id", "ext", "name_stem", "shift", "skip_at"]
+        return pd.DataFrame(found, columns=columns, dtype=object)
 
-    return (
+    settled = (
         placed.select("job_id", "ext", family, "name_stem", "sibling", "number", "parent_files", "before")
         .groupBy("job_id", "ext", "family").applyInPandas(settle, schema)
     )
+    return settled.groupBy(*keys).agg(
+        F.max("shift").alias("shift"), F.collect_list("skip_at").alias("breaks")
+    )
 
 
 def bundle_names(files: DataFrame) -> DataFrame:
     """Member names of each job's download bundle, in file id order.
 
-    The first file of a name keeps it; later ones get the smallest free ``-n`` from 2.
+    The first file of a name keeps it; later ones get the smallest free ``-n`` from 2. Only jobs
+    that also hold a literally numbered name need more than counting; whether there are any is
+    looked up first, in a stored table of the distinct names.
     """
+    keys = ["job_id", "ext", "name_stem"]
     ready = files.filter(
         F.col("output_path").isNotNull() & (path_verdict(F.col("output_path")) == "contained")
     ).withColumns({
         "name_stem": safe_name(stem(F.col("original_filename"))),
         "ext": output_suffix(F.col("output_path")),
     })
-    keys = ["job_id", "ext", "name_stem"]
-    groups = ready.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("files"), F.min("file_id").alias("first_id")
-    )
-    ranked = bucketed_row_number(ready, keys, id_bucket(), [F.col("file_id")], "_arrival")
-    moved = ranked.join(_shifted_names(groups, ready.select(*keys, "file_id")), keys, "left")
-    number = F.col("_arrival") + F.coalesce(
-        F.col("shift") + F.size(F.filter("breaks", lambda at: at <= F.col("_arrival"))), F.lit(0)
+    groups = workspace.written(
+        ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.min("file_id").alias("first_id")),
+        "bundle-names",
     )
+    pairs = _sibling_pairs(groups)
+    named = bucketed_row_number(ready, keys, id_bucket(), [F.col("file_id")], "_number")
+    if not pairs.isEmpty():
+        shifts = _shifted_names(pairs, ready.select(*keys, "file_id"))
+        arrival = F.col("_number")
+        skipped = F.col("shift") + F.size(F.filter("breaks", lambda at: at <= arrival))
+        named = named.join(shifts, keys, "left").withColumn(
+            "_number", arrival + F.coalesce(skipped, F.lit(0))
+        ).drop("shift", "breaks")
+    number = F.col("_number")
     name = F.when(number == 1, F.concat("name_stem", "ext")).otherwise(
         F.concat(F.col("name_stem"), F.lit("-"), number.cast("string"), F.col("ext"))
     )
-    return moved.withColumn("member_name", name).drop(
-        "_arrival", "shift", "breaks", "name_stem", "ext"
-    )
+    return named.withColumn("member_name", name).drop("_number", "name_stem", "ext")
 
 
 def bundle_manifest(files: DataFrame) -> DataFrame:

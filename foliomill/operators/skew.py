@@ -22,21 +22,33 @@ def _attach(df: DataFrame, side: DataFrame, keys: list[str], value: str) -> Data
     return df.join(side, same, "left").drop(*[f"_k{i}" for i in range(len(on))])
 
 
-def bucketed_row_number(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str
+def bucketed_running_sum(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], weight: Column, name: str
 ) -> DataFrame:
-    """``row_number`` over ``keys`` by ``order``; ``bucket`` must not decrease along ``order``."""
-    df = df.withColumn("_bucket", bucket)
+    """Sum of ``weight`` over ``keys`` up to each row by ``order``.
+
+    ``bucket`` must not decrease along ``order``, and ``order`` must be unique within a key.
+    """
+    df = df.withColumns({"_bucket": bucket, "_weight": weight})
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        df.groupBy(*keys, "_bucket").agg(F.sum("_weight").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    ranked = df.withColumn("_inside", F.row_number().over(inside))
-    return _attach(ranked, offsets, keys, "_before").withColumn(
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    summed = df.withColumn("_inside", F.sum("_weight").over(inside))
+    return _attach(summed, offsets, keys, "_before").withColumn(
         name, F.col("_inside") + F.col("_before")
-    ).drop("_inside", "_before", "_bucket")
+    ).drop("_inside", "_before", "_bucket", "_weight")
+
+
+def bucketed_row_number(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str
+) -> DataFrame:
+    """``row_number`` over ``keys`` by ``order``."""
+    return bucketed_running_sum(df, keys, bucket, order, F.lit(1), name)
 
 
 def bucketed_lag(
