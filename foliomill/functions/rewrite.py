@@ -27,19 +27,22 @@ def replace_tags(
     column: str,
     rules: list[tuple[str, str]],
     counter: str | None = None,
-    counted: str | None = None,
 ) -> DataFrame:
-    """Replace stand-alone tags rule by rule, counting the matches of the ``counted`` pattern."""
+    """Replace stand-alone tags, rule after rule; ``counter`` counts the first rule's matches."""
     text = F.col(column)
+    replaced = text
     for pattern, replacement in rules:
-        replaced = F.regexp_replace(text, java(pattern), replacement)
-        added = {column: if_contains(text, "<", replaced, text)}
-        if counter and pattern == counted:
-            added[counter] = if_contains(
-                text, "<", count_matches(text, java(pattern)), F.lit(0)
-            )
-        df = df.withColumns(added)
-    return df
+        replaced = F.regexp_replace(replaced, java(pattern), replacement)
+    added = {column: if_contains(text, "<", replaced, text)}
+    if counter:
+        found = count_matches(text, java(rules[0][0]))
+        added[counter] = if_contains(text, "<", found, F.lit(0))
+    return df.withColumns(added)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, for use inside lambda expressions."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def rewrite_pairs(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
-from foliomill.functions.rewrite import count_matches, fence, if_contains, replace_tags, rewrite_pairs
+from foliomill.functions.rewrite import count_matches, fence, if_contains, let, replace_tags, rewrite_pairs
 from foliomill.functions.text import strip, substitute
 
 MEDIA_DIR = "media"
@@ -50,33 +50,29 @@ def _paragraphs(cell: Column) -> Column:
     return F.filter(F.transform(bodies, strip), lambda p: p != "")
 
 
+_CALLOUT_START = "^(?:" + "|".join(P.CALLOUT_EMOJIS) + ")"
+
+
 def _is_callout(paragraphs: Column) -> Column:
-    first = F.get(paragraphs, 0)
-    hit = F.lit(False)
-    for emoji in P.CALLOUT_EMOJIS:
-        hit = hit | F.startswith(first, F.lit(emoji))
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(F.get(paragraphs, 0).rlike(_CALLOUT_START), F.lit(False))
 
 
 def _callout_markdown(table: Column) -> Column:
-    paragraphs = _paragraphs(F.regexp_extract(table, P.java(P.SINGLE_CELL), 1))
-    quoted = F.concat(
-        F.lit("> **"), F.get(paragraphs, 0), F.lit("**"),
-        F.array_join(
-            F.transform(
-                F.slice(paragraphs, 2, F.greatest(F.size(paragraphs) - 1, F.lit(0))),
-                lambda p: F.concat(F.lit("\n>\n> "), p),
-            ),
-            "",
-        ),
-        F.lit("\n"),
-    )
-    plain = F.concat(F.array_join(paragraphs, "\n\n"), F.lit("\n"))
-    return (
-        F.when(F.size(paragraphs) == 0, table)
-        .when(_is_callout(paragraphs), quoted)
-        .otherwise(plain)
-    )
+    def markdown(paragraphs: Column) -> Column:
+        following = F.slice(paragraphs, 2, F.greatest(F.size(paragraphs) - 1, F.lit(0)))
+        quoted = F.concat(
+            F.lit("> **"), F.get(paragraphs, 0), F.lit("**"),
+            F.array_join(F.transform(following, lambda p: F.concat(F.lit("\n>\n> "), p)), ""),
+            F.lit("\n"),
+        )
+        plain = F.concat(F.array_join(paragraphs, "\n\n"), F.lit("\n"))
+        return (
+            F.when(F.size(paragraphs) == 0, table)
+            .when(_is_callout(paragraphs), quoted)
+            .otherwise(plain)
+        )
+
+    return let(_paragraphs(F.regexp_extract(table, P.java(P.SINGLE_CELL), 1)), markdown)
 
 
 def convert_callouts(df: DataFrame, column: str = "text") -> DataFrame:
@@ -96,7 +92,7 @@ def strip_table_scaffold(df: DataFrame, column: str = "text") -> DataFrame:
     """Delete remaining table tags; a cell end becomes a line break."""
     return replace_tags(df, column,
                  [(P.TABLE_SCAFFOLD, ""), (P.CELL_OPEN, ""), (P.CELL_CLOSE, "\n")],
-                 "table_scaffold_removed", P.TABLE_SCAFFOLD)
+                 "table_scaffold_removed")
 
 
 def convert_quoted_div(df: DataFrame, column: str = "text") -> DataFrame:
@@ -224,8 +220,8 @@ def strip_divs(df: DataFrame, column: str = "text") -> DataFrame:
     Opening tags go first: deleting one may spell a new closing tag, not the reverse.
     """
     opened, closed = P.opening("div"), P.closing("div")
-    df = replace_tags(df, column, [(opened, "")], "_opened", opened)
-    df = replace_tags(df, column, [(closed, "")], "_closed", closed)
+    df = replace_tags(df, column, [(opened, "")], "_opened")
+    df = replace_tags(df, column, [(closed, "")], "_closed")
     return df.withColumn("divs_removed", F.col("_opened") + F.col("_closed")).drop("_opened", "_closed")
 
 
@@ -253,10 +249,10 @@ def convert_img_tags(df: DataFrame, column: str = "text") -> DataFrame:
 
 def strip_residual_html(df: DataFrame, column: str = "text") -> DataFrame:
     """Map breaks, rules and emphasis to Markdown and delete other wrapper tags."""
-    return replace_tags(df, column,
-                 [(P.BR, "\n"), (P.HR, "\n\n---\n\n"), (P.STRONG, "**"), (P.EMPHASIS, "*"),
-                  (P.CODE, "`"), (P.RESIDUAL, "")],
-                 "residual_html_tags_removed", P.RESIDUAL)
+    df = replace_tags(df, column, [
+        (P.BR, "\n"), (P.HR, "\n\n---\n\n"), (P.STRONG, "**"), (P.EMPHASIS, "*"), (P.CODE, "`"),
+    ])
+    return replace_tags(df, column, [(P.RESIDUAL, "")], "residual_html_tags_removed")
 
 
 def _first_most_frequent(names: Column) -> Column:

@@ -3,7 +3,7 @@
 A plain window sends all rows of a key to one task. Here the key is cut into buckets that follow
 the wanted order; rows are ranked inside their bucket, and what the bucket needs to know about
 the ones before it (a row count, a last row) comes from a pre-aggregated table with one row for
-each key and bucket. The results equal the plain window's.
+each key and bucket. The results equal the plain window's. Keys must not be NULL.
 """
 
 from __future__ import annotations
@@ -13,13 +13,8 @@ from pyspark.sql import functions as F
 
 
 def _attach(df: DataFrame, side: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Join ``value`` on the keys and ``_bucket``, NULL keys included."""
-    on = [*keys, "_bucket"]
-    side = side.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)], value)
-    same = F.lit(True)
-    for i, key in enumerate(on):
-        same = same & F.col(key).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(side, same, "left").drop(*[f"_k{i}" for i in range(len(on))])
+    """Join ``value`` on the keys and ``_bucket``; the window already partitioned rows that way."""
+    return df.join(side.select(*keys, "_bucket", value), [*keys, "_bucket"], "left")
 
 
 def bucketed_running_sum(
@@ -40,7 +35,7 @@ def bucketed_running_sum(
     )
     summed = df.withColumn("_inside", F.sum("_weight").over(inside))
     return _attach(summed, offsets, keys, "_before").withColumn(
-        name, F.col("_inside") + F.col("_before")
+        name, F.col("_inside") + F.coalesce("_before", F.lit(0))
     ).drop("_inside", "_before", "_bucket", "_weight")
 
 

@@ -26,7 +26,11 @@ def corpus_manifest(spark: SparkSession, folder: str, glob: str = "*") -> DataFr
 
 
 def corpus_content(spark: SparkSession, folder: str, glob: str = "*", max_bytes: int | None = None) -> DataFrame:
-    """The listing with file contents; a size limit prunes files before they are opened."""
+    """The listing with file contents; a size limit prunes files before they are opened.
+
+    Spark's file sources leave files of zero bytes out; empty submissions are only seen when they
+    arrive as rows of a table.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)

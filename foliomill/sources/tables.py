@@ -60,7 +60,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
         "CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), "
         "l_returnflag, l_linestatus, date_format(l_shipdate, 'yyyy-MM-dd')))"
     )
-    lines = spread(read(spark, folder, "lineitem"), "l_orderkey").withColumn("file_id", F.expr(identity))
+    lines = spread(read(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", "l_suppkey").withColumn("file_id", F.expr(identity))
     ready = "(l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linestatus = 'F'))"
     return lines.selectExpr(
         "file_id",
