@@ -445,9 +445,9 @@ def quality_cte(source: str, markdown: str, input_bytes: str, pages: str) -> str
     """Signals, score, level and warnings beside the source's columns."""
     signals = f"""
 SELECT * EXCLUDE ({'pages' if pages == 'pages' else 'no_pages'}{', input_bytes' if input_bytes == 'input_bytes' else ''}),
-  CAST({input_bytes} AS BIGINT) AS input_bytes, length({strip(markdown)}) AS chars,
+  CAST({input_bytes} AS BIGINT) AS input_bytes, CAST(length({strip(markdown)}) AS INTEGER) AS chars,
   {count(markdown, P.HEADING_START, '(?m)')} AS heading_count,
-  length({markdown}) - length(replace({markdown}, '�', '')) AS replacement_count,
+  CAST(length({markdown}) - length(replace({markdown}, '�', '')) AS INTEGER) AS replacement_count,
   CAST(coalesce({pages}, 0) AS INTEGER) AS pages
 FROM {source}"""
     tiny, flat, bad = (

@@ -647,7 +647,7 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_clean(spark, folder):
-    pages = streams.table_stream(spark, folder, "pages").select("page_id", "html")
+    pages = streams.table_stream(spark, folder, "pages", "page_id", "html")
     rows, _ = streams.drain(streams.stream_clean(pages), "stream-clean")
     return rows.select("page_id", "title", "markdown", "quality_score", "quality_level")
 

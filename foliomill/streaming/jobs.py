@@ -18,16 +18,22 @@ from foliomill.sources import workspace
 
 
 def table_stream(
-    spark: SparkSession, folder: str, table: str, files_per_batch: int = 64
+    spark: SparkSession, folder: str, table: str, *columns: str, files_per_batch: int = 64
 ) -> DataFrame:
-    """The parquet files of a table as a stream, a bounded number for each micro-batch."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (
+    """The parquet files of a table as a stream, a bounded number for each micro-batch.
+
+    A table of fewer files than cores is spread over them; see ``tables.spread``.
+    """
+    table_files = spark.read.parquet(f"{folder}/{table}.parquet")
+    schema = table_files.select(*columns).schema if columns else table_files.schema
+    cores = spark.sparkContext.defaultParallelism
+    stream = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", f"{table}.parquet")
         .option("maxFilesPerTrigger", str(files_per_batch))
         .parquet(folder)
     )
+    return stream.repartition(cores) if len(table_files.inputFiles()) < cores else stream
 
 
 def drain(stream: DataFrame, purpose: str) -> tuple[DataFrame, StreamingQuery]:
@@ -108,7 +114,8 @@ def stream_job_status(events: DataFrame) -> DataFrame:
 
 def rate_windows(events: DataFrame) -> DataFrame:
     """Requests for each client and minute within one batch."""
-    return events.groupBy("client", F.date_trunc("minute", "ts").alias("minute")).agg(
+    minute = F.date_trunc("minute", "ts").cast(events.schema["ts"].dataType)
+    return events.groupBy("client", minute.alias("minute")).agg(
         F.count(F.lit(1)).alias("requests")
     )
 
