@@ -137,9 +137,16 @@ def nest_files(files: DataFrame, chunk: int = FILES_PER_CHUNK) -> DataFrame:
 
 
 def job_detail(jobs: DataFrame, files: DataFrame, chunk: int = FILES_PER_CHUNK) -> DataFrame:
-    """Jobs with their files nested."""
-    nested = nest_files(files, chunk)
-    return jobs.join(nested, "job_id", "left").fillna(0, ["chunk"])
+    """Jobs with their files nested; a job without files has one row and no array.
+
+    An inner join and the jobs without files, not an outer join: adaptive execution can split a
+    very large job's chunks only on a side whose unmatched rows are not kept.
+    """
+    with_files = jobs.join(nest_files(files, chunk), "job_id")
+    empty = jobs.join(files.groupBy("job_id").agg(F.count(F.lit(1))), "job_id", "left_anti")
+    return with_files.unionByName(
+        empty.withColumn("chunk", F.lit(0)), allowMissingColumns=True
+    )
 
 
 def list_jobs(jobs: DataFrame, files: DataFrame, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
