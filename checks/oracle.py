@@ -641,6 +641,9 @@ _LEAK = P.either(
     "svg|span|div|table|tbody|thead|tfoot|tr|td|th|colgroup|col|caption|br|hr|strong|b|em|i|code|" + P.RESIDUAL_NAMES
 )
 oracle("residual_html_audit", f"SELECT file_id FROM cleaned WHERE regexp_matches(text, {re2(_LEAK)})", "cleaned")
+view("once_texts", "SELECT file_id, text AS once, text FROM cleaned", "cleaned")
+_chain(clean_chain("once_texts", "cleaned_twice"), "once_texts")
+oracle("clean_idempotence_audit", "SELECT file_id, once, text FROM cleaned_twice WHERE once <> text", "cleaned_twice")
 oracle("html_to_markdown", "SELECT page_id, title, text AS markdown FROM converted", "converted")
 oracle("text_to_markdown", "SELECT doc_id, text AS markdown FROM cleaned_texts", "cleaned_texts")
 oracle("convert_corpus", f"""
@@ -781,3 +784,10 @@ FROM (SELECT job_id, CAST(count(*) AS INTEGER) AS total_files, count(*) FILTER (
   count(*) FILTER (status = 'failed') AS failed FROM latest_states GROUP BY job_id)""", "latest_states")
 oracle("stream_rate_limit", """
 SELECT user_id AS client, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 1""")
+# A start is reported once the watermark, ten minutes behind the slower of both sides, is past its limit.
+oracle("stream_stuck_files", """
+SELECT s.event_id, s.job_id, s.file_id, s.ts AS started_at FROM file_events s
+WHERE s.kind = 'start' AND NOT EXISTS (SELECT 1 FROM file_events e WHERE e.file_id = s.file_id AND e.kind IN ('complete', 'fail')
+    AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 360 SECOND)
+  AND s.ts + INTERVAL 360 SECOND < (SELECT least(max(ts) FILTER (kind = 'start'), max(ts) FILTER (kind IN ('complete', 'fail')))
+    FROM file_events) - INTERVAL 10 MINUTE""", "file_events")

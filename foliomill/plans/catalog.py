@@ -672,7 +672,15 @@ def stream_rate_limit(spark, folder):
     return streams.stream_rate_limit(requests, 1)
 
 
+@query
+def stream_late_events(spark, folder):
+    """Events that arrived behind the watermark: those read less those kept."""
+    rows, _ = streams.drain(streams.stream_dedupe(event_stream(spark, folder), "1 hour"), "stream-late")
+    read = tables.read(spark, folder, "events").select(F.lit(1).alias("n"))
+    return read.unionByName(rows.select(F.lit(-1).alias("n"))).agg(F.sum("n").alias("late_events"))
+
+
 @query
 def stream_stuck_files(spark, folder):
     rows, _ = streams.drain(streams.stream_stuck_files(event_stream(spark, folder)), "stream-stuck")
-    return rows
+    return rows.withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
