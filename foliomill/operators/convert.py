@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
 from foliomill.functions.rewrite import fence, if_contains, replace_tags, rewrite_pairs
-from foliomill.functions.text import LINE_BREAK, SPACE, strip, substitute
+from foliomill.functions.text import LINE_BREAK, SPACE, strip
 from foliomill.operators import clean
 
 BLOCK_TAG = P.either(

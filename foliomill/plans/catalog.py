@@ -15,7 +15,7 @@ from foliomill.functions.text import stem, safe_name
 from foliomill.operators import (
     audit, clean, convert, ingest, lifecycle, quality, routing, structure,
 )
-from foliomill.sources import lookups, manifest, sinks, tables, workspace
+from foliomill.sources import manifest, sinks, tables, workspace
 from foliomill.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
