@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliomill.llm import mixing, quality_rules
+from foliomill.llm import mixing, pii, quality_rules, topk, warc
+from foliomill.sources import workspace
 from foliomill.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +19,26 @@ def query(run):
     return run
 
 
+@query
+def op4_pii(spark, folder):
+    """Personal data in every whole document."""
+    found = read(spark, folder, "documents").select("doc_id", pii.spans(F.col("text")).alias("found"))
+    base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id",
+        *[pii.count("found", kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"),
+        F.aggregate("found", F.lit(0.0), lambda most, s: F.greatest(most, s["score"])).alias("top_score"))
+
+
+@query
+def op7_warc(spark, folder):
+    """All pages archived, and what the archive read back says of each."""
+    archive = workspace.fresh(spark, "warc")
+    warc.write(read(spark, folder, "pages"), archive)
+    return warc.described(warc.read(spark, archive)).drop("stated_digest")
+
+
 @query
 def op8_mixing(spark, folder):
     """All documents mixed to the source weights, by training position."""
@@ -34,6 +56,12 @@ def op9_quality_rules(spark, folder):
         "NOT base_kept AS base_failed", "kept", "failed", "n_lines", "n_capitals")
 
 
+@query
+def op10_exact_topk(spark, folder):
+    """The five nearest by inner product for every fiftieth embedding, among all of them."""
+    return topk.top_k(read(spark, folder, "embeddings"), every=50, k=5)
+
+
 ORACLES = {
     "op8_mixing": r"""
 WITH docs AS (
