@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import mixing, pii, quality_rules, topk, warc
+from foliomill.llm import mil_quality, mixing, pii, quality_rules, topk, warc
 from foliomill.sources import workspace
 from foliomill.sources.tables import read
 
@@ -19,6 +19,16 @@ def query(run):
     return run
 
 
+@query
+def op2_mil_quality(spark, folder):
+    """Every whole document scored by a model that never saw the labels of held-out ones."""
+    docs = read(spark, folder, "documents")
+    model = mil_quality.fit(docs, read(spark, folder, "labels"))
+    scored = docs.select(
+        "doc_id", mil_quality.held_out("doc_id").alias("held_out"), mil_quality.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 @query
 def op4_pii(spark, folder):
     """Personal data in every whole document."""
