@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import mil_quality, mixing, pii, quality_rules, topk, warc
+from foliomill.llm import mil_quality, mixing, pii, quality_rules, sentencepieces, topk, warc
 from foliomill.sources import workspace
 from foliomill.sources.tables import read
 
@@ -19,6 +20,21 @@ def query(run):
     return run
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op1_sentencepieces(spark, folder):
+    """Digests of the ids of every whole document and of the text they decode to."""
+    model = sentencepieces.load(PIECES)
+    encoded = sentencepieces.encode(read(spark, folder, "documents"), model)
+    text = sentencepieces.decode(model, F.col("ids"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(text, 256).alias("decoded_sha256"))
+
+
 @query
 def op2_mil_quality(spark, folder):
     """Every whole document scored by a model that never saw the labels of held-out ones."""
