@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import mil_quality, mixing, pii, quality_rules, sentencepieces, topk, warc
+from foliomill.llm import (
+    mil_quality, mixing, near_duplicates, pii, quality_rules, sentencepieces, topk, warc,
+)
 from foliomill.sources import workspace
 from foliomill.sources.tables import read
 
@@ -45,6 +47,12 @@ def op2_mil_quality(spark, folder):
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+@query
+def op3_near_duplicates(spark, folder):
+    """Groups of documents whose three-word shingles are to 85 per cent alike."""
+    return near_duplicates.near_duplicates(read(spark, folder, "documents"), shingle=3, percent=85)
+
+
 @query
 def op4_pii(spark, folder):
     """Personal data in every whole document."""
