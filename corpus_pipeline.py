@@ -1,9 +1,80 @@
-"""A corpus from raw documents to token ids."""
+"""A training corpus from raw documents: filter, deduplicate, mask, mix, tokenise.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents.
+"""
+
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliomill.llm import mil_quality, mixing, near_duplicates, pii, sentencepieces
+from foliomill.sources import workspace
+from foliomill.sources.tables import read
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it is fitted on a bounded sample of the
+    labelled ones among them. Null and empty texts are scored like any other."""
+    model = mil_quality.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return docs.filter(mil_quality.score(model, F.col("text")) >= 0.5)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, similarity of 0.8 or more.
+
+    The smallest id of a group stays. Rows that share an id are of one group: of those that would
+    stay, the one with the smallest values does. Texts without words and rows without an id stay.
+    """
+    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
+    dropped = found.filter(~F.col("kept")).select("doc_id")
+    repeated = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    names = docs.columns
+    once = docs.join(dropped.unionByName(repeated).distinct(), "doc_id", "left_anti").select(*names)
+    least = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct(*[F.col(name) for name in names])).alias("least"))
+    return once.unionByName(least.select("least.*"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the name of its kind, and n_chars set anew."""
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(
+        F.length("text").cast("long"))) if "n_chars" in docs.columns else masked
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights, whole documents repeated, in the order of training."""
+    return mixing.copies(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, and a digest of the text that they decode to."""
+    model = sentencepieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = sentencepieces.encode(docs, model)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        F.sha2(sentencepieces.decode(model, F.col("ids")), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("pii", personal_data),
+    ("mixing", mixed),
+    ("tokens", tokens),
+]
+
+# Hash sketches, attention and byte-pair merges are not SQL: tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over the whole documents table."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = workspace.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -139,16 +139,21 @@ def copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """The mixed corpus itself: the columns of ``docs``, a row for each copy, by training position.
 
     Only whole documents are repeated here: the one that a source's target cuts is taken once more
-    if at least half of it fits. Rows that repeat an id are read as often as that id's longest
-    share says; documents that the mix does not take (and empty ones) are left out.
+    if at least half of it fits. Rows that agree in id, source and size are read alike, as often as
+    the longest share of one of them says; documents that the mix does not take, and those without
+    words, are left out.
     """
     mixed = mix(docs, id_column, text_column, source_column, cap)
     rounded = F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)
     wanted = mixed.filter("size > 0").withColumn("copies", F.col("passes") + rounded).filter("copies > 0")
-    shares = wanted.groupBy("doc_id").agg(F.max_by(
+    shares = wanted.groupBy("doc_id", "source", "size").agg(F.max_by(
         F.struct("copies", "source_size", "start", "want", "weight"), F.struct("copies", "start")).alias("share"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_column).alias("row_id"))
-    each = rows.join(shares, F.col("row_id").eqNullSafe(F.col("doc_id"))).select(
+    rows = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.col(id_column).alias("row_id"),
+        F.col(source_column).alias("row_source"), word_count(F.col(text_column)).alias("row_size"))
+    matches = (F.col("row_id").eqNullSafe(F.col("doc_id")) & F.col("row_source").eqNullSafe(F.col("source"))
+               & (F.col("row_size") == F.col("size")))
+    each = rows.join(shares, matches).select(
         "doc", "row_id", "share.*",
         F.explode(F.sequence(F.lit(0), (F.col("share.copies") - 1).cast("int"))).alias("copy"))
     placed = each.withColumn("position", position(each, F.col("copy")))
