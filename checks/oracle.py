@@ -197,6 +197,10 @@ SELECT event_id, ts, user_id AS job_id, user_id * 1000 + CAST(regexp_extract(pro
     ELSE 'FormatNotSupportedError' END AS error_class,
   CAST(event_id % 5 AS INTEGER) AS attempt
 FROM events""")
+view("slots", """
+SELECT e.*, CAST(least(5, floor((epoch_us(ts) - low) * 6 / greatest(1, high - low + 1)) + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END)
+  AS INTEGER) AS arrival
+FROM file_events e, (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM events)""", "file_events")
 view("dirty_docs", """
 SELECT doc_id AS file_id, CAST(floor(doc_id / 4) AS BIGINT) AS job_id,
   '<span id="c' || doc_id || '.xhtml"></span><svg a="1"><image/></svg>' || chr(10)
@@ -780,8 +784,12 @@ QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ts DESC, event_id DESC)
 oracle("stream_job_status", """
 SELECT *, CASE WHEN succeeded + failed < total_files THEN 'processing' WHEN failed = 0 THEN 'done' WHEN succeeded = 0 THEN 'failed'
   ELSE 'partial_success' END AS status
-FROM (SELECT job_id, CAST(count(*) AS INTEGER) AS total_files, count(*) FILTER (status = 'done') AS succeeded,
-  count(*) FILTER (status = 'failed') AS failed FROM latest_states GROUP BY job_id)""", "latest_states")
+FROM (SELECT job_id, CAST(count(*) + CASE WHEN job_id % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS total_files,
+  count(*) FILTER (status = 'done') AS succeeded, count(*) FILTER (status = 'failed') AS failed FROM latest_states GROUP BY job_id)""", "latest_states")
+# A batch drops by the watermark of the batch before it, which is the newest event of earlier slots less an hour, in milliseconds.
+oracle("stream_late_events", """
+SELECT event_id, file_id, kind, arrival FROM slots
+WHERE ts <= (SELECT make_timestamp(epoch_ms(max(e.ts)) * 1000) FROM slots e WHERE e.arrival < slots.arrival - 1) - INTERVAL 1 HOUR""", "slots")
 oracle("stream_rate_limit", """
 SELECT user_id AS client, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 1""")
 # A start is reported once the watermark, ten minutes behind the slower of both sides, is past its limit.

@@ -663,7 +663,7 @@ def stream_dedupe(spark, folder):
 
 @query
 def stream_job_status(spark, folder):
-    return streams.stream_job_status(event_stream(spark, folder))
+    return streams.stream_job_status(event_stream(spark, folder), tables.event_jobs(spark, folder))
 
 
 @query
@@ -674,10 +674,11 @@ def stream_rate_limit(spark, folder):
 
 @query
 def stream_late_events(spark, folder):
-    """Events that arrived behind the watermark: those read less those kept."""
-    rows, _ = streams.drain(streams.stream_dedupe(event_stream(spark, folder), "1 hour"), "stream-late")
-    read = tables.read(spark, folder, "events").select(F.lit(1).alias("n"))
-    return read.unionByName(rows.select(F.lit(-1).alias("n"))).agg(F.sum("n").alias("late_events"))
+    """Events that arrive behind the watermark of an hour."""
+    events = tables.late_arrivals(spark, folder)
+    source = streams.arriving(events, tables.ARRIVALS, F.col("arrival"), "arriving")
+    rows, _ = streams.drain(streams.stream_dedupe(source, "1 hour"), "stream-late")
+    return streams.late_events(events, rows).select("event_id", "file_id", "kind", "arrival")
 
 
 @query

@@ -18,22 +18,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan over the cores when its files give fewer tasks than there are cores.
-
-    A small parquet file is one row group and so one task, too few for regex-heavy work. Tables
-    with enough splits are returned as they are: moving their text would cost more than it gains.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read(spark, folder, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read(spark, folder, "pages").select("page_id", "html"), "page_id")
+    return read(spark, folder, "pages").select("page_id", "html")
 
 
 def jobs(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +50,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
         "CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), "
         "l_returnflag, l_linestatus, date_format(l_shipdate, 'yyyy-MM-dd')))"
     )
-    lines = spread(read(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", "l_suppkey").withColumn("file_id", F.expr(identity))
+    lines = read(spark, folder, "lineitem").withColumn("file_id", F.expr(identity))
     ready = "(l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linestatus = 'F'))"
     return lines.selectExpr(
         "file_id",
@@ -158,6 +148,26 @@ def file_events(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "events").selectExpr(*FILE_EVENT_COLUMNS)
 
 
+def event_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs of the event stream with their stored totals; every third has files yet to report."""
+    return read(spark, folder, "events").selectExpr(*FILE_EVENT_COLUMNS[2:4]).groupBy("job_id").agg(
+        (F.count_distinct("file_id") + F.when(F.col("job_id") % 3 == 0, 2).otherwise(0)).cast("int").alias("total_files")
+    )
+
+
+ARRIVALS = 6
+
+
+def late_arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """File events with the slot they arrive in: sixths of the time, every fiftieth two later."""
+    events = file_events(spark, folder)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = (events.agg(end(micros)).scalar() for end in (F.min, F.max))
+    slot = F.floor((micros - low) * ARRIVALS / F.greatest(F.lit(1), high - low + 1)).cast("int")
+    late = F.when(F.col("event_id") % 50 == 0, 2).otherwise(0)
+    return events.withColumn("arrival", F.least(F.lit(ARRIVALS - 1), slot + late))
+
+
 def dirty_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents wrapped in residue for every cleaning stage."""
     pieces = [

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -10,14 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _local_root() -> str:
+    """One folder for this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="foliomill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only for local runs without it."""
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Only a local session may leave it unset; it then gets a temporary folder for its lifetime.
+    """
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"{SETTING} must name a folder all executors share")
-    return tempfile.mkdtemp(prefix="foliomill-")
+    return _local_root()
 
 
 def fresh(spark: SparkSession, purpose: str) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,18 +22,15 @@ def table_stream(
 ) -> DataFrame:
     """The parquet files of a table as a stream, a bounded number for each micro-batch.
 
-    A table of fewer files than cores is spread over them; see ``tables.spread``.
+    A table is one file or a folder of part files. A stream source only takes a single file from a
+    path pattern; the pattern here names the table alone and serves both.
     """
-    table_files = spark.read.parquet(f"{folder}/{table}.parquet")
-    schema = table_files.select(*columns).schema if columns else table_files.schema
-    cores = spark.sparkContext.defaultParallelism
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", str(files_per_batch))
-        .parquet(folder)
+    path = f"{folder}/{table}.parquet"
+    stored = spark.read.parquet(path)
+    return (
+        spark.readStream.schema(stored.select(*columns).schema if columns else stored.schema)
+        .option("maxFilesPerTrigger", str(files_per_batch)).parquet(path[:-1] + "[t]")
     )
-    return stream.repartition(cores) if len(table_files.inputFiles()) < cores else stream
 
 
 def drain(stream: DataFrame, purpose: str) -> tuple[DataFrame, StreamingQuery]:
@@ -49,24 +46,46 @@ def drain(stream: DataFrame, purpose: str) -> tuple[DataFrame, StreamingQuery]:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows"), query
 
 
-def drain_batches(stream: DataFrame, purpose: str, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def drain_batches(
+    stream: DataFrame, purpose: str, reduce: Callable[[DataFrame], DataFrame],
+    merge: Callable[[DataFrame], DataFrame], compact_every: int = 32,
+) -> DataFrame:
     """Reduce every micro-batch and keep the partial results, one sub-folder each.
 
-    For results that merge (sums, maxima): the stream itself holds no state, and the reader
-    merges the partial results of all batches.
+    For results that merge (sums, maxima): the stream itself holds no state. ``merge`` takes partial
+    results of the same columns together. Every ``compact_every`` batches it is applied to all
+    results so far, so a reader merges one base and the few batches after it. A repeated batch
+    overwrites what it wrote before. A source without rows gives an empty result.
     """
     spark = stream.sparkSession
     folder = workspace.fresh(spark, purpose)
+    schema = reduce(stream).schema
+    empty = spark.createDataFrame([], schema)
+    empty.write.parquet(f"{folder}/rows/batch=-1")
+    empty.write.parquet(f"{folder}/base/upto=-1")
+
+    def stored(below: int | None = None) -> DataFrame:
+        bases = spark.read.parquet(f"{folder}/base")
+        if below is not None:
+            bases = bases.filter(F.col("upto") < below)
+        newest = bases.select(F.max("upto")).first()[0]
+        newest = -1 if newest is None else newest
+        rows = spark.read.parquet(f"{folder}/rows").filter(F.col("batch") > newest)
+        if below is not None:
+            rows = rows.filter(F.col("batch") <= below)
+        return bases.filter(F.col("upto") == newest).drop("upto").unionByName(rows.drop("batch"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         reduce(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            merge(stored(batch_id)).write.mode("overwrite").parquet(f"{folder}/base/upto={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(store)
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").drop("batch")
+    return stored()
 
 
 def with_event_time(events: DataFrame) -> DataFrame:
@@ -96,20 +115,27 @@ def latest_events(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id", "file_id").agg(F.max(F.struct("ts", "event_id", "kind")).alias("latest"))
 
 
-def job_status_of(changes: DataFrame) -> DataFrame:
-    """Job status from the stored per-batch latest events."""
-    current = changes.groupBy("job_id", "file_id").agg(F.max("latest").alias("latest"))
-    files = current.select(
+def merged_latest(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("job_id", "file_id").agg(F.max("latest").alias("latest"))
+
+
+def job_status_of(changes: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Job status from the stored per-batch latest events.
+
+    ``jobs`` has each job's own ``total_files``: a job is not done before files that have not
+    reported yet are. Jobs without an event so far are not listed.
+    """
+    files = merged_latest(changes).select(
         "job_id", "file_id", event_status(F.col("latest.kind")).alias("status"),
         F.col("latest.ts").alias("finished_at"),
     )
-    jobs = files.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("total_files"))
-    return job_status(jobs, files).select("job_id", "total_files", "succeeded", "failed", "status")
+    seen = jobs.select("job_id", "total_files").join(files, "job_id", "left_semi")
+    return job_status(seen, files).select("job_id", "total_files", "succeeded", "failed", "status")
 
 
-def stream_job_status(events: DataFrame) -> DataFrame:
+def stream_job_status(events: DataFrame, jobs: DataFrame) -> DataFrame:
     """Running job status: batch-wise latest events in, merged status out."""
-    return job_status_of(drain_batches(events, "job-status", latest_events))
+    return job_status_of(drain_batches(events, "job-status", latest_events, merged_latest), jobs)
 
 
 def rate_windows(events: DataFrame) -> DataFrame:
@@ -120,14 +146,17 @@ def rate_windows(events: DataFrame) -> DataFrame:
     )
 
 
+def merged_windows(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("client", "minute").agg(F.sum("requests").alias("requests"))
+
+
 def over_limit(windows: DataFrame, limit: int) -> DataFrame:
-    merged = windows.groupBy("client", "minute").agg(F.sum("requests").alias("requests"))
-    return merged.filter(F.col("requests") > limit)
+    return merged_windows(windows).filter(F.col("requests") > limit)
 
 
 def stream_rate_limit(events: DataFrame, limit: int) -> DataFrame:
     """Clients over ``limit`` requests in a minute, the last open minute included."""
-    return over_limit(drain_batches(events, "rate-limit", rate_windows), limit)
+    return over_limit(drain_batches(events, "rate-limit", rate_windows, merged_windows), limit)
 
 
 def rate_limit_alerts(events: DataFrame, limit: int, delay: str = "5 minutes") -> DataFrame:
@@ -140,12 +169,24 @@ def rate_limit_alerts(events: DataFrame, limit: int, delay: str = "5 minutes") -
     )
 
 
-def late_events(query: StreamingQuery) -> int:
-    """Rows a stateful stream dropped for arriving behind its watermark."""
-    return sum(
-        operator.numRowsDroppedByWatermark
-        for progress in query.recentProgress for operator in progress.stateOperators
-    )
+def late_events(events: DataFrame, kept: DataFrame) -> DataFrame:
+    """Events of the source that a deduplicating stream dropped for coming behind its watermark.
+
+    ``kept`` is what the stream let through. A repeated delivery of a kept event is not late.
+    """
+    return events.dropDuplicates(["event_id"]).join(kept.select("event_id"), "event_id", "left_anti")
+
+
+def arriving(events: DataFrame, slots: int, order: Column, purpose: str, files: int = 2) -> DataFrame:
+    """A stream in which rows arrive slot by slot, one slot of ``order`` a micro-batch.
+
+    The rows of a slot are dealt over ``files`` files, which no slot may be too small for.
+    """
+    spark = events.sparkSession
+    folder = workspace.fresh(spark, purpose)
+    for slot in range(slots):
+        events.filter(order == slot).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", str(files)).parquet(folder)
 
 
 def stream_stuck_files(
