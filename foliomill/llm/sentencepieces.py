@@ -4,33 +4,33 @@ In a vocabulary where no piece holds a whitespace marker behind another characte
 cross from one marked word into the next. A text is then the sequence of its marked words, and it
 is enough to segment each distinct one once:
 
-1. texts are read in blocks; a block's dictionary lists its distinct words,
-2. the distinct words of all blocks are segmented, once each, into the chunk table,
-3. the dictionaries are joined with the chunk table by word,
-4. each block's texts, as places in its dictionary, meet the joined dictionary and get their ids.
-
-A frequent word has one row for each block, not for each occurrence, and a group is never more than
-a block. Shuffled are dictionaries and places, not texts.
+1. texts are read in blocks of a bounded number of words; a block's table lists its distinct words,
+   and each text becomes a sequence of places in that table,
+2. every word of the table is segmented, once,
+3. the table's ids are joined back to the texts by place.
+
+The table is a block's, not the corpus's. Most distinct words are rare, so a table of the corpus
+would send each of them through two shuffles to save segmenting few: it was built and measured, and
+took three times the disk that the texts take (see README). A block needs no shuffle at all, its
+memory is bounded, and a lost executor costs the blocks of its own tasks.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import sentencepiece
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.sources import workspace
-
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
-BLOCK_WORDS = 1_500_000  # words of one block; a longer text is a block of its own
+BLOCK_WORDS = 1_000_000  # words of one block; a longer text is a block of its own
 
 
 @functools.lru_cache(maxsize=2)
@@ -68,104 +68,57 @@ def segment(pieces: sentencepiece.SentencePieceProcessor, words: list[str]) -> l
     return [found if word else [pieces.piece_to_id(MARK)] for word, found in zip(words, ids)]
 
 
-def _numbered(batches: Iterator[pd.DataFrame], text_column: str):
-    """Goes through the texts of a task and gives blocks their numbers and words their places.
+class Table(dict):
+    """Distinct words of a block with their places, which are given out as words come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
 
-    Yields (batch, block numbers, places of every text) for each batch, and (block, words) when a
-    block is complete. The same rows in the same order give the same numbers.
-    """
-    task = TaskContext.get()
-    number = (task.partitionId() if task else 0) << 32
-    dictionary: dict[str, int] = {}
-    read = 0
-    for batch in batches:
-        blocks, places = [], []
-        for text in batch[text_column]:
-            words = chunks(text)
-            if read and read + len(words) > BLOCK_WORDS:
-                yield number, list(dictionary)
-                dictionary, read, number = {}, 0, number + 1
-            read += len(words)
-            blocks.append(number)
-            places.append(np.fromiter(
-                (dictionary.setdefault(word, len(dictionary)) for word in words), np.uint32, len(words)))
-        yield batch, blocks, places
-    if dictionary:
-        yield number, list(dictionary)
-
-
-def _packed(places: np.ndarray) -> bytes:
-    """Places as low halves, then high halves: the latter are nearly all zero and cost nothing
-    once compressed."""
-    halves = places.view(np.uint16).reshape(-1, 2)
-    return halves[:, 0].tobytes() + halves[:, 1].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    halves = np.frombuffer(data, np.uint16).reshape(2, -1)
-    return halves[0].astype(np.int64) | halves[1].astype(np.int64) << 16
+
+def joined(pieces: sentencepiece.SentencePieceProcessor, table: Table, places: list[np.ndarray]) -> list[np.ndarray]:
+    """Ids of each text of a block: those of its words, put together by place, and the end id."""
+    found = segment(pieces, list(table))
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, starts[-1])
+    out = []
+    for text in places:
+        lengths = sizes[text]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = np.empty(total + 1, np.int32)
+        # Element n of the text is element n - (where its word begins) of the word's ids.
+        ids[:total] = flat[np.arange(total) + np.repeat(starts[text] - (ends - lengths), lengths)]
+        ids[total] = pieces.eos_id()
+        out.append(ids)
+    return out
 
 
 def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(``id_column``, ids): ids of every whole text as the library's encode() gives them, with the
     end id added.
 
-    A null text is an empty one: the end id alone. Rows are told apart by where they stand, so null
-    and repeated ids and repeated rows come back as they are; other columns are not read. ``docs``
-    must read the same rows in the same order when it is read again, as stored tables do: its tasks
-    are run once for the dictionaries and once for the places, and again if an executor is lost.
+    A null text is an empty one: the end id alone. Null and repeated ids and repeated rows come back
+    as they are; other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def dictionaries(batches):
-        for item in _numbered(batches, "text"):
-            if len(item) == 2:
-                yield pd.DataFrame({"block": [item[0]], "words": [item[1]]})
-
-    def placed(batches):
-        for item in _numbered(batches, "text"):
-            if len(item) == 3:
-                batch, blocks, places = item
-                yield pd.DataFrame({"id": batch["id"], "block": blocks, "places": list(map(_packed, places))})
-
-    def segmented(batches):
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = processor(model)
         for batch in batches:
-            yield batch.assign(ids=segment(pieces, batch["word"].tolist()))
-
-    words = rows.mapInPandas(dictionaries, "block long, words array<string>").select(
-        "block", F.posexplode("words").alias("place", "word"))
-    table = workspace.written(
-        words.select("word").distinct().mapInPandas(segmented, "word string, ids array<int>"), "chunks")
-    joined = words.join(table, "word").select("block", "place", "ids")
-    texts = rows.mapInPandas(placed, f"id {id_type}, block long, places binary")
-    end = processor(model).eos_id()
-
-    def assembled(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        sizes = np.zeros(len(words) + 1, np.int64)
-        order = words["place"].to_numpy()
-        sizes[order + 1] = words["ids"].map(len).to_numpy()
-        starts = np.cumsum(sizes)
-        flat = np.zeros(starts[-1], np.int32)
-        for place, ids in zip(order.tolist(), words["ids"]):
-            flat[starts[place]:starts[place + 1]] = ids
-        out = []
-        for data in texts["places"]:
-            places = _unpacked(data)
-            lengths = sizes[places + 1]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            # Element n of the text is element n - (where its word begins) of the word's ids.
-            at = np.arange(total) + np.repeat(starts[places] - (ends - lengths), lengths)
-            ids = np.empty(total + 1, np.int32)
-            ids[:total] = flat[at]
-            ids[total] = end
-            out.append(ids)
-        return pd.DataFrame({"id": texts["id"], "ids": out})
-
-    return texts.groupBy("block").cogroup(joined.groupBy("block")).applyInPandas(
-        assembled, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_column)
+            table, places, read, first = Table(), [], 0, 0
+            for at, text in enumerate(batch["text"]):
+                words = chunks(text)
+                if read and read + len(words) > BLOCK_WORDS:
+                    yield pd.DataFrame({"id": batch["id"].iloc[first:at], "ids": joined(pieces, table, places)})
+                    table, places, read, first = Table(), [], 0, at
+                read += len(words)
+                places.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
+            yield pd.DataFrame({"id": batch["id"].iloc[first:], "ids": joined(pieces, table, places)})
+
+    return rows.mapInPandas(blocks, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_column)
 
 
 def decode(model: bytes, ids: Column) -> Column:
