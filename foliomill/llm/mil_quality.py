@@ -22,6 +22,7 @@ from foliomill.llm import words
 PASSAGE_WORDS = 64
 SAMPLE_EACH = 2500     # labelled documents of either class that the fit takes at most
 SAMPLE_PASSAGES = 24   # passages of one document that the fit takes at most; scoring takes all
+SCORED_TOGETHER = 256  # documents whose passages are held in memory at once
 BUCKETS = 24           # hashed words
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 60, 128, 0.01, 1e-4
@@ -226,6 +227,9 @@ def score(model: Model, text: Column) -> Column:
     """Score of a text, 0 to 1: higher, the likelier label 1. Null, empty and blank texts get the
     score of one passage of zeros; of long texts every passage is read."""
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([encode(text) for text in texts]), dtype="float64")
+        out = np.zeros(len(texts))
+        for at in range(0, len(texts), SCORED_TOGETHER):
+            out[at:at + SCORED_TOGETHER] = model.scores([encode(text) for text in texts.iloc[at:at + SCORED_TOGETHER]])
+        return pd.Series(out)
 
     return F.pandas_udf(scored, "double")(text)

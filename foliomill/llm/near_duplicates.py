@@ -67,21 +67,31 @@ def fingerprint(values: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Batches cut to a few hundred rows, so results of long texts do not add up."""
+    for batch in batches:
+        for at in range(0, max(1, len(batch)), rows):
+            yield batch.iloc[at:at + rows]
+
+
 def _signatures(docs: DataFrame, shingle: int, sketch: int) -> DataFrame:
     """(id, n, a, b, sketch) of (id, text) rows; ``sketch`` 0 leaves that column empty."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(text, shingle) for text in batch["text"]]
-            prints = [fingerprint(values) for values in sets]
-            yield pd.DataFrame({
-                "id": batch["id"], "n": [len(values) for values in sets],
-                "a": [a for a, _ in prints], "b": [b for _, b in prints],
-                "sketch": [values[:sketch] for values in sets],
-            })
+        for batch in _slices(batches):
+            # Only the sketch and the numbers of a set are kept, not the set.
+            rows = []
+            for text in batch["text"]:
+                values = shingle_set(text, shingle)
+                rows.append((len(values), *fingerprint(values), values[:sketch].copy()))
+            out = pd.DataFrame(rows, columns=["n", "a", "b", "sketch"])
+            out.insert(0, "id", batch["id"].to_numpy())
+            yield out
 
-    return docs.mapInPandas(signed, f"id {kind}, n long, a long, b long, sketch array<long>")
+    # As text: pandas would make doubles of numbers that stand beside a null.
+    return docs.withColumn("id", F.col("id").cast("string")).mapInPandas(
+        signed, "id string, n long, a long, b long, sketch array<long>").withColumn("id", F.col("id").cast(kind))
 
 
 def _prefixes(classes: DataFrame, sketch: int, percent: int) -> DataFrame:
@@ -140,7 +150,7 @@ def _texts(docs: DataFrame, classes: DataFrame, asked: DataFrame, shingle: int)
     """
     def compressed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(3).compress
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch.assign(text=[pack((text or "").encode()) for text in batch["text"]])
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +176,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, one = None, None
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for row in batch.itertuples(index=False):
                 if last != row.text_x:

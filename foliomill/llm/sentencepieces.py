@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
-BLOCK_WORDS = 1_000_000  # words of one block; a longer text is a block of its own
+BLOCK_WORDS = 300_000  # words of one block; a longer text is a block of its own
 
 
 @functools.lru_cache(maxsize=2)
@@ -95,30 +95,41 @@ def joined(pieces: sentencepiece.SentencePieceProcessor, table: Table, places: l
     return out
 
 
-def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text",
+           decoded: str | None = None) -> DataFrame:
     """(``id_column``, ids): ids of every whole text as the library's encode() gives them, with the
-    end id added.
+    end id added. With ``decoded`` named, that column holds what decode() makes of the ids, worked
+    out in the same task.
 
     A null text is an empty one: the end id alone. Null and repeated ids and repeated rows come back
     as they are; other columns are not read. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    kind = docs.schema[id_column].dataType
+    # Ids go as text: pandas would make doubles of numbers that stand beside a null.
+    rows = docs.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = processor(model)
+
+        def ready(names: pd.Series, table: Table, places: list[np.ndarray]) -> pd.DataFrame:
+            out = pd.DataFrame({"id": names, "ids": joined(pieces, table, places)})
+            return out.assign(decoded=[pieces.decode(ids.tolist()) for ids in out["ids"]]) if decoded else out
+
         for batch in batches:
             table, places, read, first = Table(), [], 0, 0
             for at, text in enumerate(batch["text"]):
                 words = chunks(text)
                 if read and read + len(words) > BLOCK_WORDS:
-                    yield pd.DataFrame({"id": batch["id"].iloc[first:at], "ids": joined(pieces, table, places)})
+                    yield ready(batch["id"].iloc[first:at], table, places)
                     table, places, read, first = Table(), [], 0, at
                 read += len(words)
                 places.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
-            yield pd.DataFrame({"id": batch["id"].iloc[first:], "ids": joined(pieces, table, places)})
+            yield ready(batch["id"].iloc[first:], table, places)
 
-    return rows.mapInPandas(blocks, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_column)
+    encoded = rows.mapInPandas(blocks, "id string, ids array<int>" + (", decoded string" if decoded else "")).withColumn(
+        "id", F.col("id").cast(kind))
+    names = {"id": id_column} | ({"decoded": decoded} if decoded else {})
+    return encoded.withColumnsRenamed(names)
 
 
 def decode(model: bytes, ids: Column) -> Column:

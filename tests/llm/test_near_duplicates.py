@@ -83,7 +83,7 @@ def test_agrees_with_brute_force(spark, monkeypatch, short, cell, shingle, perce
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "A"), (6, "a b"), (7, "É x"), (8, "é x"), (None, "a"), (None, None),
-            (9, "q r s t"), (9, "q r s t"), (10, "u v w"), (10, "a b"), (11, "u v w"), (12, long), (13, long + " end"), (-5, "a")]
+            (9, "q r s t"), (9, "q r s t"), (10, "u v w"), (10, "a b"), (11, "u v w"), (12, long), (13, long + " end"), (-5, "a"), (2**62 + 1, "z z")]
     assert run(spark, rows) == brute(rows, 3, 85)
     assert run(spark, []) == []
 

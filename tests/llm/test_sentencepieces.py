@@ -25,7 +25,7 @@ def test_chunks_segment_like_the_library(text):
 def test_encode_and_decode_whole_texts(spark, monkeypatch, words):
     monkeypatch.setattr(sp, "BLOCK_WORDS", words)
     model = sp.load(PATH)
-    rows = [(i, text, i, "w") for i, text in enumerate(ODD)] + [(None, None, 1, "w"), (3, "a", 1, "w"), (3, "a", 1, "w"), (None, "b c", 0, "w")]
+    rows = [(i, text, i, "w") for i, text in enumerate(ODD)] + [(None, None, 1, "w"), (2**62 + 1, "z", 1, "w"), (3, "a", 1, "w"), (3, "a", 1, "w"), (None, "b c", 0, "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, block int, word string")
     encoded = sp.encode(docs, model)
     out = encoded.withColumn("text", sp.decode(model, encoded["ids"])).collect()
