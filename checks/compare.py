@@ -38,7 +38,7 @@ def rows_of(columns, records):
 
 def main(folder: str, names: list[str]) -> int:
     spark = session(
-        "compare", "local[8]", spark__ui__enabled="false", spark__driver__memory="8g",
+        "compare", "local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g",
         spark__sql__shuffle__partitions="8",
     )
     spark.sparkContext.setLogLevel("ERROR")

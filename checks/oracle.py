@@ -5,16 +5,8 @@ Views restate the derived tables; each query names the views it needs and gets t
 
 from __future__ import annotations
 
-from foliomill.functions import patterns as P
-from foliomill.functions.text import SPACE, WHITESPACE
-from foliomill.operators import convert, quality
-from foliomill.sources import lookups
-from foliomill.sources.tables import archive_hex
-
-_RE2_SPACE = (
-    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+from checks import rules as R
+from checks.rules import WHITESPACE
 
 
 def q(text: str) -> str:
@@ -23,8 +15,8 @@ def q(text: str) -> str:
 
 
 def re2(pattern: str, flags: str = "(?s)") -> str:
-    """A pattern as an RE2 literal: own whitespace list, no Java flag names."""
-    return q(flags + pattern.replace(SPACE, _RE2_SPACE).replace("(?iu:", "(?i:"))
+    """A pattern as an RE2 literal."""
+    return q(flags + pattern)
 
 
 WS = q(WHITESPACE)
@@ -77,7 +69,8 @@ SELECT *, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
   l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'))) AS file_id
 FROM lineitem""")
 view("files", """
-SELECT file_id, l_orderkey AS job_id, 'part-' || (l_partkey % 3) || '.html' AS original_filename,
+SELECT file_id, l_orderkey AS job_id, CASE l_partkey % 5 WHEN 0 THEN 'part.html' WHEN 1 THEN 'part-2.html' WHEN 2 THEN 'part-2-2.html'
+    WHEN 3 THEN 'part-3.html' ELSE 'part-0.html' END AS original_filename,
   CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'processing'
     ELSE 'done' END AS status,
   CASE WHEN l_suppkey % 17 = 0 THEN '../' ELSE '' END || 'input/' || file_id || '.html' AS storage_path,
@@ -87,6 +80,9 @@ SELECT file_id, l_orderkey AS job_id, 'part-' || (l_partkey % 3) || '.html' AS o
   CASE l_suppkey % 4 WHEN 0 THEN 'pandoc' WHEN 1 THEN 'pymupdf' WHEN 2 THEN 'markitdown' END AS converter_used,
   CAST(floor(l_extendedprice) AS BIGINT) AS size_bytes, CAST(l_quantity AS INTEGER) AS pages,
   CASE WHEN l_linenumber % 3 = 0 THEN 2 WHEN l_linenumber % 3 = 1 THEN 1 ELSE 0 END AS warning_count,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'missing image;unknown glyph' WHEN l_linenumber % 3 = 1 THEN 'missing image' ELSE '' END AS warning_text,
+  CASE WHEN l_returnflag = 'R' THEN 'ConversionError: line ' || l_linenumber END AS error_message,
+  strftime(l_shipdate - INTERVAL 1 DAY, '%Y-%m-%d') AS created_day,
   CAST(l_discount * 10 AS DOUBLE) AS quality_score,
   CASE WHEN l_discount >= 0.075::DOUBLE THEN 'high' WHEN l_discount >= 0.045::DOUBLE THEN 'medium' ELSE 'low' END AS quality_level,
   l_shipdate AS finished_at
@@ -102,23 +98,27 @@ SELECT 1000000 + doc_id, 1000000 + CAST(floor(doc_id / 4) AS BIGINT),
     WHEN doc_id % 19 = 0 THEN '.pdf' WHEN doc_id % 23 = 0 THEN '.docx' WHEN doc_id % 29 = 0 THEN '.epub' ELSE '.txt' END,
   CASE WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN text
     WHEN doc_id % 19 = 0 THEN '%PDF-1.7' || chr(10) || text
-    WHEN doc_id % 23 = 0 THEN 'PK' || chr(3) || chr(4) || text
+    WHEN doc_id % 23 = 0 THEN 'PK' || chr(3) || chr(4) || CASE WHEN doc_id % 2 = 0
+      THEN repeat('.', 26) || '[Content_Types].xml....word/document.xml' ELSE '' END || text
     WHEN doc_id % 29 = 0 THEN 'PK' || chr(3) || chr(4) || repeat('.', 26) || 'mimetypeapplication/epub+zip' || text
-    WHEN doc_id % 31 = 0 THEN '' ELSE text END
+    WHEN doc_id % 31 = 0 THEN '' WHEN doc_id % 37 = 0 THEN '\ufeff <!-- page --><p>' || text ELSE text END
 FROM documents""")
 view("sniffed", f"""
 SELECT *, lower(regexp_extract(original_filename, '(\\.[^.]+)$', 1)) AS extension, strlen(content) AS size_bytes,
   CASE WHEN content = '' THEN 'application/x-empty'
     WHEN starts_with(content, '%PDF') THEN 'application/pdf'
     WHEN starts_with(content, 'PK' || chr(3) || chr(4)) THEN
-      CASE WHEN substr(content, 31, 28) = 'mimetypeapplication/epub+zip' THEN 'application/epub+zip' ELSE 'application/zip' END
-    WHEN regexp_matches(ltrim(content, {WS}), '^(?i:<!doctype html|<html)') THEN 'text/html'
+      CASE WHEN substr(content, 31, 28) = 'mimetypeapplication/epub+zip' THEN 'application/epub+zip'
+        WHEN starts_with(substr(content, 31), '[Content_Types].xml') AND contains(substr(content, 1, 4000), 'word/') THEN '{R.DOCX}'
+        ELSE 'application/zip' END
+    WHEN regexp_matches(ltrim(regexp_replace(content, '^\ufeff', ''), {WS}),
+      '^(?i:<!doctype html|<html|<head|<title|<body|<script|<style|<table|<h1|<a href=|<!--)') THEN 'text/html'
     ELSE 'text/plain' END AS mime_type
 FROM uploads""", "uploads")
 
 
 def _verdict(source: str, direction: str) -> str:
-    docx = lookups.DOCX_MIME
+    docx = R.DOCX
     return f"""
 SELECT *, {direction} AS direction,
   CASE WHEN {direction} = 'import' THEN extension IN ('.epub', '.pdf', '.docx', '.html', '.txt')
@@ -136,7 +136,7 @@ view("checked", _verdict("sniffed", "'import'"), "sniffed")
 view("validated", f"""
 SELECT file_id, job_id, original_filename, content, extension, mime_type, size_bytes, {_ERROR} AS error_class,
   CASE WHEN NOT ext_ok THEN 'extension ''' || extension || ''' is not allowed; expected one of '
-      || {q(str(sorted(lookups.IMPORT_EXTENSIONS)))}
+      || {q(R.ACCEPTED)}
     WHEN NOT mime_ok THEN 'libmagic detected ''' || mime_type || ''' which is incompatible with extension '''
       || extension || '''' END AS error_message
 FROM checked""", "checked")
@@ -195,7 +195,10 @@ SELECT event_id, ts, user_id AS job_id, user_id * 1000 + CAST(regexp_extract(pro
   CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'start' END AS kind,
   CASE event_id % 4 WHEN 0 THEN 'OperationalError' WHEN 1 THEN 'ConnectionError' WHEN 2 THEN 'ConversionError'
     ELSE 'FormatNotSupportedError' END AS error_class,
-  CAST(event_id % 5 AS INTEGER) AS attempt
+  CAST(event_id % 5 AS INTEGER) AS attempt,
+  CASE event_id % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN 'pandoc' ELSE 'markitdown' END AS converter,
+  'output/' || user_id || '/' || event_id || '.md' AS output_path, event_id * 37 % 100000 AS size_bytes,
+  CAST(event_id % 41 AS INTEGER) AS pages
 FROM events""")
 view("slots", """
 SELECT e.*, CAST(least(5, floor((epoch_us(ts) - low) * 6 / greatest(1, high - low + 1)) + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END)
@@ -214,32 +217,32 @@ SELECT doc_id AS file_id, CAST(floor(doc_id / 4) AS BIGINT) AS job_id,
   || '">ext</a> <a name="q">other</a> [md](#c2.xhtml_a)' || chr(10)
   || '<img src="d/' || (doc_id % 5) || '_media/f' || (doc_id % 3) || '.png" alt="A"/><img class="none"/>' || chr(10)
   || '<strong>b</strong><em>i</em><code>c</code><br/><hr/><sup>1</sup>   ' || chr(10) || chr(10) || chr(10) || chr(10)
-  || 'end' AS text
+  || CASE WHEN doc_id % 11 = 0 THEN '<se<sup>ction>' ELSE '' END || 'end' AS text
 FROM documents""")
 view("container_docs", f"""
 SELECT doc_id AS file_id, 'box ' || doc_id || CASE doc_id % 6 WHEN 2 THEN '.docx' WHEN 3 THEN '.docx' WHEN 4 THEN '.txt'
     ELSE '.epub' END AS original_filename,
   CASE doc_id % 6 WHEN 3 THEN '00' || hex('[Content_Types].xml') || hex(text)
-    ELSE '00' || hex(text) || CASE doc_id % 6 WHEN 1 THEN '{archive_hex("notes.txt")}'
-      WHEN 2 THEN '{archive_hex("[Content_Types].xml")}'
-      WHEN 5 THEN '{archive_hex("META-INF/container.xml", end_record=False)}'
-      ELSE '{archive_hex("META-INF/container.xml")}' END END AS bytes_hex
+    ELSE '00' || hex(text) || CASE doc_id % 6 WHEN 1 THEN '{R.archive("notes.txt")}'
+      WHEN 2 THEN '{R.archive("[Content_Types].xml")}'
+      WHEN 5 THEN '{R.archive("META-INF/container.xml", ended=False)}'
+      ELSE '{R.archive("META-INF/container.xml")}' END END AS bytes_hex
 FROM documents""")
 
 
 # -- the cleaner as a chain of CTEs -------------------------------------------------------------
 
-_CALLOUT = " OR ".join(f"starts_with(ps[1], {q(e)})" for e in P.CALLOUT_EMOJIS)
+_CALLOUT = " OR ".join(f"starts_with(ps[1], {q(e)})" for e in R.CALLOUTS)
 
 
 def _paragraph_list(cell: str) -> str:
     return (
-        f"list_filter(list_transform({found(cell, P.PARAGRAPH, 1)}, lambda p: {strip('p')}), lambda p: p <> '')"
+        f"list_filter(list_transform({found(cell, R.PARAGRAPH, 1)}, lambda p: {strip('p')}), lambda p: p <> '')"
     )
 
 
 def _callout(match: str) -> str:
-    ps = _paragraph_list(f"regexp_extract({match}, {re2(P.SINGLE_CELL)}, 1)")
+    ps = _paragraph_list(f"regexp_extract({match}, {re2(R.SINGLE_CELL)}, 1)")
     is_callout = _CALLOUT.replace("ps[1]", f"({ps})[1]")
     return (
         f"CASE WHEN len({ps}) = 0 THEN {match} WHEN {is_callout} THEN '> **' || ({ps})[1] || '**' || "
@@ -250,7 +253,7 @@ def _callout(match: str) -> str:
 
 def _spans(body: str) -> str:
     return (
-        f"list_filter(list_transform({found(body, P.SPAN_PAIR, 1)}, lambda s: {strip('s')}), lambda s: s <> '')"
+        f"list_filter(list_transform({found(body, R.SPAN, 1)}, lambda s: {strip('s')}), lambda s: s <> '')"
     )
 
 
@@ -266,8 +269,8 @@ def _paragraph(body: str) -> str:
 
 
 def _image(attrs: str) -> str:
-    src = f"regexp_extract({attrs}, {re2(P.IMG_SRC)}, 1)"
-    return f"CASE WHEN {src} = '' THEN '' ELSE '![' || regexp_extract({attrs}, {re2(P.IMG_ALT)}, 1) || '](' || {src} || ')' END"
+    src = f"regexp_extract({attrs}, {re2(R.IMAGE_SOURCE)}, 1)"
+    return f"CASE WHEN {src} = '' THEN '' ELSE '![' || regexp_extract({attrs}, {re2(R.IMAGE_TEXT)}, 1) || '](' || {src} || ')' END"
 
 
 SOURCE = "<source>"
@@ -285,78 +288,78 @@ def _steps(*rules: tuple[str, str]) -> str:
     return text
 
 
-_DIV_OPEN, _DIV_CLOSE = P.opening("div"), P.closing("div")
+_DIV_OPEN, _DIV_CLOSE = R.opens("div"), R.closes("div")
 _RESIDUAL_FIRST = _steps(
-    (P.BR, NL), (P.HR, "chr(10) || chr(10) || '---' || chr(10) || chr(10)"), (P.STRONG, "'**'"),
-    (P.EMPHASIS, "'*'"), (P.CODE, "'`'"),
+    (R.LINE_BREAK, NL), (R.RULE, "chr(10) || chr(10) || '---' || chr(10) || chr(10)"), (R.STRONG, "'**'"),
+    (R.EMPHASIS, "'*'"), (R.CODE, "'`'"),
 )
-_A2 = sub("text", P.ANCHOR_XHTML, "'\\1'")
-_A3 = sub(_A2, P.ANCHOR_EXTERNAL, "'[\\2](\\1)'")
-_A4 = sub(_A3, P.ANCHOR_ANY, "'\\1'")
-_NO_EMPTY = sub("text", P.SPAN_EMPTY, "''")
-_TOKENS = f"regexp_extract_all({_NO_EMPTY}, {re2(P.SPAN_TAG)})"
+_A2 = sub("text", R.CHAPTER_ANCHOR, "'\\1'")
+_A3 = sub(_A2, R.WEB_ANCHOR, "'[\\2](\\1)'")
+_A4 = sub(_A3, R.ANY_ANCHOR, "'\\1'")
+_NO_EMPTY = sub("text", R.EMPTY_SPAN, "''")
+_TOKENS = f"regexp_extract_all({_NO_EMPTY}, {re2(R.SPAN_TAG)})"
 _SIGNS = f"list_transform({_TOKENS}, lambda t: CASE WHEN starts_with(t, '</') THEN 1 ELSE -1 END)"
 _CLOSES = f"len(list_filter({_TOKENS}, lambda t: starts_with(t, '</')))"
 _PREFIXES = (
     f"list_transform(range(1, len({_TOKENS}) + 1), lambda i: list_sum(({_SIGNS})[1:i]))"
 )
 _PAIRS = f"({_CLOSES} - greatest(0, coalesce(list_max({_PREFIXES}), 0)))"
-_WHITE = sub(sub("text", "[ \\t]+$", "''", "(?m)"), P.BLANK_RUN, "chr(10) || chr(10)")
+_WHITE = sub(sub("text", "[ \\t]+$", "''", "(?m)"), R.BLANK_LINES, "chr(10) || chr(10)")
 
 STAGE_SQL = {
-    "strip_svg": _stage(sub("text", P.SVG, "''"), svg_removed=count("text", P.SVG)),
+    "strip_svg": _stage(sub("text", R.SVG, "''"), svg_removed=count("text", R.SVG)),
     "convert_callouts": _stage(
-        callback("text", P.SINGLE_CELL, 0, _callout),
+        callback("text", R.SINGLE_CELL, 0, _callout),
         callouts_converted=(
-            f"CAST(len(list_filter({found('text', P.SINGLE_CELL, 1)}, lambda c: coalesce("
+            f"CAST(len(list_filter({found('text', R.SINGLE_CELL, 1)}, lambda c: coalesce("
             + _CALLOUT.replace("ps[1]", f"({_paragraph_list('c')})[1]") + ", false))) AS INTEGER)"
         ),
     ),
     "strip_table_scaffold": _stage(
-        _steps((P.TABLE_SCAFFOLD, "''"), (P.CELL_OPEN, "''"), (P.CELL_CLOSE, NL)),
-        table_scaffold_removed=count("text", P.TABLE_SCAFFOLD),
+        _steps((R.SCAFFOLD, "''"), (R.CELL_OPENS, "''"), (R.CELL_CLOSES, NL)),
+        table_scaffold_removed=count("text", R.SCAFFOLD),
     ),
     "convert_quoted_div": _stage(
-        callback("text", P.QUOTED_DIV, 1, _quoted),
+        callback("text", R.QUOTED, 1, _quoted),
         quoted_blocks_converted=(
-            f"CAST(len(list_filter({found('text', P.QUOTED_DIV, 1)}, lambda b: len({_spans('b')}) > 0)) AS INTEGER)"
+            f"CAST(len(list_filter({found('text', R.QUOTED, 1)}, lambda b: len({_spans('b')}) > 0)) AS INTEGER)"
         ),
     ),
     "rewrite_anchors": _stage(
-        sub(_A4, P.MD_LINK_XHTML, "'\\1'"),
-        xhtml_anchors_dropped=f"{count('text', P.ANCHOR_XHTML)} + {count(_A4, P.MD_LINK_XHTML)}",
-        external_anchors_converted=count(_A2, P.ANCHOR_EXTERNAL),
-        other_anchors_stripped=count(_A3, P.ANCHOR_ANY),
+        sub(_A4, R.CHAPTER_LINK, "'\\1'"),
+        xhtml_anchors_dropped=f"{count('text', R.CHAPTER_ANCHOR)} + {count(_A4, R.CHAPTER_LINK)}",
+        external_anchors_converted=count(_A2, R.WEB_ANCHOR),
+        other_anchors_stripped=count(_A3, R.ANY_ANCHOR),
     ),
     "strip_spans": _stage(
-        sub(_NO_EMPTY, P.SPAN_TAG, "''"),
-        empty_spans_removed=count("text", P.SPAN_EMPTY),
+        sub(_NO_EMPTY, R.SPAN_TAG, "''"),
+        empty_spans_removed=count("text", R.EMPTY_SPAN),
         spans_removed=f"CAST({_PAIRS} AS INTEGER)",
         orphan_span_tags_removed=f"CAST(len({_TOKENS}) - 2 * {_PAIRS} AS INTEGER)",
     ),
     "unwrap_paragraphs": _stage(
-        callback("text", P.PARAGRAPH, 1, _paragraph), paragraphs_unwrapped=count("text", P.PARAGRAPH)
+        callback("text", R.PARAGRAPH, 1, _paragraph), paragraphs_unwrapped=count("text", R.PARAGRAPH)
     ),
     "strip_divs": _stage(
         _steps((_DIV_OPEN, "''"), (_DIV_CLOSE, "''")),
         divs_removed=f"{count('text', _DIV_OPEN)} + {count('text', _DIV_CLOSE)}",
     ),
     "convert_img_tags": _stage(
-        callback("text", P.IMG, 1, _image),
+        callback("text", R.IMAGE, 1, _image),
         img_tags_converted=(
-            f"CAST(len(list_filter({found('text', P.IMG, 1)}, lambda a: regexp_matches(a, {re2(P.IMG_SRC)}))) AS INTEGER)"
+            f"CAST(len(list_filter({found('text', R.IMAGE, 1)}, lambda a: regexp_matches(a, {re2(R.IMAGE_SOURCE)}))) AS INTEGER)"
         ),
     ),
     "strip_residual_html": _stage(
-        sub(_RESIDUAL_FIRST, P.RESIDUAL, "''"),
-        residual_html_tags_removed=count(_RESIDUAL_FIRST, P.RESIDUAL),
+        sub(_RESIDUAL_FIRST, R.WRAPPER, "''"),
+        residual_html_tags_removed=count(_RESIDUAL_FIRST, R.WRAPPER),
     ),
     "rewrite_image_paths": _stage(
-        sub("text", P.MEDIA_PATH, "'media/\\3'"),
-        image_paths_rewritten=count("text", P.MEDIA_PATH),
+        sub("text", R.MEDIA_PATH, "'media/\\3'"),
+        image_paths_rewritten=count("text", R.MEDIA_PATH),
         media_dir_old=(
             f"(SELECT d FROM (SELECT unnest(l) AS d, generate_subscripts(l, 1) AS i FROM "
-            f"(SELECT {found('text', P.MEDIA_PATH, 2)} AS l)) GROUP BY d ORDER BY count(*) DESC, min(i) LIMIT 1)"
+            f"(SELECT {found('text', R.MEDIA_PATH, 2)} AS l)) GROUP BY d ORDER BY count(*) DESC, min(i) LIMIT 1)"
         ),
     ),
     "normalise_whitespace": _stage(f"{strip(_WHITE)} || chr(10)"),
@@ -373,36 +376,46 @@ def clean_chain(source: str, name: str) -> list[tuple[str, str]]:
     return steps
 
 
+_LINKED = "'[\\4](\\1\\2\\3)'"
+_NAMED = f"MAP {{{', '.join(f'{q(name)}: {q(char)}' for name, char in R.ENTITIES.items())}}}"
+
+
+def entity(name: str) -> str:
+    """Character of an entity; unknown names stay. Numbers of the corpus are plain characters."""
+    number = f"CASE WHEN lower({name}[2]) = 'x' THEN CAST('0x' || {name}[3:] AS INTEGER) ELSE CAST({name}[2:] AS INTEGER) END"
+    return (
+        f"CASE WHEN {name}[1] = '#' THEN chr({number}) ELSE coalesce({_NAMED}[{name}], '&' || {name} || ';') END"
+    )
+
+
 def html_chain(source: str, name: str) -> list[tuple[str, str]]:
     """CTEs that turn the ``html`` column into ``title`` and ``text``."""
     gone = "html"
     for tags in (
-        P.opening("script") + ".*?" + P.closing("script"), P.opening("style") + ".*?" + P.closing("style"),
-        "<!--.*?-->", P.opening("title") + ".*?" + P.closing("title"),
+        R.opens("script") + ".*?" + R.closes("script"), R.opens("style") + ".*?" + R.closes("style"),
+        "<!--.*?-->", R.opens("title") + ".*?" + R.closes("title"),
     ):
         gone = sub(gone, tags, "''")
     blank = "chr(10) || chr(10)"
 
     def decoded(text: str) -> str:
-        for entity, char in convert.ENTITIES:
-            text = f"replace({text}, {q(entity)}, {q(char)})"
-        return text
+        return callback(text, R.ENTITY, 1, entity)
 
     marks = "text"
     for level in range(1, 7):
-        marks = sub(marks, f"<[hH]{level}{P.ATTRS}>", f"{blank} || '{'#' * level} '")
+        marks = sub(marks, f"<[hH]{level}{R.ATTRIBUTES}>", f"{blank} || '{'#' * level} '")
     lists = marks
     for pattern, replacement in (
-        ("</[hH][1-6]>", blank), (P.opening("li"), "chr(10) || '- '"), (P.BR, NL),
-        (P.HR, f"{blank} || '---' || {blank}"), (P.STRONG, "'**'"), (P.EMPHASIS, "'*'"), (P.CODE, "'`'"),
+        ("</[hH][1-6]>", blank), (R.opens("li"), "chr(10) || '- '"), (R.LINE_BREAK, NL),
+        (R.RULE, f"{blank} || '---' || {blank}"), (R.STRONG, "'**'"), (R.EMPHASIS, "'*'"), (R.CODE, "'`'"),
     ):
         lists = sub(lists, pattern, replacement)
-    bare = sub(sub("text", convert.BLOCK_TAG, blank), convert.OTHER_TAG, "''")
+    bare = sub(sub("text", R.BLOCKS, blank), R.OTHER_TAG, "''")
     return [
-        (f"{name}_0", f"SELECT *, {decoded(strip(f'regexp_extract(html, {re2(convert.TITLE)}, 1)'))} AS title, {gone} AS text FROM {source}"),
-        (f"{name}_1", f"SELECT * REPLACE ({sub('text', convert.LINK, chr(39) + '[\\2](\\1)' + chr(39))} AS text) FROM {name}_0"),
+        (f"{name}_0", f"SELECT *, {decoded(strip(f'regexp_extract(html, {re2(R.TITLE)}, 1)'))} AS title, {gone} AS text FROM {source}"),
+        (f"{name}_1", f"SELECT * REPLACE ({sub('text', R.LINK, _LINKED)} AS text) FROM {name}_0"),
         (f"{name}_2", f"SELECT * REPLACE ({lists} AS text) FROM {name}_1"),
-        (f"{name}_3", f"SELECT * REPLACE ({callback('text', P.IMG, 1, _image)} AS text) FROM {name}_2"),
+        (f"{name}_3", f"SELECT * REPLACE ({callback('text', R.IMAGE, 1, _image)} AS text) FROM {name}_2"),
         (f"{name}_4", f"SELECT * REPLACE ({decoded(bare)} AS text) FROM {name}_3"),
         (name, f"SELECT * REPLACE ({strip(_WHITE)} AS text) FROM {name}_4"),
     ]
@@ -433,12 +446,13 @@ SELECT * REPLACE (CASE WHEN extension = '.html' THEN text WHEN convertible AND e
   ELSE '' END AS text) FROM upload_converted""", "upload_converted")
 view("upload_marked", "SELECT *, text = '' AS is_empty FROM upload_texts", "upload_texts")
 _chain(clean_chain("upload_marked", "upload_cleaned"), "upload_marked")
-_before, _after = convert.UNAVAILABLE_ERROR.split("{}")
+_before, _after = R.NO_DECODER
 view("upload_results", f"""
-SELECT *, CASE WHEN error_class IS NOT NULL THEN error_class || ': ' || error_message
+SELECT *, CASE WHEN file_id % 3 = 0 THEN ['note ' || file_id, 'missing image'] ELSE []::VARCHAR[] END AS log,
+  CASE WHEN error_class IS NOT NULL THEN error_class || ': ' || error_message
     WHEN route_error IS NOT NULL THEN route_error
     WHEN extension NOT IN ('.html', '.txt') THEN {q(_before)} || extension || {q(_after)}
-    WHEN is_empty THEN {q(convert.EMPTY_OUTPUT_ERROR)} END AS error
+    WHEN is_empty THEN {q(R.EMPTY_OUTPUT)} END AS error
 FROM upload_cleaned""", "upload_cleaned")
 
 
@@ -450,7 +464,7 @@ def quality_cte(source: str, markdown: str, input_bytes: str, pages: str) -> str
     signals = f"""
 SELECT * EXCLUDE ({'pages' if pages == 'pages' else 'no_pages'}{', input_bytes' if input_bytes == 'input_bytes' else ''}),
   CAST({input_bytes} AS BIGINT) AS input_bytes, CAST(length({strip(markdown)}) AS INTEGER) AS chars,
-  {count(markdown, P.HEADING_START, '(?m)')} AS heading_count,
+  {count(markdown, R.HEADING_START, '(?m)')} AS heading_count,
   CAST(length({markdown}) - length(replace({markdown}, '�', '')) AS INTEGER) AS replacement_count,
   CAST(coalesce({pages}, 0) AS INTEGER) AS pages
 FROM {source}"""
@@ -461,10 +475,10 @@ FROM {source}"""
 SELECT *, round(raw, 3) AS quality_score,
   CASE WHEN chars = 0 THEN 'low' WHEN raw >= 0.75::DOUBLE THEN 'high' WHEN raw >= 0.45::DOUBLE THEN 'medium'
     ELSE 'low' END AS quality_level,
-  CASE WHEN chars = 0 THEN [{q(quality.EMPTY_MESSAGE)}] ELSE list_filter([
+  CASE WHEN chars = 0 THEN [{q(R.NO_TEXT)}] ELSE list_filter([
     CASE WHEN {tiny} THEN 'Output is suspiciously small (' || chars || ' chars) for a ' || (input_bytes // 1024)
       || ' KB source — extraction may be incomplete.' END,
-    CASE WHEN {flat} THEN {q(quality.NO_HEADING_MESSAGE)} END,
+    CASE WHEN {flat} THEN {q(R.NO_HEADING)} END,
     CASE WHEN {bad} THEN replacement_count || ' replacement character(s) present — the source may have an encoding problem.' END
   ], lambda w: w IS NOT NULL) END AS quality_warnings
 FROM (SELECT *, CASE WHEN chars = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE,
@@ -484,7 +498,7 @@ FROM {} GROUP BY quality_level"""
 
 
 def outline(source: str, keys: str, markdown: str) -> str:
-    pattern = re2(P.HEADING_LINE, "(?m)")
+    pattern = re2(R.HEADING, "(?m)")
     return f"""
 SELECT {keys}, CAST(i AS INTEGER) AS position, CAST(length(marks[i]) AS INTEGER) AS level, heads[i] AS heading
 FROM (SELECT {keys}, marks, heads, unnest(range(1, len(marks) + 1)) AS i FROM (
@@ -505,13 +519,25 @@ FROM jobs j LEFT JOIN (
   FROM files GROUP BY job_id) t USING (job_id)""", "jobs", "files")
 view("chunks", """
 SELECT job_id, CAST((rn - 1) // 50 AS INTEGER) AS chunk, CAST(count(*) AS INTEGER) AS file_count,
-  string_agg(concat_ws('|', file_id, original_filename, status, size_bytes, pages, converter_used), chr(10) ORDER BY file_id) AS files
+  string_agg(concat_ws('|', file_id, job_id, original_filename, 'html', status, coalesce(converter_used, '-'), coalesce(output_path, '-'),
+    size_bytes, pages, coalesce(error_message, '-'), warning_text, CAST(round(quality_score * 100) AS BIGINT), quality_level, created_day),
+    chr(10) ORDER BY file_id) AS files
 FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY file_id) AS rn FROM files) GROUP BY ALL""", "files")
+view("ready", """
+SELECT job_id, file_id, output_path, regexp_replace(original_filename, '[.]html$', '') AS stem,
+  regexp_extract(output_path, '([.][a-z]+)$', 1) AS ext, row_number() OVER (PARTITION BY job_id ORDER BY file_id) AS rn
+FROM files WHERE output_path IS NOT NULL""", "files")
+# File after file: the first of its name, name-2, name-3, ... that no file before has taken.
 view("bundles", """
-SELECT job_id, file_id, output_path, regexp_replace(original_filename, '[.]html$', '') || CASE WHEN rn = 1 THEN '' ELSE '-' || rn END
-  || regexp_extract(output_path, '([.][a-z]+)$', 1) AS member_name
-FROM (SELECT *, row_number() OVER (PARTITION BY job_id, original_filename, regexp_extract(output_path, '([.][a-z]+)$', 1)
-        ORDER BY file_id) AS rn FROM files WHERE output_path IS NOT NULL)""", "files")
+WITH RECURSIVE named AS (
+  SELECT job_id, file_id, output_path, rn, stem || ext AS member_name, [stem || ext] AS used FROM ready WHERE rn = 1
+  UNION ALL
+  SELECT job_id, file_id, output_path, rn, member_name, list_append(used, member_name) FROM (
+    SELECT r.job_id, r.file_id, r.output_path, r.rn, n.used, list_filter(
+      list_transform(range(1, r.rn + 1), lambda k: r.stem || CASE WHEN k = 1 THEN '' ELSE '-' || k END || r.ext),
+      lambda c: NOT list_contains(n.used, c))[1] AS member_name
+    FROM named n JOIN ready r ON r.job_id = n.job_id AND r.rn = n.rn + 1))
+SELECT job_id, file_id, output_path, member_name FROM named""", "ready")
 _MEDIA = """CASE regexp_extract(output_path, '([.][a-z]+)$', 1) WHEN '.md' THEN 'text/markdown; charset=utf-8'
   WHEN '.pdf' THEN 'application/pdf' WHEN '.epub' THEN 'application/epub+zip' WHEN '.docx' THEN
   'application/vnd.openxmlformats-officedocument.wordprocessingml.document' ELSE 'application/octet-stream' END"""
@@ -555,6 +581,9 @@ def oracle(name: str, sql: str, *needs: str) -> None:
 
 
 UPLOAD = "file_id, job_id, original_filename"
+oracle("corpus_manifest", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '.parquet' AS extension, true AS has_bytes, count(*) AS rows FROM {name}"
+    for name in ("documents", "pages", "events", "orders", "lineitem")))
 oracle("corpus_sniff_scan", f"SELECT {UPLOAD}, extension, mime_type, size_bytes FROM sniffed", "sniffed")
 oracle("jobs_scan", "SELECT * FROM jobs", "jobs")
 oracle("write_markdown", f"""SELECT file_id, job_id, 'output/' || job_id || '/' || {_STORED} || '.md' AS output_path,
@@ -576,7 +605,7 @@ def _record(entry: str) -> str:
 
 oracle("container_rescue", f"""
 SELECT file_id, original_filename,
-  CASE WHEN ok THEN CASE extension WHEN '.epub' THEN 'application/epub+zip' ELSE '{lookups.DOCX_MIME}' END
+  CASE WHEN ok THEN CASE extension WHEN '.epub' THEN 'application/epub+zip' ELSE '{R.DOCX}' END
     ELSE 'application/octet-stream' END AS mime_type,
   length(bytes_hex) // 2 AS size_bytes, CASE WHEN NOT ok THEN 'MimeTypeMismatchError' END AS error_class
 FROM (SELECT *, CASE extension WHEN '.epub' THEN regexp_matches(bytes_hex, '{_record("META-INF/container.xml")}')
@@ -622,7 +651,9 @@ oracle("quality_warnings", "SELECT file_id, array_to_string(quality_warnings, ch
 oracle("quality_skip_export", """
 SELECT file_id, job_id, target_format, CASE WHEN target_format = 'markdown' THEN round(quality_score, 3) END AS quality_score,
   CASE WHEN target_format = 'markdown' THEN quality_level END AS quality_level FROM files JOIN jobs USING (job_id)""", "files", "jobs")
-oracle("quality_report", _REPORT.format("pages_assessed"), "pages_assessed")
+oracle("quality_report", _REPORT.format("""(
+  SELECT quality_level, quality_score FROM pages_assessed UNION ALL SELECT quality_level, quality_score FROM assessed)"""),
+    "pages_assessed", "assessed")
 oracle("quality_docs_report", _REPORT.format("assessed"), "assessed")
 oracle("conversion_report", """
 SELECT converter_used, count(*) AS files, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed,
@@ -641,10 +672,7 @@ oracle("clean_stats_report", "SELECT count(*) AS documents, " + ", ".join(
 oracle("media_rename_plan", """
 SELECT job_id, file_id, media_dir_old, media_dir_new, count(*) OVER (PARTITION BY job_id) > 1 AS collision
 FROM cleaned WHERE media_dir_old IS NOT NULL""", "cleaned")
-_LEAK = P.either(
-    "svg|span|div|table|tbody|thead|tfoot|tr|td|th|colgroup|col|caption|br|hr|strong|b|em|i|code|" + P.RESIDUAL_NAMES
-)
-oracle("residual_html_audit", f"SELECT file_id FROM cleaned WHERE regexp_matches(text, {re2(_LEAK)})", "cleaned")
+oracle("residual_html_audit", f"SELECT file_id FROM cleaned WHERE regexp_matches(text, {re2(R.LEFT_OVER)})", "cleaned")
 view("once_texts", "SELECT file_id, text AS once, text FROM cleaned", "cleaned")
 _chain(clean_chain("once_texts", "cleaned_twice"), "once_texts")
 oracle("clean_idempotence_audit", "SELECT file_id, once, text FROM cleaned_twice WHERE once <> text", "cleaned_twice")
@@ -652,7 +680,8 @@ oracle("html_to_markdown", "SELECT page_id, title, text AS markdown FROM convert
 oracle("text_to_markdown", "SELECT doc_id, text AS markdown FROM cleaned_texts", "cleaned_texts")
 oracle("convert_corpus", f"""
 SELECT {UPLOAD}, converter_name, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END AS status,
-  CASE WHEN error IS NULL THEN strlen(text) END AS output_bytes, error, CASE WHEN error IS NULL THEN text END AS markdown
+  CASE WHEN error IS NULL THEN strlen(text) END AS output_bytes, error, CASE WHEN error IS NULL THEN text END AS markdown,
+  CASE WHEN error IS NULL THEN array_to_string(log, chr(10)) END AS warnings
 FROM upload_results""", "upload_results")
 oracle("reject_empty_output", f"""
 SELECT page_id AS file_id FROM converted WHERE text = ''
@@ -673,17 +702,17 @@ SELECT *, trim(regexp_replace(regexp_replace(trim({_ASCII}, {q(WHITESPACE[:10])}
 FROM ({outline("converted", "page_id", "text")})""", "converted")
 oracle("document_title", f"""
 SELECT file_id, CASE WHEN t = '' THEN 'doc_' || file_id ELSE t END AS title
-FROM (SELECT file_id, {strip(f"regexp_extract(markdown, {re2(P.TITLE_LINE, '(?m)')}, 1)")} AS t FROM quality_docs)""", "quality_docs")
+FROM (SELECT file_id, {strip(f"regexp_extract(markdown, {re2(R.FIRST_HEADING, '(?m)')}, 1)")} AS t FROM quality_docs)""", "quality_docs")
 oracle("media_references", f"""
 SELECT file_id, CAST(i AS INTEGER) AS position, d[i] AS media_folder, f[i] AS media_file, 'media/' || f[i] AS new_path
 FROM (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM (
-  SELECT file_id, {found('text', P.MEDIA_PATH, 2)} AS d, {found('text', P.MEDIA_PATH, 3)} AS f FROM dirty_docs))""", "dirty_docs")
-_B2 = sub(_A2, P.ANCHOR_EXTERNAL, "'\\2'")
-_B3 = sub(_B2, P.ANCHOR_ANY, "'\\1'")
+  SELECT file_id, {found('text', R.MEDIA_PATH, 2)} AS d, {found('text', R.MEDIA_PATH, 3)} AS f FROM dirty_docs))""", "dirty_docs")
+_B2 = sub(_A2, R.WEB_ANCHOR, "'\\2'")
+_B3 = sub(_B2, R.ANY_ANCHOR, "'\\1'")
 oracle("link_inventory", f"""
 SELECT file_id, kind, links FROM (
   SELECT file_id, unnest(['internal', 'external', 'other']) AS kind, unnest([
-    {count('text', P.ANCHOR_XHTML)} + {count(_B3, P.MD_LINK_XHTML)}, {count(_A2, P.ANCHOR_EXTERNAL)}, {count(_B2, P.ANCHOR_ANY)}]) AS links
+    {count('text', R.CHAPTER_ANCHOR)} + {count(_B3, R.CHAPTER_LINK)}, {count(_A2, R.WEB_ANCHOR)}, {count(_B2, R.ANY_ANCHOR)}]) AS links
   FROM (SELECT page_id AS file_id, html AS text FROM pages UNION ALL SELECT file_id + 1000000, text FROM dirty_docs))
 WHERE links > 0""", "dirty_docs")
 oracle("job_status", "SELECT job_id, total_files, succeeded, failed, status FROM statuses", "statuses")
@@ -695,18 +724,23 @@ oracle("job_progress", """
 SELECT job_id, succeeded + failed AS processed_files, total_files, (succeeded + failed) || '/' || total_files AS progress FROM statuses""", "statuses")
 _STATE = "CASE kind WHEN 'queued' THEN 'pending' WHEN 'start' THEN 'processing' WHEN 'complete' THEN 'done' ELSE 'failed' END"
 oracle("file_state", f"""
-SELECT job_id, file_id, {_STATE} AS status, ts AS changed_at, error_class_last AS error_class, n AS events
-FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts DESC, event_id DESC) AS rn,
+SELECT job_id, file_id, {_STATE} AS status, ts AS changed_at, error_class_last AS error_class, n AS events,
+  completed.converter AS converter, completed.output_path AS output_path, completed.size_bytes AS size_bytes, completed.pages AS pages
+FROM (SELECT *,
+    max_by({{'converter': converter, 'output_path': output_path, 'size_bytes': size_bytes, 'pages': pages}}, (ts, event_id))
+      FILTER (kind = 'complete') OVER (PARTITION BY file_id) AS completed, row_number() OVER (PARTITION BY file_id ORDER BY ts DESC, event_id DESC) AS rn,
     count(*) OVER (PARTITION BY file_id) AS n,
     max_by(error_class, (ts, event_id)) FILTER (kind = 'fail') OVER (PARTITION BY file_id) AS error_class_last FROM file_events)
 WHERE rn = 1""", "file_events")
-oracle("list_jobs", """
-SELECT job_id, created_at, coalesce(chunk, 0) AS chunk, coalesce(file_count, 0) AS file_count, coalesce(files, '') AS files
-FROM (SELECT * FROM jobs ORDER BY created_at DESC NULLS LAST, job_id LIMIT 20 OFFSET 20) LEFT JOIN chunks USING (job_id)""",
-    "jobs", "chunks")
-oracle("job_detail", """
-SELECT job_id, target_format, total_files, coalesce(chunk, 0) AS chunk, coalesce(file_count, 0) AS file_count,
-  coalesce(files, '') AS files FROM jobs LEFT JOIN chunks USING (job_id)""", "jobs", "chunks")
+view("told", """
+SELECT j.created_at, s.job_id, s.target_format, s.status, s.total_files, s.succeeded + s.failed AS processed_files,
+  CASE WHEN s.status IN ('done', 'failed', 'partial_success') THEN s.last_finished_at END AS completed_at,
+  CASE WHEN s.status IN ('failed', 'partial_success') THEN s.failed || ' of ' || s.total_files || ' file(s) failed to convert' END AS error_message
+FROM statuses s JOIN jobs j USING (job_id)""", "statuses", "jobs")
+_TOLD = """SELECT t.*, coalesce(chunk, 0) AS chunk, coalesce(file_count, 0) AS file_count, coalesce(files, '') AS files
+FROM {} t LEFT JOIN chunks USING (job_id)"""
+oracle("list_jobs", _TOLD.format("(SELECT * FROM told ORDER BY created_at DESC NULLS LAST, job_id LIMIT 20 OFFSET 20)"), "told", "chunks")
+oracle("job_detail", _TOLD.format("told"), "told", "chunks")
 oracle("delete_cascade", "SELECT job_id, file_id FROM files WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE stored_status = 'done')", "files", "jobs")
 oracle("delete_cleanup_paths", """
 SELECT job_id, path FROM (
@@ -730,23 +764,24 @@ SELECT file_id, CAST(len(w) AS INTEGER) AS warnings, CASE WHEN len(w) > 0 THEN a
 FROM (SELECT file_id, list_concat(quality_warnings, {log_lines("regexp_replace(markdown, '[.] ', '.' || chr(10), 'g')")})[1:50] AS w FROM assessed)""", "assessed")
 view("result_rows", f"""
 SELECT file_id, job_id, 'output/' || job_id || '/' || {_STORED} || '.md' AS output_path, converter_name AS converter,
-  target AS target_format, mime_type AS detected_mime, size_bytes AS in_bytes, strlen(text) AS out_bytes, text, NULL AS no_pages
+  target AS target_format, mime_type AS detected_mime, size_bytes AS in_bytes, strlen(text) AS out_bytes, text, log, NULL AS no_pages
 FROM upload_results WHERE error IS NULL""", "upload_results")
 view("results_assessed", quality_cte("result_rows", "text", "in_bytes", "no_pages"), "result_rows")
 oracle("conversion_results", """
 SELECT * REPLACE (array_to_string(warnings, chr(10)) AS warnings), to_json({'file_id': file_id, 'job_id': job_id,
   'output_path': output_path, 'converter': converter, 'target_format': target_format, 'detected_mime': detected_mime,
-  'pages': pages, 'size_bytes': size_bytes, 'quality_score': quality_score, 'quality_level': quality_level,
+  'pages': pages, 'size_bytes': size_bytes, 'duration_seconds': duration_seconds, 'quality_score': quality_score, 'quality_level': quality_level,
   'warnings': warnings})::VARCHAR AS payload
 FROM (SELECT file_id, job_id, output_path, converter, target_format, detected_mime, NULL::INTEGER AS pages,
-  out_bytes AS size_bytes, quality_score, quality_level, quality_warnings AS warnings FROM results_assessed)""", "results_assessed")
+  out_bytes AS size_bytes, file_id % 977 / 8 AS duration_seconds, quality_score, quality_level,
+  list_concat(quality_warnings, log) AS warnings FROM results_assessed)""", "results_assessed")
 oracle("active_jobs", "SELECT job_id, stored_status FROM jobs WHERE stored_status IN ('pending', 'processing')", "jobs")
 oracle("retry_plan", """
 SELECT event_id, file_id, error_class, attempt, ok AS retry, CASE WHEN ok THEN CAST(least(60, pow(2, attempt)) AS INTEGER) END AS delay_seconds
 FROM (SELECT *, error_class IN ('OperationalError', 'InterfaceError', 'ConnectionError', 'TimeoutError') AND attempt < 3 AS ok
   FROM file_events WHERE kind = 'fail')""", "file_events")
 oracle("time_limit_breaches", """
-SELECT file_id, event_id, kind, run_micros, CASE WHEN run_micros > 360000000 THEN 'hard' ELSE 'soft' END AS "limit"
+SELECT file_id, event_id, kind, run_micros, CASE WHEN converter = 'ocr' AND run_micros > 900000000 THEN 'ocr' WHEN run_micros > 360000000 THEN 'hard' ELSE 'soft' END AS "limit"
 FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS run_micros, lag(kind) OVER w AS previous FROM file_events
   WINDOW w AS (PARTITION BY file_id ORDER BY ts, event_id))
 WHERE kind IN ('complete', 'fail') AND previous = 'start' AND run_micros > 300000000""", "file_events")
@@ -763,7 +798,9 @@ SELECT 'job_status' AS rule, CAST(job_id AS VARCHAR) AS row_id FROM jobs WHERE j
 UNION ALL SELECT 'target_format', CAST(job_id AS VARCHAR) FROM jobs WHERE job_id % 97 = 0
 UNION ALL SELECT 'size_bytes', file_id FROM files WHERE size_bytes % 101 = 0
 UNION ALL SELECT 'quality_score', file_id FROM files WHERE pages = 50
-UNION ALL SELECT 'original_filename_missing', file_id FROM files WHERE size_bytes % 103 = 0""", "jobs", "files")
+UNION ALL SELECT 'original_filename_missing', file_id FROM files WHERE size_bytes % 103 = 0
+UNION ALL SELECT 'original_format_missing', file_id FROM files WHERE size_bytes % 107 = 0
+UNION ALL SELECT 'stored_filename_missing', file_id FROM files WHERE size_bytes % 109 = 0""", "jobs", "files")
 oracle("orphan_files", "SELECT file_id, job_id FROM files WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE stored_status <> 'processing')", "files", "jobs")
 oracle("jobs_without_files", "SELECT job_id FROM jobs WHERE total_files = 0", "jobs")
 oracle("counter_drift", """

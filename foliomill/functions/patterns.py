@@ -19,6 +19,11 @@ def any_case(literal: str) -> str:
     return f"(?iu:{literal})"
 
 
+def starting(names: str) -> str:
+    """What follows the ``<`` of an opening tag up to the end of its name."""
+    return any_case(names) + r"(?=[^\p{L}\p{N}_])"
+
+
 def opening(names: str) -> str:
     return f"<{any_case(names)}{ATTRS}>"
 
@@ -41,6 +46,9 @@ SINGLE_CELL = (
     + f"(?:{opening('colgroup')}.*?{closing('colgroup')}{_S})?"
     + f"<{any_case('tbody')}>{_S}<{any_case('tr')}>{_S}{opening('td')}(.*?){SINGLE_CELL_END}"
 )
+# What must follow a column group for it to belong to a single-cell table.
+COLGROUP_END = f"{closing('colgroup')}{_S}<{any_case('tbody')}>{_S}<{any_case('tr')}>{_S}{opening('td')}"
+COLGROUP_START = any_case("<colgroup")
 PARAGRAPH = opening("p") + "(.*?)" + closing("p")
 TABLE_SCAFFOLD = either("table|tbody|thead|tfoot|tr|colgroup|col|caption")
 CELL_OPEN = opening("td|th")
@@ -49,6 +57,7 @@ QUOTED_DIV = (
     f"<{any_case('div')}[^\\p{{L}}\\p{{N}}_>][^>]*{any_case('class=')}\"{any_case('class_sM3')}\"[^>]*>"
     f"(.*?){closing('div')}"
 )
+A_START = f"{any_case('a')}(?=[{SPACE}])"
 _A_HREF = f"<{any_case('a')}[{SPACE}][^>]*{any_case('href=')}"
 ANCHOR_XHTML = f'{_A_HREF}"#[^"]*{any_case("[.]xhtml")}[^"]*"[^>]*>(.*?){closing("a")}'
 ANCHOR_EXTERNAL = f'{_A_HREF}"({any_case("https?://")}[^"]+)"[^>]*>(.*?){closing("a")}'

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from foliomill.functions.patterns import java
 
-_HEAD = "_matchable"
+_HEAD, _TAGGED = "_matchable", "_tagged"
+# Stands for "<" of an opening tag inside another one while a rule runs.
+_MASK = "\ue000"
 
 
 def count_matches(text: Column, pattern: str) -> Column:
@@ -22,6 +24,12 @@ def if_contains(text: Column, needle: str, value: Column, otherwise: Column) ->
     return F.when(F.contains(text, F.lit(needle)), value).otherwise(otherwise)
 
 
+def complete_tags(text: Column) -> Column:
+    """The text up to its last ``>``: no tag ends behind it, and looking for the end of one would
+    scan the rest of the document once for every opener."""
+    return F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, ">", -1)))
+
+
 def replace_tags(
     df: DataFrame,
     column: str,
@@ -29,15 +37,35 @@ def replace_tags(
     counter: str | None = None,
 ) -> DataFrame:
     """Replace stand-alone tags, rule after rule; ``counter`` counts the first rule's matches."""
-    text = F.col(column)
-    replaced = text
-    for pattern, replacement in rules:
-        replaced = F.regexp_replace(replaced, java(pattern), replacement)
-    added = {column: if_contains(text, "<", replaced, text)}
-    if counter:
-        found = count_matches(text, java(rules[0][0]))
-        added[counter] = if_contains(text, "<", found, F.lit(0))
-    return df.withColumns(added)
+    text, tagged = F.col(column), F.col(_TAGGED)
+    for at, (pattern, replacement) in enumerate(rules):
+        df = df.withColumn(_TAGGED, if_contains(text, "<", complete_tags(text), F.lit("")))
+        rest = F.substring(text, F.length(tagged) + 1, F.length(text))
+        added = {column: F.when(tagged == "", text).otherwise(
+            F.concat(F.regexp_replace(tagged, java(pattern), replacement), rest))}
+        if counter and not at:
+            added[counter] = F.when(tagged == "", 0).otherwise(count_matches(tagged, java(pattern)))
+        df = df.withColumns(added)
+    return df.drop(_TAGGED)
+
+
+def masked(text: Column, opener: str) -> Column:
+    """Hide openers that stand inside an opening tag of the same kind.
+
+    ``opener`` is a pattern of a tag's start, without its ``<``. All openers before one ``>`` end
+    there together: if the first of them begins no match, neither does another. Trying them all
+    would scan that stretch once for each, so all but the first are masked. Texts that hold the
+    mask character themselves are left alone.
+    """
+    crowded = text.rlike(f"(?s)<{opener}[^>]*<{opener}") & ~F.contains(text, F.lit(_MASK))
+    inner = f"(?s)((?:<{opener}|(?!\\A)\\G)(?:[^<>]|<(?!{opener}))*+)<(?={opener})"
+    return F.when(crowded, F.regexp_replace(text, inner, "$1" + _MASK)).otherwise(text)
+
+
+def unmasked(text: Column, before: Column) -> Column:
+    """Undo ``masked``; ``before`` is the text as it was before masking."""
+    undo = F.contains(text, F.lit(_MASK)) & ~F.contains(before, F.lit(_MASK))
+    return F.when(undo, F.replace(text, F.lit(_MASK), F.lit("<"))).otherwise(text)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,6 +73,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def matchable(text: Column, closer: str, needle: str = "</") -> Column:
+    """The text up to the last ``closer``."""
+    return if_contains(text, needle, F.regexp_extract(text, java(f"^(.*{closer})"), 1), F.lit(""))
+
+
 def rewrite_pairs(
     df: DataFrame,
     column: str,
@@ -52,25 +85,30 @@ def rewrite_pairs(
     rewrite: Callable[[Column], Column],
     counters: dict[str, Callable[[Column], Column]] | None = None,
     needle: str = "</",
+    opener: str | None = None,
+    prepare: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Apply ``rewrite`` and ``counters`` to the text up to the last ``closer``.
 
     An opening tag behind the last closing tag can never match, and looking for its end would
-    scan the rest of the document once for every such tag.
+    scan the rest of the document once for every such tag. ``opener`` is the start of the rule's
+    opening tag, see ``masked``; ``prepare`` masks further.
     """
-    text, head = F.col(column), F.col(_HEAD)
-    df = df.withColumn(
-        _HEAD,
-        if_contains(text, needle, F.regexp_extract(text, java(f"^(.*{closer})"), 1), F.lit("")),
-    )
+    text, head, ready = F.col(column), F.col(_HEAD), F.col(_TAGGED)
+    df = df.withColumn(_HEAD, matchable(text, closer, needle))
+    masks = masked(head, opener) if opener else head
+    if prepare:
+        df = df.withColumn(_TAGGED, masks)
+        masks = prepare(ready)
+    df = df.withColumn(_TAGGED, masks)
     rest = F.substring(text, F.length(head) + 1, F.length(text))
     return df.withColumns({
-        column: F.when(head == "", text).otherwise(F.concat(rewrite(head), rest)),
+        column: F.when(head == "", text).otherwise(F.concat(unmasked(rewrite(ready), head), rest)),
         **{
-            name: F.when(head == "", 0).otherwise(count(head))
+            name: F.when(head == "", 0).otherwise(count(ready))
             for name, count in (counters or {}).items()
         },
-    }).drop(_HEAD)
+    }).drop(_HEAD, _TAGGED)
 
 
 def fence(df: DataFrame) -> DataFrame:

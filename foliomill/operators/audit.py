@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliomill.operators.lifecycle import job_progress, job_status
 from foliomill.sources import lookups
 
+# The domains of the stored columns.
 JOB_STATUSES = ("pending", "processing", "done", "failed", "partial_success")
 FILE_STATUSES = ("pending", "processing", "done", "failed")
 QUALITY_LEVELS = ("high", "medium", "low")
@@ -39,6 +40,8 @@ def domain_violations(jobs: DataFrame, files: DataFrame) -> DataFrame:
         "pages": F.col("pages") < 0,
         "job_id_missing": F.col("job_id").isNull(),
         "original_filename_missing": F.col("original_filename").isNull(),
+        "stored_filename_missing": F.col("stored_filename").isNull(),
+        "original_format_missing": F.col("original_format").isNull(),
         "storage_path_missing": F.col("storage_path").isNull(),
     }
     return _broken(jobs, "job_id", job_rules).unionByName(_broken(files, "file_id", file_rules))

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
-from foliomill.functions.rewrite import count_matches, fence, if_contains, let, replace_tags, rewrite_pairs
+from foliomill.functions.rewrite import (
+    complete_tags, count_matches, fence, if_contains, let, masked, replace_tags, rewrite_pairs, unmasked,
+)
 from foliomill.functions.text import strip, substitute
 
 MEDIA_DIR = "media"
@@ -41,13 +43,13 @@ def strip_svg(df: DataFrame, column: str = "text") -> DataFrame:
     """Delete ``<svg>`` blocks."""
     pattern = P.java(P.SVG)
     return rewrite_pairs(df, column, P.closing("svg"), lambda t: F.regexp_replace(t, pattern, ""),
-                  {"svg_removed": lambda t: count_matches(t, pattern)})
+                  {"svg_removed": lambda t: count_matches(t, pattern)}, opener=P.starting("svg"))
 
 
 def _paragraphs(cell: Column) -> Column:
     """Non-blank ``<p>`` bodies of a table cell, stripped."""
-    bodies = F.regexp_extract_all(cell, F.lit(P.java(P.PARAGRAPH)), F.lit(1))
-    return F.filter(F.transform(bodies, strip), lambda p: p != "")
+    bodies = F.regexp_extract_all(masked(cell, P.starting("p")), F.lit(P.java(P.PARAGRAPH)), F.lit(1))
+    return F.filter(F.transform(bodies, lambda p: strip(unmasked(p, cell))), lambda p: p != "")
 
 
 _CALLOUT_START = "^(?:" + "|".join(P.CALLOUT_EMOJIS) + ")"
@@ -83,9 +85,18 @@ def convert_callouts(df: DataFrame, column: str = "text") -> DataFrame:
         cells = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
         return F.size(F.filter(cells, lambda cell: _is_callout(_paragraphs(cell))))
 
+    def without_stray_groups(text: Column) -> Column:
+        """Column groups behind the last one that a cell follows are hidden: none of them can
+        belong to a match, and each would be looked through to the end of the text."""
+        groups = F.size(F.split(text, P.COLGROUP_START)) > 2
+        useful = F.regexp_extract(text, P.java(f"^(.*{P.COLGROUP_END})"), 1)
+        rest = F.substring(text, F.length(useful) + 1, F.length(text))
+        hidden = F.concat(useful, F.regexp_replace(rest, P.COLGROUP_START, "\ue000colgroup"))
+        return F.when(groups & ~F.contains(text, F.lit("\ue000")), hidden).otherwise(text)
+
     return rewrite_pairs(df, column, P.SINGLE_CELL_END,
                   lambda t: substitute(t, pattern, _callout_markdown),
-                  {"callouts_converted": converted})
+                  {"callouts_converted": converted}, opener=P.starting("table"), prepare=without_stray_groups)
 
 
 def strip_table_scaffold(df: DataFrame, column: str = "text") -> DataFrame:
@@ -100,8 +111,8 @@ def convert_quoted_div(df: DataFrame, column: str = "text") -> DataFrame:
     pattern = P.java(P.QUOTED_DIV)
 
     def spans(body: Column) -> Column:
-        found = F.regexp_extract_all(body, F.lit(P.java(P.SPAN_PAIR)), F.lit(1))
-        return F.filter(F.transform(found, strip), lambda s: s != "")
+        found = F.regexp_extract_all(masked(body, P.starting("span")), F.lit(P.java(P.SPAN_PAIR)), F.lit(1))
+        return F.filter(F.transform(found, lambda s: strip(unmasked(s, body))), lambda s: s != "")
 
     def quote(body: Column) -> Column:
         rows = F.transform(spans(body), lambda s: F.concat(F.lit("> "), s, F.lit("\n")))
@@ -112,20 +123,20 @@ def convert_quoted_div(df: DataFrame, column: str = "text") -> DataFrame:
         return F.size(F.filter(bodies, lambda body: F.size(spans(body)) > 0))
 
     return rewrite_pairs(df, column, P.closing("div"), lambda t: substitute(t, pattern, quote, 1),
-                  {"quoted_blocks_converted": converted})
+                  {"quoted_blocks_converted": converted}, opener=P.starting("div"))
 
 
 def rewrite_anchors(df: DataFrame, column: str = "text") -> DataFrame:
     """Drop anchors into chapter files, turn web anchors into links, unwrap the others."""
-    for name, pattern, replacement in (
-        ("_xhtml_html", P.ANCHOR_XHTML, "$1"),
-        ("external_anchors_converted", P.ANCHOR_EXTERNAL, "[$2]($1)"),
-        ("other_anchors_stripped", P.ANCHOR_ANY, "$1"),
+    for name, pattern, replacement, start in (
+        ("_xhtml_html", P.ANCHOR_XHTML, "$1", P.A_START),
+        ("external_anchors_converted", P.ANCHOR_EXTERNAL, "[$2]($1)", P.A_START),
+        ("other_anchors_stripped", P.ANCHOR_ANY, "$1", P.starting("a")),
     ):
         df = rewrite_pairs(
             df, column, P.closing("a"),
             lambda t, p=P.java(pattern), r=replacement: F.regexp_replace(t, p, r),
-            {name: lambda t, p=P.java(pattern): count_matches(t, p)},
+            {name: lambda t, p=P.java(pattern): count_matches(t, p)}, opener=start,
         )
     text = F.col(column)
     return df.withColumns({
@@ -144,19 +155,18 @@ def strip_spans(df: DataFrame, column: str = "text") -> DataFrame:
     """
     any_tag, pair = P.java(P.SPAN_TAG), P.java(P.SPAN_PAIR)
     text = F.col(column)
-    df = df.withColumns({
-        column: if_contains(text, "<", F.regexp_replace(text, P.java(P.SPAN_EMPTY), ""), text),
-        "empty_spans_removed": if_contains(text, "<", count_matches(text, P.java(P.SPAN_EMPTY)), F.lit(0)),
-    })
+    empty = P.java(P.SPAN_EMPTY)
+    df = rewrite_pairs(df, column, P.closing("span"), lambda t: F.regexp_replace(t, empty, ""),
+                  {"empty_spans_removed": lambda t: count_matches(t, empty)}, opener=P.starting("span"))
+    df = df.withColumn("_complete", if_contains(text, "<", complete_tags(text), F.lit("")))
     df = df.withColumn(
         "_span_tags",
-        if_contains(text, "<", F.regexp_extract_all(text, F.lit(any_tag), F.lit(0)),
-                     F.array().cast("array<string>")),
+        F.when(F.col("_complete") != "", F.regexp_extract_all("_complete", F.lit(any_tag), F.lit(0)))
+        .otherwise(F.array().cast("array<string>")),
     )
     tags = F.col("_span_tags")
-    df = df.withColumn(
-        "_bare", F.when(F.size(tags) == 0, text).otherwise(F.regexp_replace(text, any_tag, ""))
-    )
+    df = df.withColumn("_bare", F.when(F.size(tags) == 0, text).otherwise(F.concat(
+        F.regexp_replace("_complete", any_tag, ""), F.substring(text, F.length("_complete") + 1, F.length(text)))))
 
     def fold(acc: Column, one: Column) -> Column:
         closes = F.startswith(one, F.lit("</"))
@@ -193,13 +203,13 @@ def strip_spans(df: DataFrame, column: str = "text") -> DataFrame:
         F.col("_bare").alias("text"), pairs.alias("pairs"),
         (F.size(tags) - 2 * pairs).alias("orphans"),
     )
-    respelled = (F.size(tags) > 0) & F.col("_bare").rlike(any_tag)
+    respelled = (F.size(tags) > 0) & complete_tags(F.col("_bare")).rlike(any_tag)
     df = df.withColumn("_spans", F.when(respelled, stepwise).otherwise(in_one_pass))
     return df.withColumns({
         column: F.col("_spans.text"),
         "spans_removed": F.col("_spans.pairs"),
         "orphan_span_tags_removed": F.col("_spans.orphans"),
-    }).drop("_span_tags", "_bare", "_spans")
+    }).drop("_complete", "_span_tags", "_bare", "_spans")
 
 
 def unwrap_paragraphs(df: DataFrame, column: str = "text") -> DataFrame:
@@ -211,7 +221,7 @@ def unwrap_paragraphs(df: DataFrame, column: str = "text") -> DataFrame:
         return F.when(inner == "", "").otherwise(F.concat(inner, F.lit("\n\n")))
 
     return rewrite_pairs(df, column, P.closing("p"), lambda t: substitute(t, pattern, paragraph, 1),
-                  {"paragraphs_unwrapped": lambda t: count_matches(t, pattern)})
+                  {"paragraphs_unwrapped": lambda t: count_matches(t, pattern)}, opener=P.starting("p"))
 
 
 def strip_divs(df: DataFrame, column: str = "text") -> DataFrame:
@@ -236,15 +246,15 @@ def convert_img_tags(df: DataFrame, column: str = "text") -> DataFrame:
             F.concat(F.lit("!["), F.regexp_extract(attrs, alt, 1), F.lit("]("), target, F.lit(")"))
         )
 
-    df = df.withColumn(
-        "_attrs",
-        if_contains(text, "<", F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
-                     F.array().cast("array<string>")),
-    )
+    df = df.withColumn("_complete", if_contains(text, "<", complete_tags(text), F.lit("")))
+    df = df.withColumn("_attrs", F.when(F.col("_complete") != "", F.regexp_extract_all(
+        "_complete", F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>")))
     return df.withColumns({
-        column: F.when(F.size("_attrs") == 0, text).otherwise(substitute(text, pattern, image, 1)),
+        column: F.when(F.size("_attrs") == 0, text).otherwise(F.concat(
+            substitute(F.col("_complete"), pattern, image, 1),
+            F.substring(text, F.length("_complete") + 1, F.length(text)))),
         "img_tags_converted": F.size(F.filter("_attrs", lambda a: a.rlike(src))),
-    }).drop("_attrs")
+    }).drop("_complete", "_attrs")
 
 
 def strip_residual_html(df: DataFrame, column: str = "text") -> DataFrame:
@@ -323,8 +333,16 @@ STAGES: tuple[Callable[..., DataFrame], ...] = (
 )
 
 
-def clean_corpus(df: DataFrame, column: str = "text", media_dir: str = MEDIA_DIR) -> DataFrame:
-    """All stages in their fixed order; adds the counters, ``media_dir_old`` and ``media_dir_new``."""
+def clean_corpus(
+    df: DataFrame, column: str = "text", media_dir: str = MEDIA_DIR, where: Column | str | None = None
+) -> DataFrame:
+    """All stages in their fixed order; adds the counters, ``media_dir_old`` and ``media_dir_new``.
+
+    ``where`` is a condition on other columns, such as an id; it is applied before the stages and
+    so reaches the scan, which later filters do not.
+    """
+    if where is not None:
+        df = df.filter(where)
     for stage in STAGES:
         df = stage(df, column, media_dir) if stage is rewrite_image_paths else stage(df, column)
     return fence(df.withColumn(

@@ -2,52 +2,129 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
-from foliomill.functions.rewrite import fence, if_contains, replace_tags, rewrite_pairs
-from foliomill.functions.text import LINE_BREAK, SPACE, strip
+from foliomill.functions.rewrite import fence, if_contains, let, masked, matchable, replace_tags, rewrite_pairs
+from foliomill.functions.text import LINE_BREAK, SPACE, strip, substitute
 from foliomill.operators import clean
 
 BLOCK_TAG = P.either(
     "p|div|article|section|header|footer|main|nav|aside|ul|ol|dl|dd|dt|table|thead|tbody|tfoot|"
-    "tr|td|th|caption|blockquote|pre|figure|figcaption|form|address|body|html|head"
+    "tr|td|th|caption|figure|figcaption|form|address|body|html|head"
 )
+# A target in double, single or no quotes.
 LINK = (
-    f"<{P.any_case('a')}[{SPACE}][^>]*{P.any_case('href=')}" + r'"([^"]*)"[^>]*>(.*?)' + P.closing("a")
+    f"<{P.any_case('a')}[{SPACE}](?:[^>]*[{SPACE}\"'/])?{P.any_case('href')}[{SPACE}]*=[{SPACE}]*"
+    + f"(?:\"([^\"]*)\"|'([^']*)'|([^{SPACE}\"'>]+))[^>]*>(.*?)" + P.closing("a")
 )
 TITLE = P.opening("title") + "(.*?)" + P.closing("title")
 OTHER_TAG = "</?[A-Za-z][^>]*>|<![^>]*>"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ORDERED = P.opening("ol") + f"([^<]*(?:<(?!/?{P.any_case('ol|ul')})[^<]*)*+)" + P.closing("ol")
+ITEM = P.opening("li")
+CODE_BLOCK = P.opening("pre") + f"[{SPACE}]*" + P.opening("code")
+CODE_BLOCK_END = P.closing("code") + f"[{SPACE}]*" + P.closing("pre")
+# Private characters that stand for the ends of a quotation until its text is ready.
+_QUOTE, _UNQUOTE = "\ue001", "\ue002"
+ENTITY = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _entity_table() -> Column:
+    """Characters by entity name: those of HTML 4, and the numbers that browsers read as
+    Windows-1252. Made from the standard library's tables."""
+    chars = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    for code in range(0x80, 0xA0):
+        char = bytes([code]).decode("cp1252", "ignore")
+        if char:
+            chars[f"#{code}"] = char
+    return F.map_from_arrays(F.split(F.lit(" ".join(chars)), " "), F.split(F.lit("\x00".join(chars.values())), "\x00"))
+
+
+def _entity(name: Column) -> Column:
+    """Character of an entity without ``&`` and ``;``; unknown names stay as they were written."""
+    digits = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(
+        F.substring(name, 2, 7))
+    code = digits.try_cast("int")
+    usable = code.isNotNull() & (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    key = F.when(F.startswith(name, F.lit("#")), F.concat(F.lit("#"), code.cast("string"))).otherwise(name)
+    return F.coalesce(
+        F.try_element_at(_entity_table(), key),
+        F.when(F.startswith(name, F.lit("#")), F.when(usable, char).otherwise("\ufffd")),
+        F.concat(F.lit("&"), name, F.lit(";")),
+    )
 
 
 def decode_entities(text: Column) -> Column:
-    """The six common entities; the ampersand last, so nothing is decoded twice."""
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named and numeric character references, in one pass, so nothing is decoded twice."""
+    return if_contains(text, "&", substitute(text, ENTITY, _entity, 1), text)
+
+
+def _numbered(body: Column) -> Column:
+    """Items of an ordered list, numbered from one."""
+    def written(parts: Column) -> Column:
+        items = F.transform(
+            F.slice(parts, 2, F.size(parts)),
+            lambda part, i: F.concat(F.lit("\n"), (i + 1).cast("string"), F.lit(". "), part))
+        return F.concat(F.lit("\n\n"), F.get(parts, 0), F.array_join(items, ""), F.lit("\n\n"))
+
+    return let(F.split(body, ITEM), written)
+
 
+def _quoted(text: Column) -> Column:
+    """Bodies of quotations with every line marked; inner ones first, two levels deep."""
+    def marked(body: Column) -> Column:
+        return F.concat(F.lit("\n\n"), F.regexp_replace(
+            F.regexp_replace(strip(body), P.BLANK_RUN, "\n\n"), "(?m)^", "> "), F.lit("\n\n"))
 
-def html_to_markdown(df: DataFrame, html: str = "html", into: str = "markdown") -> DataFrame:
+    pattern = f"{_QUOTE}([^{_QUOTE}{_UNQUOTE}]*){_UNQUOTE}"
+    for _ in range(2):
+        text = if_contains(text, _QUOTE, substitute(text, pattern, marked, 1), text)
+    return F.regexp_replace(text, f"[{_QUOTE}{_UNQUOTE}]", "")
+
+
+def html_to_markdown(
+    df: DataFrame, html: str = "html", into: str = "markdown", where: Column | str | None = None
+) -> DataFrame:
     """Visible text of an HTML column as Markdown in ``into``, and its ``title``.
 
-    Scripts, styles and comments go first: they may hold text that looks like tags.
+    Scripts, styles and comments go first: they may hold text that looks like tags. ``where`` is a
+    condition on other columns; applied first, it reaches the scan, which later filters do not.
     """
+    if where is not None:
+        df = df.filter(where)
     text = F.col(into)
     df = df.withColumns({
         into: F.col(html),
-        "title": decode_entities(strip(F.regexp_extract(html, P.java(TITLE), 1))),
+        "_titled": masked(matchable(F.col(html), P.closing("title"), "<"), P.starting("title")),
     })
-    for opener, closer in (
-        (P.opening("script"), P.closing("script")), (P.opening("style"), P.closing("style")),
-        ("<!--", "-->"), (P.opening("title"), P.closing("title")),
+    df = df.withColumn(
+        "title", decode_entities(strip(F.regexp_extract("_titled", P.java(TITLE), 1)))).drop("_titled")
+    for opener, closer, start in (
+        (P.opening("script"), P.closing("script"), P.starting("script")),
+        (P.opening("style"), P.closing("style"), P.starting("style")),
+        ("<!--", "-->", None), (P.opening("title"), P.closing("title"), P.starting("title")),
     ):
         df = rewrite_pairs(
             df, into, closer,
-            lambda t, p=P.java(f"{opener}.*?{closer}"): F.regexp_replace(t, p, ""), needle="<",
+            lambda t, p=P.java(f"{opener}.*?{closer}"): F.regexp_replace(t, p, ""), needle="<", opener=start,
         )
-    df = rewrite_pairs(df, into, P.closing("a"), lambda t: F.regexp_replace(t, P.java(LINK), "[$2]($1)"))
+    df = rewrite_pairs(df, into, P.closing("a"), lambda t: F.regexp_replace(t, P.java(LINK), "[$4]($1$2$3)"),
+                       opener=P.A_START)
+    has = text.rlike(f"<{P.any_case('ol|pre|blockquote')}")
+    df = df.withColumn("_blocks", has)
+    df = df.withColumn(into, F.when(F.col("_blocks"), substitute(text, P.java(ORDERED), _numbered, 1)).otherwise(text))
+    blocks = text
+    for pattern, replacement in (
+        (CODE_BLOCK, "\n\n```\n"), (CODE_BLOCK_END, "\n```\n\n"), (P.opening("pre"), "\n\n```\n"),
+        (P.closing("pre"), "\n```\n\n"), (P.opening("blockquote"), f"\n\n{_QUOTE}"),
+        (P.closing("blockquote"), f"{_UNQUOTE}\n\n"),
+    ):
+        blocks = F.regexp_replace(blocks, P.java(pattern), replacement)
+    df = df.withColumn(into, F.when(F.col("_blocks"), blocks).otherwise(text)).drop("_blocks")
     df = replace_tags(df, into, [
         (f"<[hH]([1-6]){P.ATTRS}>", "\n\n<h$1>"), ("</[hH][1-6]>", "\n\n"),
     ])
@@ -61,7 +138,8 @@ def html_to_markdown(df: DataFrame, html: str = "html", into: str = "markdown")
     ])
     df = clean.convert_img_tags(df, into).drop("img_tags_converted")
     df = replace_tags(df, into, [(BLOCK_TAG, "\n\n"), (OTHER_TAG, "")])
-    df = df.withColumn(into, if_contains(text, "&", decode_entities(text), text))
+    df = df.withColumn(into, decode_entities(text))
+    df = df.withColumn(into, if_contains(text, _QUOTE, _quoted(text), text))
     squeezed = F.regexp_replace(F.regexp_replace(text, P.TRAILING_BLANKS, ""), P.BLANK_RUN, "\n\n")
     return fence(df.withColumn(into, strip(squeezed)))
 
@@ -94,7 +172,8 @@ def convert_corpus(routed: DataFrame, content: str = "content") -> DataFrame:
 
     HTML and plain text become cleaned Markdown; binary documents and rejected or unroutable
     files keep an error instead, so the result has exactly the input's rows. The branches are
-    conditional columns, not filtered copies, so the content is scanned once.
+    conditional columns, not filtered copies, so the content is scanned once. ``warnings`` are the
+    lines of the converter's log, if the input has one as ``converter_log``.
     """
     convertible = F.col("route_error").isNull() & F.col("error_class").isNull()
     html, txt = F.col("extension") == ".html", F.col("extension") == ".txt"
@@ -104,7 +183,11 @@ def convert_corpus(routed: DataFrame, content: str = "content") -> DataFrame:
     })
     df = html_to_markdown(df, "_html", "_from_html")
     df = df.withColumn("text", F.when(html, F.col("_from_html")).otherwise(strip(F.col("_plain"))))
-    df = df.withColumn("_empty", F.col("text") == "")
+    df = df.withColumns({
+        "_empty": F.col("text") == "",
+        # Converters report on what they were given; HTML and text need none of their warnings.
+        "warnings": warning_lines(F.coalesce(F.col("converter_log"), F.lit("")) if "converter_log" in routed.columns else F.lit("")),
+    })
     df = clean.clean_corpus(df.drop("_html", "_plain", "_from_html"))
     error = (
         F.when(F.col("error_class").isNotNull(),
@@ -120,5 +203,6 @@ def convert_corpus(routed: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumns({
         "status": F.when(done, "done").otherwise("failed"),
         "markdown": F.when(done, F.col("text")),
+        "warnings": F.when(done, F.col("warnings")),
         "output_bytes": F.when(done, F.octet_length("text").cast("long")),
     }).drop("_empty", "text")

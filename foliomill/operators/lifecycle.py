@@ -15,8 +15,13 @@ FILES_PER_CHUNK = 50
 PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
 SOFT_LIMIT_SECONDS, HARD_LIMIT_SECONDS = 300, 360
 RESULT_HOURS = 24
+OCR_LIMIT_SECONDS = 900
+# The placeholder of a job without files, and what is shown of a file.
 UNTITLED = "Sans titre"
-FILE_FIELDS = ("file_id", "original_filename", "status", "size_bytes", "pages", "converter_used")
+FILE_FIELDS = (
+    "file_id", "job_id", "original_filename", "original_format", "status", "converter_used", "output_path",
+    "size_bytes", "pages", "error_message", "warnings", "quality_score", "quality_level", "created_at",
+)
 
 
 def id_bucket(column: str = "file_id") -> Column:
@@ -28,9 +33,10 @@ def id_bucket(column: str = "file_id") -> Column:
 
 
 def tallies(files: DataFrame) -> DataFrame:
-    """Finished files of each job, and when the last one finished."""
+    """Files and finished files of each job, and when the last one finished."""
     done, failed = F.col("status") == "done", F.col("status") == "failed"
     return files.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("file_rows"),
         F.count_if(done).alias("succeeded"),
         F.count_if(failed).alias("failed"),
         F.max(F.when(done | failed, F.col("finished_at"))).alias("last_finished_at"),
@@ -49,7 +55,7 @@ def status_of(total: Column, succeeded: Column, failed: Column) -> Column:
 
 def job_status(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """Status of every job from its files; jobs without files are kept."""
-    joined = jobs.join(tallies(files), "job_id", "left").fillna(0, ["succeeded", "failed"])
+    joined = jobs.join(tallies(files), "job_id", "left").fillna(0, ["succeeded", "failed", "file_rows"])
     total = F.coalesce("total_files", F.lit(0))
     return joined.withColumns({
         "total_files": total,
@@ -90,19 +96,22 @@ def event_status(kind: Column) -> Column:
 
 
 def file_state(events: DataFrame) -> DataFrame:
-    """Current state of each file: its latest event, and its latest failure's error class.
+    """Current state of each file: its latest event, its latest failure's error class, and what its
+    latest completion recorded. A later failure leaves that record as it is.
 
     Maxima of (time, id, value) merge before the shuffle; no file's events are gathered.
     """
     stamp = F.struct("ts", "event_id", "kind")
+    recorded = ("converter", "output_path", "size_bytes", "pages")
+    completion = F.when(F.col("kind") == "complete", F.struct("ts", "event_id", *recorded))
     failure = F.when(F.col("kind") == "fail", F.struct("ts", "event_id", "error_class"))
     return events.groupBy("job_id", "file_id").agg(
-        F.max(stamp).alias("_latest"), F.max(failure).alias("_failure"),
+        F.max(stamp).alias("_latest"), F.max(failure).alias("_failure"), F.max(completion).alias("_done"),
         F.count(F.lit(1)).alias("events"),
     ).select(
         "job_id", "file_id", event_status(F.col("_latest.kind")).alias("status"),
         F.col("_latest.ts").alias("changed_at"), F.col("_failure.error_class").alias("error_class"),
-        "events",
+        "events", *[F.col(f"_done.{name}").alias(name) for name in recorded],
     )
 
 
@@ -128,7 +137,7 @@ def nest_files(files: DataFrame, chunk: int = FILES_PER_CHUNK) -> DataFrame:
     grows with the job and no file is left out.
     """
     ranked = bucketed_row_number(
-        files.select("job_id", *FILE_FIELDS), ["job_id"], id_bucket(), [F.col("file_id")], "_at"
+        files.select(*FILE_FIELDS), ["job_id"], id_bucket(), [F.col("file_id")], "_at"
     )
     part = F.floor((F.col("_at") - 1) / chunk).cast("int")
     return ranked.groupBy("job_id", part.alias("chunk")).agg(
@@ -137,28 +146,40 @@ def nest_files(files: DataFrame, chunk: int = FILES_PER_CHUNK) -> DataFrame:
 
 
 def job_detail(jobs: DataFrame, files: DataFrame, chunk: int = FILES_PER_CHUNK) -> DataFrame:
-    """Jobs with their files nested; a job without files has one row and no array.
+    """Jobs with status, counters, end and error, and their files nested; a job without files has
+    one row and no array.
 
     An inner join and the jobs without files, not an outer join: adaptive execution can split a
-    very large job's chunks only on a side whose unmatched rows are not kept.
+    very large job's chunks only on a side whose unmatched rows are not kept. Which jobs have files
+    is known from the tallies.
     """
-    with_files = jobs.join(nest_files(files, chunk), "job_id")
-    empty = jobs.join(files.groupBy("job_id").agg(F.count(F.lit(1))), "job_id", "left_anti")
-    return with_files.unionByName(
-        empty.withColumn("chunk", F.lit(0)), allowMissingColumns=True
-    )
+    told = job_progress(job_terminal_fields(job_status(jobs, files))).drop("last_finished_at", "progress")
+    with_files = told.filter("file_rows > 0").join(nest_files(files, chunk), "job_id")
+    empty = told.filter("file_rows = 0").withColumn("chunk", F.lit(0))
+    return with_files.unionByName(empty, allowMissingColumns=True).drop("file_rows")
 
 
-def list_jobs(jobs: DataFrame, files: DataFrame, limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
+def list_jobs(
+    jobs: DataFrame, files: DataFrame, limit: int = PAGE_SIZE, offset: int = 0, after: tuple | None = None
+) -> DataFrame:
     """One page of jobs, newest first, with nested files.
 
-    The page is cut before any file is joined, so only its jobs' files are read further; at most
-    100 job ids are broadcast.
+    The page is cut and stored before any file is joined, so only its jobs' files are read further;
+    at most 100 job ids are broadcast. ``after`` is the (created_at, job_id) that the page before
+    ended with: pages far down then need no offset, which gathers all rows before it.
     """
     limit, offset = max(1, min(limit, MAX_PAGE_SIZE)), max(0, offset)
-    page = jobs.orderBy(F.col("created_at").desc_nulls_last(), "job_id").offset(offset).limit(limit)
+    created = F.col("created_at")
+    if after is not None:
+        at, job = after
+        later = F.col("job_id") > F.lit(job)
+        jobs = jobs.filter(
+            created.isNull() & later if at is None
+            else created.isNull() | (created < F.lit(at)) | ((created == F.lit(at)) & later))
+    page = workspace.written(
+        jobs.orderBy(created.desc_nulls_last(), "job_id").offset(offset).limit(limit), "job-page")
     wanted = files.join(F.broadcast(page.select("job_id")), "job_id", "left_semi")
-    return job_detail(page, wanted).orderBy(F.col("created_at").desc_nulls_last(), "job_id", "chunk")
+    return job_detail(page, wanted).orderBy(created.desc_nulls_last(), "job_id", "chunk")
 
 
 def job_card(jobs: DataFrame, files: DataFrame) -> DataFrame:
@@ -243,7 +264,9 @@ def preview_availability(files: DataFrame) -> DataFrame:
     )
 
 
-_NUMBERED = r"^(.*)-([2-9]|[1-9][0-9]{1,8})$"
+# Longer numbers than 18 digits cannot be reached by counting files.
+_NUMBER = "[2-9]|[1-9][0-9]{1,17}"
+_NUMBERED = f"^(.*)-({_NUMBER})$"
 
 
 def _sibling_pairs(groups: DataFrame) -> DataFrame:
@@ -254,7 +277,10 @@ def _sibling_pairs(groups: DataFrame) -> DataFrame:
         F.col("name_stem").alias("sibling"), F.col("first_id").alias("file_id"),
         F.regexp_extract("name_stem", _NUMBERED, 2).cast("long").alias("number"),
     )
-    return numbered.join(groups.select(*keys, F.col("files").alias("parent_files")), keys)
+    beside = numbered.join(groups.select(*keys, F.col("files").alias("parent_files")), keys)
+    # A parent's files take at most as many numbers as there are of them and of its siblings.
+    siblings = beside.groupBy(*keys).agg(F.count(F.lit(1)).alias("siblings"))
+    return beside.join(siblings, keys).filter(F.col("number") <= F.col("parent_files") + F.col("siblings") + 1).drop("siblings")
 
 
 def _shifted_names(pairs: DataFrame, ready: DataFrame) -> DataFrame:
@@ -273,38 +299,32 @@ def _shifted_names(pairs: DataFrame, ready: DataFrame) -> DataFrame:
     placed = bucketed_running_sum(
         both, keys, id_bucket(), [F.col("file_id"), F.col("sibling")], F.col("is_file"), "before"
     ).filter(F.col("is_file") == 0)
-    family = F.regexp_replace("name_stem", r"(-([2-9]|[1-9][0-9]{1,8}))+$", "").alias("family")
-    schema = "job_id {}, ext string, name_stem string, shift int, skip_at long".format(
-        pairs.schema["job_id"].dataType.simpleString()
-    )
-
-    def settle(rows):
-        """Walk each parent's siblings by number; parents are shorter, so they come first."""
-        import pandas as pd
-
-        shift: dict[str, int] = {}
-        breaks: dict[str, list[int]] = {}
-        rows = rows.assign(length=rows["name_stem"].str.len()).sort_values(
-            ["length", "name_stem", "number"]
-        )
-        for row in rows.itertuples():
-            skipped = breaks.setdefault(row.name_stem, [])
-            arrival = row.number - len(skipped) - shift.get(row.name_stem, 0)
-            if arrival > row.parent_files:
-                continue
-            if row.before < arrival:
-                skipped.append(arrival)
-            else:
-                shift[row.sibling] = 1
-        job, ext = rows["job_id"].iloc[0], rows["ext"].iloc[0]
-        found = [(job, ext, name, 1, None) for name in shift]
-        found += [(job, ext, name, 0, int(at)) for name, skipped in breaks.items() for at in skipped]
-        columns = ["job_id", "ext", "name_stem", "shift", "skip_at"]
-        return pd.DataFrame(found, columns=columns, dtype=object)
-
+    family = F.regexp_replace("name_stem", f"(-({_NUMBER}))+$", "").alias("family")
+    pair = F.struct(F.length("name_stem").alias("length"), "name_stem", "number", "sibling", "parent_files", "before")
+
+    def settle(acc: Column, pair: Column) -> Column:
+        """One sibling: taken before its parent's numbering got there, or by it, or never reached."""
+        skipped = F.when(acc["parent"] == pair["name_stem"], acc["skipped"]).otherwise(0)
+        shifted = F.exists(acc["found"], lambda f: (f["name_stem"] == pair["name_stem"]) & (f["shift"] == 1))
+        arrival = pair["number"] - skipped - shifted.cast("long")
+        skips = (pair["before"] < arrival).cast("int")
+        row = F.struct(
+            F.when(skips == 1, pair["name_stem"]).otherwise(pair["sibling"]).alias("name_stem"),
+            (1 - skips).alias("shift"), F.when(skips == 1, arrival).alias("skip_at"))
+        reached = arrival <= pair["parent_files"]
+        return F.struct(
+            pair["name_stem"].alias("parent"), (skipped + F.when(reached, skips).otherwise(0)).alias("skipped"),
+            F.when(reached, F.array_append(acc["found"], row)).otherwise(acc["found"]).alias("found"))
+
+    # Parents are shorter than their siblings, so in this order a parent's own shift is known.
+    start = F.struct(
+        F.lit("").alias("parent"), F.lit(0).alias("skipped"),
+        F.array().cast("array<struct<name_stem:string,shift:int,skip_at:bigint>>").alias("found"))
     settled = (
-        placed.select("job_id", "ext", family, "name_stem", "sibling", "number", "parent_files", "before")
-        .groupBy("job_id", "ext", "family").applyInPandas(settle, schema)
+        placed.groupBy("job_id", "ext", family).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+        .select("job_id", "ext", F.explode(
+            F.aggregate("pairs", start, settle, lambda acc: acc["found"])).alias("f"))
+        .select("job_id", "ext", "f.*")
     )
     return settled.groupBy(*keys).agg(
         F.max("shift").alias("shift"), F.collect_list("skip_at").alias("breaks")
@@ -314,9 +334,8 @@ def _shifted_names(pairs: DataFrame, ready: DataFrame) -> DataFrame:
 def bundle_names(files: DataFrame) -> DataFrame:
     """Member names of each job's download bundle, in file id order.
 
-    The first file of a name keeps it; later ones get the smallest free ``-n`` from 2. Only jobs
-    that also hold a literally numbered name need more than counting; whether there are any is
-    looked up first, in a stored table of the distinct names.
+    The first file of a name keeps it; later ones get the smallest free ``-n`` from 2. Only names
+    beside a literally numbered one that counting can reach need more than counting.
     """
     keys = ["job_id", "ext", "name_stem"]
     ready = files.filter(
@@ -331,13 +350,11 @@ def bundle_names(files: DataFrame) -> DataFrame:
     )
     pairs = _sibling_pairs(groups)
     named = bucketed_row_number(ready, keys, id_bucket(), [F.col("file_id")], "_number")
-    if not pairs.isEmpty():
-        shifts = _shifted_names(pairs, ready.select(*keys, "file_id"))
-        arrival = F.col("_number")
-        skipped = F.col("shift") + F.size(F.filter("breaks", lambda at: at <= arrival))
-        named = named.join(shifts, keys, "left").withColumn(
-            "_number", arrival + F.coalesce(skipped, F.lit(0))
-        ).drop("shift", "breaks")
+    arrival = F.col("_number")
+    skipped = F.col("shift") + F.size(F.filter("breaks", lambda at: at <= arrival))
+    named = named.join(_shifted_names(pairs, ready.select(*keys, "file_id")), keys, "left").withColumn(
+        "_number", arrival + F.coalesce(skipped, F.lit(0))
+    ).drop("shift", "breaks")
     number = F.col("_number")
     name = F.when(number == 1, F.concat("name_stem", "ext")).otherwise(
         F.concat(F.col("name_stem"), F.lit("-"), number.cast("string"), F.col("ext"))
@@ -364,7 +381,7 @@ def merge_warnings(quality: Column, converter: Column) -> Column:
 
 RESULT_FIELDS = (
     "file_id", "job_id", "output_path", "converter", "target_format", "detected_mime", "pages",
-    "size_bytes", "quality_score", "quality_level", "warnings",
+    "size_bytes", "duration_seconds", "quality_score", "quality_level", "warnings",
 )
 
 
@@ -388,12 +405,16 @@ def retry_plan(events: DataFrame) -> DataFrame:
 
 
 def time_limit_breaches(
-    events: DataFrame, soft: int = SOFT_LIMIT_SECONDS, hard: int = HARD_LIMIT_SECONDS
+    events: DataFrame, soft: int = SOFT_LIMIT_SECONDS, hard: int = HARD_LIMIT_SECONDS,
+    ocr: int = OCR_LIMIT_SECONDS,
 ) -> DataFrame:
-    """Runs (start directly followed by an end) that took longer than a limit."""
+    """Runs (start directly followed by an end) that took longer than a limit.
+
+    Text recognition has a limit of its own, which is reported where a run passed it.
+    """
     looked = bucketed_lag(
-        events.select("event_id", "ts", "file_id", "kind"), ["file_id"],
-        F.date_trunc("hour", "ts"), ["ts", "event_id"], F.struct("kind", "ts"), "_before",
+        events.select("event_id", "ts", "file_id", "kind", "converter"), ["file_id"],
+        F.date_trunc("minute", "ts"), ["ts", "event_id"], F.struct("kind", "ts"), "_before",
     )
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_before.ts").cast("timestamp"))
     runs = looked.filter(
@@ -401,7 +422,8 @@ def time_limit_breaches(
     ).withColumn("run_micros", micros)
     return runs.filter(F.col("run_micros") > soft * 1_000_000).select(
         "file_id", "event_id", "kind", "run_micros",
-        F.when(F.col("run_micros") > hard * 1_000_000, "hard").otherwise("soft").alias("limit"),
+        F.when((F.col("converter") == "ocr") & (F.col("run_micros") > ocr * 1_000_000), "ocr")
+        .when(F.col("run_micros") > hard * 1_000_000, "hard").otherwise("soft").alias("limit"),
     )
 
 

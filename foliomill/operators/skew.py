@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 def _attach(df: DataFrame, side: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Join ``value`` on the keys and ``_bucket``; the window already partitioned rows that way."""
-    return df.join(side.select(*keys, "_bucket", value), [*keys, "_bucket"], "left")
+    names = [*keys, "_bucket"]
+    right = side.select(*[F.col(name).alias(f"_side{at}") for at, name in enumerate(names)], value)
+    same = [F.col(name).eqNullSafe(F.col(f"_side{at}")) for at, name in enumerate(names)]
+    return df.join(right, same, "left").drop(*[f"_side{at}" for at in range(len(names))])
 
 
 def bucketed_running_sum(

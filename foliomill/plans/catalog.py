@@ -55,7 +55,9 @@ def routed_uploads(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("file_id") % 31 == 0, "pandoc").when(F.col("file_id") % 37 == 0, "unlisted")
     )
     files = validated_uploads(spark, folder).join(flavours, "file_id", "left")
-    return routing.route_files(files.withColumn("override", wanted))
+    log = F.when(F.col("file_id") % 3 == 0, F.concat(
+        F.lit("note "), F.col("file_id").cast("string"), F.lit("\n   \nmissing image"))).otherwise("")
+    return routing.route_files(files.withColumns({"override": wanted, "converter_log": log}))
 
 
 def cleaned_dirty(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,11 +76,21 @@ def scored_pages(spark: SparkSession, folder: str) -> DataFrame:
 # -- scans, sources, sinks --------------------------------------------------------------------
 
 
+MANIFEST_TABLES = ("documents", "pages", "events", "orders", "lineitem")
+
+
 @query
 def corpus_manifest(spark, folder):
-    return manifest.corpus_manifest(spark, folder, "*.parquet").select(
-        "file_name", "extension", "size_bytes"
-    )
+    """Stored tables: that their files are listed, and the rows that the listed files hold."""
+    listed = manifest.corpus_manifest(spark, folder, "*.parquet").withColumn(
+        "table_name", F.regexp_extract("path", r"([^/]+)[.]parquet(?:/[^/]*)?$", 1))
+    stored = listed.groupBy("table_name", "extension").agg(F.sum("size_bytes").alias("size_bytes"))
+    held = None
+    for name in MANIFEST_TABLES:
+        rows = tables.read(spark, folder, name).agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
+        held = rows if held is None else held.unionByName(rows)
+    return stored.join(held, "table_name").select(
+        "table_name", "extension", (F.col("size_bytes") > 0).alias("has_bytes"), "rows")
 
 
 @query
@@ -273,8 +285,10 @@ def quality_skip_export(spark, folder):
 
 @query
 def quality_report(spark, folder):
-    """Flagship: web pages converted, cleaned, scored and rolled up."""
-    return quality.quality_report(scored_pages(spark, folder))
+    """Flagship: web pages converted, cleaned and scored, documents scored, and both rolled up."""
+    scored = scored_pages(spark, folder).select("quality_level", "quality_score")
+    docs = quality.assess(tables.quality_docs(spark, folder)).select("quality_level", "quality_score")
+    return quality.quality_report(scored.unionByName(docs))
 
 
 @query
@@ -357,7 +371,8 @@ def text_to_markdown(spark, folder):
 @query
 def convert_corpus(spark, folder):
     return convert.convert_corpus(routed_uploads(spark, folder)).select(
-        *UPLOAD_COLUMNS, "converter_name", "status", "output_bytes", "error", "markdown"
+        *UPLOAD_COLUMNS, "converter_name", "status", "output_bytes", "error", "markdown",
+        lines("warnings").alias("warnings"),
     )
 
 
@@ -460,30 +475,37 @@ def file_state(spark, folder):
 
 
 def _nested_as_text(df: DataFrame) -> DataFrame:
-    rows = F.transform("files", lambda f: F.concat_ws(
-        "|", f["file_id"], f["original_filename"], f["status"], f["size_bytes"].cast("string"),
-        f["pages"].cast("string"), f["converter_used"],
-    ))
+    def shown(f):
+        values = {name: f[name] for name in lifecycle.FILE_FIELDS}
+        values["warnings"] = F.array_join(F.coalesce(f["warnings"], F.array().cast("array<string>")), ";")
+        values["quality_score"] = F.round(f["quality_score"] * 100).cast("long")
+        values["created_at"] = F.date_format(f["created_at"], "yyyy-MM-dd")
+        return F.concat_ws("|", *[F.coalesce(v.cast("string"), F.lit("-")) for v in values.values()])
+
     return df.withColumns({
         "file_count": F.coalesce(F.size("files"), F.lit(0)),
-        "files": F.coalesce(F.array_join(rows, "\n"), F.lit("")),
+        "files": F.coalesce(F.array_join(F.transform("files", shown), "\n"), F.lit("")),
     })
 
 
+JOB_COLUMNS = (
+    "job_id", "target_format", "created_at", "status", "completed_at", "error_message", "total_files", "processed_files",
+    "chunk", "file_count", "files",
+)
+
+
 @query
 def list_jobs(spark, folder):
     page = lifecycle.list_jobs(
         tables.jobs(spark, folder), tables.files(spark, folder), limit=20, offset=20
     )
-    return _nested_as_text(page).select("job_id", "created_at", "chunk", "file_count", "files")
+    return _nested_as_text(page).select(*JOB_COLUMNS)
 
 
 @query
 def job_detail(spark, folder):
     detail = lifecycle.job_detail(tables.jobs(spark, folder), tables.files(spark, folder))
-    return _nested_as_text(detail).select(
-        "job_id", "target_format", "total_files", "chunk", "file_count", "files"
-    )
+    return _nested_as_text(detail).select(*JOB_COLUMNS)
 
 
 def deleted_jobs(spark: SparkSession, folder: str) -> DataFrame:
@@ -545,7 +567,8 @@ def conversion_results(spark, folder):
     scored = quality.assess(named).withColumns({
         "converter": F.col("converter_name"), "target_format": F.col("target"),
         "detected_mime": F.col("mime_type"), "size_bytes": F.col("output_bytes"),
-        "pages": F.lit(None).cast("int"), "warnings": F.col("quality_warnings"),
+        "pages": F.lit(None).cast("int"), "duration_seconds": F.col("file_id") % 977 / 8,
+        "warnings": F.concat("quality_warnings", "warnings"),
     })
     return lifecycle.conversion_results(scored).withColumn("warnings", lines("warnings"))
 
@@ -604,6 +627,8 @@ def domain_violations(spark, folder):
         "quality_score": F.when(F.col("pages") == 50, 1.5).otherwise(F.col("quality_score")),
         "original_filename": F.when(F.col("size_bytes") % 103 == 0, None)
         .otherwise(F.col("original_filename")),
+        "original_format": F.when(F.col("size_bytes") % 107 == 0, None).otherwise(F.col("original_format")),
+        "stored_filename": F.when(F.col("size_bytes") % 109 == 0, None).otherwise(F.col("stored_filename")),
     })
     return audit.domain_violations(jobs, files)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.functions.text import WHITESPACE, basename, suffix
+from foliomill.sources.lookups import DOCX_MIME
 
 SNIFF_BYTES = 4096
 
@@ -43,33 +44,44 @@ def corpus_content(spark: SparkSession, folder: str, glob: str = "*", max_bytes:
     )
 
 
+# What HTML starts with, after blanks and a byte order mark.
+HTML_STARTS = (
+    "<!doctype html", "<html", "<head", "<title", "<body", "<script", "<style", "<table", "<h1", "<a href=", "<!--",
+)
+# First entries of an Office archive; its parts are below the second name.
+OFFICE_ENTRIES, WORD_PART = ("[Content_Types].xml", "_rels/.rels", "docProps/", "word/"), "word/"
+# Control characters that text does not hold; blanks, escape and next-line are not among them.
+CONTROL = "[\\x00-\\x06\\x0e-\\x1a\\x1c-\\x1f\\x7f]"
+
+
 def sniff_mime(content: Column) -> Column:
     """MIME type from the first bytes of a binary column.
 
-    A short signature table, narrower than a full magic database: PDF, ZIP (and EPUB by its
-    first entry), HTML, XHTML, empty, UTF-8 text, anything else.
+    A short signature table, narrower than a full magic database: PDF; ZIP, and EPUB and DOCX by
+    their first entry; UTF-16 text by its mark; HTML and XHTML by how they start; text in UTF-8 or
+    in an eight-bit code, which holds no control characters; empty; anything else.
     """
     head = F.substring(content, 1, SNIFF_BYTES)
     magic = F.hex(F.substring(content, 1, 4))
-    text = head.cast("string")
-    opening = F.lower(F.ltrim(text, F.lit(WHITESPACE)))
-    # The window may cut the last character in two, so up to three bytes may be missing.
-    valid = F.is_valid_utf8(text)
-    for cut in (1, 2, 3):
-        valid = valid | (
-            (F.octet_length(head) == SNIFF_BYTES)
-            & F.is_valid_utf8(F.substring(content, 1, SNIFF_BYTES - cut).cast("string"))
-        )
+    latin = F.decode(head, "ISO-8859-1")
+    opening = F.lower(F.ltrim(F.regexp_replace(head.cast("string"), "^\ufeff", ""), F.lit(WHITESPACE)))
+    is_html = F.lit(False)
+    for start in HTML_STARTS:
+        is_html = is_html | F.startswith(opening, F.lit(start))
     is_zip = magic.isin("504B0304", "504B0506")
     first_entry = F.substring(content, 31, 28)
+    office = F.lit(False)
+    for entry in OFFICE_ENTRIES:
+        office = office | F.startswith(first_entry, F.lit(entry.encode()))
     return (
         F.when(F.octet_length(head) == 0, "application/x-empty")
         .when(magic == "25504446", "application/pdf")
         .when(is_zip & (first_entry == F.lit(b"mimetypeapplication/epub+zip")), "application/epub+zip")
+        .when(is_zip & office & F.contains(head, F.lit(WORD_PART.encode())), DOCX_MIME)
         .when(is_zip, "application/zip")
-        .when(~valid | F.contains(head, F.lit(b"\x00")), "application/octet-stream")
-        .when(F.startswith(opening, F.lit("<!doctype html")) | F.startswith(opening, F.lit("<html")),
-              "text/html")
+        .when(F.substring(magic, 1, 4).isin("FFFE", "FEFF"), "text/plain")
+        .when(latin.rlike(CONTROL), "application/octet-stream")
+        .when(is_html, "text/html")
         .when(F.startswith(opening, F.lit("<?xml")) & F.contains(opening, F.lit("xhtml")),
               "application/xhtml+xml")
         .otherwise("text/plain")

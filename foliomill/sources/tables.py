@@ -55,7 +55,10 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return lines.selectExpr(
         "file_id",
         "l_orderkey AS job_id",
-        "concat('part-', l_partkey % 3, '.html') AS original_filename",
+        "CASE l_partkey % 5 WHEN 0 THEN 'part.html' WHEN 1 THEN 'part-2.html' WHEN 2 THEN 'part-2-2.html' "
+        "WHEN 3 THEN 'part-3.html' ELSE 'part-0.html' END AS original_filename",
+        "concat(file_id, '.html') AS stored_filename",
+        "'html' AS original_format",
         "CASE WHEN l_returnflag = 'R' THEN 'failed' "
         "WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'processing' ELSE 'done' END AS status",
         "concat(CASE WHEN l_suppkey % 17 = 0 THEN '../' ELSE '' END, 'input/', file_id, '.html') "
@@ -72,6 +75,8 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
         "CAST(l_discount * 10 AS DOUBLE) AS quality_score",
         "CASE WHEN l_discount >= 0.075 THEN 'high' WHEN l_discount >= 0.045 THEN 'medium' "
         "ELSE 'low' END AS quality_level",
+        "CASE WHEN l_returnflag = 'R' THEN concat('ConversionError: line ', l_linenumber) END AS error_message",
+        "l_shipdate - INTERVAL '1' DAY AS created_at",
         "l_shipdate AS finished_at",
     )
 
@@ -94,10 +99,12 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
         "WHEN doc_id % 29 = 0 THEN '.epub' ELSE '.txt' END) AS original_filename",
         "CASE WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN text "
         "WHEN doc_id % 19 = 0 THEN concat('%PDF-1.7', char(10), text) "
-        f"WHEN doc_id % 23 = 0 THEN concat({zip_head}, text) "
+        f"WHEN doc_id % 23 = 0 THEN concat({zip_head}, CASE WHEN doc_id % 2 = 0 "
+        "THEN concat(repeat('.', 26), '[Content_Types].xml....word/document.xml') ELSE '' END, text) "
         f"WHEN doc_id % 29 = 0 THEN concat({zip_head}, repeat('.', 26), "
         "'mimetypeapplication/epub+zip', text) "
-        "WHEN doc_id % 31 = 0 THEN '' ELSE text END AS content",
+        "WHEN doc_id % 31 = 0 THEN '' "
+        "WHEN doc_id % 37 = 0 THEN concat('\ufeff <!-- page --><p>', text) ELSE text END AS content",
     )
     return web.unionAll(plain)
 
@@ -140,6 +147,10 @@ FILE_EVENT_COLUMNS = (
     "CASE event_id % 4 WHEN 0 THEN 'OperationalError' WHEN 1 THEN 'ConnectionError' "
     "WHEN 2 THEN 'ConversionError' ELSE 'FormatNotSupportedError' END AS error_class",
     "CAST(event_id % 5 AS INT) AS attempt",
+    "CASE event_id % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN 'pandoc' ELSE 'markitdown' END AS converter",
+    "concat('output/', user_id, '/', event_id, '.md') AS output_path",
+    "event_id * 37 % 100000 AS size_bytes",
+    "CAST(event_id % 41 AS INT) AS pages",
 )
 
 
@@ -184,7 +195,7 @@ def dirty_docs(spark: SparkSession, folder: str) -> DataFrame:
         """'<img src="d/', doc_id % 5, '_media/f', doc_id % 3, '.png" alt="A"/><img class="none"/>', """
         """char(10)""",
         """'<strong>b</strong><em>i</em><code>c</code><br/><hr/><sup>1</sup>   ', char(10), char(10), """
-        """char(10), char(10), 'end'""",
+        """char(10), char(10), CASE WHEN doc_id % 11 = 0 THEN '<se<sup>ction>' ELSE '' END, 'end'""",
     ]
     return documents(spark, folder).selectExpr(
         "doc_id AS file_id",

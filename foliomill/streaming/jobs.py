@@ -93,9 +93,9 @@ def with_event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream_clean(pages: DataFrame) -> DataFrame:
-    """HTML rows to cleaned, scored Markdown; stateless."""
-    converted = convert.html_to_markdown(pages)
+def stream_clean(pages: DataFrame, where: Column | str | None = None) -> DataFrame:
+    """HTML rows to cleaned, scored Markdown; stateless. ``where`` is applied at the scan."""
+    converted = convert.html_to_markdown(pages, where=where)
     cleaned = clean.clean_corpus(converted, "markdown")
     return quality.assess(cleaned.withColumns({
         "input_bytes": F.octet_length("html").cast("long"), "pages": F.lit(None).cast("int"),

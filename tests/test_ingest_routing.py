@@ -6,6 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from foliomill.sources.lookups import DOCX_MIME
+from foliomill.sources.manifest import sniff_mime
 from foliomill.operators import ingest, routing
 from foliomill.sources import manifest, sinks, workspace
 
@@ -36,7 +38,8 @@ CASES = [
     ("h.HTML", b"\n <!DOCTYPE HTML><p>x", "text/html", None),
     ("x.html", b'<?xml version="1.0"?><!DOCTYPE html PUBLIC "XHTML 1.0">', "application/xhtml+xml", None),
     ("cut.txt", b"a" * 4095 + "é".encode(), "text/plain", None),
-    ("bad.txt", b"caf\xe9 noir", "application/octet-stream", "MimeTypeMismatchError"),
+    ("latin.txt", b"caf\xe9 noir", "text/plain", None),
+    ("bad.txt", b"caf\xe9 \x01 noir", "application/octet-stream", "MimeTypeMismatchError"),
     ("n.exe", b"MZ", "text/plain", "UnsupportedExtensionError"),
     ("noext", b"x", "text/plain", "UnsupportedExtensionError"),
 ]
@@ -133,3 +136,14 @@ def test_written_documents_keep_every_row(spark):
     back = spark.read.parquet(target)
     assert back.count() == 50 and back.select("output_path").distinct().count() == 50
     assert all(p.output_path.startswith("output/") and p.output_path.endswith(".md") for p in back.collect())
+
+
+@pytest.mark.parametrize("content,mime", [
+    (b"\xff\xfeh\x00i\x00", "text/plain"), (b"caf\xe9 au lait", "text/plain"), (b"\xef\xbb\xbf<html>", "text/html"),
+    (b"  <!-- x --><p>", "text/html"), (b"<body>", "text/html"), (b"a\x00b", "application/octet-stream"),
+    (b"PK\x03\x04" + b"." * 26 + b"[Content_Types].xml..word/document.xml", DOCX_MIME),
+    (b"PK\x03\x04" + b"." * 26 + b"[Content_Types].xml..xl/workbook.xml", "application/zip"),
+])
+def test_signatures(spark, content, mime):
+    df = spark.createDataFrame([(content,)], "c binary")
+    assert df.select(sniff_mime(df["c"])).first()[0] == mime

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from foliomill.operators import audit, lifecycle, skew
 
 FILE = ("job_id int, file_id string, original_filename string, status string, storage_path string, output_path string, "
-        "size_bytes long, pages int, converter_used string, finished_at timestamp_ntz")
+        "size_bytes long, pages int, converter_used string, finished_at timestamp_ntz, original_format string, "
+        "error_message string, warnings array<string>, quality_score double, quality_level string, created_at timestamp_ntz, "
+        "stored_filename string")
 T0 = datetime(2024, 1, 1)
 
 
 def files_of(spark, rows):
     return spark.createDataFrame([
-        (job, fid, name, status, f"input/{fid}", out, size, pages, conv, T0 + timedelta(seconds=i))
+        (job, fid, name, status, f"input/{fid}", out, size, pages, conv, T0 + timedelta(seconds=i),
+         "html", None, None, None, None, T0, fid)
         for i, (job, fid, name, status, out, size, pages, conv) in enumerate(rows)], FILE)
 
 
@@ -52,6 +55,11 @@ def test_paging_orders_nulls_last_and_nests(small):
     assert [r.job_id for r in page] == [3, 1, 4, 2]
     assert page[0].files is None and [f.file_id for f in page[1].files] == ["a", "b"]
     assert [r.job_id for r in lifecycle.list_jobs(*small, limit=0, offset=1).collect()] == [1]
+    assert [r.job_id for r in lifecycle.list_jobs(*small, after=(T0, 1)).collect()] == [4, 2]
+    assert [r.job_id for r in lifecycle.list_jobs(*small, after=(None, 2)).collect()] == []
+    first = page[1]
+    assert (first.status, first.processed_files, first.error_message) == ("partial_success", 2, "1 of 2 file(s) failed to convert")
+    assert tuple(first.files[0].asDict()) == lifecycle.FILE_FIELDS
 
 
 def test_large_jobs_continue_in_chunks(spark):
@@ -89,11 +97,12 @@ def test_warnings_are_capped(spark):
     assert merged[0] == ["q"] * 3 + ["c"] * 47 and merged[1:] == [None, ["q"]]
 
 
-EVENT = "event_id int, ts timestamp_ntz, job_id int, file_id int, kind string, error_class string, attempt int"
+EVENT = ("event_id int, ts timestamp_ntz, job_id int, file_id int, kind string, error_class string, attempt int, "
+         "converter string, output_path string, size_bytes long, pages int")
 
 
 def events_of(spark, rows):
-    return spark.createDataFrame([(i, T0 + timedelta(seconds=s), 1, f, k, e, a) for i, (s, f, k, e, a) in enumerate(rows)], EVENT)
+    return spark.createDataFrame([(i, T0 + timedelta(seconds=s), 1, f, k, e, a, "ocr" if f == 2 else "pandoc", f"o{i}", i, i) for i, (s, f, k, e, a) in enumerate(rows)], EVENT)
 
 
 def test_events(spark):
@@ -103,8 +112,10 @@ def test_events(spark):
         (3600 * 30, 3, "fail", "ConnectionError", 3), (3600 * 30, 3, "complete", None, 0)])
     state = {r.file_id: (r.status, r.error_class) for r in lifecycle.file_state(events).collect()}
     assert state == {1: ("done", "TimeoutError"), 2: ("failed", "ConversionError"), 3: ("done", "ConnectionError")}
+    done = {r.file_id: (r.converter, r.output_path, r.size_bytes, r.pages) for r in lifecycle.file_state(events).collect()}
+    assert done == {1: ("pandoc", "o4", 4, 4), 2: (None,) * 4, 3: ("pandoc", "o8", 8, 8)}
     slow = {(r.file_id, r.event_id): r.limit for r in lifecycle.time_limit_breaches(events).collect()}
-    assert slow == {(1, 2): "soft", (2, 6): "hard"}
+    assert slow == {(1, 2): "soft", (2, 6): "ocr"}
     retries = {r.event_id: (r.retry, r.delay_seconds) for r in lifecycle.retry_plan(events).collect()}
     assert retries == {2: (True, 4), 6: (False, None), 7: (False, None)}
     assert {r.event_id for r in lifecycle.result_expiry(events).collect()} == {7, 8}
@@ -123,6 +134,13 @@ def test_bucketed_windows_equal_plain_windows(spark):
     assert sorted(map(tuple, back.select(*lagged.columns).collect()), key=key) == sorted(map(tuple, lagged.collect()), key=key)
 
 
+def test_bucketed_windows_take_null_keys(spark):
+    df = spark.createDataFrame([(None, "aa"), (None, "ab"), ("k", "aa"), (None, "ba")], "k string, id string")
+    ranked = skew.bucketed_row_number(df, ["k"], F.substring("id", 1, 1), [F.col("id")], "n")
+    assert sorted((str(r.k), r.id, r.n) for r in ranked.collect()) == [
+        ("None", "aa", 1), ("None", "ab", 2), ("None", "ba", 3), ("k", "aa", 1)]
+
+
 def test_audits(small):
     jobs, files = small
     stored = jobs.withColumns({
