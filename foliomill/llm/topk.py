@@ -26,6 +26,7 @@ from foliomill.sources import workspace
 CELLS = 64
 VECTORS_A_BLOCK = 4096
 QUERIES_A_BLOCK = 1024
+FIRST_READ = 16  # candidates of a query that are read before the others are looked at again
 SALTS = 16  # shares in which the ids of one vector are first ranked
 
 
@@ -171,33 +172,24 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, id_column: str = "vec_id",
     certain = bounds.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).groupBy(*query).agg(
         F.when(F.count(F.lit(1)) > k, F.min("lower")).alias("bound"))
     left = bounds.join(certain, query).filter(F.col("bound").isNull() | (F.col("upper") >= F.col("bound")))
-    exact = left.select(*query, "first", "upper").join(
-        file.select("dims", "first", "v", "ids"), ["dims", "first"]).join(
-        queries.select("dims", F.col("vec_id").alias("query_id"), "query_key", F.col("v").alias("q")), query)
-    return exact.groupBy(*query).applyInPandas(_exact(k), "query_id long, rank int, vec_id long, score long")
+    left = workspace.written(left.select(*query, "first", "upper"), "candidates")
+
+    def scored(candidates: DataFrame) -> DataFrame:
+        """Exact scores of candidates, a row for each id, without the query's own."""
+        read = candidates.join(file.select("dims", "first", "v", "ids"), ["dims", "first"]).join(
+            queries.select("dims", F.col("vec_id").alias("query_id"), "query_key", F.col("v").alias("q")), query)
+        product = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda total, x: total + x)
+        each = read.select(*query, product.alias("score"), F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+        order = Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")
+        return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    # In the order of their bounds: the first few are read and give a k-th score, then those whose
+    # bound is not below it. No other can be among the k best.
+    order = Window.partitionBy(*query).orderBy(F.desc("upper"), "first")
+    few = left.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIRST_READ).drop("r")
+    kth = scored(few).groupBy(*query).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
+    certain = left.join(kth, query, "left").filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).drop("kth")
+    return scored(certain).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 BOUNDS = "dims int, query_id long, query_key long, first long, upper double, lower double"
-
-
-def _exact(k: int):
-    """Reads candidates in the order of their upper bounds, in steps, until the k-th is certain."""
-    def exact(part: pd.DataFrame) -> pd.DataFrame:
-        query = int(part["query_id"].iloc[0])
-        q = np.asarray(part["q"].iloc[0], dtype=np.int64)
-        part = part.sort_values("upper", ascending=False, kind="stable")
-        upper = part["upper"].to_numpy()
-        found: list[tuple[int, int]] = []
-        for at in range(0, len(part), 64):
-            if len(found) >= k and -found[k - 1][0] > upper[at]:
-                break
-            some = part.iloc[at:at + 64]
-            scores = _matrix(some["v"], len(q)) @ q
-            for score, ids in zip(scores.tolist(), some["ids"]):
-                found += [(-score, int(i)) for i in ids if int(i) != query]
-            found = sorted(found)[:k]
-        return pd.DataFrame({
-            "query_id": [query] * len(found), "rank": np.arange(1, len(found) + 1, dtype=np.int32),
-            "vec_id": [i for _, i in found], "score": [-s for s, _ in found],
-        })
-    return exact
