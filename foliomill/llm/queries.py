@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import (
-    mil_quality, mixing, near_duplicates, pii, quality_rules, sentencepieces, topk, warc,
+    license_scan, mil_quality, mixing, near_duplicates, pii, quality_rules, sentence_spans, sentencepieces, topk, warc,
 )
 from foliomill.sources import workspace
 from foliomill.sources.tables import read
@@ -64,6 +64,24 @@ def op4_pii(spark, folder):
         F.aggregate("found", F.lit(0.0), lambda most, s: F.greatest(most, s["score"])).alias("top_score"))
 
 
+@query
+def op5_license_scan(spark, folder):
+    """Licence notices in every whole document."""
+    found = read(spark, folder, "documents").select("doc_id", license_scan.licenses(F.col("text")).alias("found"))
+    return found.select(
+        "doc_id", F.size("found").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"]))), ",").alias("licenses"),
+        F.array_join(F.transform("found", lambda f: F.concat_ws(
+            ":", f["license"], f["start"].cast("string"), f["end"].cast("string"))), ",").alias("spans"),
+        F.aggregate("found", F.lit(0.0), lambda most, f: F.greatest(most, f["dice"])).alias("best_dice"))
+
+
+@query
+def op6_sentence_spans(spark, folder):
+    """All documents without the passages that stand in an earlier one, or earlier in themselves."""
+    return sentence_spans.remove_repeats(read(spark, folder, "documents"))
+
+
 @query
 def op7_warc(spark, folder):
     """All pages archived, and what the archive read back says of each."""
