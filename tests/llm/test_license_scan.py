@@ -41,7 +41,10 @@ def test_size_bounds_lose_nothing():
         for n in range(2, len(words) * 2, max(1, len(words) // 10)):
             other = ls.bigrams((words * 2)[:n])
             if ls.dice(other, counts) >= ls.THRESHOLD:
-                assert ls.THRESHOLD / (2 - ls.THRESHOLD) * counts.total() <= other.total() <= (2 - ls.THRESHOLD) / ls.THRESHOLD * counts.total()
+                low, high = ls.bounds(counts.total(), ls.THRESHOLD)
+                assert low <= other.total() <= high
+                checked += 1
+    assert checked
 
 
 def test_query_finds_the_corpus_notices(spark):
