@@ -17,7 +17,6 @@ memory is bounded, and a lost executor costs the blocks of its own tasks.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -33,7 +32,6 @@ CHUNKS = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
 BLOCK_WORDS = 300_000  # words of one block; a longer text is a block of its own
 
 
-@functools.lru_cache(maxsize=2)
 def processor(model: bytes) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_proto=model)
 
@@ -134,8 +132,9 @@ def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column
 
 def decode(model: bytes, ids: Column) -> Column:
     """Text of an id array, by the library's decode(). A null array gives null."""
-    def decoded(arrays: pd.Series) -> pd.Series:
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = processor(model)
-        return arrays.map(lambda ids: None if ids is None else pieces.decode(np.asarray(ids).tolist()))
+        for arrays in batches:
+            yield arrays.map(lambda ids: None if ids is None else pieces.decode(np.asarray(ids).tolist()))
 
     return F.pandas_udf(decoded, "string")(ids)

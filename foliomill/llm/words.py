@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 BLANK = np.zeros(256, bool)
@@ -12,13 +10,18 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-@functools.cache
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, 2^bits of them."""
+    """Powers of the base and of its inverse modulo 2^64, 2^bits of them, kept for the next text."""
+    if bits in _POWERS:
+        return _POWERS[bits]
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     up, down = np.full(1 << bits, BASE, np.uint64), np.full(1 << bits, inverse, np.uint64)
     up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    _POWERS[bits] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS[bits]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
