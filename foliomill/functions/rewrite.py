@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions.patterns import java
 
-_HEAD, _TAGGED = "_matchable", "_tagged"
+_HEAD, _TAGGED, _PARTS = "_matchable", "_tagged", "_between"
 # Stands for "<" of an opening tag inside another one while a rule runs.
 _MASK = "\ue000"
 
@@ -41,6 +41,14 @@ def replace_tags(
     for at, (pattern, replacement) in enumerate(rules):
         df = df.withColumn(_TAGGED, if_contains(text, "<", complete_tags(text), F.lit("")))
         rest = F.substring(text, F.length(tagged) + 1, F.length(text))
+        if counter and not at and "$" not in replacement:
+            # One pass gives both: what is between the matches, and so their number.
+            df = df.withColumn(_PARTS, F.when(tagged != "", F.split(tagged, java(pattern), -1)))
+            df = df.withColumns({
+                column: F.when(tagged == "", text).otherwise(F.concat(F.array_join(_PARTS, replacement), rest)),
+                counter: F.when(tagged == "", 0).otherwise(F.size(_PARTS) - 1),
+            }).drop(_PARTS)
+            continue
         added = {column: F.when(tagged == "", text).otherwise(
             F.concat(F.regexp_replace(tagged, java(pattern), replacement), rest))}
         if counter and not at:
