@@ -97,7 +97,8 @@ def _signatures(docs: DataFrame, shingle: int, sketch: int) -> DataFrame:
 def _prefixes(classes: DataFrame, sketch: int, percent: int) -> DataFrame:
     """(a, values): the shared values of each class, rarest first, as (df, v, listed)."""
     held = classes.select("a", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    shared = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Stored, so that the join has a shuffle of its own on either side and a hot value can be split.
+    shared = workspace.written(held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-values")
     marked = held.join(shared, "v").groupBy("a", "m").agg(
         F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
     # A smaller set than the sketch must share at least this part of itself: the other set is at

@@ -88,7 +88,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "id", "t", "r.h", "r.i", "r.j")
     place = F.struct("id", "t", "i")
     counted = each.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    again = counted.filter("first <> last").select("h", "first")
+    # Stored, so that the join has a shuffle of its own on either side and a hot run can be split.
+    again = workspace.written(counted.filter("first <> last").select("h", "first"), "repeated-runs")
     later = each.join(again, "h").filter(~((F.col("id") == F.col("first.id")) & (F.col("t") == F.col("first.t"))
                                            & (F.col("i") == F.col("first.i"))))
     covered = later.groupBy("id", "t").agg(

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.sources import workspace
+
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
 BREAK = "\r\n"
 BASE16 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # digits of radix 32 as conv() writes them
@@ -66,7 +68,8 @@ def write(pages: DataFrame, folder: str, shared_from: int = 0) -> None:
     ).write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
     heads = rows.drop("payload")
-    owners = heads.groupBy("digest").agg(F.max("page_id").alias("owner"))
+    # Stored, so that the join has a shuffle of its own on either side and a hot payload can be split.
+    owners = workspace.written(heads.groupBy("digest").agg(F.max("page_id").alias("owner")), "owners")
     owned = heads.join(owners, "digest")
     revisit = (F.col("bytes") >= shared_from) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     header = F.concat(
