@@ -1,14 +1,16 @@
 """Licence notices in texts, by Dice coefficient over word bigrams with licence templates.
 
 Texts are normalised to words: lower case, without punctuation, copyright lines left out of the
-templates. A stretch of a text can only reach the coefficient if its length is near the template's:
-with d = THRESHOLD its bigrams number between d / (2 - d) and (2 - d) / d of the template's. So a
-text is searched for stretches dense in a template's bigrams, those outside the size bounds are
-dropped, and the rest are compared. Work is per row and linear in the text; nothing is shuffled.
+templates. A window of a text can only reach the coefficient if its length is near the template's:
+with d = THRESHOLD its bigrams number between d / (2 - d) and (2 - d) / d of the template's, and at
+least d / (2 - d) of the template's number are the template's own. Starts without so many in reach
+are dropped; from each other start all windows within the bounds are compared, whatever lies between
+their words. Work is per row and linear in the text; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 
@@ -18,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-GAP = 4  # words without a template's bigram that a stretch may bridge
+HITS_A_STEP = 65_536  # bigrams whose templates are counted at a time
 
 # Notices of public licences, by SPDX name.
 TEMPLATES = {
@@ -68,13 +70,20 @@ def dice(one: Counter, two: Counter) -> float:
 
 
 _BIGRAMS = {name: bigrams(WORD.findall(text.lower())) for name, text in TEMPLATES.items()}
+_WORDINGS = list(_BIGRAMS.items())
 _PLACES: dict[str, int] = {}
-for _counts in _BIGRAMS.values():
+for _, _counts in _WORDINGS:
     for _pair in _counts:
         for _word in _pair:
             _PLACES.setdefault(_word, len(_PLACES) + 1)
-_CODES = {name: np.unique([_PLACES[a] << 16 | _PLACES[b] for a, b in counts]) for name, counts in _BIGRAMS.items()}
-_ALL_CODES = np.unique(np.concatenate(list(_CODES.values())))
+_ALL_CODES = np.unique([_PLACES[a] << 16 | _PLACES[b] for _, counts in _WORDINGS for a, b in counts])
+# Repeats of each bigram (row) in each wording (column).
+_REPEATS = np.zeros((len(_ALL_CODES), len(_WORDINGS)), np.int16)
+for _at, (_, _counts) in enumerate(_WORDINGS):
+    for (_a, _b), _n in _counts.items():
+        _REPEATS[np.searchsorted(_ALL_CODES, _PLACES[_a] << 16 | _PLACES[_b]), _at] = _n
+_HOLDS = _REPEATS > 0
+_SIZES = np.array([counts.total() for _, counts in _WORDINGS])
 
 
 def bounds(size: int, threshold: float) -> tuple[float, float]:
@@ -83,17 +92,65 @@ def bounds(size: int, threshold: float) -> tuple[float, float]:
     return share * size - 1e-9, size / share + 1e-9
 
 
-def _stretches(hits: np.ndarray, low: float) -> list[tuple[int, int]]:
-    """Runs of hits with small gaps, as first and last bigram, that are not too short."""
-    cuts = np.flatnonzero(np.diff(hits) > GAP)
-    starts, ends = np.append(0, cuts + 1), np.append(cuts, len(hits) - 1)
-    return [(a, b) for a, b in zip(starts.tolist(), ends.tolist()) if b - a + 1 >= 0.5 * low]
+class _Windows:
+    """The windows of a text that reach the coefficient with one wording, by their start.
+
+    They start and end on the wording's bigrams: without others at its ends a window is better.
+    """
+
+    def __init__(self, at: int, hits: np.ndarray, which: np.ndarray, threshold: float):
+        self.hits, self.size, self.threshold = hits, int(_SIZES[at]), threshold
+        low, high = bounds(self.size, threshold)
+        self.shortest, self.longest = int(np.ceil(low)), int(high)
+        # Common bigrams are at most the hits, and a window of the least length needs ``low`` of them.
+        near = hits[self.shortest - 1:] - hits[:len(hits) - self.shortest + 1] < self.longest
+        self.starts = np.flatnonzero(near)
+        if not len(self.starts):
+            return
+        # A bigram that the wording has n times counts unless the n-th one before it is in the window too.
+        order = np.argsort(which, kind="stable")
+        places = np.arange(len(hits))
+        new = np.append(True, which[order][1:] != which[order][:-1])
+        first = np.maximum.accumulate(np.where(new, places, 0))
+        earlier = places - _REPEATS[which[order], at]
+        self.before = np.empty(len(hits), np.int64)
+        self.before[order] = np.where(earlier >= first, order[np.maximum(earlier, 0)], -1)
+
+    def best(self, start: int, limit: int) -> tuple[float, int] | None:
+        """Coefficient and last bigram of the best window from a start, of equal ones the longest;
+        none of its bigrams is at ``limit`` or behind it."""
+        at = self.hits[start]
+        end = np.searchsorted(self.hits, min(at + self.longest, limit))
+        ends = self.hits[start:end]
+        if len(ends) < self.shortest:
+            return None
+        lengths = ends - at + 1
+        values = 2 * np.cumsum(self.before[start:end] < start) / (lengths + self.size)
+        last = len(values) - 1 - int(np.argmax(values[::-1]))
+        return (float(values[last]), int(ends[last])) if values[last] >= self.threshold else None
+
+
+def _candidates(codes: np.ndarray, threshold: float) -> list[tuple[str, _Windows]]:
+    """Wordings of which a text has enough bigrams close together."""
+    places = np.minimum(np.searchsorted(_ALL_CODES, codes), len(_ALL_CODES) - 1)
+    hits = np.flatnonzero(_ALL_CODES[places] == codes)
+    if not len(hits):
+        return []
+    which = places[hits]
+    held = sum(_HOLDS[which[at:at + HITS_A_STEP]].sum(axis=0) for at in range(0, len(which), HITS_A_STEP))
+    found = []
+    for at in np.flatnonzero(held >= bounds(_SIZES, threshold)[0]).tolist():
+        own = _HOLDS[which, at]
+        windows = _Windows(at, hits[own], which[own], threshold)
+        if len(windows.starts):
+            found.append((_WORDINGS[at][0], windows))
+    return found
 
 
 def licenses_of(text: str | None, threshold: float = THRESHOLD) -> list[Found]:
     """(licence, start, end, coefficient) of a text, in code points, by start.
 
-    Of stretches that overlap, the better one counts, and of equal ones the longer one.
+    Of windows that overlap, the better one counts, and of equal ones the longer one.
     """
     if not text:
         return []
@@ -101,39 +158,33 @@ def licenses_of(text: str | None, threshold: float = THRESHOLD) -> list[Found]:
     words = [m.group().lower() for m in matches]
     places = np.fromiter((_PLACES.get(word, 0) for word in words), np.int64, len(words))
     codes = places[:-1] << 16 | places[1:] if len(words) > 1 else np.zeros(0, np.int64)
-    if not np.isin(codes, _ALL_CODES).any():
-        return []
-    found = []
-    for name, counts in _BIGRAMS.items():
-        hits = np.flatnonzero(np.isin(codes, _CODES[name]))
-        size = counts.total()
-        low, high = bounds(size, threshold)
-        for first, last in _stretches(hits, low) if len(hits) else []:
-            # A hit by chance beside the notice may lengthen the stretch: its ends are tried shortened.
-            # Several notices in a row are one stretch: it is cut to windows of the template's size.
-            for a, b in _windows(hits, first, last, size):
-                at, to = int(hits[a]), int(hits[b])
-                # Common bigrams are at most the hits.
-                if not low <= to - at + 1 <= high or 2 * (b - a + 1) < threshold * (to - at + 1 + size) - 1e-9:
-                    continue
-                value = dice(bigrams(words[at:to + 2]), counts)
-                if value >= threshold:
-                    found.append((round(value, 6), to - at, name, matches[at].start(), matches[to + 1].end()))
-    kept: list[tuple] = []
-    for item in sorted(found, key=lambda f: (-f[0], -f[1], f[3], f[2])):
-        if all(item[4] <= other[3] or item[3] >= other[4] for other in kept):
-            kept.append(item)
-    return sorted(((name, start, end, value) for value, _, name, start, end in kept), key=lambda f: f[1])
-
-
-def _windows(hits: np.ndarray, first: int, last: int, size: int):
-    """Ranges of hits to compare: from each start in the stretch, those about as long as the template."""
-    for a in range(first, last + 1):
-        target = np.searchsorted(hits, hits[a] + size)
-        for b in range(max(a, int(target) - 2), min(last, int(target) + 1) + 1):
-            yield a, b
-    if hits[last] - hits[first] + 1 <= 2 * size:
-        yield first, last
+    candidates = _candidates(codes, threshold)
+    # Bigrams that share a word with a kept window are taken; the best window of a start is looked
+    # for again if a better one has taken its end.
+    taken = np.zeros(len(codes) + 1, bool) if candidates else None
+    heap, kept = [], []
+
+    def push(at: int, start: int, limit: int) -> None:
+        name, windows = candidates[at]
+        best = windows.best(start, limit)
+        if best:
+            first = int(windows.hits[start])
+            heapq.heappush(heap, (-best[0], first - best[1], first, name, best[1], at, start))
+
+    for at, (_, windows) in enumerate(candidates):
+        for start in windows.starts.tolist():
+            push(at, start, len(codes))
+    while heap:
+        value, _, first, name, last, at, start = heapq.heappop(heap)
+        if taken[first]:
+            continue
+        inside = taken[first:last + 1]
+        if inside.any():
+            push(at, start, first + int(np.argmax(inside)))
+            continue
+        taken[max(0, first - 1):last + 2] = True
+        kept.append((name, matches[first].start(), matches[last + 1].end(), round(-value, 6)))
+    return sorted(kept, key=lambda f: f[1])
 
 
 def licenses(text: Column) -> Column:

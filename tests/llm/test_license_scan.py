@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from foliomill.llm import license_scan as ls
@@ -62,3 +64,59 @@ def test_odd_rows(spark):
     out = docs.select("doc_id", ls.licenses(docs["text"]).alias("found")).collect()
     assert sorted((str(r.doc_id), [f.license for f in r.found]) for r in out) == [("1", []), ("1", []), ("2", ["MIT-notice"]), ("None", [])]
     assert docs.limit(0).select(ls.licenses(docs["text"])).count() == 0
+
+
+def every_window(text, threshold):
+    """Brute force: all windows of a text with all templates, the best ones that do not overlap."""
+    matches = list(ls.WORD.finditer(text.lower()))
+    words, found = [m.group() for m in matches], []
+    for name, counts in ls._WORDINGS:
+        for at in range(len(words) - 1):
+            window, common = {}, 0
+            for to in range(at, len(words) - 1):
+                pair = (words[to], words[to + 1])
+                window[pair] = window.get(pair, 0) + 1
+                common += window[pair] <= counts[pair]
+                value = 2 * common / (to - at + 1 + counts.total())
+                if value >= threshold:
+                    found.append((-value, at - to, at, name, to))
+    kept = []
+    for value, _, at, name, to in sorted(found):
+        if all(to + 1 < other[1] or at > other[2] + 1 for other in kept):
+            kept.append((name, at, to, round(-value, 6)))
+    return sorted(((name, matches[at].start(), matches[to + 1].end(), value) for name, at, to, value in kept), key=lambda f: f[1])
+
+
+def test_same_as_brute_force_over_all_windows_with_inserted_words():
+    rng = random.Random(6)
+    names_ = ["ISC", "MIT-notice", "GPL-3.0-notice", "CC-BY-4.0-notice", "GPL-3.0-or-later"]
+    found = 0
+    for _ in range(40):
+        words = []
+        for name in rng.choices(names_, k=2):
+            part = WORDS(ls.TEMPLATES[name])
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(part))
+                part[at:at + rng.randrange(3)] = rng.choices(["the", "license", "of", "other", "new"], k=rng.randrange(9))
+            words += part + ["x"] * rng.randrange(3)
+        text = " ".join(words)
+        for threshold in (ls.THRESHOLD, 0.6):
+            wanted = every_window(text, threshold)
+            assert ls.licenses_of(text, threshold) == wanted
+            found += len(wanted)
+    assert found > 80
+
+
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0", "GPL-3.0-or-later"])
+@pytest.mark.parametrize("added", [4, 5, 6, 8, 12])
+def test_words_inserted_in_the_middle(name, added):
+    words = WORDS(ls.TEMPLATES[name])
+    middle = len(words) // 2
+    changed = " ".join(words[:middle] + [f"added{i}" for i in range(added)] + words[middle:])
+    assert ls.dice(ls.bigrams(changed.split()), ls._BIGRAMS[name]) > ls.THRESHOLD
+    assert name in names(changed) or names(changed) == [f"{name}-notice"]
+
+
+def test_common_variant_of_mit():
+    changed = ls.TEMPLATES["MIT"].replace("this permission notice shall", "this permission notice (including the next paragraph) shall")
+    assert [(f[0], f[3] > 0.97) for f in ls.licenses_of(changed)] == [("MIT", True)]
