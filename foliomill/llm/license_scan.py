@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliomill.llm import license_texts
+
 THRESHOLD = 0.8
-HITS_A_STEP = 65_536  # bigrams whose templates are counted at a time
+HITS_A_STEP = 16_384  # bigrams whose templates are counted at a time
 
 # Notices of public licences, by SPDX name.
 TEMPLATES = {
@@ -56,6 +58,9 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."),
 }
+TEMPLATES |= license_texts.HEADERS | license_texts.whole_texts()
+for _name, _text in license_texts.notices():
+    TEMPLATES.setdefault(_name, _text)
 WORD = re.compile(r"\w+")
 Found = tuple[str, int, int, float]
 
@@ -70,19 +75,23 @@ def dice(one: Counter, two: Counter) -> float:
 
 
 _BIGRAMS = {name: bigrams(WORD.findall(text.lower())) for name, text in TEMPLATES.items()}
-_WORDINGS = list(_BIGRAMS.items())
+# All wordings, each once: of a name, the template and others.
+_WORDINGS = list({(name, tuple(WORD.findall(text.lower()))): (name, bigrams(WORD.findall(text.lower()))) for name, text in (
+    *TEMPLATES.items(), *license_texts.OTHERS, *license_texts.notices())}.values())
+_NAMES = [name for name, _ in _WORDINGS]
 _PLACES: dict[str, int] = {}
 for _, _counts in _WORDINGS:
     for _pair in _counts:
         for _word in _pair:
             _PLACES.setdefault(_word, len(_PLACES) + 1)
-_ALL_CODES = np.unique([_PLACES[a] << 16 | _PLACES[b] for _, counts in _WORDINGS for a, b in counts])
-# Repeats of each bigram (row) in each wording (column).
-_REPEATS = np.zeros((len(_ALL_CODES), len(_WORDINGS)), np.int16)
-for _at, (_, _counts) in enumerate(_WORDINGS):
-    for (_a, _b), _n in _counts.items():
-        _REPEATS[np.searchsorted(_ALL_CODES, _PLACES[_a] << 16 | _PLACES[_b]), _at] = _n
-_HOLDS = _REPEATS > 0
+# (bigram, wording, repeats) by bigram, and where each bigram's begin.
+_HELD = np.array(sorted(
+    (_PLACES[a] << 16 | _PLACES[b], at, n) for at, (_, counts) in enumerate(_WORDINGS) for (a, b), n in counts.items()))
+_ALL_CODES, _BEGINS, _LISTED = np.unique(_HELD[:, 0], return_index=True, return_counts=True)
+_OF = _HELD[:, 1].astype(np.int32)
+# Bigrams of each wording, as places among all, and their repeats.
+_OWN = [(np.searchsorted(_ALL_CODES, mine[:, 0]).astype(np.int32), mine[:, 2].astype(np.int16))
+        for mine in np.split(_HELD[np.argsort(_OF, kind="stable")], np.cumsum(np.bincount(_OF))[:-1])]
 _SIZES = np.array([counts.total() for _, counts in _WORDINGS])
 
 
@@ -98,7 +107,7 @@ class _Windows:
     They start and end on the wording's bigrams: without others at its ends a window is better.
     """
 
-    def __init__(self, at: int, hits: np.ndarray, which: np.ndarray, threshold: float):
+    def __init__(self, at: int, hits: np.ndarray, which: np.ndarray, repeats: np.ndarray, threshold: float):
         self.hits, self.size, self.threshold = hits, int(_SIZES[at]), threshold
         low, high = bounds(self.size, threshold)
         self.shortest, self.longest = int(np.ceil(low)), int(high)
@@ -112,7 +121,7 @@ class _Windows:
         places = np.arange(len(hits))
         new = np.append(True, which[order][1:] != which[order][:-1])
         first = np.maximum.accumulate(np.where(new, places, 0))
-        earlier = places - _REPEATS[which[order], at]
+        earlier = places - repeats[order]
         self.before = np.empty(len(hits), np.int64)
         self.before[order] = np.where(earlier >= first, order[np.maximum(earlier, 0)], -1)
 
@@ -137,20 +146,29 @@ def _candidates(codes: np.ndarray, threshold: float) -> list[tuple[str, _Windows
     if not len(hits):
         return []
     which = places[hits]
-    held = sum(_HOLDS[which[at:at + HITS_A_STEP]].sum(axis=0) for at in range(0, len(which), HITS_A_STEP))
+    held = np.zeros(len(_SIZES), np.int64)
+    for at in range(0, len(which), HITS_A_STEP):
+        some = which[at:at + HITS_A_STEP]
+        lengths = _LISTED[some]
+        ends = np.cumsum(lengths)
+        held += np.bincount(
+            _OF[np.arange(ends[-1]) + np.repeat(_BEGINS[some] - ends + lengths, lengths)], minlength=len(_SIZES))
     found = []
     for at in np.flatnonzero(held >= bounds(_SIZES, threshold)[0]).tolist():
-        own = _HOLDS[which, at]
-        windows = _Windows(at, hits[own], which[own], threshold)
+        codes_of, repeats = _OWN[at]
+        own = np.minimum(np.searchsorted(codes_of, which), len(codes_of) - 1)
+        is_own = codes_of[own] == which
+        windows = _Windows(at, hits[is_own], which[is_own], repeats[own[is_own]], threshold)
         if len(windows.starts):
-            found.append((_WORDINGS[at][0], windows))
+            found.append((_NAMES[at], windows))
     return found
 
 
 def licenses_of(text: str | None, threshold: float = THRESHOLD) -> list[Found]:
     """(licence, start, end, coefficient) of a text, in code points, by start.
 
-    Of windows that overlap, the better one counts, and of equal ones the longer one.
+    Of windows that overlap, those of headers and whole texts count before those of one-line notices,
+    which they often hold; then the better one counts, and of equal ones the longer one.
     """
     if not text:
         return []
@@ -169,13 +187,13 @@ def licenses_of(text: str | None, threshold: float = THRESHOLD) -> list[Found]:
         best = windows.best(start, limit)
         if best:
             first = int(windows.hits[start])
-            heapq.heappush(heap, (-best[0], first - best[1], first, name, best[1], at, start))
+            heapq.heappush(heap, (name.endswith("-notice"), -best[0], first - best[1], first, name, best[1], at, start))
 
     for at, (_, windows) in enumerate(candidates):
         for start in windows.starts.tolist():
             push(at, start, len(codes))
     while heap:
-        value, _, first, name, last, at, start = heapq.heappop(heap)
+        _, value, _, first, name, last, at, start = heapq.heappop(heap)
         if taken[first]:
             continue
         inside = taken[first:last + 1]

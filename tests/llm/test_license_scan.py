@@ -70,7 +70,11 @@ def every_window(text, threshold):
     """Brute force: all windows of a text with all templates, the best ones that do not overlap."""
     matches = list(ls.WORD.finditer(text.lower()))
     words, found = [m.group() for m in matches], []
+    pairs = ls.bigrams(words)
     for name, counts in ls._WORDINGS:
+        most = (pairs & counts).total()
+        if 2 * most < threshold * (most + counts.total()):  # not even with all common bigrams side by side
+            continue
         for at in range(len(words) - 1):
             window, common = {}, 0
             for to in range(at, len(words) - 1):
@@ -79,9 +83,9 @@ def every_window(text, threshold):
                 common += window[pair] <= counts[pair]
                 value = 2 * common / (to - at + 1 + counts.total())
                 if value >= threshold:
-                    found.append((-value, at - to, at, name, to))
+                    found.append((name.endswith("-notice"), -value, at - to, at, name, to))
     kept = []
-    for value, _, at, name, to in sorted(found):
+    for _, value, _, at, name, to in sorted(found):
         if all(to + 1 < other[1] or at > other[2] + 1 for other in kept):
             kept.append((name, at, to, round(-value, 6)))
     return sorted(((name, matches[at].start(), matches[to + 1].end(), value) for name, at, to, value in kept), key=lambda f: f[1])
@@ -91,7 +95,7 @@ def test_same_as_brute_force_over_all_windows_with_inserted_words():
     rng = random.Random(6)
     names_ = ["ISC", "MIT-notice", "GPL-3.0-notice", "CC-BY-4.0-notice", "GPL-3.0-or-later"]
     found = 0
-    for _ in range(40):
+    for _ in range(10):
         words = []
         for name in rng.choices(names_, k=2):
             part = WORDS(ls.TEMPLATES[name])
@@ -104,7 +108,7 @@ def test_same_as_brute_force_over_all_windows_with_inserted_words():
             wanted = every_window(text, threshold)
             assert ls.licenses_of(text, threshold) == wanted
             found += len(wanted)
-    assert found > 80
+    assert found > 15
 
 
 @pytest.mark.parametrize("name", ["MIT", "Apache-2.0", "GPL-3.0-or-later"])
@@ -114,9 +118,38 @@ def test_words_inserted_in_the_middle(name, added):
     middle = len(words) // 2
     changed = " ".join(words[:middle] + [f"added{i}" for i in range(added)] + words[middle:])
     assert ls.dice(ls.bigrams(changed.split()), ls._BIGRAMS[name]) > ls.THRESHOLD
-    assert name in names(changed) or names(changed) == [f"{name}-notice"]
+    assert names(changed) == [name]
 
 
 def test_common_variant_of_mit():
     changed = ls.TEMPLATES["MIT"].replace("this permission notice shall", "this permission notice (including the next paragraph) shall")
     assert [(f[0], f[3] > 0.97) for f in ls.licenses_of(changed)] == [("MIT", True)]
+
+
+@pytest.mark.parametrize("text, name", [
+    ("This project is licensed under the MIT License - see the file.", "MIT-notice"),
+    ("Code is available under the terms of the MIT license.", "MIT-notice"),
+    ("Licensed under the Apache License 2.0", "Apache-2.0-notice"),
+    ("It is distributed under the Apache 2.0 license", "Apache-2.0-notice"),
+    ("Released under the 3-Clause BSD License.", "BSD-3-Clause-notice"),
+    ("licensed under the GNU General Public License v2.0", "GPL-2.0-notice"),
+    ("It is licensed under GPLv3.", "GPL-3.0-notice"),
+    ("Published under the Mozilla Public License 2.0.", "MPL-2.0-notice"),
+    ("Text is available under the Creative Commons Attribution-ShareAlike 3.0 Unported License;", "CC-BY-SA-3.0-notice"),
+    ("This is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0-notice"),
+    ("Provided under CC0 1.0.", "CC0-1.0-notice"),
+    ("Released under the Unlicense.", "Unlicense-notice"),
+])
+def test_usual_wordings_of_notices(text, name):
+    assert names(text) == [name]
+
+
+@pytest.mark.parametrize("name, old, new", [
+    ("BSD-3-Clause", "the copyright holder", "Example Corporation"), ("BSD-2-Clause", "SOFTWARE", "LIBRARY"), ("MPL-2.0-text", "Contributor", "Author"),
+    ("Unlicense", "software", "program"), ("GPL-2.0-text", "Program", "Work"), ("LGPL-2.1-text", "Library", "Package"),
+    ("CC0-1.0-text", "Affirmer", "Giver"), ("Apache-2.0-text", "Work", "Thing"), ("AGPL-3.0-text", "patent", "claim"),
+    ("LGPL-2.1-or-later", "library", "package"),
+])
+def test_bodies_with_other_words(name, old, new):
+    changed = ls.TEMPLATES[name].replace(old, new)
+    assert changed != ls.TEMPLATES[name] and name in names("Before it. " + changed + " After it.")
