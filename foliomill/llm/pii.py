@@ -44,7 +44,14 @@ DOMAIN_RE = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 DOTTED_RE = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 CARD_RE = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE_RE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN_RE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_RE = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+))")
+# Characters of an account number by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    country: length for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 SSN_RE = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 NOT_DIGITS = re.compile(r"[^0-9]+")
 
@@ -107,9 +114,26 @@ def _matches(pattern: re.Pattern, low: int, high: int, valid=None):
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    # A match runs on over upper-case words and numbers behind the account number. Its end is where
+    # the country's length says; in countries that are not listed, the last end of a group that
+    # confirms. What is behind an accepted end, or inside a match without one, is looked at again.
+    done = 0
     for match in IBAN_RE.finditer(text):
-        if mod97(match.group()):
-            yield match.span()
+        start = match.start()
+        if start < done:
+            continue
+        run = match.group(1)
+        ends = [at + 1 for at, char in enumerate(run) if char != " "]
+        length = IBAN_LENGTHS.get(run[:2])
+        for count in (length,) if length else range(len(ends), 14, -1):
+            if count > len(ends):
+                continue
+            end = start + ends[count - 1]
+            after = text[end:end + 1]
+            if not (after.isascii() and after.isalnum()) and mod97(run[:ends[count - 1]]):
+                yield start, end
+                done = end
+                break
 
 
 def _ssns(text: str) -> Iterator[tuple[int, int]]:

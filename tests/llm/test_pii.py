@@ -94,3 +94,30 @@ def test_query_agrees_with_brute_force(spark):
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [
             sum(x.startswith(k + ":") for x in wanted) for k in pii.BASE]
         assert set(wanted) <= set(filter(None, row.spans.split(",")))
+
+
+@pytest.mark.parametrize("text, ibans", [
+    ("IBAN DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+    ("DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+    ("GB82 WEST 1234 5698 7654 32 EUR 100", ["GB82 WEST 1234 5698 7654 32"]),
+    ("AB12 DE89370400440532013000 GB82WEST12345698765432 NO9386011117947", ["DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947"]),
+    ("MT84MALT011000012345MTLCAST001S", ["MT84MALT011000012345MTLCAST001S"]),
+    ("DE89370400440532013000X DE8937040044053201300 DE89370400440532013001 BIC", []),
+])
+def test_account_numbers_beside_upper_case_words_and_numbers(text, ibans):
+    spans = [x for x in pii.spans_of(text) if x[0] == "iban"]
+    assert [text[s:e] for _, s, e, _ in spans] == ibans
+    assert pii.masked(text, spans).count("<IBAN>") == len(ibans)
+
+
+def test_account_number_of_a_country_that_is_not_listed():
+    body = "0001 2345 6789 0123"
+    check = next(f"{n:02}" for n in range(2, 99) if pii.mod97(f"ZZ{n:02}" + body))
+    text = f"account ZZ{check} {body} EUR"
+    assert [text[s:e] for k, s, e, _ in pii.spans_of(text) if k == "iban"] == [f"ZZ{check} {body}"]
+
+
+def test_account_numbers_in_long_runs_are_linear():
+    for text in ("AB12" * 80_000, "AB12 " * 60_000, "DE89 3704 0044 0532 0130 00 " * 10_000):
+        pii.spans_of(text)
+    assert sum(k == "iban" for k, *_ in pii.spans_of("DE89 3704 0044 0532 0130 00 " * 100)) == 100
