@@ -8,7 +8,8 @@ bound. Whatever the cells are, the result is exact.
 
 Equal vectors are stored once with their smallest k + 1 ids: no other of their ids can be among
 the k best of a query, the query's own row included, as ties go to the smaller id. Blocks are
-bounded, and every pair of a query block and a vector block is a row of its own, so neither side is
+bounded; a class is known by its smallest id and the hash of its vector, as an id may have several.
+Every pair of a query block and a vector block is a row of its own, so neither side is
 ever held whole: the work is queries x vectors, as an exact scan must be, in independent tasks.
 """
 
@@ -59,7 +60,7 @@ def _matrix(column: pd.Series, dims: int) -> np.ndarray:
 
 
 def approximation(distinct: DataFrame, cells: int = CELLS) -> DataFrame:
-    """(dims, block, firsts, low, high, cell bytes): vectors in blocks, as cell numbers.
+    """(dims, block, firsts, keys, counts, low, step, cell bytes): vectors in blocks, as cell numbers.
 
     Edges are those of the block itself: the range of each dimension in equal integer steps.
     """
@@ -72,12 +73,13 @@ def approximation(distinct: DataFrame, cells: int = CELLS) -> DataFrame:
         return pd.DataFrame({
             "dims": [dims], "block": [part["block"].iloc[0]],
             "firsts": [part["first"].to_numpy(np.int64).tobytes()],
+            "keys": [part["key"].to_numpy(np.int64).tobytes()],
             "counts": [part["ids"].map(len).to_numpy(np.int64).tobytes()],
             "low": [low.tobytes()], "step": [step.tobytes()], "cell": [cell.tobytes()],
         })
 
     return distinct.groupBy("dims", "block").applyInPandas(
-        pack, "dims int, block long, firsts binary, counts binary, low binary, step binary, cell binary")
+        pack, "dims int, block long, firsts binary, keys binary, counts binary, low binary, step binary, cell binary")
 
 
 def _query_blocks(queries: DataFrame) -> DataFrame:
@@ -100,6 +102,7 @@ def _scan(k: int):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 firsts = np.frombuffer(row.firsts, np.int64)
+                keys = np.frombuffer(row.keys, np.int64)
                 counts = np.frombuffer(row.counts, np.int64)
                 query_ids = np.frombuffer(row.query_ids, np.int64)
                 query_keys = np.frombuffer(row.query_keys, np.int64)
@@ -113,19 +116,21 @@ def _scan(k: int):
                 # Rounding of sums beyond 2^53 can only be covered by widening the bounds.
                 slack = 1e-12 * (np.abs(upper) + np.abs(lower)) * (np.abs(upper) > 2.0**50)
                 upper, lower = upper + slack, lower - slack
+                # A class that holds the query's id alone has no candidate: it is last and not sent.
+                own = (firsts[None, :] == query_ids[:, None]) & (counts == 1)[None, :]
+                lower[own] = -np.inf
                 # A class of c equal vectors fills c places, one fewer if the query is in it.
                 places = np.minimum(np.maximum(counts - 1, 1), k)
                 order = np.argsort(-lower, axis=1, kind="stable")
-                # The query's own class may be worth nothing: one place more is asked for.
                 filled = np.cumsum(places[order], axis=1)
-                enough = np.minimum((filled < k + 1).sum(axis=1), len(firsts) - 1)
-                sure = filled[:, -1] >= k + 1
+                enough = np.minimum((filled < k).sum(axis=1), len(firsts) - 1)
+                sure = filled[:, -1] >= k
                 rows = np.arange(len(query_ids))
                 bound = np.where(sure, lower[rows, order[rows, enough]], -np.inf)
-                which, what = np.nonzero(upper >= bound[:, None])
+                which, what = np.nonzero((upper >= bound[:, None]) & ~own)
                 yield pd.DataFrame({
                     "dims": np.full(len(which), row.dims, np.int32), "query_id": query_ids[which],
-                    "query_key": query_keys[which], "first": firsts[what],
+                    "query_key": query_keys[which], "first": firsts[what], "key": keys[what],
                     "upper": upper[which, what], "lower": lower[which, what],
                 })
     return scan
@@ -147,13 +152,13 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, id_column: str = "vec_id",
     rows = workspace.written(
         quantised(vectors, id_column, vector_column, scale).distinct(), "vectors")
     distinct = distinct_vectors(rows, k).select(
-        F.size("v").alias("dims"), F.element_at("ids", 1).alias("first"), "ids", "v")
+        F.size("v").alias("dims"), F.element_at("ids", 1).alias("first"), F.xxhash64("v").alias("key"), "ids", "v")
     total = distinct.groupBy("dims").agg(
         F.ceil(F.count(F.lit(1)) / VECTORS_A_BLOCK).alias("blocks"))
     blocked = distinct.join(total, "dims").withColumn(
         "block", F.pmod(F.xxhash64("first"), F.col("blocks")))
     file = workspace.written(
-        blocked.select("dims", "block", "blocks", "first", "ids", "v"), "vector-file")
+        blocked.select("dims", "block", "blocks", "first", "key", "ids", "v"), "vector-file")
     queries = rows.filter(F.col("vec_id") % every == 0).withColumns(
         {"dims": F.size("v"), "query_key": F.xxhash64("v")})
     asked = queries.groupBy("dims").agg(
@@ -165,18 +170,18 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, id_column: str = "vec_id",
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     bounds = workspace.written(
         sent.drop("blocks").join(approximation(file), ["dims", "block"]).mapInPandas(_scan(k), BOUNDS), "bounds")
-    # The (k+1)-th best lower bound over all blocks, one more than k as a query's own row is no
-    # candidate. A query with fewer keeps what it has.
+    # The k-th best lower bound over all blocks: each class that was sent has a candidate. A query with
+    # fewer keeps what it has.
     query = ["dims", "query_id", "query_key"]
     best = Window.partitionBy(*query).orderBy(F.desc("lower"))
-    certain = bounds.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).groupBy(*query).agg(
-        F.when(F.count(F.lit(1)) > k, F.min("lower")).alias("bound"))
+    certain = bounds.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).groupBy(*query).agg(
+        F.when(F.count(F.lit(1)) == k, F.min("lower")).alias("bound"))
     left = bounds.join(certain, query).filter(F.col("bound").isNull() | (F.col("upper") >= F.col("bound")))
-    left = workspace.written(left.select(*query, "first", "upper"), "candidates")
+    left = workspace.written(left.select(*query, "first", "key", "upper"), "candidates")
 
     def scored(candidates: DataFrame) -> DataFrame:
         """Exact scores of candidates, a row for each id, without the query's own."""
-        read = candidates.join(file.select("dims", "first", "v", "ids"), ["dims", "first"]).join(
+        read = candidates.join(file.select("dims", "first", "key", "v", "ids"), ["dims", "first", "key"]).join(
             queries.select("dims", F.col("vec_id").alias("query_id"), "query_key", F.col("v").alias("q")), query)
         product = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda total, x: total + x)
         each = read.select(*query, product.alias("score"), F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
@@ -185,11 +190,11 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, id_column: str = "vec_id",
 
     # In the order of their bounds: the first few are read and give a k-th score, then those whose
     # bound is not below it. No other can be among the k best.
-    order = Window.partitionBy(*query).orderBy(F.desc("upper"), "first")
+    order = Window.partitionBy(*query).orderBy(F.desc("upper"), "first", "key")
     few = left.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIRST_READ).drop("r")
     kth = scored(few).groupBy(*query).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
     certain = left.join(kth, query, "left").filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).drop("kth")
     return scored(certain).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-BOUNDS = "dims int, query_id long, query_key long, first long, upper double, lower double"
+BOUNDS = "dims int, query_id long, query_key long, first long, key long, upper double, lower double"

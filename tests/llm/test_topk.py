@@ -49,3 +49,19 @@ def test_query_agrees_with_brute_force(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     got = sorted(map(tuple, queries.QUERIES["op10_exact_topk"](spark, folder).collect()))
     assert got == brute(rows, 50, 5)
+
+
+def test_ids_with_several_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VECTORS_A_BLOCK", 40)
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.25, 1.0]) for _ in range(4)]) for i in range(120)]
+    rows += [(i % 30, [float(rng.randrange(-3, 4)) for _ in range(4)]) for i in range(90)]
+    # Large vectors of one id fill the first places of its own queries and of no others.
+    rows += [(0, [8.0 + n, 8.0, 8.0, 8.0]) for n in range(7)] + [(7, [8.0, 8.0, 8.0, 8.0])]
+    assert run(spark, [(*r, "x", 1) for r in rows]) == brute(rows, 5, 5)
+
+
+def test_id_with_large_vectors_among_small_ones_has_neighbours(spark):
+    rows = [(0, [100.0 + n, 100.0]) for n in range(7)] + [(i, [i / 256, 1 / 256]) for i in range(1, 40)]
+    got = run(spark, [(*r, "x", 1) for r in rows], every=50)
+    assert got == brute(rows, 50, 5) and len(got) == 35
