@@ -93,6 +93,12 @@ def corpus_manifest(spark, folder):
         "table_name", "extension", (F.col("size_bytes") > 0).alias("has_bytes"), "rows")
 
 
+@query
+def corpus_files(spark, folder):
+    """Every stored file with its path, name, extension and size, and the rows that it holds."""
+    return manifest.table_files(spark, folder)
+
+
 @query
 def corpus_sniff_scan(spark, folder):
     return ingest.sniffed(tables.uploads(spark, folder)).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliomill.functions.text import WHITESPACE, basename, suffix
 from foliomill.sources.lookups import DOCX_MIME
@@ -26,6 +27,23 @@ def corpus_manifest(spark: SparkSession, folder: str, glob: str = "*") -> DataFr
     )
 
 
+def table_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every Parquet file below ``folder``, each once, with the number of its rows; 0 if it has none.
+
+    No column is read, so tables of any schema are counted in one scan.
+    """
+    def files(source: str) -> DataFrame:
+        reader = spark.read.format(source).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+        return (reader.schema(T.StructType([])) if source == "parquet" else reader).load(folder)
+
+    at = F.col("_metadata.file_path")
+    listed = files("binaryFile").select(at.alias("at"), "path", F.col("length").alias("size_bytes"))
+    held = files("parquet").groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("rows"))
+    return listed.join(held, "at", "left").select(
+        "path", basename(F.col("path")).alias("file_name"), F.lower(suffix(F.col("path"))).alias("extension"),
+        "size_bytes", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def corpus_content(spark: SparkSession, folder: str, glob: str = "*", max_bytes: int | None = None) -> DataFrame:
     """The listing with file contents; a size limit prunes files before they are opened.
 

@@ -1,6 +1,7 @@
 """Format detection on real bytes, path checks, routing, page votes."""
 
 import io
+import os
 import zipfile
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from foliomill.sources.lookups import DOCX_MIME
 from foliomill.sources.manifest import sniff_mime
 from foliomill.operators import ingest, routing
+from foliomill.plans import catalog
 from foliomill.sources import manifest, sinks, workspace
 
 
@@ -147,3 +149,24 @@ def test_written_documents_keep_every_row(spark):
 def test_signatures(spark, content, mime):
     df = spark.createDataFrame([(content,)], "c binary")
     assert df.select(sniff_mime(df["c"])).first()[0] == mime
+
+
+def test_every_stored_file_is_listed_with_its_rows(spark, tmp_path):
+    spark.range(0, 70, 1, 3).withColumn("x", F.lit("a")).write.parquet(str(tmp_path / "parts.parquet"))
+    spark.range(5).selectExpr("id + 0.5 AS other").coalesce(1).write.parquet(str(tmp_path / "a b+c%" / "PARTS.parquet"))
+    spark.range(0).coalesce(1).write.parquet(str(tmp_path / "none.parquet"))
+    wanted = sorted(
+        (name, ".parquet", os.path.getsize(os.path.join(at, name)))
+        for at, _, names in os.walk(tmp_path) for name in names if name.endswith(".parquet"))
+    rows = catalog.CATALOG["corpus_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.file_name, r.extension, r.size_bytes) for r in rows) == wanted and len({r.path for r in rows}) == len(rows)
+    assert sum("/parts.parquet/" in r.path for r in rows) == 3
+    assert sorted(r.rows for r in rows) == [0, 5, 23, 23, 24]
+
+
+def test_every_table_of_a_folder_is_listed(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = {r.file_name: r for r in catalog.CATALOG["corpus_files"](spark, folder).collect()}
+    assert {n: r.size_bytes for n, r in rows.items()} == {n: os.path.getsize(f"{folder}/{n}") for n in os.listdir(folder)}
+    for name in rows:
+        assert rows[name].rows == spark.read.parquet(f"{folder}/{name}").count()
