@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliomill.llm import (
     license_scan, mil_quality, mixing, near_duplicates, pii, quality_rules, sentence_spans, sentencepieces, topk, warc,
+    whitening,
 )
 from foliomill.sources import workspace
 from foliomill.sources.tables import read
@@ -113,6 +114,28 @@ def op10_exact_topk(spark, folder):
     return topk.top_k(read(spark, folder, "embeddings"), every=50, k=5)
 
 
+@query
+def op11_whitening(spark, folder):
+    """Every usable embedding on its first 32 whitened components, with the share each explains."""
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    models = whitening.fit(vectors)
+    white = whitening.whiten(vectors, models)
+    errors = whitening.identity_errors(white)
+    dims = F.size("embedding")
+
+    def told(value):
+        return whitening.components_of(models, dims, value)
+
+    return white.select(
+        "vec_id", "white.deviation", told(lambda d, m: F.lit(m.n)).cast("long").alias("n"),
+        told(lambda d, m: F.lit(errors.get(d))).cast("double").alias("identity_error"),
+        told(lambda d, m: F.array(*[F.lit(float(x)) for x in m.explained])).cast("array<double>").alias("explained"),
+        F.posexplode("white.whitened").alias("at", "whitened"),
+    ).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", F.col("deviation").cast("long").alias("deviation"),
+        "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
 ORACLES = {
     "op8_mixing": r"""
 WITH docs AS (
