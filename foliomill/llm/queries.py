@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import (
-    license_scan, mil_quality, mixing, near_duplicates, pii, quality_rules, sentence_spans, sentencepieces, topk, warc,
-    whitening,
+    decontamination, hard_negatives, license_scan, mil_quality, mixing, near_duplicates, pii, quality_rules, sentence_spans,
+    sentencepieces, topk, warc, whitening,
 )
 from foliomill.sources import workspace
 from foliomill.sources.tables import read
@@ -136,7 +136,54 @@ def op11_whitening(spark, folder):
         "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
 
 
+@query
+def op12_hard_negatives(spark, folder):
+    """For every hundredth embedding and each of its five positives, the ten best hard negatives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read(spark, folder, "embeddings").withColumn("label", label))
+
+
+@query
+def op13_decontamination(spark, folder):
+    """Which benchmark items stand in every whole document, and in how many of its words."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.contamination(docs, read(spark, folder, "benchmark"), listed=False)
+    return found.select(
+        "doc_id", *[F.col("benchmark")[name].alias(name) for name in ("n_words", "n_hit", "n_items", "items_sha256")]
+    ).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+_WHOLE_VECTORS = r"""
+  SELECT DISTINCT vec_id, {label} AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
 ORACLES = {
+    "op10_exact_topk": "WITH e AS MATERIALIZED (" + _WHOLE_VECTORS.format(label="0") + r"""),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op12_hard_negatives": "WITH e AS MATERIALIZED (" + _WHOLE_VECTORS.format(
+        label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END") + r"""    AND label IS NOT NULL),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON c.vec_id <> a.vec_id AND len(c.v) = len(a.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+negatives AS (
+  SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score, row_number() OVER (
+    PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)::INT AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+""",
     "op8_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -196,5 +243,32 @@ bits AS (
     + 32 * (100 * n_capitals > 50 * word_chars)::INT)::BIGINT AS failed FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed,
   failed = 0 AS kept, failed, n_lines, n_capitals FROM bits
+""",
+    "op13_decontamination": r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS MATERIALIZED (
+  SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS said FROM (
+    SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+    FROM items WHERE len(w) > 0)),
+doc_windows AS (
+  SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS said FROM (
+    SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+hits AS MATERIALIZED (
+  SELECT DISTINCT r, i, n, item_id FROM doc_windows JOIN item_windows USING (n, said)),
+words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits)
+  GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
 """,
 }
