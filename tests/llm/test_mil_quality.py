@@ -9,7 +9,8 @@ from foliomill.llm import queries, words
 
 
 def test_word_hashes_tell_words_apart():
-    text = "The  a\tb the\nThe é a " + "x" * 9000 + " " + "x" * 9001
+    text = "The  a\tb the\nThe é a a\0 a\0\0 " + " ".join(c * n for c in "xy" for n in (*range(1, 70), 9000, 9001))
+    text += " " + " ".join("x" * i + "y" + "x" * (16 - i) for i in range(17))
     hashed, plain = words.word_hashes(text), text.encode().split()
     assert len(hashed) == len(plain)
     assert [[a == b for b in hashed] for a in hashed] == [[a == b for b in plain] for a in plain]
@@ -27,13 +28,15 @@ def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     model = mil.Model(3)
     x, first = rng.normal(size=(9, mil.FEATURES)), np.array([0, 2, 3])
+    buckets = np.concatenate([[0], rng.integers(0, mil.WORD_BUCKETS, 30), [mil.WORD_BUCKETS // 2, mil.WORD_BUCKETS - 1]])
+    docs = mil.Bag(x, buckets, np.array([0, 1, 5, 9, 10, 14, 20, 25, 29]))
     y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
 
     def loss():
-        s = model.forward(x, first)["score"]
+        s = model.forward(docs, first)["score"]
         return -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum() / weight.sum()
 
-    for name, grad in model.gradients(x, first, y, weight).items():
+    for name, grad in model.gradients(docs, first, y, weight).items():
         flat = model.weights[name].reshape(-1)
         for at in (0, len(flat) // 2, len(flat) - 1):
             kept, step = flat[at], 1e-5
@@ -47,10 +50,64 @@ def test_gradients_are_those_of_the_loss():
 
 def test_attention_shares_add_up_and_long_texts_are_read_whole():
     text = "word " * 5000 + "BAD!! " * 64
-    x = mil.encode(text)
-    assert len(x) == -(-5064 // 64)
-    assert not np.allclose(x[-1], x[0])
-    assert np.isclose(mil.Model().forward(x, np.array([0]))["share"].sum(), 1)
+    bag = mil.encode(text)
+    assert len(bag.x) == len(bag.first) == -(-5064 // 64) and len(bag.buckets) == 2 * 5064
+    assert not np.allclose(bag.x[-1], bag.x[0])
+    assert np.isclose(mil.Model().forward(bag, np.array([0]))["share"].sum(), 1)
+
+
+def plain_score(model, text):
+    """The score of a text word by word and passage by passage."""
+    bag = mil.encode(text)
+    w, ends = model.weights, list(bag.first[1:]) + [len(bag.buckets)]
+    codes, weights = [], []
+    for x, start, end in zip(bag.x, bag.first, ends):
+        x = np.clip((x - model.mean) / model.scale, -8, 8)
+        e = sum(w["E"][b] for b in bag.buckets[start:end]) / (end - start) ** 0.5
+        h = np.tanh(x @ w["W"] + e + w["b"])
+        codes.append(h)
+        weights.append(np.exp((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["G"])))) @ w["u"]))
+    z = sum(a * h for a, h in zip(weights, codes)) / sum(weights)
+    return 1 / (1 + np.exp(-(z @ w["c"] + w["d"][0])))
+
+
+def test_scores_are_those_of_a_plain_second_scorer(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = mil.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    got = {r.doc_id: r.score for r in queries.QUERIES["op2_mil_quality"](spark, folder).collect()}
+    assert got == pytest.approx({r.doc_id: plain_score(model, r.text) for r in docs.collect()}, abs=1e-5)
+
+
+def test_classes_that_differ_only_by_words(spark):
+    rng = random.Random(4)
+    common = [f"word{i}" for i in range(300)]
+    kinds = ["red blue green teal".split(), "cat dogs mouse bird".split()]
+
+    def text(y):
+        return " ".join(rng.choice(kinds[y]) if rng.random() < 0.1 else rng.choice(common) for _ in range(150))
+
+    rows = [(i, text(i % 2)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = mil.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int"))
+    held = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    scores = model.scores([mil.encode(t) for _, t in held])
+    assert sum((s >= 0.5) == (i % 2) for s, (i, _) in zip(scores, held)) >= 0.9 * len(held)
+
+
+def test_long_documents_are_fitted_whole(spark, monkeypatch):
+    monkeypatch.setattr(mil, "SAMPLE_PASSAGES", 20)
+    long = "word " * 64 * 50
+    rows = [(i, long if i < 6 else "a b c") for i in range(40)] + [(2, "another text"), (2, long)]
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    taken = {r.label_id: r for r in mil.sample(docs, labels).collect()}
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    sizes = {i: len(mil.unpacked(r.x, r.buckets, r.first).x) for i, r in taken.items()}
+    assert all(n == (1 if i >= 6 or i == 2 and n == 1 else 50) for i, n in sizes.items())
+    assert 1 <= sum(i < 6 for i in taken) <= 2 and sum(i >= 6 for i in taken) == min(20, sum(i >= 6 for i in free))
+    for y, ids in ((1, [i for i in free if i < 6]), (0, [i for i in free if i >= 6])):
+        assert sum(r.weight for i, r in taken.items() if r.y == y) == pytest.approx(len(ids))
 
 
 @pytest.fixture(scope="module")
