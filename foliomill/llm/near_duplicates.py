@@ -9,12 +9,14 @@ One hash function orders the shingles of a document; its sketch is the ``sketch`
    class, the hub, alone.
 4. The sketch of the union of a pair estimates its similarity; pairs that cannot link are dropped.
 5. The full sets of the rest decide. Members of a hub's family also get the difference of their set
-   from the hub's. Two of them that both link to the hub need no further look; the others are
-   compared through these differences, which give the exact similarity, in bounded cells.
+   from the hub's. Two of them that both link to the hub need no further look. Any other two that link
+   must share a part of their differences, so they meet in the short lists of the rarest shingles of
+   these (the prefix filter once more); members of a list that is long even then are compared in
+   bounded cells. Differences give the exact similarity.
 6. Components of the links name the groups.
 
-So a group of very many near copies costs its size times a few cells in the usual case, no list is
-collected beyond SHORT classes, and no link between different sets is left out.
+So a group of very many near copies, and very many pages of one template, cost in proportion to their
+number; no list is collected beyond SHORT classes, and no link between different sets is left out.
 
 Chances: for sets that fit a sketch, steps 2 and 4 are exact. For larger ones they could miss a
 pair right at the threshold with a chance of MISS at most, as the values that a sketch of the union
@@ -75,7 +77,7 @@ def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Dat
 
 
 def _signatures(docs: DataFrame, shingle: int, sketch: int) -> DataFrame:
-    """(id, n, a, b, sketch) of (id, text) rows; ``sketch`` 0 leaves that column empty."""
+    """(id, n, a, b, sketch) of (id, text) rows."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,9 +173,9 @@ def _opened(blob: bytes) -> str:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(x, y, u, v, n_x, n_y, linked, difference): pairs decided on full sets.
+    """(x, y, u, v, n_x, n_y, linked, lacking, added): pairs decided on full sets.
 
-    ``difference`` is what only one of the two sets holds, for families alone.
+    ``lacking`` and ``added`` are what only the first and only the second set holds, for families alone.
     """
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, one = None, None
@@ -183,47 +185,109 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                 if last != row.text_x:
                     last, one = row.text_x, shingle_set(_opened(row.text_x), shingle)
                 two = shingle_set(_opened(row.text_y), shingle)
-                merged = np.sort(np.concatenate((one, two)), kind="stable")
-                twice = merged[1:] == merged[:-1]
-                common = int(twice.sum())
+                common = len(np.intersect1d(one, two, assume_unique=True))
                 linked = 100 * common >= percent * (len(one) + len(two) - common)
-                difference = None
+                lacking = added = None
                 if row.family:
-                    single = np.ones(len(merged), bool)
-                    single[1:][twice] = False
-                    single[:-1][twice] = False
-                    difference = merged[single]
+                    lacking, added = (np.setdiff1d(*sets, assume_unique=True) for sets in ((one, two), (two, one)))
                 elif not linked:
                     continue
-                rows.append((row.x, row.y, row.u, row.v, len(one), len(two), linked, difference))
-            yield pd.DataFrame(rows, columns=["x", "y", "u", "v", "n_x", "n_y", "linked", "difference"])
+                rows.append((row.x, row.y, row.u, row.v, len(one), len(two), linked, lacking, added))
+            yield pd.DataFrame(rows, columns=["x", "y", "u", "v", "n_x", "n_y", "linked", "lacking", "added"])
 
     right = texts.select(F.col("a").alias("y"), F.col("node").alias("v"), F.col("text").alias("text_y"))
     left = texts.select(F.col("a").alias("x"), F.col("node").alias("u"), F.col("text").alias("text_x"))
     return pairs.join(right, "y").join(left, "x").mapInPandas(
-        decide, "x long, y long, u long, v long, n_x long, n_y long, linked boolean, difference array<long>")
+        decide, "x long, y long, u long, v long, n_x long, n_y long, linked boolean, lacking array<long>, added array<long>")
 
 
 def _family_links(verified: DataFrame, percent: int) -> DataFrame:
     """(u, v) links between members of a family that are not both linked to its hub.
 
-    With R what a member lacks of the hub and D its whole difference, two members have
-    n_hub - |R1| - |R2| + |D1 and D2| shingles in common. A cell returns no more links than join
-    its members, so at most one less than it has.
+    R is what a member lacks of the hub, A what it has beside it, n its size, p the threshold. Two members
+    have n_hub - |R1 or R2| + |A1 and A2| shingles in common, and must have p n1 and p n2.
+
+    * So A1 and A2 share at least |A1| - (1 - p) n1. Where that is over zero for one of the two, they meet in
+      the lists of what was added.
+    * With D both A and R, and w = p |A| + |R|, D1 and D2 share at least (w1 + w2 - (1 - p) n_hub) / (1 + p); w
+      is over (1 - p) n_hub if and only if a member does not link to the hub. That is over zero unless both
+      link to it. All other pairs meet in the lists of these.
+    """
+    members = verified.filter(F.col("added").isNotNull())
+    sizes = members.groupBy("x").agg(F.count(F.when(~F.col("linked"), 1)).alias("open")).filter("open > 0").select("x")
+    added, lacking = F.size("added").cast("long"), F.size("lacking").cast("long")
+    spare = 100 * added - (100 - percent) * F.col("n_y")
+    rows = workspace.written(
+        members.join(sizes, "x", "left_semi").withColumns({"bound": spare > 0, "difference": F.concat("lacking", "added")}),
+        "family-members")
+    weight = percent * added + 100 * lacking
+    over = weight - (100 - percent) * F.col("n_x")
+    # The least overlap with any partner: of a member that links to the hub, one that does not.
+    least = F.when(F.col("linked"), F.floor(weight / (100 + percent)) + 1).otherwise(F.ceil(over / (100 + percent) - 1e-9))
+    by_added, long_added = _meetings(rows, "added", F.ceil(spare / 100 - 1e-9), "one.bound OR two.bound", "bound")
+    loose = rows.filter("NOT bound")
+    by_all, long_all = _meetings(loose, "difference", least, "true", "open")
+    pairs = by_added.unionByName(by_all).distinct()
+    known = rows.select("x", "v", F.col("n_x").alias("hub"), "n_y", "difference")
+    met = pairs.join(known, ["x", "v"]).join(known.select(
+        "x", F.col("v").alias("u"), F.col("n_y").alias("m_y"), F.col("difference").alias("other")), ["x", "u"])
+    lacked = F.expr("(hub + size(difference) - n_y) div 2 + (hub + size(other) - m_y) div 2")
+    common = F.col("hub") - lacked + F.size(F.array_intersect("difference", "other"))
+    close = met.filter(100 * common >= percent * (F.col("n_y") + F.col("m_y") - common)).select("u", "v")
+    rest = long_added.unionByName(long_all).distinct()
+    return close.unionByName(_cells(rows.join(rest, ["x", "v"], "left_semi"), percent))
+
+
+def _meetings(rows: DataFrame, shingles: str, least, pairs: str, asking: str) -> tuple[DataFrame, DataFrame]:
+    """(x, u, v) pairs from the short lists of the shingles in a column, and (x, v) members of longer lists.
+
+    ``least`` is how many of them a member shares with a partner; lists that nobody asks for are left out.
+    """
+    marked = rows.select("x", "v", "linked", "bound", (~F.col("linked")).alias("open"), F.col(shingles).alias("all"),
+                         F.greatest(least, F.lit(1)).alias("least"))
+    held = marked.select("x", "v", asking, F.explode("all").alias("e"))
+    # Stored, so that the join has a shuffle of its own on either side and a hot shingle can be split.
+    shared = workspace.written(held.groupBy("x", "e").agg(
+        F.count(F.lit(1)).alias("df"), F.max(asking).alias("asked")).filter("df > 1 AND asked").drop("asked"), "family-shingles")
+    values = held.join(shared, ["x", "e"]).groupBy("x", "v").agg(
+        F.array_sort(F.collect_list(F.struct("df", "e"))).alias("values"))
+    # Shingles that no other member has come first in the order and take their places of the prefix.
+    unshared = F.size("all") - F.size("values")
+    places = F.greatest(F.size("all") - F.col("least") + 1 - unshared, F.lit(0)).cast("int")
+    listed = workspace.written(marked.join(values, ["x", "v"]).select(
+        "x", "v", "linked", "bound", F.explode(F.slice("values", F.lit(1), places)).alias("l")).select(
+        "x", "v", "linked", "bound", F.col("l.df").alias("df"), F.col("l.e").alias("e")), "family-lists")
+    lists = listed.filter(F.col("df") <= SHORT).groupBy("x", "e").agg(
+        F.array_sort(F.collect_list(F.struct("v", "linked", "bound"))).alias("list")).filter(F.size("list") > 1)
+    first = lists.select("x", "list", F.posexplode("list").alias("at", "one"))
+    met = first.select("x", "one", F.explode(F.slice("list", F.col("at") + 2, F.size("list"))).alias("two")).filter(
+        "NOT (one.linked AND two.linked)").filter(pairs).select("x", F.col("one.v").alias("u"), F.col("two.v").alias("v"))
+    return met, listed.filter(F.col("df") > SHORT).select("x", "v")
+
+
+def _cells(members: DataFrame, percent: int) -> DataFrame:
+    """(u, v) links between members of long lists: blocks of those that do not link to the hub, against all.
+
+    A cell returns no more links than join its members, so at most one less than it has.
     """
-    members = verified.filter(F.col("difference").isNotNull())
-    sizes = members.groupBy("x").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(~F.col("linked"), 1)).alias("open"))
-    open_ = sizes.filter("open > 0").select("x", F.ceil(F.col("members") / CELL).alias("blocks"))
-    blocked = members.join(open_, "x").withColumn("i", F.pmod(F.xxhash64("y"), F.col("blocks")))
-    cells = blocked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "x", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "v", "n_x", "n_y", "linked", "difference")
+    sizes = members.groupBy("x", "linked").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("n")).groupBy("x").agg(
+        F.coalesce(F.max(F.when(~F.col("linked"), F.col("n"))), F.lit(0)).alias("open"),
+        F.coalesce(F.max(F.when(F.col("linked"), F.col("n"))), F.lit(0)).alias("closed"))
+    # Blocks of open members come first; a cell is two blocks, of which the first is one of these.
+    blocked = members.join(sizes.filter("open > 0"), "x").withColumn("i", F.when(
+        F.col("linked"), F.col("open") + F.pmod(F.xxhash64("y"), F.greatest("closed", F.lit(1)))).otherwise(
+        F.pmod(F.xxhash64("y"), F.col("open"))))
+    others = F.when(F.col("linked"), F.sequence(F.lit(0).cast("long"), F.col("open") - 1)).otherwise(
+        F.sequence(F.lit(0).cast("long"), F.col("open") + F.col("closed") - 1))
+    cells = blocked.withColumn("j", F.explode(others)).select(
+        "x", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "v", "n_x", "n_y", "linked", "lacking", "difference")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         n, hub = part["n_y"].to_numpy(), int(part["n_x"].iloc[0])
         linked, node = part["linked"].to_numpy(), part["v"].tolist()
         found: list[tuple[int, int]] = []
         if not linked.all():
-            common = hub - _lacking(part, hub)
+            common = hub - part["lacking"].map(len).to_numpy()
             common = common[:, None] - (hub - common)[None, :] + _overlaps(part["difference"].tolist())
             links = 100 * common >= percent * (n[:, None] + n[None, :] - common)
             links &= ~(linked[:, None] & linked[None, :])
@@ -248,12 +312,6 @@ def _family_links(verified: DataFrame, percent: int) -> DataFrame:
     return cells.groupBy("x", "low", "high").applyInPandas(compare, "u long, v long")
 
 
-def _lacking(part: pd.DataFrame, hub: int) -> np.ndarray:
-    """Shingles of the hub that each member lacks: n = hub - lacking + (|D| - lacking)."""
-    sizes = part["difference"].map(len).to_numpy()
-    return (hub + sizes - part["n_y"].to_numpy()) // 2
-
-
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections within a cell, by a product of membership matrices in slices."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -271,11 +329,10 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links(docs: DataFrame, shingle: int, percent: int, sketch: int = SKETCH) -> tuple[DataFrame, DataFrame]:
-    """(classes, links) of (id, text) rows: one row for each distinct shingle set with its smallest
-    id as ``node``, and links (u, v) between nodes that join the same nodes as all links would."""
-    signed = _signatures(docs, shingle, sketch).filter("n > 0 AND id IS NOT NULL")
-    classes = workspace.written(signed.groupBy("a", "b").agg(
+def links(signed: DataFrame, docs: DataFrame, shingle: int, percent: int, sketch: int = SKETCH) -> tuple[DataFrame, DataFrame]:
+    """(classes, links) of the signatures of (id, text) rows: one row for each distinct shingle set with its
+    smallest id as ``node``, and links (u, v) between nodes that join the same nodes as all links would."""
+    classes = workspace.written(signed.filter("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(
         F.min("id").alias("node"), F.min("n").alias("n"), F.min_by("sketch", "id").alias("sketch")), "classes")
     short, families = _listed(workspace.written(_prefixes(classes, sketch, percent), "prefixes"))
     pairs = workspace.written(
@@ -299,8 +356,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     without an id is in no group: its component is null and it is kept. Other columns are not read.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    classes, found = links(rows, shingle, percent, sketch)
-    keys = _signatures(rows, shingle, 0).drop("sketch")
+    signed = workspace.written(_signatures(rows, shingle, sketch), "signatures")
+    classes, found = links(signed, rows, shingle, percent, sketch)
+    keys = signed.drop("sketch")
     placed = workspace.written(keys.join(
         classes.filter("node IS NOT NULL").select("a", "b", "node"), ["a", "b"], "left").withColumn(
         "node", F.when(F.col("id").isNotNull(), F.col("node"))).select("id", "n", "node"), "placed")

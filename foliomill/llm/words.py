@@ -3,25 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
+LONG = 64  # bytes of a word that is hashed by itself
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, 2^bits of them, kept for the next text."""
-    if bits in _POWERS:
-        return _POWERS[bits]
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    up, down = np.full(1 << bits, BASE, np.uint64), np.full(1 << bits, inverse, np.uint64)
-    up[0] = down[0] = 1
-    _POWERS[bits] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[bits]
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -40,13 +29,31 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word: a polynomial over its bytes, from running sums, then mixed."""
+    """A 64-bit hash of every word: eight bytes at a time, mixed between; long words one by one.
+
+    The mixing is no sum, so words that differ by any pattern of letters have unrelated hashes.
+    """
+    lengths = (ends - starts).astype(np.uint64)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(max(12, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+        return lengths
+    # Each place as the eight bytes from there on.
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+    out = mixed(lengths * BASE + _MIX[1])
+    at, left = np.arange(len(starts)), lengths.astype(np.int64)
+    long = left > LONG
+    at = at[~long]
+    place = starts[at]
+    while len(at):
+        chunk = eights[place] & _FIRST[np.minimum(left[at], 8)]
+        out[at] = mixed((out[at] ^ chunk) * BASE + _MIX[0])
+        left[at] -= 8
+        more = left[at] > 0
+        at, place = at[more], place[more] + 8
+    raw = data.tobytes() if long.any() else b""
+    for i in np.flatnonzero(long):
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i]:ends[i]], seed=int(_MIX[0]))
+    return out
 
 
 def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:

@@ -80,6 +80,38 @@ def test_agrees_with_brute_force(spark, monkeypatch, short, cell, shingle, perce
     assert run(spark, rows, shingle, percent) == brute(rows, shingle, percent)
 
 
+def template(pages, own=40):
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(140)]
+    return [(i, " ".join(common[:70] + [f"o{rng.random()}" for _ in range(own)] + common[70:])) for i in range(pages)]
+
+
+def test_pages_of_one_template_need_no_cells(spark, monkeypatch):
+    seen, cells = [], nd._cells
+    monkeypatch.setattr(nd, "_cells", lambda members, percent: (seen.append(members.count()), cells(members, percent))[1])
+    rows = template(400) + [(1000 + i, t + " end") for i, t in template(400)[:30]]
+    assert run(spark, rows) == brute(rows, 3, 85)
+    assert seen == [0]
+
+
+@pytest.mark.parametrize("short", [64, 3])
+def test_groups_within_one_template(spark, monkeypatch, short):
+    monkeypatch.setattr(nd, "SHORT", short)
+    monkeypatch.setattr(nd, "CELL", 8)
+    rng = random.Random(11)
+    rows = []
+    for i, text in template(30):
+        rows += [(100 * i + j, t) for j, t in enumerate(copies(rng, text.split(), 12, 0.08))]
+    assert run(spark, rows) == brute(rows, 3, 85)
+
+
+def test_words_that_sums_of_powers_cannot_tell_apart(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join([w, *"q r s t u v".split()])) for i, w in enumerate([one, two, one[:64], two[:64], one[:32], two[:32], one])]
+    assert run(spark, rows, 3, 100) == brute(rows, 3, 100)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "A"), (6, "a b"), (7, "É x"), (8, "é x"), (None, "a"), (None, None),

@@ -79,3 +79,20 @@ def test_dedup_of_odd_rows(spark):
     out = pipeline.near_dedup(spark, docs, SF)
     assert out.columns == docs.columns
     assert sorted((r.doc_id for r in out.collect()), key=repr) == [1, 2, 3, 5, None]
+
+
+def test_clean_rows_that_share_an_id_stay(spark):
+    rng = __import__("random").Random(1)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[2] + " end"), (2, texts[2] + " end"), (3, texts[1] + " more"),
+            (4, texts[3]), (5, texts[4]), (6, texts[4] + " more"), (7, None), (7, ""), (7, texts[5]), (None, texts[5]), (None, texts[5])]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, {"k": i}) for i, r in enumerate(rows)], SCHEMA + ", _key map<string, int>")
+    out = pipeline.near_dedup(spark, workspace.written(docs, "clash"), SF)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    # Ids 1 and 2 stand at two texts each: 3 has one text and comes before them.
+    two = {t for i, t in got if i == 2}
+    assert len(two) == 1 and two <= {texts[2], texts[2] + " end"}
+    del got[2, two.pop()]
+    assert got == Counter({(1, texts[0]): 1, (3, texts[1] + " more"): 1, (4, texts[3]): 1, (5, texts[4]): 1, (7, None): 1, (7, ""): 1,
+                           (7, texts[5]): 1, (None, texts[5]): 2})
