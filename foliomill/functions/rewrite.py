@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from foliomill.functions.patterns import java
 
 _HEAD, _TAGGED, _PARTS = "_matchable", "_tagged", "_between"
-# Stands for "<" of an opening tag inside another one while a rule runs.
-_MASK = "\ue000"
+# One that the text does not hold stands for "<" of an opening tag inside another one while a rule runs.
+_MASKS = ("\ue000", "\ufdd0", "\ufdef", "\uf8ff")
 
 
 def count_matches(text: Column, pattern: str) -> Column:
@@ -57,23 +57,31 @@ def replace_tags(
     return df.drop(_TAGGED)
 
 
+def _mask(text: Column) -> Column:
+    """The first of the mask characters that a text does not hold; null if it holds them all."""
+    free = F.lit(None).cast("string")
+    for char in reversed(_MASKS):
+        free = F.when(~F.contains(text, F.lit(char)), char).otherwise(free)
+    return free
+
+
 def masked(text: Column, opener: str) -> Column:
     """Hide openers that stand inside an opening tag of the same kind.
 
     ``opener`` is a pattern of a tag's start, without its ``<``. All openers before one ``>`` end
     there together: if the first of them begins no match, neither does another. Trying them all
-    would scan that stretch once for each, so all but the first are masked. Texts that hold the
-    mask character themselves are left alone.
+    would scan that stretch once for each, so all but the first are masked.
     """
-    crowded = text.rlike(f"(?s)<{opener}[^>]*<{opener}") & ~F.contains(text, F.lit(_MASK))
+    crowded = text.rlike(f"(?s)<{opener}[^>]*<{opener}")
     inner = f"(?s)((?:<{opener}|(?!\\A)\\G)(?:[^<>]|<(?!{opener}))*+)<(?={opener})"
-    return F.when(crowded, F.regexp_replace(text, inner, "$1" + _MASK)).otherwise(text)
+    hidden = F.regexp_replace(text, F.lit(inner), F.concat(F.lit("$1"), _mask(text)))
+    return F.when(crowded, F.coalesce(hidden, text)).otherwise(text)
 
 
 def unmasked(text: Column, before: Column) -> Column:
     """Undo ``masked``; ``before`` is the text as it was before masking."""
-    undo = F.contains(text, F.lit(_MASK)) & ~F.contains(before, F.lit(_MASK))
-    return F.when(undo, F.replace(text, F.lit(_MASK), F.lit("<"))).otherwise(text)
+    return let(_mask(before), lambda mask: F.when(
+        F.contains(text, mask), F.replace(text, mask, F.lit("<"))).otherwise(text))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+import zlib
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
-from foliomill.functions.rewrite import fence, if_contains, let, masked, matchable, replace_tags, rewrite_pairs
+from foliomill.functions.rewrite import fence, if_contains, masked, matchable, replace_tags, rewrite_pairs
 from foliomill.functions.text import LINE_BREAK, SPACE, strip, substitute
-from foliomill.operators import clean
+from foliomill.operators import blocks, clean
 
 BLOCK_TAG = P.either(
     "p|div|article|section|header|footer|main|nav|aside|ul|ol|dl|dd|dt|table|thead|tbody|tfoot|"
@@ -23,24 +25,24 @@ LINK = (
 )
 TITLE = P.opening("title") + "(.*?)" + P.closing("title")
 OTHER_TAG = "</?[A-Za-z][^>]*>|<![^>]*>"
-ORDERED = P.opening("ol") + f"([^<]*(?:<(?!/?{P.any_case('ol|ul')})[^<]*)*+)" + P.closing("ol")
-ITEM = P.opening("li")
-CODE_BLOCK = P.opening("pre") + f"[{SPACE}]*" + P.opening("code")
-CODE_BLOCK_END = P.closing("code") + f"[{SPACE}]*" + P.closing("pre")
-# Private characters that stand for the ends of a quotation until its text is ready.
-_QUOTE, _UNQUOTE = "\ue001", "\ue002"
 ENTITY = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
+_SHELVES = 256  # of the table of entities: looking a name up reads one shelf
+
+
 def _entity_table() -> Column:
-    """Characters by entity name: those of HTML 4, and the numbers that browsers read as
-    Windows-1252. Made from the standard library's tables."""
-    chars = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    """Characters by entity name in shelves by the name's checksum: all names of HTML 5 that end with a
+    semicolon, and the numbers that browsers read as Windows-1252. Made from the standard library's tables."""
+    chars = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
     for code in range(0x80, 0xA0):
         char = bytes([code]).decode("cp1252", "ignore")
         if char:
             chars[f"#{code}"] = char
-    return F.map_from_arrays(F.split(F.lit(" ".join(chars)), " "), F.split(F.lit("\x00".join(chars.values())), "\x00"))
+    shelves: list[dict[str, str]] = [{} for _ in range(_SHELVES)]
+    for name, char in chars.items():
+        shelves[zlib.crc32(name.encode()) % _SHELVES][name] = char
+    return F.from_json(F.lit(json.dumps(shelves)), "array<map<string, string>>")
 
 
 def _entity(name: Column) -> Column:
@@ -52,7 +54,7 @@ def _entity(name: Column) -> Column:
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     key = F.when(F.startswith(name, F.lit("#")), F.concat(F.lit("#"), code.cast("string"))).otherwise(name)
     return F.coalesce(
-        F.try_element_at(_entity_table(), key),
+        F.try_element_at(F.get(_entity_table(), (F.crc32(key.cast("binary")) % _SHELVES).cast("int")), key),
         F.when(F.startswith(name, F.lit("#")), F.when(usable, char).otherwise("\ufffd")),
         F.concat(F.lit("&"), name, F.lit(";")),
     )
@@ -63,42 +65,21 @@ def decode_entities(text: Column) -> Column:
     return if_contains(text, "&", substitute(text, ENTITY, _entity, 1), text)
 
 
-def _numbered(body: Column) -> Column:
-    """Items of an ordered list, numbered from one."""
-    def written(parts: Column) -> Column:
-        items = F.transform(
-            F.slice(parts, 2, F.size(parts)),
-            lambda part, i: F.concat(F.lit("\n"), (i + 1).cast("string"), F.lit(". "), part))
-        return F.concat(F.lit("\n\n"), F.get(parts, 0), F.array_join(items, ""), F.lit("\n\n"))
-
-    return let(F.split(body, ITEM), written)
-
-
-def _quoted(text: Column) -> Column:
-    """Bodies of quotations with every line marked; inner ones first, two levels deep."""
-    def marked(body: Column) -> Column:
-        return F.concat(F.lit("\n\n"), F.regexp_replace(
-            F.regexp_replace(strip(body), P.BLANK_RUN, "\n\n"), "(?m)^", "> "), F.lit("\n\n"))
-
-    pattern = f"{_QUOTE}([^{_QUOTE}{_UNQUOTE}]*){_UNQUOTE}"
-    for _ in range(2):
-        text = if_contains(text, _QUOTE, substitute(text, pattern, marked, 1), text)
-    return F.regexp_replace(text, f"[{_QUOTE}{_UNQUOTE}]", "")
-
-
 def html_to_markdown(
     df: DataFrame, html: str = "html", into: str = "markdown", where: Column | str | None = None
 ) -> DataFrame:
     """Visible text of an HTML column as Markdown in ``into``, and its ``title``.
 
-    Scripts, styles and comments go first: they may hold text that looks like tags. ``where`` is a
-    condition on other columns; applied first, it reaches the scan, which later filters do not.
+    Scripts, styles and comments go first: they may hold text that looks like tags. Nested blocks are
+    marked and, once all other tags are gone, written by one fold (``blocks``); texts without them skip it.
+    ``where`` is a condition on other columns; applied first, it reaches the scan, which later filters do not.
     """
     if where is not None:
         df = df.filter(where)
     text = F.col(into)
     df = df.withColumns({
-        into: F.col(html),
+        # HTML has no NUL: readers show it as a replacement character.
+        into: if_contains(F.col(html), blocks.MARK, F.replace(F.col(html), F.lit(blocks.MARK), F.lit("\ufffd")), F.col(html)),
         "_titled": masked(matchable(F.col(html), P.closing("title"), "<"), P.starting("title")),
     })
     df = df.withColumn(
@@ -114,17 +95,10 @@ def html_to_markdown(
         )
     df = rewrite_pairs(df, into, P.closing("a"), lambda t: F.regexp_replace(t, P.java(LINK), "[$4]($1$2$3)"),
                        opener=P.A_START)
-    has = text.rlike(f"<{P.any_case('ol|pre|blockquote')}")
-    df = df.withColumn("_blocks", has)
-    df = df.withColumn(into, F.when(F.col("_blocks"), substitute(text, P.java(ORDERED), _numbered, 1)).otherwise(text))
-    blocks = text
-    for pattern, replacement in (
-        (CODE_BLOCK, "\n\n```\n"), (CODE_BLOCK_END, "\n```\n\n"), (P.opening("pre"), "\n\n```\n"),
-        (P.closing("pre"), "\n```\n\n"), (P.opening("blockquote"), f"\n\n{_QUOTE}"),
-        (P.closing("blockquote"), f"{_UNQUOTE}\n\n"),
-    ):
-        blocks = F.regexp_replace(blocks, P.java(pattern), replacement)
-    df = df.withColumn(into, F.when(F.col("_blocks"), blocks).otherwise(text)).drop("_blocks")
+    nested = F.col("_nested")
+    df = df.withColumn("_nested", text.rlike(P.java(blocks.NESTED)))
+    for step in blocks.marked(text, substitute):
+        df = df.withColumn(into, F.when(nested, step).otherwise(text))
     df = replace_tags(df, into, [
         (f"<[hH]([1-6]){P.ATTRS}>", "\n\n<h$1>"), ("</[hH][1-6]>", "\n\n"),
     ])
@@ -139,9 +113,8 @@ def html_to_markdown(
     df = clean.convert_img_tags(df, into).drop("img_tags_converted")
     df = replace_tags(df, into, [(BLOCK_TAG, "\n\n"), (OTHER_TAG, "")])
     df = df.withColumn(into, decode_entities(text))
-    df = df.withColumn(into, if_contains(text, _QUOTE, _quoted(text), text))
     squeezed = F.regexp_replace(F.regexp_replace(text, P.TRAILING_BLANKS, ""), P.BLANK_RUN, "\n\n")
-    return fence(df.withColumn(into, strip(squeezed)))
+    return fence(df.withColumn(into, strip(F.when(nested, blocks.written(text)).otherwise(squeezed))).drop("_nested"))
 
 
 def text_to_markdown(df: DataFrame, text: str = "text", into: str = "markdown") -> DataFrame:
