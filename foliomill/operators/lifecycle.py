@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions.text import human_size, if_empty, safe_name, stem, suffix
 from foliomill.operators.ingest import path_verdict
-from foliomill.operators.skew import bucketed_lag, bucketed_row_number, bucketed_running_sum
+from foliomill.operators.skew import (
+    HOT, bucketed_lag, bucketed_row_number, bucketed_running_sum, large_keys, range_bucket, sized_row_number, split_points,
+    within,
+)
 from foliomill.sources import lookups, workspace
 
 MAX_WARNINGS = 50
@@ -24,23 +27,22 @@ FILE_FIELDS = (
 )
 
 
-def id_bucket(column: str = "file_id") -> Column:
-    """First two characters of a random id: 256 even buckets in id order."""
-    return F.substring(F.col(column).cast("string"), 1, 2)
-
-
 # -- status ---------------------------------------------------------------------------------
 
 
-def tallies(files: DataFrame) -> DataFrame:
-    """Files and finished files of each job, and when the last one finished."""
+def _tally() -> list[Column]:
     done, failed = F.col("status") == "done", F.col("status") == "failed"
-    return files.groupBy("job_id").agg(
+    return [
         F.count(F.lit(1)).alias("file_rows"),
         F.count_if(done).alias("succeeded"),
         F.count_if(failed).alias("failed"),
         F.max(F.when(done | failed, F.col("finished_at"))).alias("last_finished_at"),
-    )
+    ]
+
+
+def tallies(files: DataFrame) -> DataFrame:
+    """Files and finished files of each job, and when the last one finished."""
+    return files.groupBy("job_id").agg(*_tally())
 
 
 def status_of(total: Column, succeeded: Column, failed: Column) -> Column:
@@ -55,7 +57,11 @@ def status_of(total: Column, succeeded: Column, failed: Column) -> Column:
 
 def job_status(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """Status of every job from its files; jobs without files are kept."""
-    joined = jobs.join(tallies(files), "job_id", "left").fillna(0, ["succeeded", "failed", "file_rows"])
+    return _with_status(jobs.join(tallies(files), "job_id", "left"))
+
+
+def _with_status(joined: DataFrame) -> DataFrame:
+    joined = joined.fillna(0, ["succeeded", "failed", "file_rows"])
     total = F.coalesce("total_files", F.lit(0))
     return joined.withColumns({
         "total_files": total,
@@ -137,7 +143,7 @@ def nest_files(files: DataFrame, chunk: int = FILES_PER_CHUNK) -> DataFrame:
     grows with the job and no file is left out.
     """
     ranked = bucketed_row_number(
-        files.select(*FILE_FIELDS), ["job_id"], id_bucket(), [F.col("file_id")], "_at"
+        files.select(*FILE_FIELDS), ["job_id"], range_bucket("file_id", split_points(files, "file_id")), [F.col("file_id")], "_at"
     )
     part = F.floor((F.col("_at") - 1) / chunk).cast("int")
     return ranked.groupBy("job_id", part.alias("chunk")).agg(
@@ -149,14 +155,32 @@ def job_detail(jobs: DataFrame, files: DataFrame, chunk: int = FILES_PER_CHUNK)
     """Jobs with status, counters, end and error, and their files nested; a job without files has
     one row and no array.
 
-    An inner join and the jobs without files, not an outer join: adaptive execution can split a
-    very large job's chunks only on a side whose unmatched rows are not kept. Which jobs have files
-    is known from the tallies.
+    One grouping gives tallies and files of each job. Jobs of more files than one task takes are known from
+    a count beforehand: theirs are nested in chunks from the start.
     """
-    told = job_progress(job_terminal_fields(job_status(jobs, files))).drop("last_finished_at", "progress")
-    with_files = told.filter("file_rows > 0").join(nest_files(files, chunk), "job_id")
-    empty = told.filter("file_rows = 0").withColumn("chunk", F.lit(0))
-    return with_files.unionByName(empty, allowMissingColumns=True).drop("file_rows")
+    large = large_keys(files.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")), ["job_id"], "n")
+    if large is None:
+        return _detail(jobs, files, chunk)
+    large = workspace.written(large, "large-jobs")
+    usual = _detail(within(jobs, large, ["job_id"], "left_anti"), within(files, large, ["job_id"], "left_anti"), chunk)
+    theirs = within(files, large, ["job_id"], "left_semi")
+    # An inner join: adaptive execution can split a very large job's chunks.
+    told = _told(job_status(within(jobs, large, ["job_id"], "left_semi"), theirs))
+    return usual.unionByName(told.join(nest_files(theirs, chunk), "job_id").drop("file_rows"))
+
+
+def _told(statuses: DataFrame) -> DataFrame:
+    return job_progress(job_terminal_fields(statuses)).drop("last_finished_at", "progress")
+
+
+def _detail(jobs: DataFrame, files: DataFrame, chunk: int) -> DataFrame:
+    """``job_detail`` of jobs whose files fit a task."""
+    grouped = files.groupBy("job_id").agg(
+        *_tally(), F.sort_array(F.collect_list(F.struct(*FILE_FIELDS))).alias("_all"))
+    told = _told(_with_status(jobs.join(grouped, "job_id", "left")))
+    last = F.floor((F.greatest("file_rows", F.lit(1)) - 1) / chunk).cast("int")
+    return told.withColumn("chunk", F.explode(F.sequence(F.lit(0), last))).withColumn(
+        "files", F.slice("_all", F.col("chunk") * chunk + 1, F.lit(chunk))).drop("_all", "file_rows")
 
 
 def list_jobs(
@@ -178,7 +202,7 @@ def list_jobs(
             else created.isNull() | (created < F.lit(at)) | ((created == F.lit(at)) & later))
     page = workspace.written(
         jobs.orderBy(created.desc_nulls_last(), "job_id").offset(offset).limit(limit), "job-page")
-    wanted = files.join(F.broadcast(page.select("job_id")), "job_id", "left_semi")
+    wanted = workspace.written(files.join(F.broadcast(page.select("job_id")), "job_id", "left_semi"), "page-files")
     return job_detail(page, wanted).orderBy(created.desc_nulls_last(), "job_id", "chunk")
 
 
@@ -267,99 +291,132 @@ def preview_availability(files: DataFrame) -> DataFrame:
 # Longer numbers than 18 digits cannot be reached by counting files.
 _NUMBER = "[2-9]|[1-9][0-9]{1,17}"
 _NUMBERED = f"^(.*)-({_NUMBER})$"
+NAME_KEYS = ["job_id", "ext", "name_stem"]
+STRETCH = 10_000  # numbers of one family that are settled at a time
 
 
 def _sibling_pairs(groups: DataFrame) -> DataFrame:
-    """Numbered names next to the plain name in the same job: ``a-2`` beside ``a``."""
-    keys = ["job_id", "ext", "name_stem"]
+    """Numbered names next to the plain name in the same job: ``a-2`` beside ``a``, if counting can reach them."""
     numbered = groups.filter(F.col("name_stem").rlike(_NUMBERED)).select(
         "job_id", "ext", F.regexp_extract("name_stem", _NUMBERED, 1).alias("name_stem"),
         F.col("name_stem").alias("sibling"), F.col("first_id").alias("file_id"),
         F.regexp_extract("name_stem", _NUMBERED, 2).cast("long").alias("number"),
     )
-    beside = numbered.join(groups.select(*keys, F.col("files").alias("parent_files")), keys)
+    beside = numbered.join(groups.select(*NAME_KEYS, F.col("files").alias("parent_files")), NAME_KEYS)
     # A parent's files take at most as many numbers as there are of them and of its siblings.
-    siblings = beside.groupBy(*keys).agg(F.count(F.lit(1)).alias("siblings"))
-    return beside.join(siblings, keys).filter(F.col("number") <= F.col("parent_files") + F.col("siblings") + 1).drop("siblings")
-
-
-def _shifted_names(pairs: DataFrame, ready: DataFrame) -> DataFrame:
-    """How literal names like ``a-2`` push the numbering of ``a``: (keys, shift, breaks).
-
-    ``shift`` is 1 where the group's plain name was already taken; ``breaks`` holds the arrivals
-    from which one more number is skipped. What has to be decided in sequence is one entry for
-    each distinct numbered sibling, pre-aggregated; files themselves are only counted.
+    siblings = beside.groupBy(*NAME_KEYS).agg(F.count(F.lit(1)).alias("siblings"))
+    reached = beside.join(siblings, NAME_KEYS).filter(F.col("number") <= F.col("parent_files") + F.col("siblings") + 1)
+    return reached.withColumn("stretch", F.when(F.col("siblings") <= STRETCH, 0).otherwise(F.floor(F.col("number") / STRETCH)))
+
+
+def _placed(pairs: DataFrame, ready: DataFrame) -> DataFrame:
+    """Pairs with ``before``, the parent's files that came before the sibling's first one, by a running count over both."""
+    parents = pairs.select(*NAME_KEYS, "parent_files", "siblings").distinct()
+    files = ready.join(parents.select(*NAME_KEYS), NAME_KEYS, "left_semi").select(*NAME_KEYS, "file_id", F.lit(1).alias("is_file"))
+    both = files.unionByName(pairs.withColumn("is_file", F.lit(0)), allowMissingColumns=True)
+    large = large_keys(parents.withColumn("n", F.col("parent_files") + F.col("siblings")), NAME_KEYS, "n")
+    order = Window.partitionBy(*NAME_KEYS).orderBy("file_id", "sibling").rowsBetween(Window.unboundedPreceding, 0)
+    usual = both if large is None else within(both, large, NAME_KEYS, "left_anti")
+    counted = usual.withColumn("before", F.sum("is_file").over(order))
+    if large is not None:
+        hot = within(both, large, NAME_KEYS, "left_semi")
+        counted = counted.unionByName(bucketed_running_sum(
+            hot, NAME_KEYS, range_bucket("file_id", split_points(hot, "file_id")),
+            [F.col("file_id"), F.col("sibling")], F.col("is_file"), "before"))
+    return counted.filter("is_file = 0").drop("is_file")
+
+
+def _settled(pairs: DataFrame) -> DataFrame:
+    """How literal names like ``a-2`` push the numbering of ``a``: (keys, shift, skip_at).
+
+    A row has either ``shift`` 1, where the group's plain name was already taken by its parent's numbering, or
+    ``skip_at``, an arrival from which on one more number is skipped. What is decided in sequence goes number by
+    number within a parent: a sibling keeps its name if it came before the parent's numbering reached it,
+    which depends on the names kept before. All families are settled at once, a stretch of numbers after the
+    other and parents before their siblings, so no array grows with a family.
     """
-    keys = ["job_id", "ext", "name_stem"]
-    # Parent files that came before the sibling's first one, by a running count over both.
-    parents = ready.join(pairs.select(*keys).distinct(), keys, "left_semi").select(
-        *keys, "file_id", F.lit(1).alias("is_file")
-    )
-    both = parents.unionByName(pairs.withColumn("is_file", F.lit(0)), allowMissingColumns=True)
-    placed = bucketed_running_sum(
-        both, keys, id_bucket(), [F.col("file_id"), F.col("sibling")], F.col("is_file"), "before"
-    ).filter(F.col("is_file") == 0)
-    family = F.regexp_replace("name_stem", f"(-({_NUMBER}))+$", "").alias("family")
-    pair = F.struct(F.length("name_stem").alias("length"), "name_stem", "number", "sibling", "parent_files", "before")
+    trailing = F.regexp_extract("name_stem", f"((?:-(?:{_NUMBER}))*)$", 1)
+    pairs = workspace.written(pairs.withColumn("level", F.size(F.split(trailing, "-"))), "name-pairs")
+    steps = sorted(tuple(r) for r in pairs.select("level", "stretch").distinct().collect())
+    settled = None
+    for level, stretch in steps:
+        part = pairs.filter((F.col("level") == level) & (F.col("stretch") == stretch))
+        if settled is None:
+            part = part.withColumns({"shifted": F.lit(0).cast("long"), "skipped": F.lit(0).cast("long")})
+        else:
+            known = settled.groupBy(*NAME_KEYS).agg(
+                F.max("shift").cast("long").alias("shifted"), F.count("skip_at").alias("skipped"))
+            part = part.join(known, NAME_KEYS, "left").fillna(0, ["shifted", "skipped"])
+        done = workspace.written(_stretch(part), "names-settled")
+        settled = done if settled is None else settled.unionByName(done)
+    return settled
+
+
+def _stretch(pairs: DataFrame) -> DataFrame:
+    """``_settled`` of one stretch of siblings for each parent; ``skipped`` counts the names kept before."""
+    row = "struct<name_stem: string, shift: int, skip_at: bigint>"
+    acc_type = f"struct<skipped: bigint, found: array<{row}>>"
 
     def settle(acc: Column, pair: Column) -> Column:
-        """One sibling: taken before its parent's numbering got there, or by it, or never reached."""
-        skipped = F.when(acc["parent"] == pair["name_stem"], acc["skipped"]).otherwise(0)
-        shifted = F.exists(acc["found"], lambda f: (f["name_stem"] == pair["name_stem"]) & (f["shift"] == 1))
-        arrival = pair["number"] - skipped - shifted.cast("long")
-        skips = (pair["before"] < arrival).cast("int")
-        row = F.struct(
-            F.when(skips == 1, pair["name_stem"]).otherwise(pair["sibling"]).alias("name_stem"),
-            (1 - skips).alias("shift"), F.when(skips == 1, arrival).alias("skip_at"))
-        reached = arrival <= pair["parent_files"]
-        return F.struct(
-            pair["name_stem"].alias("parent"), (skipped + F.when(reached, skips).otherwise(0)).alias("skipped"),
-            F.when(reached, F.array_append(acc["found"], row)).otherwise(acc["found"]).alias("found"))
-
-    # Parents are shorter than their siblings, so in this order a parent's own shift is known.
-    start = F.struct(
-        F.lit("").alias("parent"), F.lit(0).alias("skipped"),
-        F.array().cast("array<struct<name_stem:string,shift:int,skip_at:bigint>>").alias("found"))
-    settled = (
-        placed.groupBy("job_id", "ext", family).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-        .select("job_id", "ext", F.explode(
-            F.aggregate("pairs", start, settle, lambda acc: acc["found"])).alias("f"))
-        .select("job_id", "ext", "f.*")
-    )
-    return settled.groupBy(*keys).agg(
-        F.max("shift").alias("shift"), F.collect_list("skip_at").alias("breaks")
-    )
+        """A sibling that came first keeps its name; one that the numbering passed before loses it."""
+        arrival = pair["number"] - acc["skipped"] - F.col("shifted")
+        kept = pair["before"] < arrival
+        told = F.struct(
+            F.when(kept, F.col("name_stem")).otherwise(pair["sibling"]).alias("name_stem"),
+            F.when(kept, 0).otherwise(1).alias("shift"), F.when(kept, arrival).alias("skip_at")).cast(row)
+        # The numbering never gets to a sibling beyond the parent's last file.
+        return F.when(arrival > F.col("parent_files"), acc).otherwise(F.struct(
+            (acc["skipped"] + kept.cast("long")).alias("skipped"), F.array_append(acc["found"], told).alias("found")))
+
+    gathered = pairs.groupBy(*NAME_KEYS, "parent_files", "shifted", "skipped").agg(
+        F.array_sort(F.collect_list(F.struct("number", "before", "sibling"))).alias("pairs"))
+    start = F.struct(F.col("skipped").alias("skipped"), F.array().alias("found")).cast(acc_type)
+    folded = F.aggregate("pairs", start, lambda acc, pair: settle(acc, pair).cast(acc_type), lambda acc: acc["found"])
+    return gathered.select("job_id", "ext", F.explode(folded).alias("f")).select("job_id", "ext", "f.*")
+
+
+def _past_breaks(named: DataFrame, breaks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Arrivals moved on by the breaks that are not behind them, by a running count over both."""
+    rows = named.withColumns({"_at": F.col("_number").cast("long"), "_skip": F.lit(0)}).unionByName(
+        breaks.select(*NAME_KEYS, F.col("skip_at").alias("_at"), F.lit(1).alias("_skip")), allowMissingColumns=True)
+    order = Window.partitionBy(*NAME_KEYS).orderBy("_at", F.desc("_skip")).rowsBetween(Window.unboundedPreceding, 0)
+    large = large_keys(sizes, NAME_KEYS, "files")
+    usual = rows if large is None else within(rows, large, NAME_KEYS, "left_anti")
+    counted = usual.withColumn("_passed", F.sum("_skip").over(order))
+    if large is not None:
+        counted = counted.unionByName(bucketed_running_sum(
+            within(rows, large, NAME_KEYS, "left_semi"), NAME_KEYS, F.floor(F.col("_at") / HOT),
+            [F.col("_at"), F.desc("_skip")], F.col("_skip"), "_passed"))
+    return counted.filter("_skip = 0").withColumn("_number", F.col("_number") + F.col("_passed")).drop("_at", "_skip", "_passed")
 
 
 def bundle_names(files: DataFrame) -> DataFrame:
-    """Member names of each job's download bundle, in file id order.
+    """(job_id, file_id, output_path, member_name): names of each job's download bundle, in file id order.
 
     The first file of a name keeps it; later ones get the smallest free ``-n`` from 2. Only names
     beside a literally numbered one that counting can reach need more than counting.
     """
-    keys = ["job_id", "ext", "name_stem"]
-    ready = files.filter(
+    ready = workspace.written(files.filter(
         F.col("output_path").isNotNull() & (path_verdict(F.col("output_path")) == "contained")
-    ).withColumns({
-        "name_stem": safe_name(stem(F.col("original_filename"))),
-        "ext": output_suffix(F.col("output_path")),
-    })
+    ).select("job_id", "file_id", "output_path", safe_name(stem(F.col("original_filename"))).alias("name_stem"),
+             output_suffix(F.col("output_path")).alias("ext")), "bundle-files")
     groups = workspace.written(
-        ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.min("file_id").alias("first_id")),
-        "bundle-names",
-    )
-    pairs = _sibling_pairs(groups)
-    named = bucketed_row_number(ready, keys, id_bucket(), [F.col("file_id")], "_number")
-    arrival = F.col("_number")
-    skipped = F.col("shift") + F.size(F.filter("breaks", lambda at: at <= arrival))
-    named = named.join(_shifted_names(pairs, ready.select(*keys, "file_id")), keys, "left").withColumn(
-        "_number", arrival + F.coalesce(skipped, F.lit(0))
-    ).drop("shift", "breaks")
+        ready.groupBy(*NAME_KEYS).agg(F.count(F.lit(1)).alias("files"), F.min("file_id").alias("first_id")), "bundle-names")
+    named = sized_row_number(ready, NAME_KEYS, "file_id", "_number", groups, "files")
+    settled = _settled(_placed(_sibling_pairs(groups), ready))
+    if settled is not None:
+        settled = workspace.written(settled, "names-moved")
+        moved = settled.groupBy(*NAME_KEYS).agg(F.max("shift").alias("_shift"), F.count("skip_at").alias("_breaks"))
+        named = workspace.written(named.join(moved, NAME_KEYS, "left").withColumn(
+            "_number", F.col("_number") + F.coalesce("_shift", F.lit(0))).drop("_shift"), "bundle-arrivals")
+        breaks = settled.filter("skip_at IS NOT NULL").join(
+            moved.select(*NAME_KEYS, "_shift"), NAME_KEYS).withColumn("skip_at", F.col("skip_at") + F.col("_shift"))
+        broken = named.filter("_breaks > 0").drop("_breaks")
+        named = named.filter("_breaks IS NULL OR _breaks = 0").drop("_breaks").unionByName(_past_breaks(broken, breaks, groups))
     number = F.col("_number")
     name = F.when(number == 1, F.concat("name_stem", "ext")).otherwise(
-        F.concat(F.col("name_stem"), F.lit("-"), number.cast("string"), F.col("ext"))
-    )
-    return named.withColumn("member_name", name).drop("_number", "name_stem", "ext")
+        F.concat(F.col("name_stem"), F.lit("-"), number.cast("string"), F.col("ext")))
+    return named.select("job_id", "file_id", "output_path", name.alias("member_name"))
 
 
 def bundle_manifest(files: DataFrame) -> DataFrame:

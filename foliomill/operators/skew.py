@@ -3,7 +3,10 @@
 A plain window sends all rows of a key to one task. Here the key is cut into buckets that follow
 the wanted order; rows are ranked inside their bucket, and what the bucket needs to know about
 the ones before it (a row count, a last row) comes from a pre-aggregated table with one row for
-each key and bucket. The results equal the plain window's. Keys must not be NULL.
+each key and bucket. The results equal the plain window's. A NULL key is a key like any other.
+
+Few keys are that large. ``sized_row_number`` cuts those alone, at split points sampled from their
+rows; all others take one plain window.
 """
 
 from __future__ import annotations
@@ -11,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT = 20_000   # rows of a key that one task takes
+SPLITS = 200   # buckets of larger keys
+SAMPLED = 20_000  # rows of larger keys that split points are taken from
+
 
 def _attach(df: DataFrame, side: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Join ``value`` on the keys and ``_bucket``; the window already partitioned rows that way."""
@@ -63,3 +70,43 @@ def bucketed_lag(
     return _attach(looked, carried, keys, "_carried").withColumn(
         name, F.coalesce("_in", "_carried")
     ).drop("_in", "_carried", "_bucket", "_value")
+
+
+def large_keys(sizes: DataFrame, keys: list[str], rows: str) -> DataFrame | None:
+    """The keys with more than HOT rows, or None if there are none."""
+    large = sizes.filter(F.col(rows) > HOT).select(*keys)
+    return large if large.limit(1).count() else None
+
+
+def within(df: DataFrame, side: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join on the keys; NULL equals NULL."""
+    right = side.select(*[F.col(name).alias(f"_side{at}") for at, name in enumerate(keys)])
+    return df.join(right, [F.col(name).eqNullSafe(F.col(f"_side{at}")) for at, name in enumerate(keys)], how)
+
+
+def split_points(df: DataFrame, column: str, parts: int = SPLITS) -> list:
+    """Values that cut the rows into about ``parts`` even ranges, from a bounded sample of them."""
+    total = df.count()
+    share = min(1.0, SAMPLED / max(total, 1))
+    seen = sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).sample(share, 17).limit(2 * SAMPLED).collect())
+    return sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
+
+
+def range_bucket(column: str, points: list) -> Column:
+    """How many split points are not above the value: never less for a greater value."""
+    if not points:
+        return F.lit(0)
+    marks = F.array(*[F.lit(p) for p in points])
+    return F.coalesce(F.size(F.filter(marks, lambda p: p <= F.col(column))), F.lit(0))
+
+
+def sized_row_number(df: DataFrame, keys: list[str], order: str, name: str, sizes: DataFrame, rows: str) -> DataFrame:
+    """``row_number`` over ``keys`` by the column ``order``; ``sizes`` tells the ``rows`` of each key."""
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    large = large_keys(sizes, keys, rows)
+    if large is None:
+        return df.withColumn(name, plain)
+    hot = within(df, large, keys, "left_semi")
+    cut = bucketed_row_number(hot, keys, range_bucket(order, split_points(hot, order)), [F.col(order)], name)
+    return within(df, large, keys, "left_anti").withColumn(name, plain).unionByName(
+        cut.withColumn(name, F.col(name).cast("int")))

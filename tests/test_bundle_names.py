@@ -1,7 +1,11 @@
 """Bundle names against a direct simulation, adversarial names included."""
 
 import random
+import time
 
+import pytest
+
+from foliomill.operators import lifecycle, skew
 from foliomill.operators.lifecycle import bundle_names
 
 
@@ -27,7 +31,11 @@ def run(spark, files):
     return {(r.job_id, r.file_id): r.member_name for r in bundle_names(df).collect()}
 
 
-def test_literal_numbers_and_duplicates(spark):
+@pytest.mark.parametrize("stretch, hot", [(10_000, 20_000), (2, 3)])
+def test_literal_numbers_and_duplicates(spark, monkeypatch, stretch, hot):
+    monkeypatch.setattr(lifecycle, "STRETCH", stretch)
+    monkeypatch.setattr(lifecycle, "HOT", hot)
+    monkeypatch.setattr(skew, "HOT", hot)
     rng = random.Random(7)
     stems = ["a", "a-2", "a-3", "a-2-2", "a-2-3", "a-3-2", "a-10", "a-02", "b", "b-1", "a-4", "a-2-2-2"]
     files = []
@@ -45,6 +53,30 @@ def test_plain_duplicates_need_no_sibling_work(spark):
     assert len(set(named.values())) == 300
 
 
+def test_very_many_siblings_beside_one_name(spark):
+    """Linear in the siblings; numbers are settled a stretch after the other."""
+    rng = random.Random(5)
+    count = 25_000
+    files = [(1, f"{rng.getrandbits(128):032x}", stem, ".md") for n in range(2, count + 2) for stem in ("page", f"page-{n}")]
+    started = time.monotonic()
+    named = run(spark, files)
+    took = time.monotonic() - started
+    taken, pointer, out = set(), 1, {}
+    for _, file_id, stem, _ in sorted(files, key=lambda f: f[1]):
+        name = stem
+        if stem == "page":
+            while (name := "page" if pointer == 1 else f"page-{pointer}") in taken:
+                pointer += 1
+        else:
+            n = 1
+            while name in taken:
+                n += 1
+                name = f"{stem}-{n}"
+        taken.add(name)
+        out[1, file_id] = name + ".md"
+    assert named == out and took < 120
+
+
 def test_suspicious_or_missing_outputs_are_left_out(spark):
     df = spark.createDataFrame(
         [(1, "00", "x.html", "../x.md"), (1, "01", "x.html", None), (1, "02", "x.html", "output/1/x.md")],
