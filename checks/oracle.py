@@ -583,7 +583,26 @@ def oracle(name: str, sql: str, *needs: str) -> None:
 UPLOAD = "file_id, job_id, original_filename"
 oracle("corpus_manifest", " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, '.parquet' AS extension, true AS has_bytes, count(*) AS rows FROM {name}"
-    for name in ("documents", "pages", "events", "orders", "lineitem")))
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+                 "embeddings", "pages", "benchmark", "labels", "conversations")))
+oracle("corpus_file_scan", """SELECT 'input/' || file_id || '/' || original_filename AS path, original_filename, extension,
+  mime_type, size_bytes FROM sniffed WHERE size_bytes <= 200000""", "sniffed")
+_HEADS = (
+    (11, "text/rtf"), (8, "application/gzip"), (12, "image/png"), (10, "image/jpeg"), (10, "application/x-ole-storage"),
+    (8, "text/plain"), (8, "text/plain"), (12, "image/gif"), (8, "application/x-7z-compressed"), (12, "application/x-dosexec"),
+    (4, "application/postscript"), (8, "image/tiff"), (5, "application/octet-stream"),
+    (64, "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"))
+oracle("sniff_signatures", f"""
+SELECT *, CASE WHEN mime_type <> 'text/plain' OR original_filename LIKE '%.pdf' THEN 'MimeTypeMismatchError' END AS error_class
+FROM (SELECT doc_id AS file_id, 'file ' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.pdf' END AS original_filename,
+  {[mime for _, mime in _HEADS]}[doc_id % {len(_HEADS)} + 1] AS mime_type,
+  {[size for size, _ in _HEADS]}[doc_id % {len(_HEADS)} + 1] + strlen(text) AS size_bytes FROM documents)""")
+oracle("dead_letter_sink", f"SELECT {UPLOAD}, error_class || ': ' || error_message AS error FROM validated WHERE error_class IS NOT NULL", "validated")
+oracle("delete_stored", "SELECT job_id, file_id FROM files WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE stored_status = 'done')", "files", "jobs")
+oracle("unreferenced_files", f"""
+SELECT place AS path, 'missing' AS finding FROM (SELECT file_id, 'input/' || {_STORED} || extension AS place FROM sniffed) WHERE file_id % 7 = 0
+UNION ALL SELECT place || '.bak', 'unreferenced'
+FROM (SELECT file_id, 'input/' || {_STORED} || extension AS place FROM sniffed) WHERE file_id % 11 = 0 AND file_id % 7 <> 0""", "sniffed")
 oracle("corpus_sniff_scan", f"SELECT {UPLOAD}, extension, mime_type, size_bytes FROM sniffed", "sniffed")
 oracle("jobs_scan", "SELECT * FROM jobs", "jobs")
 oracle("write_markdown", f"""SELECT file_id, job_id, 'output/' || job_id || '/' || {_STORED} || '.md' AS output_path,
@@ -827,6 +846,14 @@ FROM (SELECT job_id, CAST(count(*) + CASE WHEN job_id % 3 = 0 THEN 2 ELSE 0 END
 oracle("stream_late_events", """
 SELECT event_id, file_id, kind, arrival FROM slots
 WHERE ts <= (SELECT make_timestamp(epoch_ms(max(e.ts)) * 1000) FROM slots e WHERE e.arrival < slots.arrival - 1) - INTERVAL 1 HOUR""", "slots")
+oracle("stream_late_count", """
+SELECT count(*) AS late_rows FROM slots
+WHERE ts <= (SELECT make_timestamp(epoch_ms(max(e.ts)) * 1000) FROM slots e WHERE e.arrival < slots.arrival - 1) - INTERVAL 1 HOUR""", "slots")
+# A minute is closed once the watermark, five minutes behind the newest event in milliseconds, is at its end.
+oracle("rate_limit_alerts", """
+SELECT * FROM (
+  SELECT user_id AS client, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 1)
+WHERE minute + INTERVAL 1 MINUTE <= (SELECT make_timestamp(epoch_ms(max(ts)) * 1000) FROM events) - INTERVAL 5 MINUTE""")
 oracle("stream_rate_limit", """
 SELECT user_id AS client, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 1""")
 # A start is reported once the watermark, ten minutes behind the slower of both sides, is past its limit.

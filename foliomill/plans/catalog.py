@@ -76,21 +76,13 @@ def scored_pages(spark: SparkSession, folder: str) -> DataFrame:
 # -- scans, sources, sinks --------------------------------------------------------------------
 
 
-MANIFEST_TABLES = ("documents", "pages", "events", "orders", "lineitem")
-
-
 @query
 def corpus_manifest(spark, folder):
-    """Stored tables: that their files are listed, and the rows that the listed files hold."""
-    listed = manifest.corpus_manifest(spark, folder, "*.parquet").withColumn(
+    """Every stored table of the listing: that its files have bytes, and the rows that they hold."""
+    listed = manifest.table_files(spark, folder).withColumn(
         "table_name", F.regexp_extract("path", r"([^/]+)[.]parquet(?:/[^/]*)?$", 1))
-    stored = listed.groupBy("table_name", "extension").agg(F.sum("size_bytes").alias("size_bytes"))
-    held = None
-    for name in MANIFEST_TABLES:
-        rows = tables.read(spark, folder, name).agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
-        held = rows if held is None else held.unionByName(rows)
-    return stored.join(held, "table_name").select(
-        "table_name", "extension", (F.col("size_bytes") > 0).alias("has_bytes"), "rows")
+    return listed.groupBy("table_name", "extension").agg(
+        (F.sum("size_bytes") > 0).alias("has_bytes"), F.sum("rows").alias("rows"))
 
 
 @query
@@ -106,6 +98,24 @@ def corpus_sniff_scan(spark, folder):
     )
 
 
+@query
+def corpus_file_scan(spark, folder):
+    """Uploads written as files and sniffed from their bytes; files over the limit are not opened."""
+    target = workspace.fresh(spark, "upload-files")
+    named = tables.uploads(spark, folder).withColumn("at", F.concat(
+        F.lit("input/"), F.col("file_id").cast("string"), F.lit("/"), "original_filename"))
+    sinks.write_files(named, target, "at", "content")
+    files = manifest.stored_files(spark, target, max_bytes=200_000)
+    return ingest.sniffed(files).select("path", "original_filename", "extension", "mime_type", "size_bytes")
+
+
+@query
+def sniff_signatures(spark, folder):
+    """Files of foreign formats, named by their first bytes, and whether they are accepted."""
+    return ingest.detect_format(tables.signed_docs(spark, folder)).select(
+        "file_id", "original_filename", "mime_type", "size_bytes", "error_class")
+
+
 @query
 def jobs_scan(spark, folder):
     return tables.jobs(spark, folder)
@@ -133,6 +143,17 @@ def dead_letter(spark, folder):
     return ingest.dead_letter(validated_uploads(spark, folder)).select(*UPLOAD_COLUMNS, "error")
 
 
+@query
+def dead_letter_sink(spark, folder):
+    """Rejected files read back from the split sink; the second batch is delivered twice."""
+    target = workspace.fresh(spark, "validated")
+    uploads = tables.uploads(spark, folder)
+    for batch, part in ((0, "file_id % 2 = 0"), (1, "file_id % 2 = 1"), (1, "file_id % 2 = 1")):
+        checked = ingest.detect_format(uploads.filter(part)).select(*UPLOAD_COLUMNS, *VERDICT)
+        sinks.write_validated(checked, target, batch)
+    return sinks.read_validated(spark, target, accepted=False).select(*UPLOAD_COLUMNS, "error")
+
+
 # -- ingest -----------------------------------------------------------------------------------
 
 
@@ -525,6 +546,15 @@ def delete_cascade(spark, folder):
     )
 
 
+@query
+def delete_stored(spark, folder):
+    """Files that are left in the stored table after their jobs were deleted from it."""
+    target = workspace.fresh(spark, "stored-files")
+    sinks.write_by_job(tables.files(spark, folder).select("job_id", "file_id", "storage_path", "output_path"), target)
+    sinks.delete_jobs(spark, target, deleted_jobs(spark, folder), workspace.fresh(spark, "deletion"))
+    return spark.read.parquet(target).select("job_id", "file_id")
+
+
 @query
 def delete_cleanup_paths(spark, folder):
     return lifecycle.cleanup_paths(tables.files(spark, folder), deleted_jobs(spark, folder))
@@ -669,6 +699,18 @@ def unreferenced_outputs(spark, folder):
     return audit.unreferenced_outputs(stored.unionByName(outputs), files)
 
 
+@query
+def unreferenced_files(spark, folder):
+    """Uploads written as files, some of them not, some twice, against the rows that name them."""
+    target = workspace.fresh(spark, "audited-files")
+    files = ingest.stored_names(tables.uploads(spark, folder))
+    stray = files.filter("file_id % 11 = 0").withColumn("storage_path", F.concat("storage_path", F.lit(".bak")))
+    sinks.write_files(files.unionByName(stray).filter("file_id % 7 <> 0"), target, "storage_path", "content")
+    listing = manifest.stored_files(spark, target).select("path")
+    return audit.unreferenced_outputs(listing, files.select(
+        "storage_path", F.lit(None).cast("string").alias("output_path")))
+
+
 # -- streaming --------------------------------------------------------------------------------
 
 
@@ -703,6 +745,22 @@ def stream_rate_limit(spark, folder):
     return streams.stream_rate_limit(requests, 1)
 
 
+@query
+def rate_limit_alerts(spark, folder):
+    """The running form: minutes that the watermark has closed, each reported once."""
+    requests = streams.table_stream(spark, folder, "events").select("ts", F.col("user_id").alias("client"))
+    rows, _ = streams.drain(streams.rate_limit_alerts(requests, 1), "rate-alerts")
+    return rows.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@query
+def stream_late_count(spark, folder):
+    """Rows that the deduplicating stream drops behind its watermark, as it counts them itself."""
+    source = streams.arriving(tables.late_arrivals(spark, folder), tables.ARRIVALS, F.col("arrival"), "arriving")
+    dropped = streams.count_late(streams.stream_dedupe(source, "1 hour"), "stream-late-count")
+    return spark.range(1).select(F.lit(dropped).cast("long").alias("late_rows"))
+
+
 @query
 def stream_late_events(spark, folder):
     """Events that arrive behind the watermark of an hour."""

@@ -27,6 +27,33 @@ def corpus_manifest(spark: SparkSession, folder: str, glob: str = "*") -> DataFr
     )
 
 
+def relative_path(path: Column, folder: str) -> Column:
+    """A listed path below ``folder`` as rows name it: without scheme, escapes, doubled slashes and the folder."""
+    def plain(text: Column) -> Column:
+        bare = F.regexp_replace(text, "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+        return F.regexp_replace(bare, "/{2,}", "/")
+
+    # A plus sign is no escape in a path, a per cent sign that begins none stays one.
+    readable = F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    root = F.concat(F.rtrim(plain(F.lit(folder)), F.lit("/")), F.lit("/"))
+    below = plain(F.url_decode(readable))
+    return F.when(F.startswith(below, root), F.substring(below, F.length(root) + 1, F.length(below))).otherwise(below)
+
+
+def stored_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, original_filename, size_bytes, content) of files that ``sinks.write_files`` stored.
+
+    A size limit goes to the listing: larger files are not opened. Without ``content`` in the plan none is.
+    """
+    files = spark.read.format("binaryFile").load(folder)
+    if max_bytes is not None:
+        files = files.filter(F.col("length") <= max_bytes + 1)
+    size = F.col("length") - 1
+    return files.select(
+        F.col("stored_path").cast("string").alias("path"), basename(F.col("stored_path").cast("string")).alias("original_filename"),
+        size.alias("size_bytes"), F.substring("content", F.lit(1), size.cast("int")).alias("content"))
+
+
 def table_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every Parquet file below ``folder``, each once, with the number of its rows; 0 if it has none.
 
@@ -66,41 +93,92 @@ def corpus_content(spark: SparkSession, folder: str, glob: str = "*", max_bytes:
 HTML_STARTS = (
     "<!doctype html", "<html", "<head", "<title", "<body", "<script", "<style", "<table", "<h1", "<a href=", "<!--",
 )
-# First entries of an Office archive; its parts are below the second name.
-OFFICE_ENTRIES, WORD_PART = ("[Content_Types].xml", "_rels/.rels", "docProps/", "word/"), "word/"
+# First entries of an Office archive, and the folder of its parts by format.
+OFFICE_ENTRIES = ("[Content_Types].xml", "_rels/.rels", "docProps/", "word/", "xl/", "ppt/")
+_OOXML = "application/vnd.openxmlformats-officedocument."
+OFFICE_PARTS = (("word/", DOCX_MIME), ("xl/", f"{_OOXML}spreadsheetml.sheet"), ("ppt/", f"{_OOXML}presentationml.presentation"))
+# Fixed values: (offset, bytes in hex digits, MIME type) of formats that are no text.
+SIGNATURES = (
+    (0, "25504446", "application/pdf"),
+    (0, "504B0304", "application/zip"),
+    (0, "504B0506", "application/zip"),
+    (30, "6D696D65747970656170706C69636174696F6E2F657075622B7A6970", "application/epub+zip"),
+    (30, "6D696D65747970656170706C69636174696F6E2F766E642E6F617369732E6F70656E646F63756D656E742E74657874",
+     "application/vnd.oasis.opendocument.text"),
+    (0, "1F8B08", "application/gzip"),
+    (0, "425A68", "application/x-bzip2"),
+    (0, "FD377A585A00", "application/x-xz"),
+    (0, "28B52FFD", "application/zstd"),
+    (0, "377ABCAF271C", "application/x-7z-compressed"),
+    (0, "526172211A07", "application/x-rar"),
+    (257, "7573746172", "application/x-tar"),
+    (0, "89504E470D0A1A0A", "image/png"),
+    (0, "FFD8FF", "image/jpeg"),
+    (0, "474946383761", "image/gif"),
+    (0, "474946383961", "image/gif"),
+    (0, "49492A00", "image/tiff"),
+    (0, "4D4D002A", "image/tiff"),
+    (8, "57454250", "image/webp"),
+    (8, "57415645", "audio/x-wav"),
+    (4, "66747970", "video/mp4"),
+    (0, "494433", "audio/mpeg"),
+    (0, "4F676753", "audio/ogg"),
+    (0, "664C6143", "audio/flac"),
+    (0, "D0CF11E0A1B11AE1", "application/x-ole-storage"),
+    (0, "7B5C727466", "text/rtf"),
+    (0, "25215053", "application/postscript"),
+    (0, "7F454C46", "application/x-executable"),
+    (0, "4D5A", "application/x-dosexec"),
+    (0, "CAFEBABE", "application/x-java-applet"),
+    (0, "53514C69746520666F726D6174203300", "application/vnd.sqlite3"),
+    (0, "50415231", "application/vnd.apache.parquet"),
+)
+# Those whose bytes are letters and marks: they count in a text too, the others only where it is none.
+PRINTED = ("application/pdf", "text/rtf", "application/postscript")
 # Control characters that text does not hold; blanks, escape and next-line are not among them.
-CONTROL = "[\\x00-\\x06\\x0e-\\x1a\\x1c-\\x1f\\x7f]"
+CONTROL = "[\x00-\x06\x0e-\x1a\x1c-\x1f\x7f]"
+
+
+def signature(head: Column, among: tuple[str, ...] | None = None) -> Column:
+    """MIME type of the longest signature that the bytes have, null for none."""
+    found = F.lit(None).cast("string")
+    for offset, digits, mime in sorted(SIGNATURES, key=lambda s: len(s[1])):
+        if among is None or mime in among:
+            value = bytes.fromhex(digits)
+            found = F.when(F.substring(head, offset + 1, len(value)) == F.lit(value), mime).otherwise(found)
+    return found
 
 
 def sniff_mime(content: Column) -> Column:
     """MIME type from the first bytes of a binary column.
 
-    A short signature table, narrower than a full magic database: PDF; ZIP, and EPUB and DOCX by
-    their first entry; UTF-16 text by its mark; HTML and XHTML by how they start; text in UTF-8 or
-    in an eight-bit code, which holds no control characters; empty; anything else.
+    A table of signatures, the longest first, narrower than a full magic database: documents, archives, images,
+    sound, programs. EPUB and Office archives by their first entry; UTF-16 and UTF-32 text by its
+    mark; HTML and XHTML by how they start; text in UTF-8 or in an eight-bit code, which holds no control
+    characters; empty; anything else.
     """
     head = F.substring(content, 1, SNIFF_BYTES)
-    magic = F.hex(F.substring(content, 1, 4))
+    marks = F.hex(F.substring(content, 1, 4))
     latin = F.decode(head, "ISO-8859-1")
     opening = F.lower(F.ltrim(F.regexp_replace(head.cast("string"), "^\ufeff", ""), F.lit(WHITESPACE)))
     is_html = F.lit(False)
     for start in HTML_STARTS:
         is_html = is_html | F.startswith(opening, F.lit(start))
-    is_zip = magic.isin("504B0304", "504B0506")
     first_entry = F.substring(content, 31, 28)
-    office = F.lit(False)
+    listed = F.lit(False)
     for entry in OFFICE_ENTRIES:
-        office = office | F.startswith(first_entry, F.lit(entry.encode()))
+        listed = listed | F.startswith(first_entry, F.lit(entry.encode()))
+    office = F.lit(None).cast("string")
+    for part, mime in reversed(OFFICE_PARTS):
+        office = F.when(F.contains(head, F.lit(part.encode())), mime).otherwise(office)
+    is_zip = marks.isin("504B0304", "504B0506")
     return (
         F.when(F.octet_length(head) == 0, "application/x-empty")
-        .when(magic == "25504446", "application/pdf")
-        .when(is_zip & (first_entry == F.lit(b"mimetypeapplication/epub+zip")), "application/epub+zip")
-        .when(is_zip & office & F.contains(head, F.lit(WORD_PART.encode())), DOCX_MIME)
-        .when(is_zip, "application/zip")
-        .when(F.substring(magic, 1, 4).isin("FFFE", "FEFF"), "text/plain")
-        .when(latin.rlike(CONTROL), "application/octet-stream")
+        .when(is_zip, F.coalesce(F.when(listed, office), signature(head)))
+        .when(marks.isin("0000FEFF", "FFFE0000") | F.substring(marks, 1, 4).isin("FFFE", "FEFF"), "text/plain")
+        .when(latin.rlike(CONTROL), F.coalesce(signature(head), F.lit("application/octet-stream")))
         .when(is_html, "text/html")
         .when(F.startswith(opening, F.lit("<?xml")) & F.contains(opening, F.lit("xhtml")),
               "application/xhtml+xml")
-        .otherwise("text/plain")
+        .otherwise(F.coalesce(signature(head, PRINTED), F.lit("text/plain")))
     )

@@ -1,12 +1,15 @@
-"""Writing converted documents."""
+"""Writing converted documents, files, verdicts; deleting from stored tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.functions.text import safe_name, stem
 
+BUCKETS = 64
+
 
 def with_output_name(converted: DataFrame) -> DataFrame:
     """Add ``output_name``: a name derived from the file id, and the job's output folder."""
@@ -20,14 +23,92 @@ def with_output_name(converted: DataFrame) -> DataFrame:
     )
 
 
-def write_markdown(converted: DataFrame, folder: str, buckets: int = 64) -> None:
+def job_bucket(buckets: int = BUCKETS) -> Column:
+    """The bucket that a job's rows are stored in."""
+    return F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+
+
+def write_markdown(converted: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Store documents, the rows of a job in one folder of ``job_bucket``.
 
     Jobs have at most a few dozen files, so a folder for each job would mean millions of tiny
     files; a fixed number of job buckets keeps reads by job pruned. The rebalance hint lets
     adaptive execution merge small buckets' tasks and split a bucket with a very large job.
     """
-    bucketed = with_output_name(converted).withColumn(
-        "job_bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
-    )
+    write_by_job(with_output_name(converted), folder, buckets)
+
+
+def write_by_job(rows: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Store rows of jobs by ``job_bucket``."""
+    bucketed = rows.withColumn("job_bucket", job_bucket(buckets))
     bucketed.hint("rebalance", "job_bucket").write.partitionBy("job_bucket").parquet(folder)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A written table, or None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def delete_jobs(spark: SparkSession, folder: str, deleted: DataFrame, staging: str, buckets: int = BUCKETS) -> list[int]:
+    """Delete the rows of the given jobs from a table that ``write_by_job`` stored; which buckets were rewritten.
+
+    Only buckets that hold a deleted job are read and replaced; the files of all others stay. What remains of
+    them is first written to ``staging``, a folder that belongs to this deletion. If the job stops at any point,
+    calling it again with the same folder goes on: before the staging is complete the table is untouched, and
+    after that it is not read again, so buckets that were replaced already are replaced by the same rows.
+    """
+    done = _stored(spark, f"{staging}/complete")
+    if done is None:
+        gone = deleted.select("job_id").distinct().withColumn("job_bucket", job_bucket(buckets))
+        table = spark.read.parquet(folder)
+        schema = table.schema
+        # At most one number for each bucket.
+        asked = [r.job_bucket for r in gone.select("job_bucket").distinct().collect()]
+        held = table.filter(F.col("job_bucket").isin(asked)).select("job_id", "job_bucket")
+        touched = sorted(r.job_bucket for r in held.join(gone.select("job_id"), "job_id", "left_semi").select(
+            "job_bucket").distinct().collect()) if asked else []
+        rest = table.filter(F.col("job_bucket").isin(touched)).join(gone.select("job_id"), "job_id", "left_anti")
+        rest.select(*schema.names).write.mode("overwrite").parquet(f"{staging}/rest")
+        spark.createDataFrame([(b,) for b in touched], "job_bucket int").write.mode("overwrite").parquet(f"{staging}/complete")
+        done = spark.read.parquet(f"{staging}/complete")
+    touched = sorted(r.job_bucket for r in done.collect())
+    rest = spark.read.parquet(f"{staging}/rest")
+    left = {r.job_bucket for r in rest.select("job_bucket").distinct().collect()}
+    rest.hint("rebalance", "job_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "job_bucket").parquet(folder)
+    # A dynamic overwrite leaves partitions alone that no row is written to.
+    for bucket in touched:
+        if bucket not in left:
+            rest.drop("job_bucket").limit(0).write.mode("overwrite").parquet(f"{folder}/job_bucket={bucket}")
+    return touched
+
+
+def write_files(rows: DataFrame, folder: str, path: str, content: str) -> None:
+    """One file for each row, below a folder named by its path; the content is text.
+
+    A line break ends every file, so that empty ones are listed too: Spark lists no file of zero bytes. Paths
+    must be unique; ``manifest.stored_files`` reads the folder.
+    """
+    named = rows.select(F.col(path).alias("stored_path"), F.col(content).cast("string").alias("value"))
+    named.write.partitionBy("stored_path").option("maxRecordsPerFile", 1).text(folder)
+
+
+def write_validated(validated: DataFrame, folder: str, batch: int) -> None:
+    """Accepted and rejected files of a batch, split by ``accepted``, in one pass over the contents.
+
+    A batch has a folder of its own, which a repeated batch writes anew: nothing is added twice.
+    ``read_validated`` reads either side over all batches.
+    """
+    told = validated.withColumns({
+        "accepted": F.col("error_class").isNull(),
+        "error": F.when(F.col("error_class").isNotNull(), F.concat_ws(": ", "error_class", "error_message")),
+    })
+    told.write.mode("overwrite").partitionBy("accepted").parquet(f"{folder}/batch={batch}")
+
+
+def read_validated(spark: SparkSession, folder: str, accepted: bool) -> DataFrame:
+    """The accepted or the rejected files of all batches; only their folders are read."""
+    return spark.read.parquet(folder).filter(F.col("accepted") == accepted).drop("accepted")

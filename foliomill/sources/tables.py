@@ -230,3 +230,21 @@ def container_docs(spark: SparkSession, folder: str) -> DataFrame:
         "WHEN 3 THEN concat(X'00', encode('[Content_Types].xml', 'UTF-8'), encode(text, 'UTF-8')) "
         f"ELSE {plus(archive_hex('META-INF/container.xml', end_record=False))} END AS content",
     )
+
+
+# Heads of files in formats that are told by their first bytes, in hex digits; the type expected
+# for each is stated in the SQL checks.
+HEADS = (
+    "7B5C727466315C616E7369", "1F8B080000000000", "89504E470D0A1A0A0000000D", "FFD8FFE000104A464946",
+    "D0CF11E0A1B11AE10000", "FFFE000041000000", "0000FEFF00000041", "474946383961010001008000",
+    "377ABCAF271C0004", "4D5A90000300000004000000", "25215053", "49492A0008000000", "0001020304",
+    "504B0304" + "2E" * 26 + "5B436F6E74656E745F54797065735D2E786D6C2E2E2E2E786C2F776F726B626F6F6B",
+)
+
+
+def signed_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents behind the head of another format."""
+    heads = ", ".join(f"X'{head}'" for head in HEADS)
+    return documents(spark, folder).selectExpr(
+        "doc_id AS file_id", "concat('file ', doc_id, CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.pdf' END) AS original_filename",
+        f"concat(element_at(array({heads}), CAST(doc_id % {len(HEADS)} AS INT) + 1), encode(text, 'UTF-8')) AS content")

@@ -6,11 +6,15 @@ each micro-batch and overwrite it when the batch is repeated, so a restart chang
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+import threading
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliomill.operators import clean, convert, quality
 from foliomill.operators.lifecycle import HARD_LIMIT_SECONDS, event_status, job_status
@@ -60,25 +64,23 @@ def drain_batches(
     spark = stream.sparkSession
     folder = workspace.fresh(spark, purpose)
     schema = reduce(stream).schema
-    empty = spark.createDataFrame([], schema)
-    empty.write.parquet(f"{folder}/rows/batch=-1")
-    empty.write.parquet(f"{folder}/base/upto=-1")
-
-    def stored(below: int | None = None) -> DataFrame:
-        bases = spark.read.parquet(f"{folder}/base")
-        if below is not None:
-            bases = bases.filter(F.col("upto") < below)
-        newest = bases.select(F.max("upto")).first()[0]
-        newest = -1 if newest is None else newest
-        rows = spark.read.parquet(f"{folder}/rows").filter(F.col("batch") > newest)
-        if below is not None:
-            rows = rows.filter(F.col("batch") <= below)
-        return bases.filter(F.col("upto") == newest).drop("upto").unionByName(rows.drop("batch"))
+    # What this run has written: the newest base, and the batches after it.
+    bases: list[str] = []
+    batches: dict[int, str] = {}
+
+    def stored() -> DataFrame:
+        parts = bases[-1:] + [batches[number] for number in sorted(batches)]
+        return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        reduce(batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
-        if (batch_id + 1) % compact_every == 0:
-            merge(stored(batch_id)).write.mode("overwrite").parquet(f"{folder}/base/upto={batch_id}")
+        path = f"{folder}/rows/batch={batch_id}"
+        reduce(batch).write.mode("overwrite").parquet(path)
+        batches[batch_id] = path
+        if len(batches) >= compact_every:
+            base = f"{folder}/base/upto={batch_id}"
+            merge(stored()).write.mode("overwrite").parquet(base)
+            bases.append(base)
+            batches.clear()
 
     query = (
         stream.writeStream.foreachBatch(store)
@@ -169,6 +171,55 @@ def rate_limit_alerts(events: DataFrame, limit: int, delay: str = "5 minutes") -
     )
 
 
+class DroppedRows(StreamingQueryListener):
+    """Rows that one query's stateful operators dropped behind the watermark, summed over all its batches.
+
+    A query keeps the progress of its last batches only; a listener is told of every one.
+    """
+
+    def __init__(self) -> None:
+        self.ended: set[str] = set()
+        self.waiting: list[tuple[str, int, int]] = []
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        dropped = sum(operator.numRowsDroppedByWatermark for operator in event.progress.stateOperators)
+        with self.changed:
+            self.waiting.append((str(event.progress.runId), event.progress.batchId, dropped))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def of(self, query: StreamingQuery, seconds: float = 60) -> dict[int, int]:
+        """Dropped rows by batch, once the query has ended: its last event comes behind all others. A batch
+        that was told of twice counts once."""
+        run = str(query.runId)
+        with self.changed:
+            if not self.changed.wait_for(lambda: run in self.ended, seconds):
+                raise TimeoutError("the end of the stream was not reported")
+            return {batch: dropped for of_run, batch, dropped in self.waiting if of_run == run}
+
+
+def count_late(stream: DataFrame, purpose: str) -> int:
+    """Rows of a stream that come behind its watermark, as its own operators count them."""
+    spark = stream.sparkSession
+    listener = DroppedRows()
+    spark.streams.addListener(listener)
+    try:
+        _, query = drain(stream, purpose)
+        return sum(listener.of(query).values())
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def late_events(events: DataFrame, kept: DataFrame) -> DataFrame:
     """Events of the source that a deduplicating stream dropped for coming behind its watermark.
 
@@ -189,28 +240,58 @@ def arriving(events: DataFrame, slots: int, order: Column, purpose: str, files:
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", str(files)).parquet(folder)
 
 
+STUCK = "event_id long, job_id long, file_id long, started_at timestamp"
+OPEN_STARTS = "ids array<long>, times array<long>, ends array<long>"
+
+
 def stream_stuck_files(
     events: DataFrame, limit_seconds: int = HARD_LIMIT_SECONDS, delay: str = "10 minutes"
 ) -> DataFrame:
     """Starts without an end of the same file within the limit, once the watermark is past it.
 
-    A left outer stream-stream join. The time slot in the key keeps a file with very many events
-    from matching all its starts with all its ends.
+    A file's state holds its open starts, and the ends that a start behind them may still belong to: those
+    that the watermark has not passed. Its timer is set to the deadline of the earliest open start. The
+    watermark is that of the slower of starts and ends.
     """
-    timed = with_event_time(events)
-    slot = F.floor(F.unix_seconds("ts") / limit_seconds)
-    starts = timed.filter(F.col("kind") == "start").withWatermark("ts", delay).select(
-        "event_id", "job_id", "file_id", F.col("ts").alias("started_at"), slot.alias("slot")
-    )
-    ends = timed.filter(F.col("kind").isin("complete", "fail")).withWatermark("ts", delay).select(
-        F.col("file_id").alias("end_file"), F.col("ts").alias("ended_at"),
-        F.explode(F.array(slot, slot - 1)).alias("end_slot"),
-    )
-    joined = starts.join(
-        ends,
-        (F.col("file_id") == F.col("end_file")) & (F.col("slot") == F.col("end_slot"))
-        & (F.col("ended_at") >= F.col("started_at"))
-        & (F.col("ended_at") <= F.col("started_at") + F.expr(f"INTERVAL '{limit_seconds}' SECOND")),
-        "left_outer",
-    )
-    return joined.filter(F.col("ended_at").isNull()).select("event_id", "job_id", "file_id", "started_at")
+    limit = limit_seconds * 1_000_000
+    kind = events.schema["event_id"].dataType, events.schema["job_id"].dataType, events.schema["file_id"].dataType
+    timed = with_event_time(events).select("event_id", "job_id", "file_id", "ts", "kind")
+    starts = timed.filter(F.col("kind") == "start").withWatermark("ts", delay)
+    ends = timed.filter(F.col("kind").isin("complete", "fail")).withWatermark("ts", delay)
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [list(values) for values in state.get] if state.exists else [[], [], []]
+        open_, ended = list(zip(held[1], held[0])), held[2]
+        if not state.hasTimedOut:
+            for batch in batches:
+                at = batch["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+                for time, event, what in zip(at, batch["event_id"].tolist(), batch["kind"]):
+                    if what == "start":
+                        open_.append((time, event))
+                    else:
+                        ended.append(time)
+        ended = sorted(set(ended))
+        # The first end at or after a start is the only one that can be in time.
+        open_ = [(time, event) for time, event in sorted(open_)
+                 if (place := bisect.bisect_left(ended, time)) == len(ended) or ended[place] > time + limit]
+        watermark = state.getCurrentWatermarkMs() * 1000
+        stuck = [(time, event) for time, event in open_ if time + limit < watermark]
+        open_ = open_[len(stuck):]
+        ended = [time for time in ended if time >= watermark]
+        if open_:
+            state.update(([event for _, event in open_], [time for time, _ in open_], ended))
+            state.setTimeoutTimestamp((open_[0][0] + limit) // 1000)
+        elif ended:
+            state.update(([], [], ended))
+            state.setTimeoutTimestamp(max(ended[-1] // 1000, state.getCurrentWatermarkMs()))
+        elif state.exists:
+            state.remove()
+        if stuck:
+            yield pd.DataFrame({
+                "event_id": [event for _, event in stuck], "job_id": key[0], "file_id": key[1],
+                "started_at": pd.to_datetime([time for time, _ in stuck], unit="us")})
+
+    found = starts.unionByName(ends).groupBy("job_id", "file_id").applyInPandasWithState(
+        watch, STUCK, OPEN_STARTS, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*[F.col(name).cast(of).alias(name) for name, of in zip(("event_id", "job_id", "file_id"), kind)],
+                        "started_at")
