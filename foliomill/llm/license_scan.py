@@ -5,12 +5,15 @@ templates. A window of a text can only reach the coefficient if its length is ne
 with d = THRESHOLD its bigrams number between d / (2 - d) and (2 - d) / d of the template's, and at
 least d / (2 - d) of the template's number are the template's own. Starts without so many in reach
 are dropped; from each other start all windows within the bounds are compared, whatever lies between
-their words. Work is per row and linear in the text; nothing is shuffled.
+their words. A start behind another of the template's bigrams is looked at only where that one cannot be
+the better start: where it is taken, or repeats one that the window has already as often as the template.
+Work is per row and linear in the text; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from collections import Counter
 
@@ -58,6 +61,9 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."),
 }
+# Headers of files, which refer to a text; all other templates but notices are whole texts.
+HEADERS = {"Apache-2.0", "GPL-3.0-or-later", "GPL-2.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later",
+           "MPL-2.0-header"}
 TEMPLATES |= license_texts.HEADERS | license_texts.whole_texts()
 for _name, _text in license_texts.notices():
     TEMPLATES.setdefault(_name, _text)
@@ -125,17 +131,43 @@ class _Windows:
         self.before = np.empty(len(hits), np.int64)
         self.before[order] = np.where(earlier >= first, order[np.maximum(earlier, 0)], -1)
 
+        # The n-th one behind it: from there on, a window that begins with it does not count it.
+        behind = np.append(places, len(hits))[np.minimum(places + repeats[order], len(hits))]
+        last = np.append(new[1:], True)
+        ends = np.minimum.accumulate(np.where(last, places, len(hits))[::-1])[::-1]
+        after = np.full(len(hits), -1)
+        inside = behind <= ends
+        after[order[inside]] = order[behind[inside]]
+        # What a start can reach at most: all windows but those that are better from the bigram before it.
+        self.reach = np.ones(len(hits))
+        follows = np.append(False, hits[1:] == hits[:-1] + 1)
+        counted = np.append(-1, after[:-1])
+        length = np.where(counted >= 0, hits[np.maximum(counted, 0)] - hits + 1, np.iinfo(np.int64).max // 4)
+        bound = np.where(length <= self.longest, 2.0 * self.size / (length + self.size), 0.0)
+        self.reach[follows] = bound[follows]
+        self.is_start = near
+        self.starts = self.starts[self.reach[self.starts] >= threshold]
+
+    def next_start(self, place: int) -> int | None:
+        """The first start at a place or behind it, if it is the first of the wording's bigrams there."""
+        at = int(np.searchsorted(self.hits, place))
+        return at if at < len(self.is_start) and self.is_start[at] else None
+
     def best(self, start: int, limit: int) -> tuple[float, int] | None:
         """Coefficient and last bigram of the best window from a start, of equal ones the longest;
         none of its bigrams is at ``limit`` or behind it."""
         at = self.hits[start]
-        end = np.searchsorted(self.hits, min(at + self.longest, limit))
-        ends = self.hits[start:end]
-        if len(ends) < self.shortest:
+        end = int(self.hits.searchsorted(min(at + self.longest, limit)))
+        if end - start < self.shortest:
+            return None
+        common = (self.before[start:end] < start).cumsum()
+        # Fewer in common than the least that reaches the coefficient: the windows before that end are too short.
+        if common[-1] < self.shortest:
             return None
-        lengths = ends - at + 1
-        values = 2 * np.cumsum(self.before[start:end] < start) / (lengths + self.size)
-        last = len(values) - 1 - int(np.argmax(values[::-1]))
+        skipped = int(common.searchsorted(self.shortest))
+        ends = self.hits[start + skipped:end]
+        values = 2 * common[skipped:] / (ends - (at - 1 - self.size))
+        last = len(values) - 1 - int(values[::-1].argmax())
         return (float(values[last]), int(ends[last])) if values[last] >= self.threshold else None
 
 
@@ -164,36 +196,60 @@ def _candidates(codes: np.ndarray, threshold: float) -> list[tuple[str, _Windows
     return found
 
 
+def rank(name: str) -> int:
+    """Whole texts before headers before one-line notices: a window inside one of a lower rank is part of it."""
+    return 2 if name.endswith("-notice") else 1 if name in HEADERS else 0
+
+
+def spdx(name: str) -> tuple[str, str]:
+    """(SPDX name, kind) of a wording's name; families without a version go by their own name."""
+    kind = ("text", "header", "notice")[rank(name)]
+    return name.removesuffix("-notice").removesuffix("-text").removesuffix("-header"), kind
+
+
 def licenses_of(text: str | None, threshold: float = THRESHOLD) -> list[Found]:
     """(licence, start, end, coefficient) of a text, in code points, by start.
 
-    Of windows that overlap, those of headers and whole texts count before those of one-line notices,
-    which they often hold; then the better one counts, and of equal ones the longer one.
+    Of windows that overlap, whole texts count before headers and these before one-line notices; then the
+    better one counts, and of equal ones the longer one.
     """
     if not text:
         return []
-    matches = list(WORD.finditer(text.lower())) if len(text.lower()) == len(text) else list(WORD.finditer(text))
-    words = [m.group().lower() for m in matches]
-    places = np.fromiter((_PLACES.get(word, 0) for word in words), np.int64, len(words))
+    lower = text.lower()
+    words = WORD.findall(lower) if len(lower) == len(text) else [word.lower() for word in WORD.findall(text)]
+    places = np.fromiter(map(_PLACES.get, words, itertools.repeat(0)), np.int64, len(words))
     codes = places[:-1] << 16 | places[1:] if len(words) > 1 else np.zeros(0, np.int64)
     candidates = _candidates(codes, threshold)
+    if not candidates:
+        return []
     # Bigrams that share a word with a kept window are taken; the best window of a start is looked
     # for again if a better one has taken its end.
-    taken = np.zeros(len(codes) + 1, bool) if candidates else None
-    heap, kept = [], []
+    taken = np.zeros(len(codes) + 1, bool)
+    heap, kept, asked = [], [], set()
+
+    def ask(at: int, start: int) -> None:
+        """A start by the best value that it can have; its windows are compared when its turn comes."""
+        if (at, start) not in asked:
+            asked.add((at, start))
+            name, windows = candidates[at]
+            heapq.heappush(heap, (rank(name), -float(windows.reach[start]), -len(codes), 0, "", -1, at, start))
 
     def push(at: int, start: int, limit: int) -> None:
         name, windows = candidates[at]
         best = windows.best(start, limit)
         if best:
             first = int(windows.hits[start])
-            heapq.heappush(heap, (name.endswith("-notice"), -best[0], first - best[1], first, name, best[1], at, start))
+            heapq.heappush(heap, (rank(name), -best[0], first - best[1], first, name, best[1], at, start))
 
     for at, (_, windows) in enumerate(candidates):
         for start in windows.starts.tolist():
-            push(at, start, len(codes))
+            ask(at, start)
     while heap:
         _, value, _, first, name, last, at, start = heapq.heappop(heap)
+        if last < 0:
+            if not taken[candidates[at][1].hits[start]]:
+                push(at, start, len(codes))
+            continue
         if taken[first]:
             continue
         inside = taken[first:last + 1]
@@ -201,15 +257,24 @@ def licenses_of(text: str | None, threshold: float = THRESHOLD) -> list[Found]:
             push(at, start, first + int(np.argmax(inside)))
             continue
         taken[max(0, first - 1):last + 2] = True
-        kept.append((name, matches[first].start(), matches[last + 1].end(), round(-value, 6)))
-    return sorted(kept, key=lambda f: f[1])
+        kept.append((name, first, last, -value))
+        # Starts behind the window had a better one before them, which is taken now.
+        for other, (_, windows) in enumerate(candidates):
+            start = windows.next_start(last + 2)
+            if start is not None:
+                windows.reach[start] = 1.0
+                ask(other, start)
+    spans = [(m.start(), m.end()) for m in WORD.finditer(text if len(lower) != len(text) else lower)]
+    return sorted(((name, spans[first][0], spans[last + 1][1], round(value, 6)) for name, first, last, value in kept),
+                  key=lambda f: f[1])
 
 
 def licenses(text: Column) -> Column:
-    """Array of (license, start, end, dice). Null, empty and unlicensed texts have none; whole texts
-    of any length are read."""
+    """Array of (license, kind, start, end, dice): the SPDX name and whether a whole text, a header or a
+    one-line notice was found. Null, empty and unlicensed texts have none; whole texts of any length are read,
+    and repeated rows each on their own."""
     def scanned(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: [
-            {"license": n, "start": s, "end": e, "dice": d} for n, s, e, d in licenses_of(text)])
+            dict(zip(("license", "kind"), spdx(n)), start=s, end=e, dice=d) for n, s, e, d in licenses_of(text)])
 
-    return F.pandas_udf(scanned, "array<struct<license string, start int, end int, dice double>>")(text)
+    return F.pandas_udf(scanned, "array<struct<license string, kind string, start int, end int, dice double>>")(text)

@@ -1,7 +1,7 @@
 """Wordings of licences by SPDX name: one-line notices, file headers and whole texts.
 
-Whole texts are the files of ``licences``, as published, without their copyright lines; so is the
-text of AGPL-3.0 but for what it changes in GPL-3.0, which is put in here.
+Whole texts are the files of ``licences``, as published; so is the text of AGPL-3.0 but for what it
+changes in GPL-3.0, which is put in here.
 """
 
 from __future__ import annotations
@@ -142,10 +142,8 @@ OTHERS = (
 
 
 def whole_texts() -> dict[str, str]:
-    """Whole texts by SPDX name and ``-text``, copyright lines left out."""
-    texts = {path.stem: "\n".join(
-        line for line in path.read_text("utf-8", "replace").splitlines() if not line.strip().startswith("Copyright (C)"))
-        for path in sorted(FOLDER.glob("*.txt"))}
+    """Whole texts by SPDX name and ``-text``, as published."""
+    texts = {path.stem: path.read_text("utf-8", "replace") for path in sorted(FOLDER.glob("*.txt"))}
     gpl = texts["GPL-3.0"]
     start = gpl.index("13. Use with the GNU Affero")
     end = gpl.index("14. Revised Versions")
@@ -166,10 +164,23 @@ def whole_texts() -> dict[str, str]:
 
 
 def notices() -> list[tuple[str, str]]:
-    """(name, wording) of one-line notices."""
+    """(name, wording) of one-line notices and tags."""
     found = []
     for name, phrases in NOTICES.items():
         for phrase in phrases:
             leads = LEADS if len(phrase.replace("-", " ").replace(".", " ").split()) < LONG else LEADS[:2]
             found += [(f"{name}-notice", f"{lead}{phrase}") for lead in leads]
-    return found
+        found += [(f"{name}-notice", f"is {short} licensed") for short in {name, *SHORT.get(name, ())}]
+    return found + [(f"{name}-notice", f"SPDX-License-Identifier: {tag}") for name in TAGGED for tag in _tags(name)]
+
+
+# What a licence is called in "is ... licensed", beside its own name.
+SHORT = {"Apache-2.0": ("Apache", "Apache 2.0"), "GPL-3.0": ("GPLv3",), "GPL-2.0": ("GPLv2",)}
+# Licences with a tag, by SPDX name: those with a notice that names one, and those with a text alone.
+TAGGED = [name for name in NOTICES if name not in ("BSD", "GFDL", "GPL", "LGPL", "AGPL")] + [
+    "0BSD", "Artistic-1.0-Perl", "GFDL-1.2", "GFDL-1.3", "LGPL-2.0"]
+
+
+def _tags(name: str) -> tuple[str, ...]:
+    """The tags of a licence; GNU's say which later versions count."""
+    return (name, f"{name}-only", f"{name}-or-later") if name.startswith(("GPL-", "LGPL-", "AGPL-", "GFDL-")) else (name,)
