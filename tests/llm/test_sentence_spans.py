@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,6 +73,33 @@ def test_agrees_with_brute_force(spark):
     assert ss.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("half", [0, 1])
+def test_runs_that_agree_in_half_of_their_digest(spark, monkeypatch, half):
+    whole = ss.digest
+    monkeypatch.setattr(ss, "digest", lambda words, seed: tuple(
+        7 if at == half else value for at, value in enumerate(whole(words, seed))))
+    rows = corpus(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows)
+    got = sorted(((r.doc_id, r.n_removed) for r in ss.remove_repeats(docs).collect()), key=repr)
+    assert got == sorted(((i, len(expected[i, t or ""][0])) for i, t in rows), key=repr)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    long = " ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) + "." for _ in range(8000))
+    docs = spark.createDataFrame([(1, long), (2, "Head of it. " + long + " Tail of it."), (3, "short.")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in ss.remove_repeats(docs).collect()}
+    assert got == {1: (0, long), 2: (8000, "Head of it. Tail of it."), 3: (0, "short.")}
+
+
+def test_sizes_of_runs_are_parameters(spark):
+    docs = spark.createDataFrame([(1, "one two. three four."), (2, "x. one two. three four. y.")], "doc_id long, text string")
+    assert {r.n_removed for r in ss.remove_repeats(docs).collect()} == {0}
+    got = {r.doc_id: r.text for r in ss.remove_repeats(docs, span_words=4).collect()}
+    assert got == {1: "one two. three four.", 2: "x. y."}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(" ab.!?\n\t", max_size=60))
 def test_pieces_are_the_text(text):
@@ -82,7 +110,7 @@ def test_pieces_are_the_text(text):
 @given(st.lists(st.integers(1, 60), min_size=1, max_size=12))
 def test_runs_cover_every_passage_of_fifty_words(sizes):
     parts = [" ".join(f"a{i}x{k}" for k in range(n)) + ". " for i, n in enumerate(sizes)]
-    covered = {k for _, i, j in ss.runs(parts) for k in range(i, j + 1)}
+    covered = {k for _, _, i, j in ss.runs(parts) for k in range(i, j + 1)}
     if sum(sizes) > 50:
         assert covered == set(range(len(sizes)))
 
