@@ -4,9 +4,11 @@ Every source has a weight schedule over training time 0..1. Its integral is the
 and so its share of the whole; the inverse of its running integral tells at which moment each of
 the source's words is due. Documents are given positions that way and range-sorted by them.
 
-Only DataFrame functions are used. The running word count inside a source is taken in two steps
-(inside 4096 hash buckets, then over the buckets' totals), so one source with a third of all rows
-is spread over as many tasks.
+Only DataFrame functions are used. Words are counted once; sizes and keys are stored without the texts.
+The running word count inside a source is taken in two steps (inside 4096 hash buckets, then over the
+buckets' totals), so one source with a third of all rows is spread over as many tasks. A bucket that
+one id fills is cut further, by id, size and a hash of the text. The plan over sources is made in one
+task, which sees one row for each of them.
 """
 
 from __future__ import annotations
@@ -14,8 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliomill.sources import workspace
+
 SPACES = r"[\x20\x09-\x0D]+"
 BUCKET_DIGITS = 3  # 16^3 hash buckets for each source
+HOT = 2_000_000    # rows of a bucket that one task takes
+SALTS = 64         # shares of the rows of a hot bucket that agree in id and size
 CAP = 3            # a source is read at most so many times
 TILTS = (-0.5, 0.0, 0.5)  # by weight 1, 2, 3: falling, level and rising schedules
 
@@ -76,12 +82,20 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     their own. An empty table gives an empty result. Reruns agree: nothing depends on row order.
     """
     key = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select(
+    sized = workspace.written(docs.select(
         F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
         word_count(F.col(text_column)).alias("size"), key.alias("_order"),
-        _source_key(F.col(source_column)).alias("_source"),
+        F.xxhash64(text_column).alias("_text"), _source_key(F.col(source_column)).alias("_source"),
         F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"),
-    )
+    ), "sizes")
+    rows = sized.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+    if rows.limit(1).count():
+        # The finer key follows the order of the rows: digest, size, then which share of those that agree in both.
+        fine = F.concat("_bucket", F.lit("-"), "_order", F.lit("-"), F.lpad(F.col("size").cast("string"), 19, "0"), F.lit("-"),
+                        F.lpad(F.pmod("_text", F.lit(SALTS)).cast("string"), 3, "0"))
+        hot = rows.select("_source", "_bucket", F.lit(True).alias("_hot"))
+        sized = workspace.written(sized.join(hot, ["_source", "_bucket"], "left").withColumn(
+            "_bucket", F.when(F.col("_hot"), fine).otherwise(F.col("_bucket"))).drop("_hot"), "sizes")
     buckets = sized.groupBy("_source", "_bucket").agg(
         F.first("source").alias("source"), F.sum("size").alias("_bucket_size"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +107,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     ).withColumn("_source", _source_key(F.col("source"))).drop("source")
     placed = offsets.select("_source", "_bucket", "_offset").join(plan, "_source")
 
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", "size").rowsBetween(
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", "size", "_text").rowsBetween(
         Window.unboundedPreceding, -1)
     ranked = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     taken = ranked.join(placed, ["_source", "_bucket"]).withColumns({
