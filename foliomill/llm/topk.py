@@ -156,7 +156,7 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, id_column: str = "vec_id",
     total = distinct.groupBy("dims").agg(
         F.ceil(F.count(F.lit(1)) / VECTORS_A_BLOCK).alias("blocks"))
     blocked = distinct.join(total, "dims").withColumn(
-        "block", F.pmod(F.xxhash64("first"), F.col("blocks")))
+        "block", F.pmod(F.xxhash64("first", "key"), F.col("blocks")))
     file = workspace.written(
         blocked.select("dims", "block", "blocks", "first", "key", "ids", "v"), "vector-file")
     queries = rows.filter(F.col("vec_id") % every == 0).withColumns(
