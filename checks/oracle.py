@@ -696,6 +696,12 @@ view("once_texts", "SELECT file_id, text AS once, text FROM cleaned", "cleaned")
 _chain(clean_chain("once_texts", "cleaned_twice"), "once_texts")
 oracle("clean_idempotence_audit", "SELECT file_id, once, text FROM cleaned_twice WHERE once <> text", "cleaned_twice")
 oracle("html_to_markdown", "SELECT page_id, title, text AS markdown FROM converted", "converted")
+_LINE = f"""{strip("'x ' || regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')")}"""
+oracle("html_blocks", f"""
+SELECT doc_id, '1. ' || doc_id || n || '   - ' || lang || n || '2. ' || line || n || n || '> ' || source || n || '>' || n || '> > ' || line
+  || n || n || '| id | text |' || n || '| --- | --- |' || n || '| ' || doc_id || ' | **b** ' || replace(line, '|', '\\|') || ' |'
+  || n || n || '```' || n || doc_id || n || n || n || line || n || '```' AS markdown
+FROM (SELECT *, chr(10) AS n, {_LINE} AS line FROM documents)""")
 oracle("text_to_markdown", "SELECT doc_id, text AS markdown FROM cleaned_texts", "cleaned_texts")
 oracle("convert_corpus", f"""
 SELECT {UPLOAD}, converter_name, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END AS status,

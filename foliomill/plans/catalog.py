@@ -432,6 +432,12 @@ def warning_lines(spark, folder):
 # -- structure --------------------------------------------------------------------------------
 
 
+@query
+def html_blocks(spark, folder):
+    """Nested lists, quotations, tables and verbatim text as Markdown."""
+    return convert.html_to_markdown(tables.block_pages(spark, folder)).select("doc_id", "markdown")
+
+
 @query
 def heading_outline(spark, folder):
     docs = tables.quality_docs(spark, folder).select("file_id", "markdown")

@@ -248,3 +248,16 @@ def signed_docs(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).selectExpr(
         "doc_id AS file_id", "concat('file ', doc_id, CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.pdf' END) AS original_filename",
         f"concat(element_at(array({heads}), CAST(doc_id % {len(HEADS)} AS INT) + 1), encode(text, 'UTF-8')) AS content")
+
+
+def block_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole documents, each on one line, in nested lists, quotations, a table and verbatim text."""
+    line = r"replace(concat('x ', regexp_replace(coalesce(text, ''), '\\s+', ' ')), '&', '&amp;')"
+    pieces = (
+        "'<ol><li>', doc_id, '<ul class=\"k\"><li>', lang, '</li></ul></li><LI>', line, '</li></ol>'",
+        "'<blockquote>', source, '<blockquote><p>', line, '</p></blockquote></blockquote>'",
+        "'<table><thead><tr><th>id</th><th>text</th></tr></thead><tr><td>', doc_id, '</td><td><b>b</b> ', line, '</td></tr></table>'",
+        "'<pre><code>', doc_id, char(10), char(10), char(10), line, '</code></pre>'",
+    )
+    return documents(spark, folder).selectExpr("doc_id", "lang", "source", f"{line} AS line").selectExpr(
+        "doc_id", f"concat({', '.join(pieces)}) AS html")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -34,17 +35,39 @@ def root(spark: SparkSession) -> str:
     return _local_root()
 
 
+_scopes: list[list[str]] = []
+
+
 def fresh(spark: SparkSession, purpose: str) -> str:
     """A folder name no other run uses."""
-    return f"{root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    for made in _scopes[-1:]:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Folders named inside go when it ends: what is left must have been written to a folder named outside.
+
+    Only folders that ``fresh`` has named are deleted, through the file system that holds them.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for name in _scopes.pop():
+            path = hadoop.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     """Write the rows as a table in the shared folder and read them back.
 
     Later steps start from the stored table: nothing is computed twice and a lost executor costs
     no more than its own tasks.
     """
-    path = fresh(df.sparkSession, purpose)
+    path = path or fresh(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
