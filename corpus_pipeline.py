@@ -111,8 +111,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over the whole documents table."""
+    """The stages one after another over the whole documents table; of each only its result is left."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = workspace.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = workspace.fresh(spark, f"stage-{name}")
+        with workspace.scope(spark):
+            docs = workspace.written(stage(spark, docs, sf_dir), name, path)
     return docs
