@@ -224,9 +224,9 @@ def _family_links(verified: DataFrame, percent: int) -> DataFrame:
     over = weight - (100 - percent) * F.col("n_x")
     # The least overlap with any partner: of a member that links to the hub, one that does not.
     least = F.when(F.col("linked"), F.floor(weight / (100 + percent)) + 1).otherwise(F.ceil(over / (100 + percent) - 1e-9))
-    by_added, long_added = _meetings(rows, "added", F.ceil(spare / 100 - 1e-9), "one.bound OR two.bound", "bound")
+    by_added, long_added = _meetings(rows, "added", F.ceil(spare / 100 - 1e-9), "bound", "bound", percent)
     loose = rows.filter("NOT bound")
-    by_all, long_all = _meetings(loose, "difference", least, "true", "open")
+    by_all, long_all = _meetings(loose.withColumn("any", F.lit(True)), "difference", least, "any", "open", percent)
     pairs = by_added.unionByName(by_all).distinct()
     known = rows.select("x", "v", F.col("n_x").alias("hub"), "n_y", "difference")
     met = pairs.join(known, ["x", "v"]).join(known.select(
@@ -238,26 +238,39 @@ def _family_links(verified: DataFrame, percent: int) -> DataFrame:
     return close.unionByName(_cells(rows.join(rest, ["x", "v"], "left_semi"), percent))
 
 
-def _meetings(rows: DataFrame, shingles: str, least, pairs: str, asking: str) -> tuple[DataFrame, DataFrame]:
+def _meetings(rows: DataFrame, shingles: str, least, asked: str, asking: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """(x, u, v) pairs from the short lists of the shingles in a column, and (x, v) members of longer lists.
 
     ``least`` is how many of them a member shares with a partner. Two sets that share so many share one of
     their first, in any order that is the same for both: shingles are ordered by whether the hub has them,
-    then by value, as they stand in the column. Lists that nobody asks for are left out.
+    then by value, as they stand in the column. Lists that nobody asks for are left out, and so are pairs
+    whose sizes, or whose places in the list's shingle, leave too little to share.
     """
-    places = F.greatest(F.size(shingles) - F.greatest(least, F.lit(1)) + 1, F.lit(0)).cast("int")
+    least = F.greatest(least, F.lit(1)).cast("int")
+    places = F.greatest(F.size(shingles) - least + 1, F.lit(0))
     held = workspace.written(rows.withColumn("open", ~F.col("linked")).select(
-        "x", "v", "linked", "bound", F.col(asking).alias("asks"), F.explode(F.slice(shingles, F.lit(1), places)).alias("e")),
-        "family-shingles")
+        "x", "v", "linked", F.col(asked).alias("asked"), F.col(asking).alias("asks"), F.col("n_y").alias("n"),
+        F.size(shingles).alias("size"), least.alias("least"),
+        F.posexplode(F.slice(shingles, F.lit(1), places)).alias("at", "e")), "family-shingles")
     # Stored, so that the join has a shuffle of its own on either side and a hot shingle can be split.
     shared = workspace.written(held.groupBy("x", "e").agg(
-        F.count(F.lit(1)).alias("df"), F.max("asks").alias("asked")).filter("df > 1 AND asked").drop("asked"), "family-lists")
+        F.count(F.lit(1)).alias("df"), F.max("asks").alias("any")).filter("df > 1 AND any").drop("any"), "family-lists")
     listed = held.join(shared, ["x", "e"])
+    member = F.struct("v", "linked", "asked", "n", "size", "least", "at")
     lists = listed.filter(F.col("df") <= SHORT).groupBy("x", "e").agg(
-        F.array_sort(F.collect_list(F.struct("v", "linked", "bound"))).alias("list")).filter(F.size("list") > 1)
-    first = lists.select("x", "list", F.posexplode("list").alias("at", "one"))
-    met = first.select("x", "one", F.explode(F.slice("list", F.col("at") + 2, F.size("list"))).alias("two")).filter(
-        "NOT (one.linked AND two.linked)").filter(pairs).select("x", F.col("one.v").alias("u"), F.col("two.v").alias("v"))
+        F.array_sort(F.collect_list(member)).alias("list")).filter(F.size("list") > 1)
+    first = lists.select("x", "list", F.posexplode("list").alias("place", "one"))
+    one = F.col("one")
+
+    def may_link(two):
+        behind = F.least(one["size"] - one["at"], two["size"] - two["at"])
+        return (
+            ~(one["linked"] & two["linked"]) & (one["asked"] | two["asked"])
+            & (100 * F.least(one["n"], two["n"]) >= percent * F.greatest(one["n"], two["n"]))
+            & (F.least(one["at"], two["at"]) + behind >= F.greatest(one["least"], two["least"])))
+
+    others = F.filter(F.slice("list", F.col("place") + 2, F.size("list")), may_link)
+    met = first.select("x", one["v"].alias("u"), F.explode(others).alias("two")).select("x", "u", F.col("two.v").alias("v"))
     return met, listed.filter(F.col("df") > SHORT).select("x", "v")
 
 

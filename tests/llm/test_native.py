@@ -94,3 +94,22 @@ def test_schedules_invert(spark):
         rows = spark.range(11).selectExpr("id / 10.0D AS u").select("u", mixing.due(mixing.F.col("u"), mixing.F.lit(weight)).alias("t"))
         for r in rows.collect():
             assert abs((1 - tilt) * r.t + tilt * r.t ** 2 - r.u) < 1e-12
+
+
+@pytest.mark.parametrize("hot", [2_000_000, 20])
+def test_an_id_that_half_of_the_rows_share(spark, monkeypatch, hot):
+    monkeypatch.setattr(mixing, "HOT", hot)
+    rows = [(None if i % 2 else i, "w " * (i % 7), "ab"[i % 5 == 0]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        mine = sorted((r.start, r.size) for r in got if r.source == source)
+        total = 0
+        for start, size in sorted(mine, key=lambda r: (r[0], r[1] > 0)):
+            assert start == total or size == 0
+            total += size
+        assert total == sum(i % 7 for i, (_, _, s) in enumerate(rows) if s == source)
+        assert sum(r.taken for r in got if r.source == source) == next(r.want for r in got if r.source == source)
+    again = mixing.mix(docs.orderBy("text", "source")).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))

@@ -3,7 +3,7 @@ import hashlib
 
 import pytest
 
-from foliomill.llm import warc
+from foliomill.llm import queries, warc
 from foliomill.sources import workspace
 
 
@@ -67,3 +67,16 @@ def test_damage_is_found(spark):
     spark.read.parquet(f"{folder}/headers").write.parquet(f"{folder}/bad/headers")
     with pytest.raises(Exception, match="digest does not hold"):
         warc.read(spark, f"{folder}/bad").collect()
+
+
+def test_query_agrees_with_brute_force_on_the_table(spark):
+    folder = "/root/testdata/sf0.001"
+    pages = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    owner = {}
+    for page, payload in pages:
+        owner[payload] = max(page, owner.get(payload, page))
+    expected = [(page, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(),
+                 *(("response", None) if owner[payload] == page else ("revisit", owner[payload]))) for page, payload in pages]
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
+           for r in queries.QUERIES["op7_warc"](spark, folder).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
