@@ -123,3 +123,24 @@ def test_stuck_files(spark, tmp_path):
 
 def test_work_folder_follows_the_session(spark):
     assert workspace.fresh(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_rows_behind_the_watermark_are_counted_over_all_batches(spark, tmp_path):
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    batches = [[(n, at(600 * n))] + [(100 + n, at(0))] * (n > 1) for n in range(8)]
+    stream = arriving(spark, str(tmp_path / "in"), batches, "event_id int, ts timestamp")
+    # A batch drops by the watermark that the batch before it began with: the first late row is kept.
+    assert streams.count_late(streams.stream_dedupe(stream, "10 minutes"), "late-count") == 5
+
+
+def test_stuck_files_with_ends_before_starts_and_many_events(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    schema = "event_id int, ts timestamp, job_id int, file_id int, kind string"
+    many = [(10 + i, at(i), 1, 9, "start") for i in range(300)] + [(1000 + i, at(i + 1), 1, 9, "complete") for i in range(0, 200, 2)]
+    stream = arriving(spark, str(tmp_path / "in"), [
+        [(1, at(100), 1, 1, "complete"), *many], [(2, at(50), 1, 1, "start"), (3, at(101), 1, 1, "start")],
+        [(4, at(9000), 1, 5, "start"), (5, at(9000), 1, 5, "fail")], [(6, at(20_000), 1, 6, "start"), (7, at(20_000), 1, 6, "fail")],
+    ], schema)
+    rows, _ = streams.drain(streams.stream_stuck_files(stream), "stuck")
+    # The last end of file 9 is at 199; starts after it are stuck.
+    assert sorted(r.event_id for r in rows.collect()) == [3, *range(10 + 200, 310)]
