@@ -11,9 +11,10 @@ copy all earlier ones: the cost grows with the text.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
@@ -211,3 +212,13 @@ def written(text: Column) -> Column:
 
     # The text before the first mark is a piece too; a fence that no tag ends is ended here.
     return let(F.split(F.concat(F.lit(TEXT), text, F.lit(MARK + END_CODE)), MARK, -1), folded)
+
+
+@functools.lru_cache(maxsize=16)
+def _prepared(gateway: object, name: str) -> Column:
+    return written(F.col(name))
+
+
+def written_column(spark: SparkSession, name: str) -> Column:
+    """``written`` of a column by name, put together once for each name: that takes longer than planning it."""
+    return _prepared(spark.sparkContext._gateway, name)

@@ -114,7 +114,7 @@ def html_to_markdown(
     df = replace_tags(df, into, [(BLOCK_TAG, "\n\n"), (OTHER_TAG, "")])
     df = df.withColumn(into, decode_entities(text))
     squeezed = F.regexp_replace(F.regexp_replace(text, P.TRAILING_BLANKS, ""), P.BLANK_RUN, "\n\n")
-    return fence(df.withColumn(into, strip(F.when(nested, blocks.written(text)).otherwise(squeezed))).drop("_nested"))
+    return fence(df.withColumn(into, strip(F.when(nested, blocks.written_column(df.sparkSession, into)).otherwise(squeezed))).drop("_nested"))
 
 
 def text_to_markdown(df: DataFrame, text: str = "text", into: str = "markdown") -> DataFrame:
