@@ -10,9 +10,9 @@ One hash function orders the shingles of a document; its sketch is the ``sketch`
 4. The sketch of the union of a pair estimates its similarity; pairs that cannot link are dropped.
 5. The full sets of the rest decide. Members of a hub's family also get the difference of their set
    from the hub's. Two of them that both link to the hub need no further look. Any other two that link
-   must share a part of their differences, so they meet in the lists of the least shingles of these (the
-   prefix filter once more, in the order of the hash); members of a list that is long even then are
-   compared in bounded cells. Differences give the exact similarity.
+   must share a part of their differences, so they meet in the short lists of the rarest shingles of
+   these (the prefix filter once more); members of a list that is long even then are compared in
+   bounded cells. Differences give the exact similarity.
 6. Components of the links name the groups.
 
 So a group of very many near copies, and very many pages of one template, cost in proportion to their
@@ -241,34 +241,34 @@ def _family_links(verified: DataFrame, percent: int) -> DataFrame:
 def _meetings(rows: DataFrame, shingles: str, least, asked: str, asking: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """(x, u, v) pairs from the short lists of the shingles in a column, and (x, v) members of longer lists.
 
-    ``least`` is how many of them a member shares with a partner. Two sets that share so many share one of
-    their first, in any order that is the same for both: shingles are ordered by whether the hub has them,
-    then by value, as they stand in the column. Lists that nobody asks for are left out, and so are pairs
-    whose sizes, or whose places in the list's shingle, leave too little to share.
+    ``least`` is how many of them a member shares with a partner; lists that nobody asks for are left out, and
+    so are pairs whose sizes alone keep them apart.
     """
-    least = F.greatest(least, F.lit(1)).cast("int")
-    places = F.greatest(F.size(shingles) - least + 1, F.lit(0))
-    held = workspace.written(rows.withColumn("open", ~F.col("linked")).select(
-        "x", "v", "linked", F.col(asked).alias("asked"), F.col(asking).alias("asks"), F.col("n_y").alias("n"),
-        F.size(shingles).alias("size"), least.alias("least"),
-        F.posexplode(F.slice(shingles, F.lit(1), places)).alias("at", "e")), "family-shingles")
+    marked = rows.select(
+        "x", "v", "linked", F.col(asked).alias("asked"), F.col("n_y").alias("n"), (~F.col("linked")).alias("open"), "bound",
+        F.col(shingles).alias("all"), F.greatest(least, F.lit(1)).alias("least"))
+    held = marked.select("x", "v", asking, F.explode("all").alias("e"))
     # Stored, so that the join has a shuffle of its own on either side and a hot shingle can be split.
     shared = workspace.written(held.groupBy("x", "e").agg(
-        F.count(F.lit(1)).alias("df"), F.max("asks").alias("any")).filter("df > 1 AND any").drop("any"), "family-lists")
-    listed = held.join(shared, ["x", "e"])
-    member = F.struct("v", "linked", "asked", "n", "size", "least", "at")
+        F.count(F.lit(1)).alias("df"), F.max(asking).alias("any")).filter("df > 1 AND any").drop("any"), "family-shingles")
+    values = held.join(shared, ["x", "e"]).groupBy("x", "v").agg(
+        F.array_sort(F.collect_list(F.struct("df", "e"))).alias("values"))
+    # Rarest first, so that what very many members have is in no list. Shingles that no other member has come
+    # before these and take their places of the prefix.
+    unshared = F.size("all") - F.size("values")
+    places = F.greatest(F.size("all") - F.col("least") + 1 - unshared, F.lit(0)).cast("int")
+    listed = workspace.written(marked.join(values, ["x", "v"]).select(
+        "x", "v", "linked", "asked", "n", F.explode(F.slice("values", F.lit(1), places)).alias("l")).select(
+        "x", "v", "linked", "asked", "n", F.col("l.df").alias("df"), F.col("l.e").alias("e")), "family-lists")
     lists = listed.filter(F.col("df") <= SHORT).groupBy("x", "e").agg(
-        F.array_sort(F.collect_list(member)).alias("list")).filter(F.size("list") > 1)
-    first = lists.select("x", "list", F.posexplode("list").alias("place", "one"))
+        F.array_sort(F.collect_list(F.struct("v", "linked", "asked", "n"))).alias("list")).filter(F.size("list") > 1)
     one = F.col("one")
 
     def may_link(two):
-        behind = F.least(one["size"] - one["at"], two["size"] - two["at"])
-        return (
-            ~(one["linked"] & two["linked"]) & (one["asked"] | two["asked"])
-            & (100 * F.least(one["n"], two["n"]) >= percent * F.greatest(one["n"], two["n"]))
-            & (F.least(one["at"], two["at"]) + behind >= F.greatest(one["least"], two["least"])))
+        return (~(one["linked"] & two["linked"]) & (one["asked"] | two["asked"])
+                & (100 * F.least(one["n"], two["n"]) >= percent * F.greatest(one["n"], two["n"])))
 
+    first = lists.select("x", "list", F.posexplode("list").alias("place", "one"))
     others = F.filter(F.slice("list", F.col("place") + 2, F.size("list")), may_link)
     met = first.select("x", one["v"].alias("u"), F.explode(others).alias("two")).select("x", "u", F.col("two.v").alias("v"))
     return met, listed.filter(F.col("df") > SHORT).select("x", "v")
