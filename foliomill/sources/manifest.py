@@ -10,6 +10,7 @@ from foliomill.functions.text import WHITESPACE, basename, suffix
 from foliomill.sources.lookups import DOCX_MIME
 
 SNIFF_BYTES = 4096
+TASKS_A_CORE = 16
 
 
 def corpus_manifest(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -45,12 +46,16 @@ def stored_files(spark: SparkSession, folder: str, max_bytes: int | None = None)
 
     A size limit goes to the listing: larger files are not opened. Without ``content`` in the plan none is.
     """
-    files = spark.read.format("binaryFile").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     if max_bytes is not None:
         files = files.filter(F.col("length") <= max_bytes + 1)
+    # A scan counts some megabytes for each file that it opens, so small ones would give a task for every few.
+    files = files.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     size = F.col("length") - 1
+    digits = F.replace(F.regexp_extract("path", "/part-[0-9]+/[0-9]+-([0-9A-F/a-f]*)$", 1), F.lit("/"))
+    stored = F.when(digits != "", F.decode(F.unhex(digits), "UTF-8"))
     return files.select(
-        F.col("stored_path").cast("string").alias("path"), basename(F.col("stored_path").cast("string")).alias("original_filename"),
+        stored.alias("path"), basename(stored).alias("original_filename"),
         size.alias("size_bytes"), F.substring("content", F.lit(1), size.cast("int")).alias("content"))
 
 

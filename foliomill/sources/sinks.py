@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +16,7 @@ from pyspark.sql import functions as F
 from foliomill.functions.text import safe_name, stem
 
 BUCKETS = 64
+NAME_PIECE = 200  # file systems take names of 255 bytes
 
 
 def with_output_name(converted: DataFrame) -> DataFrame:
@@ -87,13 +95,44 @@ def delete_jobs(spark: SparkSession, folder: str, deleted: DataFrame, staging: s
 
 
 def write_files(rows: DataFrame, folder: str, path: str, content: str) -> None:
-    """One file for each row, below a folder named by its path; the content is text.
+    """One file for each row below a folder, named by the row's path; the content is text.
 
-    A line break ends every file, so that empty ones are listed too: Spark lists no file of zero bytes. Paths
-    must be unique; ``manifest.stored_files`` reads the folder.
+    A task writes its rows' files to one folder, which gets its final name once all of them are there: a task
+    that is repeated leaves nothing twice, and there are as many folders as tasks, not as files. The tasks write
+    to the folder themselves, so it must be one that Python's Arrow can open on every executor. Names are hex
+    digits, behind the row's number. A line break ends every file, so that empty ones are listed too: Spark lists
+    no file of zero bytes. ``manifest.stored_files`` reads the folder.
     """
-    named = rows.select(F.col(path).alias("stored_path"), F.col(content).cast("string").alias("value"))
-    named.write.partitionBy("stored_path").option("maxRecordsPerFile", 1).text(folder)
+    place = re.sub("^file:/+", "/", folder)
+    named = rows.select(F.col(path).cast("string").alias("path"), F.col(content).cast("string").alias("value"))
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get()
+        files, root = (fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place))
+        target, started = f"{root}/part-{task.partitionId()}", f"{root}/.part-{uuid.uuid4().hex}"
+        written = 0
+        for batch in batches:
+            for name, value in zip(batch["path"], batch["value"]):
+                # A name is cut into folders where it is longer than a file system takes.
+                digits = (name or "").encode().hex()
+                pieces = [digits[at:at + NAME_PIECE] for at in range(0, len(digits), NAME_PIECE)] or [""]
+                at = "/".join([f"{started}/{written}-{pieces[0]}", *pieces[1:]])
+                if not written or pieces[1:]:
+                    files.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(at) as out:
+                    out.write((value or "").encode() + b"\n")
+                written += 1
+        if written:
+            if files.get_file_info(target).type == fs.FileType.NotFound:
+                files.move(started, target)
+            else:
+                files.delete_dir(started)
+        yield pd.DataFrame({"files": [written]})
+
+    # Known to the reader even if there is no row.
+    spark = rows.sparkSession
+    spark.range(0).select(F.lit("").alias("value")).write.text(folder)
+    named.mapInPandas(store, "files long").write.format("noop").mode("overwrite").save()
 
 
 def write_validated(validated: DataFrame, folder: str, batch: int) -> None:

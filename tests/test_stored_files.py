@@ -152,3 +152,16 @@ def test_folders_of_a_scope_go(spark):
         outer = workspace.written(inner, "outer", kept)
         assert os.path.isdir(inside)
     assert not os.path.isdir(inside) and outer.count() == 3
+
+
+def test_files_of_a_task_share_a_folder(spark, tmp_path):
+    long = "input/" + "é" * 300 + ".txt"
+    rows = [(f"input/{i}/doc.txt", "x" * i) for i in range(200)] + [("same", "one"), ("same", "other"), (long, "long"), (None, None)]
+    folder = str(tmp_path / "files")
+    sinks.write_files(spark.createDataFrame(rows, "path string, body string").coalesce(2), folder, "path", "body")
+    files = sorted((r.path or "", bytes(r.content).decode()) for r in manifest.stored_files(spark, folder).collect())
+    assert files == sorted((p or "", b or "") for p, b in rows)
+    assert sum(name.startswith("part-") for name in os.listdir(folder) if os.path.isdir(os.path.join(folder, name))) <= 2
+    none = str(tmp_path / "none")
+    sinks.write_files(spark.createDataFrame([], "path string, body string"), none, "path", "body")
+    assert manifest.stored_files(spark, none).count() == 0
