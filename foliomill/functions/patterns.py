@@ -81,6 +81,7 @@ RESIDUAL_NAMES = (
 )
 RESIDUAL = either(RESIDUAL_NAMES)
 _PATH = SPACE + r"\"'()\[\]"
+WORD_END = f"[{_PATH}]"
 MEDIA_FILE = f"[^{_PATH}]+[.]{any_case('jpg|jpeg|png|gif|svg|webp|bmp')}"
 MEDIA_FOLDER = f"[^{_PATH}/]+{any_case('_media')}"
 MEDIA_PATH = f"([^{_PATH}]*?)({MEDIA_FOLDER})/({MEDIA_FILE})"
@@ -92,8 +93,8 @@ CALLOUT_EMOJIS = ("✅", "⚠️", "💡", "🎯", "📝", "📌", "🚨", "🔥
 # The same language as MEDIA_PATH, but tried once per space-free word and once per path
 # segment, so a long base64 run costs linear instead of quadratic time in a backtracking engine.
 MEDIA_PATH_ANCHORED = f"(?<![^{_PATH}])((?:[^{_PATH}]*?/)??)({MEDIA_FOLDER})/({MEDIA_FILE})"
-# Trailing blanks, tried once per blank run.
-TRAILING_BLANKS = r"(?<![ \t])[ \t]++(?=\n|\z)"
+# Trailing blanks, tried once per blank run; what stands before is only looked at where there is a blank.
+TRAILING_BLANKS = r"[ \t](?<![ \t]{2})[ \t]*+(?=\n|\z)"
 BLANK_RUN = r"\n{3,}"
 
 

@@ -24,10 +24,16 @@ def if_contains(text: Column, needle: str, value: Column, otherwise: Column) ->
     return F.when(F.contains(text, F.lit(needle)), value).otherwise(otherwise)
 
 
+def behind(text: Column, head: Column) -> Column:
+    """What follows a text's beginning ``head``. Cut by bytes: characters would be counted one by one."""
+    return F.substring(text.cast("binary"), F.octet_length(head) + 1, F.octet_length(text)).cast("string")
+
+
 def complete_tags(text: Column) -> Column:
     """The text up to its last ``>``: no tag ends behind it, and looking for the end of one would
     scan the rest of the document once for every opener."""
-    return F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, ">", -1)))
+    size = F.octet_length(text) - F.octet_length(F.substring_index(text, ">", -1))
+    return F.substring(text.cast("binary"), F.lit(1), size).cast("string")
 
 
 def replace_tags(
@@ -40,7 +46,7 @@ def replace_tags(
     text, tagged = F.col(column), F.col(_TAGGED)
     for at, (pattern, replacement) in enumerate(rules):
         df = df.withColumn(_TAGGED, if_contains(text, "<", complete_tags(text), F.lit("")))
-        rest = F.substring(text, F.length(tagged) + 1, F.length(text))
+        rest = behind(text, tagged)
         if counter and not at and "$" not in replacement:
             # One pass gives both: what is between the matches, and so their number.
             df = df.withColumn(_PARTS, F.when(tagged != "", F.split(tagged, java(pattern), -1)))
@@ -117,7 +123,7 @@ def rewrite_pairs(
         df = df.withColumn(_TAGGED, masks)
         masks = prepare(ready)
     df = df.withColumn(_TAGGED, masks)
-    rest = F.substring(text, F.length(head) + 1, F.length(text))
+    rest = behind(text, head)
     return df.withColumns({
         column: F.when(head == "", text).otherwise(F.concat(unmasked(rewrite(ready), head), rest)),
         **{

@@ -18,7 +18,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
-from foliomill.functions.rewrite import complete_tags, if_contains, let, matchable
+from foliomill.functions.rewrite import behind, complete_tags, if_contains, let, matchable
 from foliomill.functions.text import strip
 
 MARK = "\x00"
@@ -78,8 +78,8 @@ def marked(text: Column, substitute: Callable) -> list[Column]:
     for pattern, marks in TAGS:
         tags = F.regexp_replace(tags, P.java(pattern), marks)
     whole = matchable(text, P.closing("table"))
-    tables = F.concat(substitute(whole, P.java(DATA_TABLE), _table, 1), F.substring(text, F.length(whole) + 1, F.length(text)))
-    rest = F.substring(text, F.length(complete_tags(text)) + 1, F.length(text))
+    tables = F.concat(substitute(whole, P.java(DATA_TABLE), _table, 1), behind(text, whole))
+    rest = F.substring_index(text, ">", -1)
     return [
         if_contains(text, "</", tables, text),
         F.concat(substitute(complete_tags(text), P.java(ORDERED_START), numbers, 0), rest), F.concat(tags, rest)]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
 from foliomill.functions.rewrite import (
-    complete_tags, count_matches, fence, if_contains, let, masked, replace_tags, rewrite_pairs, unmasked,
+    behind, complete_tags, count_matches, fence, if_contains, let, masked, replace_tags, rewrite_pairs, unmasked,
 )
 from foliomill.functions.text import strip, substitute
 
@@ -90,7 +90,7 @@ def convert_callouts(df: DataFrame, column: str = "text") -> DataFrame:
         belong to a match, and each would be looked through to the end of the text."""
         groups = F.size(F.split(text, P.COLGROUP_START)) > 2
         useful = F.regexp_extract(text, P.java(f"^(.*{P.COLGROUP_END})"), 1)
-        rest = F.substring(text, F.length(useful) + 1, F.length(text))
+        rest = behind(text, useful)
         hidden = F.concat(useful, F.regexp_replace(rest, P.COLGROUP_START, "\ue000colgroup"))
         return F.when(groups & ~F.contains(text, F.lit("\ue000")), hidden).otherwise(text)
 
@@ -166,7 +166,7 @@ def strip_spans(df: DataFrame, column: str = "text") -> DataFrame:
     )
     tags = F.col("_span_tags")
     df = df.withColumn("_bare", F.when(F.size(tags) == 0, text).otherwise(F.concat(
-        F.regexp_replace("_complete", any_tag, ""), F.substring(text, F.length("_complete") + 1, F.length(text)))))
+        F.regexp_replace("_complete", any_tag, ""), behind(text, F.col("_complete")))))
 
     def fold(acc: Column, one: Column) -> Column:
         closes = F.startswith(one, F.lit("</"))
@@ -252,7 +252,7 @@ def convert_img_tags(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumns({
         column: F.when(F.size("_attrs") == 0, text).otherwise(F.concat(
             substitute(F.col("_complete"), pattern, image, 1),
-            F.substring(text, F.length("_complete") + 1, F.length(text)))),
+            behind(text, F.col("_complete")))),
         "img_tags_converted": F.size(F.filter("_attrs", lambda a: a.rlike(src))),
     }).drop("_complete", "_attrs")
 
@@ -295,19 +295,21 @@ def rewrite_image_paths(df: DataFrame, column: str = "text", media_dir: str = ME
     """Flatten ``…/<x>_media/<file>`` to ``<media_dir>/<file>`` and vote for the old folder."""
     pattern = P.java(P.MEDIA_PATH_ANCHORED)
     text = F.col(column)
-    df = df.withColumn(
-        "_dirs",
-        F.when(text.rlike(P.any_case("_media/")), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)))
-        .otherwise(F.array().cast("array<string>")),
-    )
+    # No match begins before the word of the first folder, so what is before it is not searched.
+    df = df.withColumn("_at", F.regexp_instr(text, F.lit(P.any_case("_media/"))))
+    df = df.withColumn("_before", F.when(F.col("_at") > 0, F.regexp_extract(
+        F.substring(text, F.lit(1), F.col("_at") - 1), P.java(f"^(.*{P.WORD_END})"), 1)))
+    df = df.withColumn("_words", behind(text, F.col("_before")))
+    df = df.withColumn("_dirs", F.when(F.col("_at") > 0, F.regexp_extract_all("_words", F.lit(pattern), F.lit(2))).otherwise(
+        F.array().cast("array<string>")))
     replacement = media_dir.replace("\\", "\\\\").replace("$", "\\$") + "/$3"
     voted = F.when(F.size("_dirs") > 0, _first_most_frequent(F.col("_dirs")))
     return df.withColumns({
         column: F.when(F.size("_dirs") == 0, text)
-        .otherwise(F.regexp_replace(text, pattern, replacement)),
+        .otherwise(F.concat("_before", F.regexp_replace("_words", pattern, replacement))),
         "image_paths_rewritten": F.size("_dirs"),
         "media_dir_old": F.when(voted != media_dir, voted),
-    }).drop("_dirs")
+    }).drop("_at", "_before", "_words", "_dirs")
 
 
 def normalise_whitespace(df: DataFrame, column: str = "text") -> DataFrame:

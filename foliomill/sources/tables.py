@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TASKS_A_CORE = 4
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One given table."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -22,6 +25,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt anew by their values, for long work on each row.
+
+    A Parquet file is read by one task for each row group, and a row group can hold a hundred thousand documents.
+    """
+    return rows.repartition(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism, *rows.columns)
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "pages").select("page_id", "html")
 
@@ -197,7 +208,7 @@ def dirty_docs(spark: SparkSession, folder: str) -> DataFrame:
         """'<strong>b</strong><em>i</em><code>c</code><br/><hr/><sup>1</sup>   ', char(10), char(10), """
         """char(10), char(10), CASE WHEN doc_id % 11 = 0 THEN '<se<sup>ction>' ELSE '' END, 'end'""",
     ]
-    return documents(spark, folder).selectExpr(
+    return spread(documents(spark, folder)).selectExpr(
         "doc_id AS file_id",
         "CAST(floor(doc_id / 4) AS BIGINT) AS job_id",
         f"concat({', '.join(pieces)}) AS text",
@@ -259,5 +270,5 @@ def block_pages(spark: SparkSession, folder: str) -> DataFrame:
         "'<table><thead><tr><th>id</th><th>text</th></tr></thead><tr><td>', doc_id, '</td><td><b>b</b> ', line, '</td></tr></table>'",
         "'<pre><code>', doc_id, char(10), char(10), char(10), line, '</code></pre>'",
     )
-    return documents(spark, folder).selectExpr("doc_id", "lang", "source", f"{line} AS line").selectExpr(
+    return spread(documents(spark, folder)).selectExpr("doc_id", "lang", "source", f"{line} AS line").selectExpr(
         "doc_id", f"concat({', '.join(pieces)}) AS html")

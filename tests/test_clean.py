@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
 from foliomill.operators import clean, convert
+from foliomill.sources import tables
 
 SAMPLE = """# Keeping bees
 
@@ -214,3 +215,23 @@ def test_warning_lines(one):
     log = "a\r\n \nWARNING: css\x0b[WARNING] image b"
     assert one(lambda c: convert.warning_lines(c), log) == ["a", "WARNING: css", "[WARNING] image", "b"]
     assert one(lambda c: convert.warning_lines(c, export=True), log) == ["a", "[WARNING] image", "b"]
+
+
+def test_image_paths_and_blanks_in_large_texts(spark):
+    texts = ["é" * 50 + ' "x/é_MEDIA/a.png" b_media/c.PNG y(z/b_media/d.gif) \t\n \t', "a_media/ b.png \t x\t", "_media/x.png", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    out = [tuple(r) for r in clean.normalise_whitespace(clean.rewrite_image_paths(df)).select(
+        "text", "image_paths_rewritten", "media_dir_old").sort("id").collect()]
+    assert out == [
+        ("é" * 50 + ' "media/a.png" media/c.PNG y(media/d.gif)\n', 3, "b_media"), ("a_media/ b.png \t x\n", 0, None),
+        ("_media/x.png\n", 0, None), (None, out[3][1], None)]
+
+
+def test_documents_of_one_row_group_are_cleaned_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", "web") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    for made in (tables.dirty_docs, tables.block_pages):
+        df = made(spark, str(tmp_path))
+        assert df.count() == 400
+        assert df.select(F.spark_partition_id()).distinct().count() > 4
