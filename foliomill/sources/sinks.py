@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from foliomill.functions.text import safe_name, stem
 
 BUCKETS = 64
+PACKED = "zstd"  # hex digits and paths, most of these rows, take half of what Snappy makes of them
 NAME_PIECE = 200  # file systems take names of 255 bytes
 
 
@@ -49,7 +50,7 @@ def write_markdown(converted: DataFrame, folder: str, buckets: int = BUCKETS) ->
 def write_by_job(rows: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Store rows of jobs by ``job_bucket``."""
     bucketed = rows.withColumn("job_bucket", job_bucket(buckets))
-    bucketed.hint("rebalance", "job_bucket").write.partitionBy("job_bucket").parquet(folder)
+    bucketed.hint("rebalance", "job_bucket").write.option("compression", PACKED).partitionBy("job_bucket").parquet(folder)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -79,14 +80,14 @@ def delete_jobs(spark: SparkSession, folder: str, deleted: DataFrame, staging: s
         touched = sorted(r.job_bucket for r in held.join(gone.select("job_id"), "job_id", "left_semi").select(
             "job_bucket").distinct().collect()) if asked else []
         rest = table.filter(F.col("job_bucket").isin(touched)).join(gone.select("job_id"), "job_id", "left_anti")
-        rest.select(*schema.names).write.mode("overwrite").parquet(f"{staging}/rest")
+        rest.select(*schema.names).write.mode("overwrite").option("compression", PACKED).parquet(f"{staging}/rest")
         spark.createDataFrame([(b,) for b in touched], "job_bucket int").write.mode("overwrite").parquet(f"{staging}/complete")
         done = spark.read.parquet(f"{staging}/complete")
     touched = sorted(r.job_bucket for r in done.collect())
     rest = spark.read.parquet(f"{staging}/rest")
     left = {r.job_bucket for r in rest.select("job_bucket").distinct().collect()}
-    rest.hint("rebalance", "job_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "job_bucket").parquet(folder)
+    rest.hint("rebalance", "job_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "compression", PACKED).partitionBy("job_bucket").parquet(folder)
     # A dynamic overwrite leaves partitions alone that no row is written to.
     for bucket in touched:
         if bucket not in left:

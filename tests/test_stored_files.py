@@ -165,3 +165,16 @@ def test_files_of_a_task_share_a_folder(spark, tmp_path):
     none = str(tmp_path / "none")
     sinks.write_files(spark.createDataFrame([], "path string, body string"), none, "path", "body")
     assert manifest.stored_files(spark, none).count() == 0
+
+
+def test_stored_rows_of_digests_take_little_more_than_half_their_digits(spark, tmp_path):
+    folder = str(tmp_path / "digests")
+    digests = spark.range(20000).select(F.col("id").alias("job_id"), F.md5(F.col("id").cast("string").cast("binary")).alias("file_id"))
+
+    def stored():
+        return sum(os.path.getsize(os.path.join(path, name)) for path, _, names in os.walk(folder) for name in names if name.endswith(".parquet"))
+
+    sinks.write_by_job(digests, folder, buckets=2)
+    assert stored() < 20000 * 32
+    sinks.delete_jobs(spark, folder, digests.filter("job_id < 10").select("job_id"), str(tmp_path / "staging"), buckets=2)
+    assert stored() < 20000 * 32 and spark.read.parquet(folder).count() == 19990
