@@ -6,10 +6,10 @@ each micro-batch and overwrite it when the batch is repeated, so a restart chang
 
 from __future__ import annotations
 
-import bisect
 import threading
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -241,57 +241,75 @@ def arriving(events: DataFrame, slots: int, order: Column, purpose: str, files:
 
 
 STUCK = "event_id long, job_id long, file_id long, started_at timestamp"
-OPEN_STARTS = "ids array<long>, times array<long>, ends array<long>"
+PENDING = "job array<long>, file array<long>, missing array<long>, event array<long>, time array<long>, is_end array<long>"
+PENDING_COLUMNS = ("job", "file", "missing", "event", "time", "is_end")
+BUCKETS = 2048  # groups of files that share a state
+
+
+def _undecided(rows: np.ndarray, limit: int, watermark: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stuck, kept) rows, given as columns of PENDING_COLUMNS, of a bucket's starts and ends in microseconds.
+
+    Sorted by file and time, the next end behind a start is the only one that can be in time.
+    """
+    rows = rows[:, np.lexsort(rows[[5, 4, 2, 1, 0]])]
+    job, file, missing, _, time, is_end = rows
+    owner = np.stack([job, file, missing & 3])  # an event without an id is of its file all the same
+    count = rows.shape[1]
+    following = np.minimum.accumulate(np.where(is_end == 1, np.arange(count), count)[::-1])[::-1]
+    behind = np.minimum(following, count - 1)
+    ended = (following < count) & (owner[:, behind] == owner).all(axis=0) & (time[behind] <= time + limit)
+    open_ = (is_end == 0) & ~ended
+    stuck = open_ & (time + limit < watermark)
+    repeated = np.zeros(count, bool)
+    repeated[1:] = (is_end[1:] == 1) & (is_end[:-1] == 1) & (time[1:] == time[:-1]) & (owner[:, 1:] == owner[:, :-1]).all(axis=0)
+    return rows[:, stuck], rows[:, (open_ & ~stuck) | ((is_end == 1) & ~repeated & (time >= watermark))]
 
 
 def stream_stuck_files(
-    events: DataFrame, limit_seconds: int = HARD_LIMIT_SECONDS, delay: str = "10 minutes"
+    events: DataFrame, limit_seconds: int = HARD_LIMIT_SECONDS, delay: str = "10 minutes", buckets: int = BUCKETS
 ) -> DataFrame:
     """Starts without an end of the same file within the limit, once the watermark is past it.
 
-    A file's state holds its open starts, and the ends that a start behind them may still belong to: those
-    that the watermark has not passed. Its timer is set to the deadline of the earliest open start. The
+    Files are dealt over ``buckets``, as a call and a state for each file cost far more than its few events do. A
+    bucket's state holds the open starts of its files, and the ends that a start behind them may still belong to:
+    those that the watermark has not passed. Its timer is set to the deadline of the earliest open start. The
     watermark is that of the slower of starts and ends.
     """
     limit = limit_seconds * 1_000_000
     kind = events.schema["event_id"].dataType, events.schema["job_id"].dataType, events.schema["file_id"].dataType
-    timed = with_event_time(events).select("event_id", "job_id", "file_id", "ts", "kind")
-    starts = timed.filter(F.col("kind") == "start").withWatermark("ts", delay)
-    ends = timed.filter(F.col("kind").isin("complete", "fail")).withWatermark("ts", delay)
+    # Nulls would make doubles of the numbers in pandas; they are told apart by the bits of ``missing``.
+    ids = {"job": "job_id", "file": "file_id", "event": "event_id"}
+    missing = sum((F.when(F.col(ids[name]).isNull(), bit).otherwise(0) for name, bit in (("job", 1), ("file", 2), ("event", 4))), F.lit(0))
+    timed = with_event_time(events).select(
+        "ts", "kind", F.pmod(F.xxhash64("job_id", "file_id"), F.lit(buckets)).alias("bucket"), missing.cast("long").alias("missing"),
+        *[F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long")).alias(short) for short, name in ids.items()])
+    starts = timed.filter(F.col("kind") == "start").drop("kind").withColumn("is_end", F.lit(0).cast("long")).withWatermark("ts", delay)
+    ends = timed.filter(F.col("kind").isin("complete", "fail")).drop("kind").withColumn(
+        "is_end", F.lit(1).cast("long")).withWatermark("ts", delay)
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [list(values) for values in state.get] if state.exists else [[], [], []]
-        open_, ended = list(zip(held[1], held[0])), held[2]
+        parts = [np.array(list(state.get), np.int64)] if state.exists else []
         if not state.hasTimedOut:
             for batch in batches:
-                at = batch["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
-                for time, event, what in zip(at, batch["event_id"].tolist(), batch["kind"]):
-                    if what == "start":
-                        open_.append((time, event))
-                    else:
-                        ended.append(time)
-        ended = sorted(set(ended))
-        # The first end at or after a start is the only one that can be in time.
-        open_ = [(time, event) for time, event in sorted(open_)
-                 if (place := bisect.bisect_left(ended, time)) == len(ended) or ended[place] > time + limit]
-        watermark = state.getCurrentWatermarkMs() * 1000
-        stuck = [(time, event) for time, event in open_ if time + limit < watermark]
-        open_ = open_[len(stuck):]
-        ended = [time for time in ended if time >= watermark]
-        if open_:
-            state.update(([event for _, event in open_], [time for time, _ in open_], ended))
-            state.setTimeoutTimestamp((open_[0][0] + limit) // 1000)
-        elif ended:
-            state.update(([], [], ended))
-            state.setTimeoutTimestamp(max(ended[-1] // 1000, state.getCurrentWatermarkMs()))
+                columns = batch.assign(time=batch["ts"].to_numpy("datetime64[us]").astype("int64"))
+                parts.append(np.stack([columns[name].to_numpy(np.int64) for name in PENDING_COLUMNS]))
+        watermark = state.getCurrentWatermarkMs()
+        stuck, kept = _undecided(np.concatenate(parts, axis=1), limit, watermark * 1000)
+        if kept.shape[1]:
+            state.update(tuple(kept.tolist()))
+            times, is_end = kept[4], kept[5] == 1
+            due = int(times.max()) // 1000 if is_end.all() else (int(times[~is_end].min()) + limit) // 1000
+            state.setTimeoutTimestamp(max(due, watermark))
         elif state.exists:
             state.remove()
-        if stuck:
+        if stuck.shape[1]:
+            job, file, absent, event, time, _ = stuck
             yield pd.DataFrame({
-                "event_id": [event for _, event in stuck], "job_id": key[0], "file_id": key[1],
-                "started_at": pd.to_datetime([time for time, _ in stuck], unit="us")})
+                "event_id": pd.arrays.IntegerArray(event, (absent & 4) > 0),
+                "job_id": pd.arrays.IntegerArray(job, (absent & 1) > 0),
+                "file_id": pd.arrays.IntegerArray(file, (absent & 2) > 0), "started_at": pd.to_datetime(time, unit="us")})
 
-    found = starts.unionByName(ends).groupBy("job_id", "file_id").applyInPandasWithState(
-        watch, STUCK, OPEN_STARTS, "append", GroupStateTimeout.EventTimeTimeout)
+    found = starts.unionByName(ends).groupBy("bucket").applyInPandasWithState(
+        watch, STUCK, PENDING, "append", GroupStateTimeout.EventTimeTimeout)
     return found.select(*[F.col(name).cast(of).alias(name) for name, of in zip(("event_id", "job_id", "file_id"), kind)],
                         "started_at")

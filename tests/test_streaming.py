@@ -1,5 +1,6 @@
 """Streams against their batch results."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -144,3 +145,26 @@ def test_stuck_files_with_ends_before_starts_and_many_events(spark, tmp_path):
     rows, _ = streams.drain(streams.stream_stuck_files(stream), "stuck")
     # The last end of file 9 is at 199; starts after it are stuck.
     assert sorted(r.event_id for r in rows.collect()) == [3, *range(10 + 200, 310)]
+
+
+def test_files_of_a_bucket_share_a_call_but_not_their_events(spark, tmp_path, monkeypatch):
+    at = lambda s: T0 + timedelta(seconds=s)
+    schema = "event_id int, ts timestamp, job_id int, file_id int, kind string"
+    rng = random.Random(11)
+    events = [(n, at(rng.randrange(4000)), rng.choice([1, 2, None]), rng.choice([*range(40), None]), rng.choice(["start", "start", "complete", "fail", "queued"]))
+              for n in range(3000)]
+    last = [(5001, at(9000), 7, 7, "start"), (5002, at(9000), 7, 7, "fail"), (None, at(100), 3, 3, "start")]
+    stream = arriving(spark, str(tmp_path / "in"), [events + last], schema)
+    called = spark.sparkContext.accumulator(0)
+    undecided = streams._undecided
+
+    def counted(*args):
+        called.add(1)
+        return undecided(*args)
+
+    monkeypatch.setattr(streams, "_undecided", counted)
+    rows, _ = streams.drain(streams.stream_stuck_files(stream, buckets=3), "stuck")
+    assert 0 < called.value <= 2 * 3  # once with its events, once by its timer
+    wanted = [(e, t, j, f) for e, t, j, f, kind in events + last if kind == "start" and t + timedelta(seconds=360) < at(8400) and not any(
+        (j2, f2) == (j, f) and kind2 in ("complete", "fail") and t <= t2 <= t + timedelta(seconds=360) for _, t2, j2, f2, kind2 in events + last)]
+    assert sorted(((r.event_id, r.started_at, r.job_id, r.file_id) for r in rows.collect()), key=repr) == sorted(wanted, key=repr) and wanted
