@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -390,16 +393,60 @@ def _past_breaks(named: DataFrame, breaks: DataFrame, sizes: DataFrame) -> DataF
     return counted.filter("_skip = 0").withColumn("_number", F.col("_number") + F.col("_passed")).drop("_at", "_skip", "_passed")
 
 
+def _named_in_order(ready: DataFrame) -> DataFrame:
+    """Member names of jobs that fit a task: one pass over the files of each job in file id order.
+
+    Only the numbers and literal names of the job at hand are kept; other columns pass as they come.
+    """
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, numbers, taken = None, {}, set()
+        for batch in batches:
+            out = []
+            for owner, stem_, ext in zip(*(batch.column(c).to_pylist() for c in ("job_id", "name_stem", "ext"))):
+                if owner != job:
+                    job, numbers, taken = owner, {}, set()
+                if stem_ is None:
+                    out.append(None)
+                    continue
+                number = numbers.get((ext, stem_), 0) + 1
+                told = stem_ if number == 1 else f"{stem_}-{number}"
+                # Files without a job are no bundle, their names are counted only.
+                while owner is not None and (ext, told) in taken:
+                    number += 1
+                    told = f"{stem_}-{number}"
+                numbers[ext, stem_] = number
+                taken.add((ext, told))
+                out.append(told + ext)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("job_id", "file_id", "output_path")] + [pa.array(out, pa.string())],
+                names=["job_id", "file_id", "output_path", "member_name"])
+
+    rows = ready.repartition("job_id").sortWithinPartitions("job_id", "file_id", "name_stem", "ext", "output_path")
+    schema = ready.select("job_id", "file_id", "output_path", F.lit(None).cast("string").alias("member_name")).schema
+    return rows.mapInArrow(name, schema)
+
+
 def bundle_names(files: DataFrame) -> DataFrame:
     """(job_id, file_id, output_path, member_name): names of each job's download bundle, in file id order.
 
-    The first file of a name keeps it; later ones get the smallest free ``-n`` from 2. Only names
-    beside a literally numbered one that counting can reach need more than counting.
+    The first file of a name keeps it; later ones get the smallest free ``-n`` from 2. Jobs of more files than
+    one task takes are known from a count; theirs are named by counting.
     """
     ready = workspace.written(files.filter(
         F.col("output_path").isNotNull() & (path_verdict(F.col("output_path")) == "contained")
     ).select("job_id", "file_id", "output_path", safe_name(stem(F.col("original_filename"))).alias("name_stem"),
              output_suffix(F.col("output_path")).alias("ext")), "bundle-files")
+    large = large_keys(ready.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")), ["job_id"], "n")
+    if large is None:
+        return _named_in_order(ready)
+    large = workspace.written(large, "large-bundles")
+    return _named_in_order(within(ready, large, ["job_id"], "left_anti")).unionByName(
+        _named_by_counting(workspace.written(within(ready, large, ["job_id"], "left_semi"), "large-bundle-files")))
+
+
+def _named_by_counting(ready: DataFrame) -> DataFrame:
+    """Member names of jobs of any size. Only names beside a literally numbered one that counting can reach need
+    more than counting."""
     groups = workspace.written(
         ready.groupBy(*NAME_KEYS).agg(F.count(F.lit(1)).alias("files"), F.min("file_id").alias("first_id")), "bundle-names")
     named = sized_row_number(ready, NAME_KEYS, "file_id", "_number", groups, "files")

@@ -83,3 +83,27 @@ def test_suspicious_or_missing_outputs_are_left_out(spark):
         "job_id long, file_id string, original_filename string, output_path string",
     )
     assert [r.member_name for r in bundle_names(df).collect()] == ["x.md"]
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_names_take_one_pass_unless_a_job_is_large(spark, monkeypatch, hot):
+    monkeypatch.setattr(lifecycle, "HOT", hot)
+    monkeypatch.setattr(skew, "HOT", hot)
+    counted = []
+    by_counting = lifecycle._named_by_counting
+    monkeypatch.setattr(lifecycle, "_named_by_counting", lambda ready: counted.append(1) or by_counting(ready))
+    rng = random.Random(3)
+    files = [(job, f"{rng.getrandbits(128):032x}", rng.choice(["a", "a-2", "a-2-2", "a-02"]), ".md")
+             for job in range(40) for _ in range(2 if job % 2 else 9)]
+    assert run(spark, files) == simulate(files)
+    assert bool(counted) == (hot == 3)
+
+
+def test_files_without_a_job_or_a_name(spark):
+    df = spark.createDataFrame(
+        [(None, "00", "x.html", "o/x.md"), (None, "01", "x.html", "o/y.md"), (None, "02", "x-2.html", "o/z.md"), (3, "03", None, "o/v.md")],
+        "job_id long, file_id string, original_filename string, output_path string",
+    )
+    want = {"00": "x.md", "01": "x-2.md", "02": "x-2.md", "03": None}
+    whole = bundle_names(df)
+    assert {r.file_id: r.member_name for r in whole.collect()} == want
