@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions.text import human_size, if_empty, safe_name, stem, suffix
+from foliomill.operators import skew
 from foliomill.operators.ingest import path_verdict
 from foliomill.operators.skew import (
     HOT, bucketed_lag, bucketed_row_number, bucketed_running_sum, large_keys, range_bucket, sized_row_number, split_points,
@@ -18,6 +20,8 @@ from foliomill.sources import lookups, workspace
 
 MAX_WARNINGS = 50
 FILES_PER_CHUNK = 50
+FILES_A_TASK = 100_000
+UNSORTED_PARTS = 200  # beyond that Spark sorts, and spills, rows before it writes a shuffle
 PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
 SOFT_LIMIT_SECONDS, HARD_LIMIT_SECONDS = 300, 360
 RESULT_HOURS = 24
@@ -161,11 +165,13 @@ def job_detail(jobs: DataFrame, files: DataFrame, chunk: int = FILES_PER_CHUNK)
     One grouping gives tallies and files of each job. Jobs of more files than one task takes are known from
     a count beforehand: theirs are nested in chunks from the start.
     """
-    large = large_keys(files.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")), ["job_id"], "n")
-    if large is None:
-        return _detail(jobs, files, chunk)
-    large = workspace.written(large, "large-jobs")
-    usual = _detail(within(jobs, large, ["job_id"], "left_anti"), within(files, large, ["job_id"], "left_anti"), chunk)
+    sizes = files.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    parts = min(max(1, math.ceil(total / FILES_A_TASK)), UNSORTED_PARTS)
+    if most <= skew.HOT:
+        return _detail(jobs, files, chunk, parts)
+    large = workspace.written(large_keys(sizes, ["job_id"], "n"), "large-jobs")
+    usual = _detail(within(jobs, large, ["job_id"], "left_anti"), within(files, large, ["job_id"], "left_anti"), chunk, parts)
     theirs = within(files, large, ["job_id"], "left_semi")
     # An inner join: adaptive execution can split a very large job's chunks.
     told = _told(job_status(within(jobs, large, ["job_id"], "left_semi"), theirs))
@@ -176,9 +182,13 @@ def _told(statuses: DataFrame) -> DataFrame:
     return job_progress(job_terminal_fields(statuses)).drop("last_finished_at", "progress")
 
 
-def _detail(jobs: DataFrame, files: DataFrame, chunk: int) -> DataFrame:
-    """``job_detail`` of jobs whose files fit a task."""
-    grouped = files.groupBy("job_id").agg(
+def _detail(jobs: DataFrame, files: DataFrame, chunk: int, parts: int) -> DataFrame:
+    """``job_detail`` of jobs whose files fit a task.
+
+    Files are dealt by job as they are, over so many ``parts`` that sorting one stays in memory. Collecting them before
+    would sort, and spill, every row twice to merge the few files that a job has in one task.
+    """
+    grouped = files.select(*FILE_FIELDS, "finished_at").repartition(parts, "job_id").groupBy("job_id").agg(
         *_tally(), F.sort_array(F.collect_list(F.struct(*FILE_FIELDS))).alias("_all"))
     told = _told(_with_status(jobs.join(grouped, "job_id", "left")))
     last = F.floor((F.greatest("file_rows", F.lit(1)) - 1) / chunk).cast("int")

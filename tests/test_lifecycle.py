@@ -158,3 +158,25 @@ def test_audits(small):
         "size_bytes": F.when(F.col("file_id") == "c", -1).otherwise(F.col("size_bytes"))})
     rules = [r.rule for r in audit.domain_violations(stored, bad).collect()]
     assert sorted(rules) == ["quality_level"] * 6 + ["quality_score", "size_bytes"]
+
+
+@pytest.mark.parametrize("hot, parts", [(20_000, 6), (4, 6)])
+def test_files_are_dealt_by_job_before_they_are_collected(spark, monkeypatch, hot, parts):
+    monkeypatch.setattr(lifecycle, "FILES_A_TASK", 10)
+    monkeypatch.setattr(lifecycle.skew, "HOT", hot)
+    jobs = spark.createDataFrame([(n, 5) for n in range(12)], "job_id long, total_files int")
+    files = spark.range(55).selectExpr(
+        "lpad(id, 4, '0') AS file_id", "CASE WHEN id < 50 THEN id DIV 5 WHEN id = 50 THEN 10 END AS job_id", "'a.md' AS original_filename",
+        "'md' AS original_format", "'done' AS status", "'x' AS converter_used", "'o' AS output_path", "id AS size_bytes", "1 AS pages",
+        "'e' AS error_message", "array('w') AS warnings", "1.0D AS quality_score", "'high' AS quality_level", "current_date() AS created_at",
+        "current_date() AS finished_at")
+    detail = lifecycle.job_detail(jobs, files, 3)
+    got = [(r.job_id, r.chunk, [f.file_id for f in r.files or []]) for r in detail.orderBy("job_id", "chunk").collect()]
+    want = [(job, chunk, [f"{n:04d}" for n in range(job * 5 + chunk * 3, min(job * 5 + 5, job * 5 + chunk * 3 + 3))])
+            for job in range(10) for chunk in range(2)] + [(10, 0, ["0050"]), (11, 0, [])]
+    assert got == want
+    if hot > 5:
+        plan = detail._jdf.queryExecution().executedPlan().toString()
+        assert f", {parts}), REPARTITION_BY_NUM" in plan
+        merged = plan[plan.index(" collect_list("):plan.index("partial_collect_list(")]
+        assert "Exchange" not in merged
