@@ -5,8 +5,9 @@ One hash function orders the shingles of a document; its sketch is the ``sketch`
 1. Documents with equal shingle sets are one class and go on as one row.
 2. Retained values are counted. A class is listed under its rarest values only: so many that two
    classes that may link share at least one of them (prefix filter over the sketch).
-3. Lists of up to SHORT classes give pairs. In a longer list every class is paired with one central
-   class, the hub, alone.
+3. Lists of up to SHORT classes give pairs. In a longer list every class that may have a partner there
+   beyond the short lists is paired with one central class, the hub, alone. Lists that have good hubs in
+   common share one, so a class seldom has more than a few.
 4. The sketch of the union of a pair estimates its similarity; pairs that cannot link are dropped.
 5. The full sets of the rest decide. Members of a hub's family also get the difference of their set
    from the hub's. Two of them that both link to the hub need no further look. Any other two that link
@@ -97,12 +98,19 @@ def _signatures(docs: DataFrame, shingle: int, sketch: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, sketch: int, percent: int) -> DataFrame:
-    """(a, values): the shared values of each class, rarest first, as (df, v, listed)."""
-    held = classes.select("a", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    """(a, n, values, places, apart): the shared values of each class, rarest first, as (df, v, p), p its place
+    in the sketch; how many of them it is listed under; and what a partner in long lists alone leaves out.
+
+    Classes that share a short value at all share one that both are listed under. Any others share long values
+    only, and must have ``needed`` of them among the ``sketch`` smallest of their union: so of the values
+    that a class has before its ``needed``-th long one, those that are not long, ``apart`` in number, stand in this
+    union beside the common ones, as do those of the partner.
+    """
+    held = classes.select("a", "n", F.size("sketch").alias("m"), F.posexplode("sketch").alias("p", "v"))
     # Stored, so that the join has a shuffle of its own on either side and a hot value can be split.
     shared = workspace.written(held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared-values")
-    marked = held.join(shared, "v").groupBy("a", "m").agg(
-        F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
+    marked = held.join(shared, "v").groupBy("a", "n", "m").agg(
+        F.array_sort(F.collect_list(F.struct("df", "v", "p"))).alias("values"))
     # A smaller set than the sketch must share at least this part of itself: the other set is at
     # most its size over the threshold, and so is what the other sketch can have cut off.
     part = 2 * percent - 100
@@ -110,27 +118,54 @@ def _prefixes(classes: DataFrame, sketch: int, percent: int) -> DataFrame:
         F.lit(needed(sketch, percent)))
     # Values that no other class has come first in the order and take their places of the prefix.
     places = F.greatest(F.lit(0), F.col("m") - need + 1 - (F.col("m") - F.size("values"))).cast("int")
-    return marked.select("a", "values", places.alias("places"))
+    most = needed(sketch, percent)
+    long = F.array_sort(F.transform(F.filter("values", lambda x: x["df"] > SHORT), lambda x: x["p"]))
+    apart = F.when(F.col("m") == sketch, F.coalesce(F.get(long, F.lit(most - 1)) - (most - 1), F.lit(0))).otherwise(F.lit(0))
+    return marked.select("a", "n", "values", places.alias("places"), apart.alias("apart"))
 
 
-def _listed(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _listed(prefixes: DataFrame, sketch: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs from short lists, and (hub, member) pairs from longer ones."""
     short = prefixes.select("a", F.explode(F.filter(F.slice("values", 1, F.col("places")), lambda x: x["df"] <= SHORT)).alias("x"))
     lists = short.groupBy(F.col("x.v").alias("v")).agg(F.array_sort(F.collect_list("a")).alias("list")).filter(F.size("list") > 1)
     first = lists.select("list", F.posexplode("list").alias("at", "x"))
     pairs = first.select("x", F.explode(F.slice("list", F.col("at") + 2, F.size("list"))).alias("y")).distinct()
 
-    # The hub is the class most of whose values are about as frequent as the list's own: the one
-    # that the list's members are copies of has nothing that they have not.
-    long = prefixes.select(
-        "a", "values", F.posexplode("values").alias("at", "x"), "places").filter(F.col("x.df") > SHORT)
     near = F.size(F.filter("values", lambda y: (y["df"] * 5 >= F.col("x.df") * 2) & (y["df"] * 2 <= F.col("x.df") * 5)))
-    hubs = long.groupBy(F.col("x.v").alias("v")).agg(F.max(F.struct(near.alias("near"), "a"))["a"].alias("hub"))
-    members = long.filter("at < places").select(F.col("x.v").alias("v"), "a").join(hubs, "v")
-    families = members.filter("a <> hub").select(F.col("hub").alias("x"), F.col("a").alias("y")).distinct()
+    # Sizes of classes that may link are in the same step or in neighbouring ones.
+    step = F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-6))
+    long = workspace.written(prefixes.select("a", "n", "apart", "values", "places", F.posexplode("values").alias("at", "x")).filter(
+        F.col("x.df") > SHORT).select(
+        "a", F.col("x.v").alias("v"), near.alias("near"), (F.col("at") < F.col("places")).alias("member"),
+        step.alias("step"), "apart"), "long-values")
+    # Members of which nobody in the list is of a like size and has enough in common go no further.
+    members = long.filter("member").select("v", "a", "step", "apart")
+    least = workspace.written(members.groupBy("v", "step").agg(F.min("apart").alias("least")).select(
+        "v", "least", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")).groupBy(
+        "v", "step").agg(F.min("least").alias("least")), "least-apart")
+    likely = members.join(least, ["v", "step"]).filter(F.col("apart") + F.col("least") <= sketch - needed(sketch, percent))
+    likely = workspace.written(likely.select("v", "a"), "likely-members")
+    families = likely.join(_hubs(long, likely), "v").filter("a <> hub").select(
+        F.col("hub").alias("x"), F.col("a").alias("y")).distinct()
     return pairs, families
 
 
+def _hubs(long: DataFrame, members: DataFrame) -> DataFrame:
+    """(v, hub) of each long list that has members.
+
+    A good hub is a class most of whose values are about as frequent as the list's own: the one that the
+    list's members are copies of has nothing that they have not. Among the good ones each list takes the one that
+    is best for the most members of all lists, so lists of the same members make one family and not one each.
+    """
+    most = workspace.written(long.groupBy("v").agg(F.max("near").alias("most")).join(
+        members.groupBy("v").agg(F.count(F.lit(1)).alias("members")), "v"), "nearest")
+    good = long.join(most, "v").filter(F.col("near") * 10 >= F.col("most") * 7)
+    votes = good.groupBy("a").agg(
+        F.sum(F.expr("100 * members * near div most")).alias("votes"), F.collect_list("v").alias("lists"))
+    return workspace.written(votes.select("votes", "a", F.explode("lists").alias("v")).groupBy("v").agg(
+        F.max(F.struct("votes", "a"))["a"].alias("hub")), "hubs")
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, sketch: int, percent: int) -> DataFrame:
     """Pairs whose union sketch allows a link."""
     known = classes.select("a", "n", "sketch")
@@ -343,7 +378,7 @@ def links(signed: DataFrame, docs: DataFrame, shingle: int, percent: int, sketch
     smallest id as ``node``, and links (u, v) between nodes that join the same nodes as all links would."""
     classes = workspace.written(signed.filter("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(
         F.min("id").alias("node"), F.min("n").alias("n"), F.min_by("sketch", "id").alias("sketch")), "classes")
-    short, families = _listed(workspace.written(_prefixes(classes, sketch, percent), "prefixes"))
+    short, families = _listed(workspace.written(_prefixes(classes, sketch, percent), "prefixes"), sketch, percent)
     pairs = workspace.written(
         _estimated(short, classes, sketch, percent).withColumn("family", F.lit(False)).unionByName(
             families.withColumn("family", F.lit(True))), "pairs")

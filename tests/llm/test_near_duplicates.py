@@ -105,6 +105,24 @@ def test_groups_within_one_template(spark, monkeypatch, short):
     assert run(spark, rows) == brute(rows, 3, 85)
 
 
+@pytest.fixture
+def families(monkeypatch):
+    """Numbers of (hub, member) pairs that runs compare."""
+    seen, verified = [], nd._verified
+    monkeypatch.setattr(nd, "_verified", lambda pairs, *more: (
+        seen.append(pairs.filter("family").count()), verified(pairs, *more))[1])
+    return seen
+
+
+def test_pages_with_much_of_their_own_have_few_families(spark, families):
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(120)]
+    rows = [(i, " ".join(passage + [f"o{rng.random()}" for _ in range(5 if i < 100 else 200)])) for i in range(400)]
+    rows += [(1000 + i, text + " end") for i, text in rows[90:110]]
+    assert run(spark, rows) == brute(rows, 3, 85)
+    assert families[0] < len(rows)
+
+
 def test_words_that_sums_of_powers_cannot_tell_apart(spark):
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
     two = one.translate(str.maketrans("ab", "ba"))
