@@ -3,11 +3,12 @@
 One hash function orders the shingles of a document; its sketch is the ``sketch`` smallest values.
 
 1. Documents with equal shingle sets are one class and go on as one row.
-2. Retained values are counted. A class is listed under its rarest values only: so many that two
-   classes that may link share at least one of them (prefix filter over the sketch).
+2. Retained values are counted. A class is listed under its first values only: so many that two classes that
+   may link share at least one of them (prefix filter over the sketch). Rare values come first, the rarest leading;
+   those of more than SHORT classes follow, ordered by the hubs of their lists.
 3. Lists of up to SHORT classes give pairs. In a longer list every class that may have a partner there
    beyond the short lists is paired with one central class, the hub, alone. Lists that have good hubs in
-   common share one, so a class seldom has more than a few.
+   common share one and stand together in the order, so a class seldom has more than one.
 4. The sketch of the union of a pair estimates its similarity; pairs that cannot link are dropped.
 5. The full sets of the rest decide. Members of a hub's family also get the difference of their set
    from the hub's. Two of them that both link to the hub need no further look. Any other two that link
@@ -124,7 +125,7 @@ def _prefixes(classes: DataFrame, sketch: int, percent: int) -> DataFrame:
     return marked.select("a", "n", "values", places.alias("places"), apart.alias("apart"))
 
 
-def _listed(prefixes: DataFrame, sketch: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _listed(prefixes: DataFrame, classes: DataFrame, sketch: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs from short lists, and (hub, member) pairs from longer ones."""
     short = prefixes.select("a", F.explode(F.filter(F.slice("values", 1, F.col("places")), lambda x: x["df"] <= SHORT)).alias("x"))
     lists = short.groupBy(F.col("x.v").alias("v")).agg(F.array_sort(F.collect_list("a")).alias("list")).filter(F.size("list") > 1)
@@ -134,36 +135,52 @@ def _listed(prefixes: DataFrame, sketch: int, percent: int) -> tuple[DataFrame,
     near = F.size(F.filter("values", lambda y: (y["df"] * 5 >= F.col("x.df") * 2) & (y["df"] * 2 <= F.col("x.df") * 5)))
     # Sizes of classes that may link are in the same step or in neighbouring ones.
     step = F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-6))
-    long = workspace.written(prefixes.select("a", "n", "apart", "values", "places", F.posexplode("values").alias("at", "x")).filter(
-        F.col("x.df") > SHORT).select(
-        "a", F.col("x.v").alias("v"), near.alias("near"), (F.col("at") < F.col("places")).alias("member"),
-        step.alias("step"), "apart"), "long-values")
+    places = F.col("places") - F.size(F.filter("values", lambda y: y["df"] <= SHORT))
+    long = workspace.written(prefixes.withColumn("places", places).select(
+        "a", "n", "apart", "values", "places", F.explode("values").alias("x")).filter(F.col("x.df") > SHORT).select(
+        "a", F.col("x.v").alias("v"), near.alias("near"), "places", step.alias("step"), "apart"), "long-values")
+    # Long values come behind the short ones, those of one hub together, so that a class has its places in few families.
+    ranked = long.filter("places > 0").join(_hubs(long, classes), "v").groupBy("a", "places", "step", "apart").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "votes", "hub", "v"))).alias("lists"))
+    members = workspace.written(ranked.select(
+        "a", "step", "apart", F.explode(F.slice("lists", F.lit(1), F.col("places"))).alias("l")).select(
+        "l.v", "l.hub", "a", "step", "apart"), "members")
     # Members of which nobody in the list is of a like size and has enough in common go no further.
-    members = long.filter("member").select("v", "a", "step", "apart")
     least = workspace.written(members.groupBy("v", "step").agg(F.min("apart").alias("least")).select(
         "v", "least", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")).groupBy(
         "v", "step").agg(F.min("least").alias("least")), "least-apart")
     likely = members.join(least, ["v", "step"]).filter(F.col("apart") + F.col("least") <= sketch - needed(sketch, percent))
-    likely = workspace.written(likely.select("v", "a"), "likely-members")
-    families = likely.join(_hubs(long, likely), "v").filter("a <> hub").select(
-        F.col("hub").alias("x"), F.col("a").alias("y")).distinct()
+    families = likely.filter("a <> hub").select(F.col("hub").alias("x"), F.col("a").alias("y")).distinct()
     return pairs, families
 
 
-def _hubs(long: DataFrame, members: DataFrame) -> DataFrame:
-    """(v, hub) of each long list that has members.
+def _hubs(long: DataFrame, classes: DataFrame) -> DataFrame:
+    """(v, hub, rank, votes) of each long list that may have members, to be sorted by rank, votes and hub.
 
     A good hub is a class most of whose values are about as frequent as the list's own: the one that the
     list's members are copies of has nothing that they have not. Among the good ones each list takes the one that
     is best for the most members of all lists, so lists of the same members make one family and not one each.
+
+    Hubs that share three quarters of the sketch with those who hold their values come first: near copies
+    meet beside such a one, and not beside the page of a template that they all fill in. Within either
+    rank the hub with the most votes leads, as it may serve for the lists of the others.
     """
+    holders = long.filter("places > 0").select("v", "a")
     most = workspace.written(long.groupBy("v").agg(F.max("near").alias("most")).join(
-        members.groupBy("v").agg(F.count(F.lit(1)).alias("members")), "v"), "nearest")
+        holders.groupBy("v").agg(F.count(F.lit(1)).alias("members")), "v"), "nearest")
     good = long.join(most, "v").filter(F.col("near") * 10 >= F.col("most") * 7)
     votes = good.groupBy("a").agg(
         F.sum(F.expr("100 * members * near div most")).alias("votes"), F.collect_list("v").alias("lists"))
-    return workspace.written(votes.select("votes", "a", F.explode("lists").alias("v")).groupBy("v").agg(
-        F.max(F.struct("votes", "a"))["a"].alias("hub")), "hubs")
+    hubs = workspace.written(votes.select("votes", "a", F.explode("lists").alias("v")).groupBy("v").agg(
+        F.max(F.struct("votes", "a")).alias("best")).select("v", F.col("best.a").alias("hub"), "best.votes"), "hubs")
+    sketches = classes.select("a", "sketch")
+    near = holders.join(hubs, "v").filter("a <> hub").select("hub", "a").distinct().join(sketches, "a").join(
+        sketches.select(F.col("a").alias("hub"), F.col("sketch").alias("own")), "hub")
+    common, whole = F.size(F.array_intersect("sketch", "own")), F.least(F.size("sketch"), F.size("own"))
+    close = workspace.written(near.groupBy("hub").agg(
+        (4 * F.sum(common) >= 3 * F.sum(whole)).alias("close")).filter("close").select("hub"), "close-hubs")
+    return hubs.join(close.withColumn("rank", F.lit(0)), "hub", "left").select(
+        "v", "hub", F.coalesce("rank", F.lit(1)).alias("rank"), (-F.col("votes")).alias("votes"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, sketch: int, percent: int) -> DataFrame:
@@ -378,7 +395,7 @@ def links(signed: DataFrame, docs: DataFrame, shingle: int, percent: int, sketch
     smallest id as ``node``, and links (u, v) between nodes that join the same nodes as all links would."""
     classes = workspace.written(signed.filter("n > 0 AND id IS NOT NULL").groupBy("a", "b").agg(
         F.min("id").alias("node"), F.min("n").alias("n"), F.min_by("sketch", "id").alias("sketch")), "classes")
-    short, families = _listed(workspace.written(_prefixes(classes, sketch, percent), "prefixes"), sketch, percent)
+    short, families = _listed(workspace.written(_prefixes(classes, sketch, percent), "prefixes"), classes, sketch, percent)
     pairs = workspace.written(
         _estimated(short, classes, sketch, percent).withColumn("family", F.lit(False)).unionByName(
             families.withColumn("family", F.lit(True))), "pairs")

@@ -123,6 +123,13 @@ def test_pages_with_much_of_their_own_have_few_families(spark, families):
     assert families[0] < len(rows)
 
 
+def test_worn_copies_of_one_text_stand_in_one_family_each(spark, families):
+    rng = random.Random(5)
+    rows = list(enumerate(copies(rng, [f"w{i}" for i in range(150)], 400, 0.14)))
+    assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
+    assert families[0] < len(rows)
+
+
 def test_words_that_sums_of_powers_cannot_tell_apart(spark):
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
     two = one.translate(str.maketrans("ab", "ba"))
