@@ -28,6 +28,7 @@ from foliomill.sources import workspace
 
 CANDIDATES_A_BLOCK = 4096
 ANCHORS_A_BLOCK = 512
+TASKS_A_CORE = 4
 SALTS = 16  # shares in which the ids of one class are first ranked
 SLACK = 1e-9  # of a bound, for the rounding of norms and edges
 NO_ID = np.iinfo(np.int64).max
@@ -47,7 +48,7 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
 def _dealt(df: DataFrame, size: int, block: str, *key: str) -> DataFrame:
     """``block`` by the hash of the key, so that blocks hold about ``size`` rows, and ``blocks`` of them by length."""
     total = df.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / size).alias(f"{block}s"))
-    return df.join(total, "dims").withColumn(block, F.pmod(F.xxhash64(*key), F.col(f"{block}s")))
+    return df.join(F.broadcast(total), "dims").withColumn(block, F.pmod(F.xxhash64(*key), F.col(f"{block}s")))
 
 
 def spanning_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,11 +230,17 @@ ANCHORS = ("dims int, blocks long, anchors binary, anchor_ids binary, anchor_key
 
 
 def _pairs(anchors: DataFrame, file: DataFrame) -> DataFrame:
-    """A row for each anchor block and candidate block of the same length of vectors."""
+    """A row for each anchor block and candidate block of the same length of vectors.
+
+    Spark guesses the size of packed rows from the far smaller file: without the hint it would send all
+    candidates to the driver and from there to every task.
+    """
+    tasks = TASKS_A_CORE * file.sparkSession.sparkContext.defaultParallelism
     packed = anchors.groupBy("dims", "anchor_block").applyInPandas(_packed_anchors, ANCHORS).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     candidates = file.groupBy("dims", "block").applyInPandas(_packed_candidates, CANDIDATES)
-    return packed.join(candidates, ["dims", "block"])
+    return packed.repartition(tasks, "dims", "block").join(
+        candidates.repartition(tasks, "dims", "block").hint("merge"), ["dims", "block"])
 
 
 def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, lowest: int = 30,

@@ -125,3 +125,16 @@ def test_query_agrees_with_brute_force_and_sql(spark):
     assert sorted(duckdb.sql(queries.ORACLES["op12_hard_negatives"]).fetchall()) == got
     top = sorted(map(tuple, queries.QUERIES["op10_exact_topk"](spark, folder).collect()))
     assert sorted(duckdb.sql(queries.ORACLES["op10_exact_topk"]).fetchall()) == top
+
+
+def test_blocks_of_candidates_do_not_pass_the_driver(spark):
+    anchors = spark.createDataFrame(
+        [(2, 3, i % 2, i, i, 1, [i, 1], []) for i in range(4)],
+        "dims int, blocks long, anchor_block long, anchor_key long, vec_id long, label long, v array<long>, asked array<long>")
+    file = spark.createDataFrame(
+        [(2, i % 3, i, 1, [i, 1], [i]) for i in range(9)],
+        "dims int, block long, class_id long, label long, v array<long>, ids array<long>")
+    pairs = hard_negatives._pairs(anchors, file)
+    told = sorted((np.frombuffer(r.anchor_keys, np.int64).tolist(), np.frombuffer(r.class_ids, np.int64).tolist()) for r in pairs.collect())
+    assert [(a, sorted(c)) for a, c in told] == [([a, a + 2], [c, c + 3, c + 6]) for a in range(2) for c in range(3)]
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
