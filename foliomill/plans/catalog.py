@@ -712,7 +712,7 @@ def unreferenced_files(spark, folder):
     files = ingest.stored_names(tables.uploads(spark, folder))
     stray = files.filter("file_id % 11 = 0").withColumn("storage_path", F.concat("storage_path", F.lit(".bak")))
     sinks.write_files(files.unionByName(stray).filter("file_id % 7 <> 0"), target, "storage_path", "content")
-    listing = manifest.stored_files(spark, target).select("path")
+    listing = manifest.stored_paths(spark, target).select("path")
     return audit.unreferenced_outputs(listing, files.select(
         "storage_path", F.lit(None).cast("string").alias("output_path")))
 

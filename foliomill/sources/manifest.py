@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliomill.functions.text import WHITESPACE, basename, suffix
+from foliomill.sources import sinks
 from foliomill.sources.lookups import DOCX_MIME
 
 SNIFF_BYTES = 4096
@@ -41,6 +46,44 @@ def relative_path(path: Column, folder: str) -> Column:
     return F.when(F.startswith(below, root), F.substring(below, F.length(root) + 1, F.length(below))).otherwise(below)
 
 
+def _stored_path() -> Column:
+    """The path that ``sinks.write_files`` was given, from that of the file it stored."""
+    digits = F.replace(F.regexp_extract("path", "/part-[0-9]+/(?:[0-9]+/)?[0-9]+-([0-9A-F/a-f]*)$", 1), F.lit("/"))
+    return F.when(digits != "", F.decode(F.unhex(digits), "UTF-8"))
+
+
+def stored_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size_bytes) of files that ``sinks.write_files`` stored, listed by tasks.
+
+    Spark's own file sources list every file in the driver. Here the driver lists the folders of the writing tasks
+    alone; what is in them goes from folder to folder in a task. Names that begin with a point or an underscore and
+    files of zero bytes are left out, as Spark does.
+    """
+    context = spark.sparkContext
+    top = context._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = top.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(top)
+    names = sorted(name for name in (entry.getPath().getName() for entry in entries) if name[0] not in "._")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = sinks.opened(folder)
+        for batch in batches:
+            for entry in files.get_file_info([f"{root}/{names[i]}" for i in batch["id"]]):
+                found, waiting = [], [entry]
+                while waiting:
+                    at = waiting.pop()
+                    if at.type == fs.FileType.Directory:
+                        waiting += [below for below in files.get_file_info(fs.FileSelector(at.path)) if below.base_name[0] not in "._"]
+                    elif at.size:
+                        found.append((at.path, at.size))
+                    if found and (not waiting or len(found) == sinks.FILES_A_FOLDER):
+                        yield pd.DataFrame(found, columns=["path", "length"])
+                        found = []
+
+    tasks = min(len(names), TASKS_A_CORE * context.defaultParallelism)
+    files = spark.range(0, len(names), 1, max(1, tasks)).mapInPandas(listed, "path string, length long")
+    return files.select(_stored_path().alias("path"), (F.col("length") - 1).alias("size_bytes"))
+
+
 def stored_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
     """(path, original_filename, size_bytes, content) of files that ``sinks.write_files`` stored.
 
@@ -52,8 +95,7 @@ def stored_files(spark: SparkSession, folder: str, max_bytes: int | None = None)
     # A scan counts some megabytes for each file that it opens, so small ones would give a task for every few.
     files = files.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     size = F.col("length") - 1
-    digits = F.replace(F.regexp_extract("path", "/part-[0-9]+/[0-9]+-([0-9A-F/a-f]*)$", 1), F.lit("/"))
-    stored = F.when(digits != "", F.decode(F.unhex(digits), "UTF-8"))
+    stored = _stored_path()
     return files.select(
         stored.alias("path"), basename(stored).alias("original_filename"),
         size.alias("size_bytes"), F.substring("content", F.lit(1), size.cast("int")).alias("content"))

@@ -18,6 +18,7 @@ from foliomill.functions.text import safe_name, stem
 BUCKETS = 64
 PACKED = "zstd"  # hex digits and paths, most of these rows, take half of what Snappy makes of them
 NAME_PIECE = 200  # file systems take names of 255 bytes
+FILES_A_FOLDER = 10_000
 
 
 def with_output_name(converted: DataFrame) -> DataFrame:
@@ -95,21 +96,27 @@ def delete_jobs(spark: SparkSession, folder: str, deleted: DataFrame, staging: s
     return touched
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system that holds a folder, and the folder's name in it, for a task's own reading and writing."""
+    place = re.sub("^file:/+", "/", folder)
+    return fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
+
+
 def write_files(rows: DataFrame, folder: str, path: str, content: str) -> None:
     """One file for each row below a folder, named by the row's path; the content is text.
 
     A task writes its rows' files to one folder, which gets its final name once all of them are there: a task
     that is repeated leaves nothing twice, and there are as many folders as tasks, not as files. The tasks write
     to the folder themselves, so it must be one that Python's Arrow can open on every executor. Names are hex
-    digits, behind the row's number. A line break ends every file, so that empty ones are listed too: Spark lists
-    no file of zero bytes. ``manifest.stored_files`` reads the folder.
+    digits, behind the row's number, in folders that can be listed one by one. A line break ends every file, so that
+    empty ones are listed too: Spark lists no file of zero bytes. ``manifest.stored_files`` reads the folder,
+    ``manifest.stored_paths`` lists it.
     """
-    place = re.sub("^file:/+", "/", folder)
     named = rows.select(F.col(path).cast("string").alias("path"), F.col(content).cast("string").alias("value"))
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
-        files, root = (fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place))
+        files, root = opened(folder)
         target, started = f"{root}/part-{task.partitionId()}", f"{root}/.part-{uuid.uuid4().hex}"
         written = 0
         for batch in batches:
@@ -117,8 +124,8 @@ def write_files(rows: DataFrame, folder: str, path: str, content: str) -> None:
                 # A name is cut into folders where it is longer than a file system takes.
                 digits = (name or "").encode().hex()
                 pieces = [digits[at:at + NAME_PIECE] for at in range(0, len(digits), NAME_PIECE)] or [""]
-                at = "/".join([f"{started}/{written}-{pieces[0]}", *pieces[1:]])
-                if not written or pieces[1:]:
+                at = "/".join([f"{started}/{written // FILES_A_FOLDER}/{written}-{pieces[0]}", *pieces[1:]])
+                if written % FILES_A_FOLDER == 0 or pieces[1:]:
                     files.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 with files.open_output_stream(at) as out:
                     out.write((value or "").encode() + b"\n")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliomill.operators import audit, ingest, skew
+from foliomill.plans.catalog import CATALOG
 from foliomill.sources import manifest, sinks, workspace
 
 
@@ -178,3 +179,29 @@ def test_stored_rows_of_digests_take_little_more_than_half_their_digits(spark, t
     assert stored() < 20000 * 32
     sinks.delete_jobs(spark, folder, digests.filter("job_id < 10").select("job_id"), str(tmp_path / "staging"), buckets=2)
     assert stored() < 20000 * 32 and spark.read.parquet(folder).count() == 19990
+
+
+def test_paths_are_listed_by_tasks(spark, tmp_path):
+    long = "input/" + "é" * 300 + ".txt"
+    rows = [(f"input/{i}", "") for i in range(sinks.FILES_A_FOLDER + 50)] + [("same", "one"), ("same", "other"), (long, "long"), (None, None)]
+    folder = str(tmp_path / "files")
+    sinks.write_files(spark.createDataFrame(rows, "path string, body string").coalesce(1), folder, "path", "body")
+    for name in (".part-left", "part-9"):
+        (tmp_path / "files" / name).mkdir()
+    (tmp_path / "files" / ".part-left" / "0-61").write_text("x")
+    listed = manifest.stored_paths(spark, folder)
+    want = sorted((p or "", len(b or "")) for p, b in rows)
+    assert sorted((r.path or "", r.size_bytes) for r in listed.collect()) == want
+    assert sorted((r.path or "", r.size_bytes) for r in manifest.stored_files(spark, folder).select("path", "size_bytes").collect()) == want
+    assert max(len(names) for _, _, names in os.walk(folder)) <= sinks.FILES_A_FOLDER
+    none = str(tmp_path / "none")
+    sinks.write_files(spark.createDataFrame([], "path string, body string"), none, "path", "body")
+    assert manifest.stored_paths(spark, none).count() == 0
+
+
+def test_the_audit_of_stored_files_lists_none_in_the_driver(spark, tmp_path):
+    spark.createDataFrame([(i, f"<p>{i}</p>") for i in range(30)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, f"text {i}", "en", "web") for i in range(30)], "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    found = CATALOG["unreferenced_files"](spark, str(tmp_path))
+    assert found.count() == 13 and "binaryFile" not in found._jdf.queryExecution().toString()
