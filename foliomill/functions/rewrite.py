@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.patterns import java
+from foliomill.functions.patterns import BLANK_RUN, TRAILING_BLANKS, java
 
 _HEAD, _TAGGED, _PARTS = "_matchable", "_tagged", "_between"
 # One that the text does not hold stands for "<" of an opening tag inside another one while a rule runs.
@@ -36,16 +36,37 @@ def complete_tags(text: Column) -> Column:
     return F.substring(text.cast("binary"), F.lit(1), size).cast("string")
 
 
+def tag_names(text: Column) -> Column:
+    """Names in lower case of all tags that begin in a text; null if one has a letter that passes for one of
+    ASCII where case is ignored. See ``has_tag``."""
+    def lowered(names: Column) -> Column:
+        odd = F.array_join(names, " ").rlike("[\u0130\u0131\u017f\u212a]")
+        return F.when(~odd, F.array_distinct(F.transform(names, F.lower)))
+
+    return let(F.regexp_extract_all(text, F.lit(r"</?([\p{L}\p{N}_]+)"), F.lit(1)), lowered)
+
+
+def has_tag(names: Column, *wanted: str) -> Column:
+    """Whether a text with these ``tag_names`` can hold one of the tags, so that a rule on them need be tried."""
+    return F.coalesce(F.arrays_overlap(names, F.array(*[F.lit(name) for name in wanted])), F.lit(True))
+
+
 def replace_tags(
     df: DataFrame,
     column: str,
-    rules: list[tuple[str, str]],
+    rules: list[tuple[str, str] | tuple[str, str, Column]],
     counter: str | None = None,
 ) -> DataFrame:
-    """Replace stand-alone tags, rule after rule; ``counter`` counts the first rule's matches."""
+    """Replace stand-alone tags, rule after rule; ``counter`` counts the first rule's matches.
+
+    A rule's third entry tells which texts it need be tried on.
+    """
     text, tagged = F.col(column), F.col(_TAGGED)
-    for at, (pattern, replacement) in enumerate(rules):
-        df = df.withColumn(_TAGGED, if_contains(text, "<", complete_tags(text), F.lit("")))
+    for at, (pattern, replacement, *tried) in enumerate(rules):
+        found = F.contains(text, F.lit("<"))
+        for where in tried:
+            found = where & found
+        df = df.withColumn(_TAGGED, F.when(found, complete_tags(text)).otherwise(F.lit("")))
         rest = behind(text, tagged)
         if counter and not at and "$" not in replacement:
             # One pass gives both: what is between the matches, and so their number.
@@ -90,6 +111,17 @@ def unmasked(text: Column, before: Column) -> Column:
         F.contains(text, mask), F.replace(text, mask, F.lit("<"))).otherwise(text))
 
 
+def squeeze(text: Column) -> Column:
+    """No blanks before line breaks and at the end, two line breaks in a row at most.
+
+    Bytes tell whether there is anything to do: the pattern looks at every blank of a text.
+    """
+    trailing = F.endswith(text, F.lit(" ")) | F.endswith(text, F.lit("\t")) | (F.contains(text, F.lit("\n")) & (
+        F.contains(text, F.lit(" \n")) | F.contains(text, F.lit("\t\n"))))
+    trimmed = F.when(trailing, F.regexp_replace(text, TRAILING_BLANKS, "")).otherwise(text)
+    return let(trimmed, lambda t: if_contains(t, "\n\n\n", F.regexp_replace(t, BLANK_RUN, "\n\n"), t))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, for use inside lambda expressions."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -109,15 +141,17 @@ def rewrite_pairs(
     needle: str = "</",
     opener: str | None = None,
     prepare: Callable[[Column], Column] | None = None,
+    where: Column | None = None,
 ) -> DataFrame:
     """Apply ``rewrite`` and ``counters`` to the text up to the last ``closer``.
 
     An opening tag behind the last closing tag can never match, and looking for its end would
     scan the rest of the document once for every such tag. ``opener`` is the start of the rule's
-    opening tag, see ``masked``; ``prepare`` masks further.
+    opening tag, see ``masked``; ``prepare`` masks further; ``where`` tells which texts the rule need be tried on.
     """
     text, head, ready = F.col(column), F.col(_HEAD), F.col(_TAGGED)
-    df = df.withColumn(_HEAD, matchable(text, closer, needle))
+    whole = matchable(text, closer, needle)
+    df = df.withColumn(_HEAD, whole if where is None else F.when(where, whole).otherwise(F.lit("")))
     masks = masked(head, opener) if opener else head
     if prepare:
         df = df.withColumn(_TAGGED, masks)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
-from foliomill.functions.rewrite import behind, complete_tags, if_contains, let, matchable
+from foliomill.functions.rewrite import behind, complete_tags, has_tag, if_contains, let, matchable, squeeze
 from foliomill.functions.text import strip
 
 MARK = "\x00"
@@ -39,11 +39,14 @@ NESTED = (
     f"<(?:{P.any_case('ol|pre|blockquote|table')}[^\\p{{L}}\\p{{N}}_]|{P.any_case('ul')}{P.ATTRS}>[^<]*"
     f"(?:<(?!/?{P.any_case('ul')}[^\\p{{L}}\\p{{N}}_])[^<]*)*+<{P.any_case('ul')}[^\\p{{L}}\\p{{N}}_])"
 )
+# Pattern, marks, names of the tags.
 TAGS = (
-    (P.opening("blockquote"), MARK + QUOTE), (P.closing("blockquote"), MARK + UNQUOTE), (P.opening("ul"), MARK + BULLETS),
-    (P.closing("ul|ol"), MARK + END_LIST), (P.opening("li"), MARK + ITEM), (CODE_START, MARK + CODE),
-    (CODE_STOP, MARK + END_CODE + MARK + TEXT),
+    (P.opening("blockquote"), MARK + QUOTE, ["blockquote"]), (P.closing("blockquote"), MARK + UNQUOTE, ["blockquote"]),
+    (P.opening("ul"), MARK + BULLETS, ["ul"]), (P.closing("ul|ol"), MARK + END_LIST, ["ul", "ol"]),
+    (P.opening("li"), MARK + ITEM, ["li"]), (CODE_START, MARK + CODE, ["pre"]),
+    (CODE_STOP, MARK + END_CODE + MARK + TEXT, ["pre"]),
 )
+BLOCKS = ("ol", "ul", "pre", "blockquote", "table")
 ORDERED_START = P.opening("ol")
 STARTS_AT = f"(?:^|[^\\p{{L}}\\p{{N}}_-]){P.any_case('start')}[{P.SPACE}]*=[{P.SPACE}]*[\"']?([0-9]{{1,9}})"
 
@@ -66,23 +69,24 @@ def _table(body: Column) -> Column:
     return F.concat(F.lit(MARK + TABLE), body, F.lit(MARK + END_ROW + MARK + TEXT))
 
 
-def marked(text: Column, substitute: Callable) -> list[Column]:
-    """Projections that put marks in the place of block tags, each to be applied to the result of the one before."""
+def marked(text: Column, names: Column, substitute: Callable) -> list[Column]:
+    """Projections that put marks in the place of block tags, each to be applied to the result of the one before.
+
+    ``names`` are the text's ``tag_names``, which only the first of them, on tables, can change.
+    """
     def numbers(tag: Column) -> Column:
         start = F.regexp_extract(tag, P.java(STARTS_AT), 1).try_cast("int")
         return F.when(tag.isNotNull(), F.concat(
             F.lit(MARK + NUMBERS), F.coalesce(start, F.lit(1)).cast("string"), F.lit(MARK + TEXT)))
 
     # Behind the last ">" no tag ends, and behind the last end of a table none is whole.
-    tags = complete_tags(text)
-    for pattern, marks in TAGS:
-        tags = F.regexp_replace(tags, P.java(pattern), marks)
     whole = matchable(text, P.closing("table"))
     tables = F.concat(substitute(whole, P.java(DATA_TABLE), _table, 1), behind(text, whole))
-    rest = F.substring_index(text, ">", -1)
-    return [
-        if_contains(text, "</", tables, text),
-        F.concat(substitute(complete_tags(text), P.java(ORDERED_START), numbers, 0), rest), F.concat(tags, rest)]
+    complete, rest = complete_tags(text), F.substring_index(text, ">", -1)
+    ordered = F.concat(substitute(complete, P.java(ORDERED_START), numbers, 0), rest)
+    steps = [(if_contains(text, "</", tables, text), ["table"]), (ordered, ["ol"])]
+    steps += [(F.concat(F.regexp_replace(complete, P.java(pattern), marks), rest), tags) for pattern, marks, tags in TAGS]
+    return [F.when(has_tag(names, *tags), step).otherwise(text) for step, tags in steps]
 
 
 def _below(stack: Column) -> Column:
@@ -138,8 +142,7 @@ def _noted(state: Column, piece: Column) -> Column:
         rows = F.when(kind == TABLE, 0).otherwise(state["rows"] + ((kind == CELL) & (cells == 0)).cast("int"))
         # A list that begins outside of any other, or behind a quotation, is set apart from items before it.
         lists = state["lists"] + ((kind == UNQUOTE) | kind.isin(BULLETS, NUMBERS) & (F.size(stack) == 1)).cast("int")
-        text = F.when(kind == NUMBERS, "").when(kind.isin(CODE, VERBATIM), p["body"]).otherwise(strip(F.regexp_replace(
-            F.regexp_replace(p["body"], P.TRAILING_BLANKS, ""), P.BLANK_RUN, "\n\n")))
+        text = F.when(kind == NUMBERS, "").when(kind.isin(CODE, VERBATIM), p["body"]).otherwise(strip(squeeze(p["body"])))
         return F.struct(
             F.struct(
                 stack.alias("stack"), ((kind == CODE) | (kind == VERBATIM)).alias("code"), rows.alias("rows"),
@@ -171,12 +174,15 @@ def _line(note: Column, last: Column) -> Column:
     # An item of several paragraphs is set apart from what follows.
     tight = (kind == ITEM) & (last["kind"] == ITEM) & (last["lists"] == note["lists"]) & ~F.contains(last["text"], F.lit("\n\n"))
     start = F.concat(F.when(last.isNull(), "").when(tight, new).otherwise(F.concat(new, shared, new)), note["around"])
-    cell = F.replace(F.regexp_replace(note["text"], "[ \t]*\n\\s*", " "), F.lit("|"), F.lit("\\|"))
+    joined = if_contains(note["text"], "\n", F.regexp_replace(note["text"], "[ \t]*\n\\s*", " "), note["text"])
+    cell = F.replace(joined, F.lit("|"), F.lit("\\|"))
+    broken = F.startswith(note["text"], F.lit("\n")) | F.startswith(note["text"], F.lit("\r\n"))
+    verbatim = F.when(broken, F.regexp_replace(note["text"], "^\r?\n", "")).otherwise(note["text"])
     rule = F.concat(new, inside, F.lit("|"), F.repeat(F.lit(" --- |"), note["cells"]))
     return (
-        F.when(kind == CODE, F.concat(start, F.lit("```\n"), inside, _lines(F.regexp_replace(note["text"], "^\r?\n", ""), inside)))
+        F.when(kind == CODE, F.concat(start, F.lit("```\n"), inside, _lines(verbatim, inside)))
         .when(kind == VERBATIM, _lines(note["text"], inside))
-        .when(kind == END_CODE, F.concat(F.when(last["text"].rlike("(?:^|\n)\\z"), "").otherwise(F.concat(new, inside)), F.lit("```")))
+        .when(kind == END_CODE, F.concat(F.when((last["text"] == "") | F.endswith(last["text"], F.lit("\n")), "").otherwise(F.concat(new, inside)), F.lit("```")))
         .when(kind == CELL, F.concat(F.when(note["cells"] > 0, " | ").when(
             note["rows"] > 1, F.concat(new, inside, F.lit("| "))).otherwise(F.concat(start, F.lit("| "))), cell))
         .when(kind.isin(ROW, END_ROW), F.concat(F.lit(" |"), F.when(note["rows"] == 1, rule).otherwise("")))

@@ -235,8 +235,8 @@ def strip_divs(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn("divs_removed", F.col("_opened") + F.col("_closed")).drop("_opened", "_closed")
 
 
-def convert_img_tags(df: DataFrame, column: str = "text") -> DataFrame:
-    """``<img>`` becomes a Markdown image, or nothing without a source."""
+def convert_img_tags(df: DataFrame, column: str = "text", where: Column | None = None) -> DataFrame:
+    """``<img>`` becomes a Markdown image, or nothing without a source; ``where`` tells which texts need be looked at."""
     pattern, src, alt = P.java(P.IMG), P.java(P.IMG_SRC), P.java(P.IMG_ALT)
     text = F.col(column)
 
@@ -246,7 +246,9 @@ def convert_img_tags(df: DataFrame, column: str = "text") -> DataFrame:
             F.concat(F.lit("!["), F.regexp_extract(attrs, alt, 1), F.lit("]("), target, F.lit(")"))
         )
 
-    df = df.withColumn("_complete", if_contains(text, "<", complete_tags(text), F.lit("")))
+    found = F.contains(text, F.lit("<"))
+    df = df.withColumn("_complete", F.when(
+        found if where is None else where & found, complete_tags(text)).otherwise(F.lit("")))
     df = df.withColumn("_attrs", F.when(F.col("_complete") != "", F.regexp_extract_all(
         "_complete", F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>")))
     return df.withColumns({

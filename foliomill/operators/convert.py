@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions import patterns as P
-from foliomill.functions.rewrite import fence, if_contains, masked, matchable, replace_tags, rewrite_pairs
+from foliomill.functions.rewrite import (
+    fence, has_tag, if_contains, masked, matchable, replace_tags, rewrite_pairs, squeeze, tag_names,
+)
 from foliomill.functions.text import LINE_BREAK, SPACE, strip, substitute
 from foliomill.operators import blocks, clean
 
-BLOCK_TAG = P.either(
+BLOCK_NAMES = (
     "p|div|article|section|header|footer|main|nav|aside|ul|ol|dl|dd|dt|table|thead|tbody|tfoot|"
     "tr|td|th|caption|figure|figcaption|form|address|body|html|head"
 )
+BLOCK_TAG = P.either(BLOCK_NAMES)
 # A target in double, single or no quotes.
 LINK = (
     f"<{P.any_case('a')}[{SPACE}](?:[^>]*[{SPACE}\"'/])?{P.any_case('href')}[{SPACE}]*=[{SPACE}]*"
@@ -76,14 +79,26 @@ def html_to_markdown(
     """
     if where is not None:
         df = df.filter(where)
-    text = F.col(into)
-    df = df.withColumns({
-        # HTML has no NUL: readers show it as a replacement character.
-        into: if_contains(F.col(html), blocks.MARK, F.replace(F.col(html), F.lit(blocks.MARK), F.lit("\ufffd")), F.col(html)),
-        "_titled": masked(matchable(F.col(html), P.closing("title"), "<"), P.starting("title")),
-    })
+    text, names = F.col(into), F.col("_names")
+
+    def has(*wanted: str) -> Column:
+        return has_tag(names, *wanted)
+
+    def named(df: DataFrame, changed: Column) -> DataFrame:
+        """Names anew where a rule may have left nothing in a tag's place, so that what is around it makes another."""
+        return df.withColumn("_names", F.when(changed, tag_names(text)).otherwise(names))
+
+    # HTML has no NUL: readers show it as a replacement character.
+    df = df.withColumn(into, if_contains(
+        F.col(html), blocks.MARK, F.replace(F.col(html), F.lit(blocks.MARK), F.lit("\ufffd")), F.col(html)))
+    # A rule is tried where its tags are: to look for each of them in all of the text is most of the work.
+    df = df.withColumn("_names", tag_names(text))
+    df = df.withColumn("_titled", F.when(
+        has("title"), masked(matchable(F.col(html), P.closing("title"), "<"), P.starting("title"))).otherwise(F.lit("")))
     df = df.withColumn(
         "title", decode_entities(strip(F.regexp_extract("_titled", P.java(TITLE), 1)))).drop("_titled")
+    hidden = F.col("_hidden")
+    df = df.withColumn("_hidden", has("script", "style", "title") | F.contains(text, F.lit("<!--")))
     for opener, closer, start in (
         (P.opening("script"), P.closing("script"), P.starting("script")),
         (P.opening("style"), P.closing("style"), P.starting("style")),
@@ -91,30 +106,35 @@ def html_to_markdown(
     ):
         df = rewrite_pairs(
             df, into, closer,
-            lambda t, p=P.java(f"{opener}.*?{closer}"): F.regexp_replace(t, p, ""), needle="<", opener=start,
+            lambda t, p=P.java(f"{opener}.*?{closer}"): F.regexp_replace(t, p, ""), needle="<", opener=start, where=hidden,
         )
+    df = named(df, hidden).drop("_hidden")
     df = rewrite_pairs(df, into, P.closing("a"), lambda t: F.regexp_replace(t, P.java(LINK), "[$4]($1$2$3)"),
-                       opener=P.A_START)
+                       opener=P.A_START, where=has("a"))
+    df = named(df, has("a"))
     nested = F.col("_nested")
-    df = df.withColumn("_nested", text.rlike(P.java(blocks.NESTED)))
-    for step in blocks.marked(text, substitute):
+    df = df.withColumn("_nested", F.when(has(*blocks.BLOCKS), text.rlike(P.java(blocks.NESTED))).otherwise(F.lit(False)))
+    for at, step in enumerate(blocks.marked(text, names, substitute)):
         df = df.withColumn(into, F.when(nested, step).otherwise(text))
+        if not at:
+            df = named(df, nested & has("table"))
+    headings = [f"h{level}" for level in range(1, 7)]
     df = replace_tags(df, into, [
-        (f"<[hH]([1-6]){P.ATTRS}>", "\n\n<h$1>"), ("</[hH][1-6]>", "\n\n"),
+        (f"<[hH]([1-6]){P.ATTRS}>", "\n\n<h$1>", has(*headings)), ("</[hH][1-6]>", "\n\n", has(*headings)),
     ])
     headed = text
     for level in range(1, 7):
         headed = F.replace(headed, F.lit(f"<h{level}>"), F.lit("#" * level + " "))
     df = df.withColumn(into, if_contains(text, "<h", headed, text))
     df = replace_tags(df, into, [
-        (P.opening("li"), "\n- "), (P.BR, "\n"), (P.HR, "\n\n---\n\n"), (P.STRONG, "**"),
-        (P.EMPHASIS, "*"), (P.CODE, "`"),
+        (P.opening("li"), "\n- ", has("li")), (P.BR, "\n", has("br")), (P.HR, "\n\n---\n\n", has("hr")),
+        (P.STRONG, "**", has("strong", "b")), (P.EMPHASIS, "*", has("em", "i")), (P.CODE, "`", has("code")),
     ])
-    df = clean.convert_img_tags(df, into).drop("img_tags_converted")
-    df = replace_tags(df, into, [(BLOCK_TAG, "\n\n"), (OTHER_TAG, "")])
+    df = clean.convert_img_tags(df, into, has("img")).drop("img_tags_converted")
+    df = named(df, has("img"))
+    df = replace_tags(df, into, [(BLOCK_TAG, "\n\n", has(*BLOCK_NAMES.split("|"))), (OTHER_TAG, "")]).drop("_names")
     df = df.withColumn(into, decode_entities(text))
-    squeezed = F.regexp_replace(F.regexp_replace(text, P.TRAILING_BLANKS, ""), P.BLANK_RUN, "\n\n")
-    return fence(df.withColumn(into, strip(F.when(nested, blocks.written_column(df.sparkSession, into)).otherwise(squeezed))).drop("_nested"))
+    return fence(df.withColumn(into, strip(F.when(nested, blocks.written_column(df.sparkSession, into)).otherwise(squeeze(text)))).drop("_nested"))
 
 
 def text_to_markdown(df: DataFrame, text: str = "text", into: str = "markdown") -> DataFrame:

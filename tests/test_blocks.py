@@ -3,7 +3,9 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from foliomill.functions import rewrite
 from foliomill.operators import blocks, convert
 
 
@@ -100,3 +102,28 @@ def test_deep_blocks_keep_their_text(markdown):
     depth = blocks.DEEPEST + 50
     text, = markdown("".join(f"<blockquote>w{i}" for i in range(depth)))
     assert re.findall(r"w\d+", text) == [f"w{i}" for i in range(depth)]
+
+
+def test_rules_are_tried_where_their_tags_are(spark):
+    pages = ["<p>a</p><ol><li>b</ol>", "x", None, "<ſtrong>c</B><Kbd>", "</scıpt><a href=u>d</a>"]
+    told = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string").withColumn(
+        "names", rewrite.tag_names(F.col("html"))).select(
+        "i", "names", rewrite.has_tag(F.col("names"), "li", "br").alias("tried"))
+    assert [(r.names, r.tried) for r in sorted(told.collect())] == [
+        (["p", "ol", "li"], True), ([], False), (None, True), (None, True), (None, True)]
+
+
+def test_tags_that_removals_leave_are_found(markdown):
+    pages = {
+        "<<script></script>b>x</b>": "**x**", "<b<style></style>r>y": "y", "<<!-- -->h1>t</h1>": "# t",
+        "<ſtrong>s</strong>": "**s**", "<<img>p>a<<img>p>b": "a\n\nb",
+        "<table><tr><td>1</td></tr><<tbody>li>x</table><blockquote>q</blockquote>": "| 1 |\n| --- |\n| \n\n- x |\n\n> q",
+    }
+    assert dict(zip(pages, markdown(*pages))) == pages
+
+
+def test_blanks_and_breaks_are_squeezed(spark):
+    texts = ["a \nb", "a\t", "a b", "a\n\n\n\nb \t\n c ", "\n \n \n\nx", "", None, " ", "a \x0b\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace(F.regexp_replace("t", rewrite.TRAILING_BLANKS, ""), rewrite.BLANK_RUN, "\n\n")
+    assert [tuple(r) for r in df.select(rewrite.squeeze(F.col("t")), plain).collect() if r[0] != r[1]] == []
