@@ -116,10 +116,11 @@ def squeeze(text: Column) -> Column:
 
     Bytes tell whether there is anything to do: the pattern looks at every blank of a text.
     """
-    trailing = F.endswith(text, F.lit(" ")) | F.endswith(text, F.lit("\t")) | (F.contains(text, F.lit("\n")) & (
-        F.contains(text, F.lit(" \n")) | F.contains(text, F.lit("\t\n"))))
+    blank_end = F.endswith(text, F.lit(" ")) | F.endswith(text, F.lit("\t"))
+    trailing = blank_end | F.contains(text, F.lit(" \n")) | F.contains(text, F.lit("\t\n"))
     trimmed = F.when(trailing, F.regexp_replace(text, TRAILING_BLANKS, "")).otherwise(text)
-    return let(trimmed, lambda t: if_contains(t, "\n\n\n", F.regexp_replace(t, BLANK_RUN, "\n\n"), t))
+    squeezed = let(trimmed, lambda t: if_contains(t, "\n\n\n", F.regexp_replace(t, BLANK_RUN, "\n\n"), t))
+    return F.when(blank_end | F.contains(text, F.lit("\n")), squeezed).otherwise(text)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
